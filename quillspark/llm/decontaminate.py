@@ -30,7 +30,8 @@ def with_shingles(rows: DataFrame, text: str, n: int = WORDS) -> DataFrame:
     """Adds `__h`: a 64-bit hash for each n-word shingle; of fewer words, one for the whole sequence; without words, none."""
     rows = rows.withColumn("__w", words_of(F.col(text)))
     w = F.col("__w")
-    grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+    heads = F.arrays_zip(*(F.slice(w, F.lit(k + 1), F.greatest(F.size(w) - (n - 1), F.lit(0))).alias(f"w{k}") for k in range(n)))
+    grams = F.transform(heads, lambda x: F.xxhash64(*(x[f"w{k}"] for k in range(n))))  # no outer column inside: it would be made anew for each element
     return rows.withColumn("__h", F.when(F.size(w) >= n, grams).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))).drop("__w")
 
 
