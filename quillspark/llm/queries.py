@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, line_dedup, secrets, sentencepiece_bpe, token_count, toxicity
+from quillspark.llm import ann, decontaminate, line_dedup, secrets, sentencepiece_bpe, token_count, toxicity
 from quillspark.sources.tables import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -39,6 +43,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_counts": op2_token_counts,
     "op5_secrets": op5_secrets,
     "op7_toxicity": op7_toxicity,
