@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import ann, decontaminate, line_dedup, secrets, sentencepiece_bpe, token_count, toxicity
+from quillspark.llm import ann, decontaminate, line_dedup, near_dedup, secrets, sentencepiece_bpe, token_count, toxicity
 from quillspark.sources.tables import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_counts": op2_token_counts,
+    "op3_near_dedup": op3_near_dedup,
     "op5_secrets": op5_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
