@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import ann, decontaminate, line_dedup, near_dedup, secrets, sentencepiece_bpe, token_count, toxicity
+from quillspark.llm import ann, decontaminate, line_dedup, near_dedup, secrets, sentencepiece_bpe, suffix_dedup, token_count, toxicity
 from quillspark.sources.tables import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_counts": op2_token_counts,
     "op3_near_dedup": op3_near_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_secrets": op5_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
