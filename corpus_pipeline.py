@@ -1,14 +1,76 @@
-"""The stages of a training-data pipeline over `documents`, each one operator of quillspark.llm."""
+"""The stages of a training-data pipeline over `documents`, each one operator of quillspark.llm.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs
+of the next. All but the last return the columns of `documents`; rows with a null doc_id pass the stages that select by
+id untouched.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontaminate, line_dedup, near_dedup, sentencepiece_bpe, toxicity
+from quillspark.llm.common import scratch, written
+from quillspark.sources.tables import table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A line on more than this share of a source's documents is boilerplate.
+LINE_RATIO, LINE_DOCS = 0.2, 5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, predicts to be toxic go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=_present(docs)).filter("predicted = 0").select(*_present(docs))
+
+
+def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of a source go from its documents; the documents stay, with n_chars of what is left."""
+    out = line_dedup.drop_boilerplate(docs, "source", "text", LINE_RATIO, LINE_DOCS)
+    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*_present(docs))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays."""
+    kept = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_anti").select(*_present(docs))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*_present(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Numbers and digests of the pieces of each document, and of their decoding."""
+    return sentencepiece_bpe.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _present(docs: DataFrame) -> list[str]:
+    return [c for c in COLUMNS if c in docs.columns]
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", cut_lines),
+    ("near_dedup", keep_one),
+    ("decontamination", drop_benchmark),
+    ("sentencepiece", encode),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: A classifier, a similarity join and an encoder are beyond SQL: the tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The rows of the last stage, from `documents`."""
+    folder = scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), folder, name)
+    return STAGES[-1][1](spark, docs, sf_dir)
