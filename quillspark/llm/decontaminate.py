@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import UPPER, scratch, written
+from quillspark.llm.common import scratch, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: Signatures, items' shingles and candidates' ids up to so many rows (24 bytes or less each) are broadcast; more are joined by a shuffle.
@@ -21,9 +21,8 @@ BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased (A-Z) runs of letters and digits; null: none."""
-    plain = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
-    return F.array_remove(F.split(plain, r"[^\p{L}\p{N}]+"), "")
+    """Lower-cased runs of letters and digits; null: none."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def with_shingles(rows: DataFrame, text: str, n: int = WORDS) -> DataFrame:
@@ -57,21 +56,22 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     sketch = sets.select("item_id", "least", F.explode(F.slice("hs", F.lit(1), F.col("minima"))).alias("h"))
     sizes = sets.agg(F.sum("minima"), F.sum("k")).first()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    shingles = with_shingles(texts, "text", n).select("doc_id", F.explode("__h").alias("h"))
+    # not explode(): from it a filter on the shingles is inferred, which is pushed below the joins and makes them all once more
+    shingles = with_shingles(texts, "text", n).select("doc_id", F.explode_outer("__h").alias("h"))
     hits = shingles.join(_small(sketch, sizes[0] or 0), "h")
     found = hits.groupBy("doc_id", "item_id", "least").agg(F.countDistinct("h").alias("hits")).filter("hits >= least").select("doc_id", "item_id")
     found = written(found, folder, "candidates")
     pairs = found.count()
     again = texts.join(_small(found.select("doc_id").distinct(), pairs), "doc_id", "left_semi")
-    parts = with_shingles(again, "text", n).select("doc_id", F.explode("__h").alias("h"))
+    parts = with_shingles(again, "text", n).select("doc_id", F.explode_outer("__h").alias("h"))
     wanted = sets.join(_small(found.select("item_id").distinct(), pairs), "item_id", "left_semi").select("item_id", F.col("k").cast("long").alias("n_shingles"), F.explode("hs").alias("h"))
     shared = parts.join(_small(wanted, sizes[1] or 0), "h").groupBy("doc_id", "item_id", "n_shingles").agg(F.countDistinct("h").alias("n_found"))
     return shared.withColumn("containment", F.col("n_found") / F.col("n_shingles")).filter(F.col("containment") >= threshold).join(found, ["doc_id", "item_id"], "left_semi")
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT item_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 ds AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT id, w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM d)),
 bs AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT id, w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM b)),
 k AS (SELECT id, count(*) AS n FROM bs GROUP BY id)
