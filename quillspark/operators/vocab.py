@@ -47,19 +47,20 @@ def extended(vocab: DataFrame, terms: DataFrame) -> DataFrame:
 
 def encode(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, unknown: int = 1) -> DataFrame:
     """(key, ids): by a join, so that a vocabulary of any size does; a row without tokens has an empty array."""
-    rows = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
-    ids = rows.join(vocab.select("token", F.col("id").cast("int").alias("id")), "token", "left")
-    cell = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))
-    got = ids.groupBy(key).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-    return got.select(key, F.transform("cells", lambda x: x["id"]).alias("ids"))
+    rows = df.select(key, F.posexplode_outer(tokens).alias("__pos", "__token"))
+    ids = rows.join(vocab.select(F.col("token").alias("__token"), F.col("id").cast("int").alias("__id")), "__token", "left")
+    cell = F.when(F.col("__pos").isNotNull(), F.struct("__pos", F.coalesce("__id", F.lit(unknown)).alias("__id")))
+    got = ids.groupBy(key).agg(F.sort_array(F.collect_list(cell)).alias("__cells"))
+    return got.select(key, F.transform("__cells", lambda x: x["__id"]).alias("ids"))
 
 
 def decode(df: DataFrame, key: str, ids: Column, vocab: DataFrame) -> DataFrame:
     """(key, text): fills, specials and unknown ids dropped."""
-    rows = df.select(key, F.posexplode_outer(F.filter(ids, lambda x: x != 0)).alias("pos", "id"))
+    rows = df.select(key, F.posexplode_outer(F.filter(ids, lambda x: x != 0)).alias("__pos", "__id"))
     words = vocab.filter(~F.col("is_special")) if "is_special" in vocab.columns else vocab
-    cells = rows.join(words.select("id", "token"), "id", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))).alias("cells"))
-    return cells.select(key, F.array_join(F.transform("cells", lambda x: x["token"]), " ").alias("text"))
+    words = words.select(F.col("id").alias("__id"), F.col("token").alias("__token"))
+    cells = rows.join(words, "__id", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("__token").isNotNull(), F.struct("__pos", "__token")))).alias("__cells"))
+    return cells.select(key, F.array_join(F.transform("__cells", lambda x: x["__token"]), " ").alias("text"))
 
 
 def problems(vocab: DataFrame) -> DataFrame:
