@@ -18,33 +18,34 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 
 def _rank_strings(seq: np.ndarray, start: np.ndarray, stop: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(order, name) of the strings seq[start:stop], and behind them the numbers `last`. Ties are refined two symbols at a time."""
+    """(order, name) of the strings seq[start:stop], and behind them the numbers `last`. Ties are refined by as many symbols at a time as fit in a key."""
     m = len(start)
-    order = np.arange(m)
     name = np.zeros(m, np.int64)
     active, at = np.arange(m), start.copy()
-    padded = np.concatenate([seq, np.zeros(2, seq.dtype)]).astype(np.uint64)
+    bits = max(int(seq.max()) + 1, int(last.max()) + 1 if last is not None and m else 1, 1).bit_length()
+    width = max(1, 62 // bits)  # symbols of a key
+    padded = np.concatenate([seq, np.zeros(width, seq.dtype)]) + 1
     while len(active):
         p, e = at[active], stop[active]
-        hi = np.where(p < e, padded[np.minimum(p, len(seq))] + np.uint64(1), np.uint64(0))
-        lo = np.where(p + 1 < e, padded[np.minimum(p + 1, len(seq))] + np.uint64(1), np.uint64(0))
-        key = hi << np.uint64(32) | lo
-        if last is not None:
-            over = p == e  # the strings up to here are equal, and so are their ends
-            key[over] = last[active[over]].astype(np.uint64)
-            one = p + 1 == e
-            key[one] = hi[one] << np.uint64(32) | (last[active[one]].astype(np.uint64))
-        o = np.lexsort((key, name[active]))
-        a, k, g = active[o], key[o], name[active][o]
+        end = last[active] + 1 if last is not None else None  # equal strings end together, so this is but one more symbol
+        key = np.zeros(len(active), np.int64)
+        for k in range(width):
+            x = np.where(p + k < e, padded[np.minimum(p + k, len(seq))], 0)
+            key = key << bits | (x if end is None else np.where(p + k == e, end, x))
+        g = name[active]
+        if len(active) == m:
+            o = np.argsort(key, kind="stable")
+        else:
+            o = np.lexsort((key, g))
+        a, k, g = active[o], key[o], g[o]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])])
         head = np.concatenate([[True], g[1:] != g[:-1]])
         first = np.flatnonzero(head)
         place = np.arange(len(a))
         name[a] = g + (np.maximum.accumulate(np.where(new, place, 0)) - first[np.cumsum(head) - 1])
-        at[a] += 2
+        at[a] += width
         size = np.diff(np.append(np.flatnonzero(new), len(a)))
-        more = np.repeat(size > 1, size)
-        left = a[more]
+        left = a[np.repeat(size > 1, size)]
         active = left[at[left] < stop[left]] if last is None else left[at[left] <= stop[left]]
     order = np.argsort(name, kind="stable")
     return order, name
@@ -53,6 +54,7 @@ def _rank_strings(seq: np.ndarray, start: np.ndarray, stop: np.ndarray, last: np
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """The suffix array from the sorted leftmost S positions: L suffixes from the left, then S suffixes from the right, bucket by bucket."""
     n, size = len(t), np.bincount(t)
+    t = t.astype(np.uint16)  # sorted by radix
     end = np.cumsum(size)
     begin = end - size
     n_l = np.bincount(t[~s], minlength=len(size))
@@ -146,7 +148,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, fresh: np.ndarray)
     own[1:][phi[:-1] < 0] = True
     plcp = np.zeros(n, np.int64)
     active = np.flatnonzero(own & (phi >= 0))
-    padded = np.concatenate([t, np.full(8, -1, t.dtype)])
+    padded = np.concatenate([t, np.array([-1, -2], t.dtype)])  # two ends that are unlike
     while len(active):
         a, b = active + plcp[active], phi[active] + plcp[active]
         go = (a < n) & (b < n)
@@ -154,7 +156,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, fresh: np.ndarray)
         run = np.zeros(len(active), np.int64)
         still = np.ones(len(active), bool)
         for k in range(8):
-            still &= (a + k < n) & (b + k < n) & (padded[np.minimum(a + k, n)] == padded[np.minimum(b + k, n)])
+            still &= padded[np.minimum(a + k, n)] == padded[np.minimum(b + k, n + 1)]
             run += still
         plcp[active] += run
         active = active[still & (plcp[active] < most)]

@@ -1,8 +1,8 @@
 """Removal of long byte strings that also start elsewhere, by suffix arrays of shards made so that no match is missed.
 
-Every 400-byte string holds an anchor: a position whose 128-byte hash is the least of some 273 in a row, so that equal
+Every 400-byte string holds an anchor: a position whose 256-byte hash is the least of some 145 in a row, so that equal
 strings have it at the same place. All occurrences of a repeated string thus meet at one anchor hash, and lie in the
-anchors' surroundings of 672 bytes. Equal surroundings of one hash are one entry with their number. A shard's suffix
+anchors' surroundings of 544 bytes. Equal surroundings of one hash are one entry with their number. A shard's suffix
 array is induced from the entries' bytes; in it, strings that share 400 bytes stand together, and of these the ones at
 the same distance from their anchors are true repeats (two anchors of one text may surround the same bytes).
 
@@ -26,10 +26,12 @@ from quillspark.llm.common import cuts, scratch, written
 from quillspark.llm.hashing import _TABLE, _power, mix
 from quillspark.llm.induced_sort import common_prefixes, suffix_array
 
-LENGTH, SEED = 400, 128
+LENGTH, SEED = 400, 256
 BEFORE = LENGTH - SEED
 #: Different surroundings of one hash in a task at most, and bytes of a shard's suffix array.
-MANY, SHARD = 1500, 400_000
+MANY, SHARD = 5000, 1_000_000
+#: Starts in a range of the search for entries that can repeat.
+STEP = 18
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -113,12 +115,46 @@ def _repeated(contents: list[bytes], anchor: np.ndarray, low: np.ndarray, high:
     return out
 
 
+def _promising(keys: list, contents: list[bytes], anchors: list[int], lows: list[int], highs: list[int]) -> list[tuple[int, int, int]]:
+    """(entry, first start, last start) of the entries that can repeat, cut to where they can.
+
+    The starts are dealt into ranges; the strings of one range share all but some 18 of their bytes. Where no other entry
+    of the key has these, none of them repeats, and the suffix array can do without their ends.
+    """
+    seen: dict[tuple, int] = {}
+    ranges: list[list[tuple[int, int, tuple]]] = []
+    for key, content, anchor, lo, hi in zip(keys, contents, anchors, lows, highs):
+        mine = []
+        for a in range(lo, hi + 1, STEP):
+            b = min(a + STEP - 1, hi)
+            p, q = max(a + anchor, 0), min(b + anchor, len(content) - LENGTH)
+            if p <= q:
+                k = (key, a, hash(content[b + anchor : a + anchor + LENGTH]))
+                seen[k] = seen.get(k, 0) + 1
+                mine.append((p, q, k))
+        ranges.append(mine)
+    out = []
+    for i, mine in enumerate(ranges):
+        left = [(p, q) for p, q, k in mine if seen[k] > 1]
+        if left:
+            out.append((i, left[0][0], left[-1][1]))
+    return out
+
+
 def _shards(frames):
     """Sorted by key: whole keys together, in suffix arrays of about SHARD bytes."""
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
-        found = _repeated(f["content"].tolist(), f["anchor"].to_numpy(np.int64), f["lo"].to_numpy(np.int64), f["hi"].to_numpy(np.int64))
-        rows = [(k, c, p, q) for k, c, x in zip(f["key"], f["chash"], found) for p, q in x]
+        keys, contents = f["key"].tolist(), f["content"].tolist()
+        at = _promising(keys, contents, f["anchor"].tolist(), f["lo"].tolist(), f["hi"].tolist())
+        if not at:
+            return pd.DataFrame({"key": [], "chash": [], "a": [], "b": []})
+        anchor, lo, hi = (f[c].to_numpy(np.int64) for c in ("anchor", "lo", "hi"))
+        i = np.array([x[0] for x in at])
+        p, q = np.array([x[1] for x in at]), np.array([x[2] for x in at])
+        found = _repeated([contents[k][a : b + LENGTH] for k, a, b in at], anchor[i] - p, np.maximum(lo[i], p - anchor[i]), np.minimum(hi[i], q - anchor[i]))
+        chash = f["chash"].tolist()
+        rows = [(keys[k], chash[k], a + c, a + d) for (k, a, _), x in zip(at, found) for c, d in x]
         return pd.DataFrame(rows, columns=["key", "chash", "a", "b"])
 
     rest, total = [], 0
@@ -198,7 +234,7 @@ def repeated_ranges(texts: DataFrame, folder: str, many: int = MANY) -> DataFram
     ranges = found[0]
     for x in found[1:]:
         ranges = ranges.unionAll(x)
-    ranges = ranges.groupBy("h", "nh").agg(F.collect_set(F.struct("a", "b")).alias("r"))  # within 672 bytes
+    ranges = ranges.groupBy("h", "nh").agg(F.collect_set(F.struct("a", "b")).alias("r"))  # within 544 bytes
     runs = dup.join(ranges, ["h", "nh"]).select("id", F.explode("r").alias("r"), "start").select("id", F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")).alias("r"))
     return runs.groupBy("id").agg(F.collect_list("r").alias("runs"))
 
