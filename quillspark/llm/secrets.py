@@ -22,7 +22,8 @@ from quillspark.llm.common import map_texts
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-WEAK = re.compile(r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])")
+#: '=' or ':' may stand before it (KEY=value), and a full stop or '=' padding behind it; padding belongs to it.
+WEAK = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_-])={0,2}")
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com")
 SCOPE = 500
 ORDER = {"assign": 0, "access": 1, "hex": 2, "linked_secret": 3, "linked_endpoint": 4}
@@ -43,7 +44,7 @@ def linked(text: str, base: list[tuple[int, int, str]], scope: int = SCOPE) -> l
         return []
     taken = [x for x in base if x[2] != "access"]
     strong = Intervals(taken)
-    weak = [(m.start(), m.end(), "linked_secret") for m in WEAK.finditer(text) if any(c.isdigit() for c in m[0])]
+    weak = [(m.start(), m.end(), "linked_secret") for m in WEAK.finditer(text)]
     weak = [w for w in weak if not strong.near(w, 0)]
     secrets, ids = Intervals(sorted([*weak, *taken])), Intervals(access)
     whole = Intervals([a for a in access if secrets.near(a, scope)])
