@@ -18,7 +18,7 @@ from quillspark.llm.common import scratch, written
 from quillspark.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A line on more than this share of a source's documents is boilerplate.
+#: A line on more than this share of a source's distinct texts is boilerplate.
 LINE_RATIO, LINE_DOCS = 0.2, 5
 
 
@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go from its documents; the documents stay, with n_chars of what is left."""
-    out = line_dedup.drop_boilerplate(docs, "source", "text", LINE_RATIO, LINE_DOCS)
+    out = line_dedup.drop_boilerplate(docs, "source", "text", LINE_RATIO, LINE_DOCS, copies=False)
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*_present(docs))
 
 

@@ -41,27 +41,34 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(7)).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
-    """(host, bad): the hashes of the lines on at least min_pages pages and on more than ratio of the host's pages."""
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int, copies: bool = True) -> DataFrame:
+    """(host, bad): the hashes of the lines on at least min_pages pages and on more than ratio of the host's pages.
+
+    Without copies the pages of a host with the same text, told apart by a 128-bit hash, are one page.
+    """
     lines = F.array_distinct(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)))
     keys = F.transform(F.filter(lines, lambda x: x != ""), _key)
-    seen = pages.select(F.col(host).alias("host"), F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    total = pages.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages"))
+    pages = pages.select(F.col(host).alias("host"), keys.alias("keys"), *([] if copies else [_key(F.col(text)).alias("page")]))
+    if not copies:
+        pages = pages.groupBy("host", "page").agg(F.first("keys").alias("keys"))
+    seen = pages.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    total = pages.groupBy("host").agg(F.count("*").alias("pages"))
     return seen.join(total, "host").filter(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("bad"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """pages with `text` cut, and with n_lines and n_dropped (non-empty lines before, and dropped) added.
 
     A line is what stands between line breaks, compared without spaces at its ends; empty lines are never counted nor
-    dropped. Each row is a page of its own, repeated rows too. A null host is a host of its own; a null text is left
-    null, with no line. Columns named host, text, n_lines or n_dropped besides the two given are overwritten or kept
+    dropped. Each row is a page of its own, repeated rows too; without `copies` the rows of a host with the same text
+    count as one page, so that a group of copies does not make its own lines boilerplate. A null host is a host of its
+    own; a null text is left null, with no line. Columns named host, text, n_lines or n_dropped besides the two given are overwritten or kept
     as usual; other columns are carried along.
     """
     spark = pages.sparkSession
     folder = scratch(spark)
     made = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bad = written(boilerplate(made, "host", "text", ratio, min_pages), folder, "boilerplate")
+    bad = written(boilerplate(made, "host", "text", ratio, min_pages, copies), folder, "boilerplate")
     n = bad.agg(F.sum(F.size("bad"))).first()[0] or 0
     bad = bad.select(F.col("host").alias("__host"), F.col("bad").alias("__bad"))
     rows = pages.withColumn("__key", F.coalesce(F.col(host).cast("string"), F.lit("\0"))).withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))

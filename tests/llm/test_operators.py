@@ -313,6 +313,16 @@ def test_both_joins_of_line_dedup(spark, monkeypatch):
     assert {r["text"] for r in line_dedup.drop_boilerplate(df, "host", "text", 0.5, 3).collect()} == {f"x{i}" for i in range(5)}
 
 
+def test_copies_are_one_page_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows = [(i, "menu\nfirst line\nsecond line") for i in range(8)] + [(8 + i, f"menu\nown {i}") for i in range(6)]
+    df = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.cut_lines(spark, df, SMALL).collect()}
+    copy = "first line\nsecond line"
+    assert got == {i: (copy, len(copy)) for i in range(8)} | {8 + i: (f"own {i}", 5) for i in range(6)}
+
+
 # 9
 
 def test_pieces(spark):
