@@ -20,6 +20,8 @@ from quillspark.sources.tables import table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A line on more than this share of a source's distinct texts is boilerplate.
 LINE_RATIO, LINE_DOCS = 0.2, 5
+#: Documents of this similarity, in hundredths, are near duplicates.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays."""
-    kept = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    kept = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_anti").select(*_present(docs))
 
 

@@ -4,10 +4,10 @@ Equal sets are one vertex. Each vertex carries minwise tokens: for each of `TOKE
 shingles. A tree starts with all vertices in one node. At each level a node, by its own path, chooses one coordinate,
 and now and then a second, and its members go on to the children named by their token there; two sets of similarity s
 share a child with a chance of s for each choice. After `DEPTH` levels nodes are compared exhaustively if small and
-branched on if not, up to `DEEPEST`. `TREES` independent trees bring a pair at the threshold together with a chance of
-1 - 3e-5. What is still large then holds texts that are alike all over. Its members go through `MORE_TREES` trees of
-`MORE_DEPTH` levels, which tell sets just over the threshold from those just under it (0.993 for one pair at the
-threshold, 1 - 2e-6 at 0.9; a component needs but one of a member's links); nodes that are large even there hold copies
+branched on if not, up to `DEEPEST`. Independent trees, as many as the threshold asks for, bring a pair at the threshold
+together with a chance of 1 - 3e-5. What is still large then holds texts that are alike all over. Its members go through
+further trees of `MORE_DEPTH` levels, which tell sets just over the threshold from those just under it (0.993 for one
+pair at the threshold, 1 - 2e-6 at 0.9 where it is 0.85; a component needs but one of a member's links); nodes that are large even there hold copies
 that hardly differ, and are ordered by their tokens and cut into small nodes, each joined to a pivot.
 
 Comparing a node means estimating all its pairs by their tokens. First only a spanning forest of the best pairs is
@@ -17,6 +17,9 @@ many confirmations as it has members, and yet no pair that could join two compon
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,14 +32,37 @@ from quillspark.llm.components import components
 from quillspark.llm.hashing import mix, shingles, words
 
 WORDS, PERCENT = 5, 85
-TOKENS, TREES, DEPTH, DEEPEST, SECOND, SMALL = 96, 8, 3, 5, 0.25, 40
-#: For members of nodes that stay large: so many more trees, of so many levels, without second choices.
-MORE_TREES, MORE_DEPTH = 64, 16
-#: A pair is confirmed if its tokens agree in this share: the threshold less five standard deviations or so.
-LIKELY = 0.68
+TOKENS, DEPTH, DEEPEST, SECOND, SMALL = 96, 3, 5, 0.25, 40
+#: Levels of the further trees, which members of nodes that stay large go through, without second choices.
+MORE_DEPTH = 16
+#: Chances that no tree, and no further tree, brings a pair at the threshold together.
+MISSED, MORE_MISSED = 3e-5, 0.0075
+#: A pair is confirmed if its tokens agree in a share of the threshold less so many standard deviations.
+DEVIATIONS = 4.665
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 62, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+@dataclass(frozen=True)
+class Setting:
+    percent: int
+    likely: float
+    trees: int
+    more_trees: int
+
+
+def setting(percent: int) -> Setting:
+    """What a threshold asks for; 85: a likely share of 0.68, 8 trees and 64 further ones."""
+    if not 0 < percent < 100:
+        raise ValueError("percent must lie between 1 and 99")
+    s = percent / 100
+    meet = 1.0
+    for _ in range(DEPTH):
+        meet = (1 - SECOND) * s * meet + SECOND * (1 - (1 - s * meet) ** 2)
+    trees = math.ceil(math.log(MISSED) / math.log1p(-meet))
+    more = math.ceil(math.log(MORE_MISSED) / math.log1p(-(s**MORE_DEPTH)))
+    return Setting(percent, s - DEVIATIONS * math.sqrt(s * (1 - s) / TOKENS), trees, more)
+
+
 def tokens_of(sets: list[np.ndarray]) -> np.ndarray:
     """The minwise tokens (16 bits each) of non-empty sets."""
     flat = np.concatenate(sets)
@@ -93,7 +119,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), TOKENS)
 
 
-def grow(vertices: DataFrame) -> DataFrame:
+def grow(vertices: DataFrame, trees: int) -> DataFrame:
     """(path, v): the nodes of all trees at DEPTH."""
 
     def run(frames):
@@ -101,7 +127,7 @@ def grow(vertices: DataFrame) -> DataFrame:
             if not len(f):
                 continue
             t, v = _matrix(f["tokens"]), f["v"].to_numpy()
-            for tree in range(TREES):
+            for tree in range(trees):
                 paths, rows = np.full(len(f), tree * 7919 + 13, np.uint64), np.arange(len(f))
                 for level in range(DEPTH):
                     paths, pick = _branch(paths, level, t[rows])
@@ -121,7 +147,7 @@ def deepen(nodes: DataFrame, level: int) -> DataFrame:
     return nodes.mapInPandas(run, "path long, v long")
 
 
-def grow_deep(vertices: DataFrame) -> DataFrame:
+def grow_deep(vertices: DataFrame, trees: int) -> DataFrame:
     """(path, v): the nodes of the further trees, one coordinate a level."""
 
     def run(frames):
@@ -129,7 +155,7 @@ def grow_deep(vertices: DataFrame) -> DataFrame:
             if not len(f):
                 continue
             t, v, at = _matrix(f["tokens"]), f["v"].to_numpy(), np.arange(len(f))
-            for tree in range(MORE_TREES):
+            for tree in range(trees):
                 pick = np.random.default_rng(1000 + tree).choice(TOKENS, MORE_DEPTH, replace=False)
                 paths = np.full(len(f), tree + 1_000_003, np.uint64)
                 for c in pick:
@@ -139,11 +165,11 @@ def grow_deep(vertices: DataFrame) -> DataFrame:
     return vertices.select("v", "tokens").mapInPandas(run, "path long, v long")
 
 
-def small_nodes(vertices: DataFrame, folder: str) -> DataFrame:
+def small_nodes(vertices: DataFrame, folder: str, how: Setting) -> DataFrame:
     """(path, v, tokens) of nodes with 2 to SMALL + 1 members."""
     spark = vertices.sparkSession
     done = []
-    paths = written(grow(vertices).distinct(), folder, "paths")
+    paths = written(grow(vertices, how.trees).distinct(), folder, "paths")
     for level in range(DEPTH, DEEPEST + 1):
         count = paths.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         sized = written(paths.join(count, "path"), folder, f"sized{level}")
@@ -155,7 +181,7 @@ def small_nodes(vertices: DataFrame, folder: str) -> DataFrame:
         if level < DEEPEST:
             paths = written(deepen(rows, level).distinct(), folder, f"paths{level}")
         else:
-            deep = written(grow_deep(rows.select("v", "tokens").dropDuplicates(["v"])), folder, "deep")
+            deep = written(grow_deep(rows.select("v", "tokens").dropDuplicates(["v"]), how.more_trees), folder, "deep")
             count = deep.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
             deep = written(deep.join(count, "path"), folder, "sizeddeep")
             done.append(deep.filter(F.col("n") <= SMALL).select("path", "v"))
@@ -188,7 +214,7 @@ def _pairs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, left + 1 + np.arange(len(left)) - np.repeat(start, run)
 
 
-def compare(nodes: DataFrame, forest: bool) -> DataFrame:
+def compare(nodes: DataFrame, forest: bool, likely: float) -> DataFrame:
     """(a, b): likely pairs of the same node; a spanning forest of them, or all that lie in different components c."""
     columns = ["path", "v", "tokens"] + ["c"] * (not forest)
 
@@ -203,7 +229,7 @@ def compare(nodes: DataFrame, forest: bool) -> DataFrame:
         share = np.empty(len(i), np.float32)
         for a in range(0, len(i), 100_000):
             share[a : a + 100_000] = (t[i[a : a + 100_000]] == t[j[a : a + 100_000]]).mean(1)
-        keep = share >= LIKELY
+        keep = share >= likely
         i, j, share = i[keep], j[keep], share[keep]
         if forest:
             up = list(range(len(f)))
@@ -249,8 +275,8 @@ def _steps(paths: np.ndarray, most: int = 4000):
             a = b
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, folder: str, name: str) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= PERCENT * union."""
+def confirm(pairs: DataFrame, texts: DataFrame, folder: str, name: str, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
     pairs = written(pairs, folder, f"{name}pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
 
@@ -266,28 +292,31 @@ def confirm(pairs: DataFrame, texts: DataFrame, folder: str, name: str) -> DataF
             ok = []
             for s, t in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)) else 0
-                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     joined = pairs.join(full.select(F.col("v").alias("a"), F.col("s").alias("s")), "a").join(full.select(F.col("v").alias("b"), F.col("s").alias("t")), "b")
     return written(joined.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), folder, name)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (least id reachable), kept (doc_id = component_id).
 
+    Two sets of shingles are linked if their similarity is at least percent / 100.
+
     A null, empty or blank text has no shingle and is linked with nothing: its component is its own id. Repeated rows
     are copies of one another. A null id is kept, never the name of a component, and not `kept`, unless nothing else
     is in its component (component_id null, kept true). Other columns are not read.
     """
     spark = docs.sparkSession
     folder = scratch(spark)
+    how = setting(percent)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = written(describe(texts), folder, "rows")
     # of each distinct set the least id (its text is read again for confirming) and the tokens
     vertices = written(rows.filter("v is not null").groupBy("v").agg(F.min(F.struct("doc_id", "tokens")).alias("x")).select("v", F.col("x.doc_id").alias("doc_id"), F.col("x.tokens").alias("tokens")), folder, "vertices")
-    nodes = written(small_nodes(vertices.select("v", "tokens"), folder), folder, "nodes")
+    nodes = written(small_nodes(vertices.select("v", "tokens"), folder, how), folder, "nodes")
 
     # a vertex's text: that of the row with its id; a null id has its text found by its set
     def with_v(batches):
@@ -301,11 +330,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = vertices.join(members, "v", "left_semi").select("v", "doc_id")
     sources = texts.join(wanted.filter("doc_id is not null").select("doc_id"), "doc_id", "left_semi").unionAll(texts.filter("doc_id is null"))
     read = written(sources.mapInArrow(with_v, "v long, text string").filter("v is not null").join(wanted, "v", "left_semi").dropDuplicates(["v"]), folder, "texts")
-    first = confirm(compare(nodes, True), read, folder, "forest")
+    first = confirm(compare(nodes, True, how.likely), read, folder, "forest", percent)
     part = written(components(first, folder, "ca"), folder, "parts")
     again = nodes.join(part, "v", "left").select("path", "v", "tokens", F.coalesce("c", "v").alias("c"))
     mixed = again.groupBy("path").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("path")
-    second = confirm(compare(again.join(mixed, "path", "left_semi"), False).join(first, ["a", "b"], "left_anti"), read, folder, "rest")
+    second = confirm(compare(again.join(mixed, "path", "left_semi"), False, how.likely).join(first, ["a", "b"], "left_anti"), read, folder, "rest", percent)
     part = written(components(first.unionAll(second), folder, "cb"), folder, "all")
     named = rows.join(part, "v", "left").withColumn("g", F.coalesce("c", "v"))
     named = written(named.select("doc_id", "n_shingles", "g"), folder, "named")

@@ -145,6 +145,21 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_the_pipeline_from_80_percent(spark):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(200)]
+    changed = lambda n: " ".join("new" + w if k % 50 == 25 and k < 50 * n else w for k, w in enumerate(base))
+    other = [f"v{k}" for k in range(200)]
+    # 196 shingles each: four words changed leave 176 in common of 216 (0.81); 23 words more at the end leave 0.895
+    rows = [(1, " ".join(base)), (2, changed(4)), (3, " ".join(other)), (4, " ".join([*other, *base[:23]])), (5, " ".join(other[:140] + base[:60]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one(spark, df, SMALL).collect()} == {1, 3, 5}
+    assert {r["doc_id"] for r in near_dedup.near_duplicates(df).filter("kept").collect()} == {1, 2, 3, 5}
+    how = near_dedup.setting(85)
+    assert (how.trees, how.more_trees, math.ceil(how.likely * 96)) == (8, 64, 66)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["v"]: r["c"] for r in components.components(edges, scratch(spark), "t").collect()}
