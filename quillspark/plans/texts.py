@@ -140,10 +140,11 @@ _HEADS = ["There is ", "There are ", "No ", "Opacity is seen in ", "Findings are
 _HEAD_SQL = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADS)) + " END || substr(text, 1, 60)"
 
 
-def _headed(spark, d):
+def _headed(spark, d, whole=False):
+    """A head in front of each text: of its first 60 signs, as the SQL has them, or of all."""
     k = F.col("doc_id") % 9
     head = F.element_at(F.array(*map(F.lit, _HEADS)), (k + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", F.concat(head, F.substring("text", 1, 60)).alias("s"))
+    return table(spark, d, "documents").select("doc_id", F.concat(head, F.col("text") if whole else F.substring("text", 1, 60)).alias("s"))
 
 
 _CAP = lambda x: f"upper(substr({x}, 1, 1)) || lower(substr({x}, 2))"
@@ -186,7 +187,7 @@ def certainty_change(spark, d):
 @query()
 def text_augmentation(spark, d):
     """Three variants of each document, by draws that depend on the row and the variant alone."""
-    return augment.variants(_headed(spark, d).withColumnRenamed("s", "text"), "doc_id", "text", 3)
+    return augment.variants(_headed(spark, d, whole=True).withColumnRenamed("s", "text"), "doc_id", "text", 3)
 
 
 @query("SELECT doc_id, k AS aug_no, doc_id::VARCHAR || '_aug' || k AS aug_id, CASE WHEN k = 0 THEN doc_id::VARCHAR || '_orig' ELSE doc_id::VARCHAR || '_aug_' || k END AS kept_id, 7 * (dense_rank() OVER (ORDER BY doc_id) - 1) + k AS row_no FROM documents, range(0, 7) t(k)")

@@ -117,6 +117,17 @@ def test_leaks_tell_doubles_from_leaks(spark):
     assert {r["x"]: r["leaks"] for r in splits.leaks(d, "k", "x").collect()} == {"a": False, "b": True}
 
 
+def test_text_augmentation_takes_whole_documents(spark, tmp_path):
+    from quillspark.plans.registry import QUERIES
+
+    texts = {i: ". ".join(f"w{i}x{k} goes with v{i}x{k}" for k in range(150)) for i in range(3)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["aug_no"]): r["text"] for r in QUERIES["text_augmentation"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {(i, n) for i in texts for n in (1, 2, 3)}
+    for (i, _), text in got.items():
+        assert {f"{w}{i}x{k}" for w in "wv" for k in range(150)} <= set(text.lower().replace(".", " ").split())
+
+
 def test_variants_at_the_ends_of_chance(spark):
     d = spark.createDataFrame([(1, "No Opacity. Lungs are clear. x. y."), (2, ""), (3, None)], "id int, text string")
     never = augment.Config(synonym_replacement_prob=0, sentence_restructure_prob=0, terminology_style_prob=0, finding_order_prob=0, certainty_modifier_prob=0)
