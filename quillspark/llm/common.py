@@ -13,16 +13,65 @@ from pyspark.sql import functions as F
 
 #: A word: a run without space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-LOWER_ORDS = {c: c + 32 for c in range(65, 91)}
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-WORD_SQL = r"[^\x20\x09-\x0D]+"
+
+
+class Memory:
+    """What a Python worker has worked out for short strings: the most recent ones, within a number of bytes.
+
+    A worker lives on from stage to stage, so only the memory that was used last is kept: that of another operator, or
+    of another model, is let go when a batch begins.
+    """
+
+    used: Memory | None = None
+    #: Bytes of an entry besides its characters (two objects and a place in the table).
+    ENTRY = 230
+
+    def __init__(self, most: int = 48 << 20, longest: int = 64):
+        self.half, self.longest = most // 2, longest
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.old, self.size = {}, {}, 0
+        self.long: list[str] = []
+
+    def begin(self, keys) -> list[str]:
+        """Starts a batch: those of its distinct keys that are to be put; after that `known` has them all, until the next batch."""
+        if Memory.used is not self:
+            if Memory.used is not None:
+                Memory.used.clear()
+            Memory.used = self
+        for x in self.long:
+            del self.known[x]
+        self.long = []
+        if self.size > self.half:
+            self.known, self.old, self.size = {}, self.known, 0
+        known, old, need = self.known, self.old, []
+        for x in keys:
+            if x not in known:
+                if x in old:
+                    self.put(x, old[x])
+                else:
+                    need.append(x)
+        return need
+
+    def put(self, key: str, value) -> None:
+        self.known[key] = value
+        if len(key) > self.longest:
+            self.long.append(key)
+        else:
+            self.size += len(key) + self.ENTRY
+
+
+#: A key with more than one row in so many is joined by a broadcast: there are at most as many such keys.
+PARTS = 2000
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; its own one only where none is set (tests)."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a local session may go without it: its own folder serves then."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
@@ -35,11 +84,30 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Deletes a scratch folder through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, folder: str, *kept: str) -> None:
+    """Deletes a scratch folder, or all its tables but those kept, through Spark's own file system layer."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not kept:
+        files.delete(path, True)
+        return
+    for x in files.listStatus(path):
+        if x.getPath().getName() not in kept:
+            files.delete(x.getPath(), True)
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """left inner-joined with right, which has one row a key and in column n how many rows of left have it (n goes).
+
+    No task gets a frequent key's rows: such keys, at most PARTS in number, are broadcast, the others go through a
+    shuffle. Both sides are read twice, so they should be tables.
+    """
+    total, most = right.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    if most * PARTS <= total or total < PARTS:
+        return left.join(right.drop(n), keys)
+    hot = F.broadcast(right.filter(F.col(n) * PARTS > total).drop(n))
+    few = left.join(hot.select(*keys), keys, "left_anti").join(right.filter(F.col(n) * PARTS <= total).drop(n), keys)
+    return left.join(hot, keys).unionByName(few)
 
 
 def map_texts(df: DataFrame, function: Callable[[list[str]], dict[str, list]], schema: str, arrow: pa.Schema, keep: list[str], text: str = "text") -> DataFrame:
@@ -61,7 +129,7 @@ def map_texts(df: DataFrame, function: Callable[[list[str]], dict[str, list]], s
     return picked.mapInArrow(run, f"{kept}, {schema}" if keep else schema)
 
 
-def cuts(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def cuts(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes of text; a longer text has a range of its own."""
     import pyarrow.compute as pc
 

@@ -11,6 +11,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
+#: Powers kept by a process (16 MB); a longer text has its own, for as long as it is hashed.
+KEPT_POWERS = 1 << 20
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -22,14 +24,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64, for i < n at least."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        for k, b in enumerate((BASE, inverse)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for b in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))):
+        p = np.full(max(n, KEPT_POWERS), b, np.uint64)
+        p[0] = 1
+        made.append(np.cumprod(p))
+    if n <= KEPT_POWERS:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

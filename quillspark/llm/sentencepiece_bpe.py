@@ -7,8 +7,8 @@ gives way to its next shorter match, and where none is left the last piece is ta
 positions from which the rest has failed, so no position is tried twice and the time is linear in the text.
 
 Characters in no piece stand alone and become bytes. No piece of the model has a space mark behind another character
-(checked at loading), so the text falls into units of space marks and what follows them; short units are kept in a
-bounded memory of their ids.
+(checked at loading), so the text falls into units of space marks and what follows them; the ids of short units are
+kept in a memory bounded by bytes, and decoding can differ from the text only where a unit has byte ids.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_texts
+from quillspark.llm.common import Memory, map_texts
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: So many units are remembered at most, between batches.
-REMEMBERED = 700_000
+#: Pairs of pieces that are remembered, some 140 bytes each.
+REMEMBERED = 250_000
 GAP = "\x00\n"
 
 
@@ -49,14 +49,17 @@ class PieceCodec:
         if any(re.search(f"[^{SPACE}]{SPACE}", x) for x in self.id):
             raise ValueError(f"{path}: its pieces cross the starts of words")
         self.find = ahocorasick.Automaton()
-        for x in self.id:
-            if self.merged(x) == [x]:  # else no text ever gets this piece
+        self.usable = {x: i for x, i in self.id.items() if self.merged(x) == [x]}  # no text ever gets another piece
+        for x in self.usable:
+            if len(x) > 1:
                 self.find.add_word(x, len(x))
         self.find.make_automaton()
-        self.usable = set(self.find.keys())
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, str] = {}
-        self.odd: dict[str, str] = {}
+        self.last_byte = max(self.byte_of)
+        self.any_odd = False
+        if any(c not in self.usable for x in self.usable for c in x):
+            raise ValueError(f"{path}: a character of its pieces is no piece")
+        self.apart: dict[int, bool] = {}
+        self.memory = Memory()  # of a unit without its first space mark: its ids in decimal, and its decoded text where that is another one
         self.decimal = [str(i) for i in ids]
 
     def merged(self, text: str) -> list[str]:
@@ -73,33 +76,37 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def may_follow(self, a: str, b: str) -> bool:
-        """Whether merging a + b gives a and b again."""
-        found = self.apart.get((a, b))
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether merging the pieces a and b gives them again."""
+        found = self.apart.get(a << 20 | b)
         if found is None:
             if len(self.apart) >= REMEMBERED:
                 self.apart.clear()
-            found = self.apart[a, b] = self.merged(a + b) == [a, b]
+            x, y = self.pieces[a], self.pieces[b]
+            found = self.apart[a << 20 | b] = self.merged(x + y) == [x, y]
         return found
 
-    def split(self, unit: str) -> list[str]:
-        """The pieces (and characters in no piece) of a unit."""
+    def split(self, unit: str) -> list[int]:
+        """The ids of a unit."""
         longest = [1] * len(unit)
         for end, size in self.find.iter(unit):  # by ends: the last for a start is the longest
             longest[end - size + 1] = size
         return self.cover(unit, longest)
 
-    def cover(self, unit: str, longest: list[int]) -> list[str]:
+    def cover(self, unit: str, longest: list[int]) -> list[int]:
         n, usable, apart = len(unit), self.usable, self.apart
         failed = bytearray((n >> 3) + 1)
-        out: list[str] = []
-        at, size = 0, longest[0]
+        out: list[int] = []  # -1: a character in no piece, which stays apart from all
+        sizes: list[int] = []
+        at, size, last = 0, longest[0], -1
         while at < n:
-            piece, end = unit[at : at + size], at + size
+            end = at + size
             if not failed[end >> 3] >> (end & 7) & 1:
-                if not out or ((ok := apart.get((out[-1], piece))) is None and self.may_follow(out[-1], piece)) or ok:
-                    out.append(piece)
-                    at = end
+                i = usable.get(unit[at:end], -1)
+                if last < 0 or i < 0 or ((ok := apart.get(last << 20 | i)) is None and self.may_follow(last, i)) or ok:
+                    out.append(i)
+                    sizes.append(size)
+                    at, last = end, i
                     size = longest[at] if at < n else 0
                     continue
             size -= 1
@@ -107,25 +114,24 @@ class PieceCodec:
                 size -= 1
             while size < 1:  # nothing fits here: this position has failed, the last piece goes
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(out[-1])
-                size = len(out.pop()) - 1
+                size = sizes.pop()
+                at -= size
+                out.pop()
+                last = out[-1] if out else -1
+                size -= 1
                 while size > 1 and unit[at : at + size] not in usable:
                     size -= 1
-        return out
-
-    def ids_of(self, unit: str) -> list[int]:
-        out = []
-        for x in self.split(unit):
-            i = self.id.get(x)
-            if i is None:
-                out += [self.bytes[b] for b in x.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(i)
+        if -1 in out:
+            ids, at = [], 0
+            for i, size in zip(out, sizes):
+                ids += [i] if i >= 0 else [self.bytes[b] for b in unit[at].encode("utf-8", "surrogatepass")]
+                at += size
+            return ids
         return out
 
     def encode(self, text: str) -> list[int]:
         """Without begin or end ids."""
-        return [i for u in self.units(text) for i in self.ids_of(u)]
+        return [i for u in self.units(text) for i in self.split(u)]
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -154,47 +160,48 @@ class PieceCodec:
         return "".join(out)
 
     def learn(self, units: list[str]) -> None:
-        """Remembers the ids (in decimal) of units, and the decoded text where it is not the unit itself.
+        """Remembers units, given without their first space mark.
 
         The automaton runs once over the units joined by a line break behind a null character, which no piece holds.
         """
-        if len(self.known) + len(units) > REMEMBERED:
-            self.known.clear()
-            self.odd.clear()
-        text = GAP.join(units)
+        text = "".join([f"{SPACE}{u}{GAP}" for u in units])
         longest = [1] * len(text)
         for end, size in self.find.iter(text):
             longest[end - size + 1] = size
-        at, id_of, known = 0, self.id, self.known
+        at, decimal, put, byte_of, last_byte = 0, self.decimal, self.memory.put, self.byte_of, self.last_byte
         for u in units:
-            n = len(u)
-            ids: list[int] = []
-            for x in self.cover(u, longest[at : at + n]):
-                i = id_of.get(x)
-                if i is None:
-                    ids += [self.bytes[b] for b in x.encode("utf-8", "surrogatepass")]
-                else:
-                    ids.append(i)
-            known[u] = " ".join([self.decimal[i] for i in ids])
-            if (back := self.text_of(ids)) != u.replace(SPACE, " "):
-                self.odd[u] = back
+            n = len(u) + 1
+            ids = self.cover(text[at : at + n], longest[at : at + n])
             at += n + len(GAP)
+            spelled = " ".join([decimal[i] for i in ids])
+            if min(ids) <= last_byte and any(i in byte_of for i in ids) and (back := self.text_of(ids)) != f" {u}".replace(SPACE, " "):
+                put(u, (spelled, back))
+                self.any_odd = True
+            else:
+                put(u, spelled)
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str, str]]:
         """For each text: number of ids with the end id, SHA-256 of the ids, SHA-256 of the decoded text, that text."""
-        rows = [self.units(x) for x in texts]
-        known, out, end = self.known, [], str(self.eos)
-        need = list({u for row in rows for u in row if u not in known})
-        before = len(known)
+        rows = []
+        for x in texts:
+            if not x:
+                rows.append([])
+            elif "  " in x or x[0] == " " or SPACE in x:
+                rows.append([u[1:] for u in self.units(x)])
+            else:
+                rows.append(x.split(" "))
+        need = self.memory.begin({u for row in rows for u in row})
         for i in range(0, len(need), 5000):
             self.learn(need[i : i + 5000])
-        for row in rows:
-            if len(known) < before + len(need):  # some were forgotten meanwhile
-                self.learn(list({u for u in row if u not in known}))
-            ids = " ".join([*map(known.__getitem__, row), end])
-            odd = self.odd
-            back = "".join([odd.get(u, u) for u in row] if odd else row).replace(SPACE, " ")
-            back = back[1:] if back[:1] == " " else back
+        known, out, end = self.memory.known, [], str(self.eos)
+        for text, row in zip(texts, rows):
+            found = [known[u] for u in row]
+            if self.any_odd and any(type(x) is tuple for x in found):
+                back = "".join([x[1] if type(x) is tuple else f" {u}" for u, x in zip(row, found)]).replace(SPACE, " ")[1:]
+                found = [x[0] if type(x) is tuple else x for x in found]
+            else:
+                back = text.replace(SPACE, " ")
+            ids = " ".join([*found, end])
             out.append((ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back))
         return out
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_texts
+from quillspark.llm.common import Memory, map_texts
 
 #: Training rows at most (a hash of the id chooses) and bytes of a training text; scoring has no such limits.
 SAMPLE_ROWS, SAMPLE_BYTES = 5_000, 20_000
@@ -25,7 +25,6 @@ BUCKETS, DIM, WINDOW, SIZES = 1 << 16, 16, 8, (3, 4, 5, 6)
 #: In the first epochs a text's windows are pooled (their sum over the root of their number), then its top one counts.
 EPOCHS, POOLED, RATE, DECAY, BATCH = 7, 2, 0.08, 1e-6, 32
 THRESHOLD = 0.3
-REMEMBERED = 500_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -69,7 +68,7 @@ def _bucket(h: np.ndarray, mix: np.uint64, n: int) -> np.ndarray:
 class Model:
     weight: np.ndarray  # for each bucket, its share of the log odds
     bias: float
-    known: dict[str, float] = field(default_factory=dict)
+    memory: Memory = field(default_factory=Memory)  # of words, each word's share
 
     def __reduce__(self):
         return Model, (self.weight, self.bias)
@@ -77,16 +76,15 @@ class Model:
     def learn(self, words: list[str]) -> None:
         bucket, owner = grams(words)
         total = np.bincount(owner, self.weight[bucket], len(words)) / np.bincount(owner, minlength=len(words))
-        self.known.update(zip(words, total.tolist()))
+        for w, x in zip(words, total.tolist()):
+            self.memory.put(w, x)
 
     def scores(self, texts: list[str]) -> list[float]:
         rows = [words_of(x) for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        if need := list({w for row in rows for w in row if w not in known}):
-            for i in range(0, len(need), 20_000):
-                self.learn(need[i : i + 20_000])
+        need = self.memory.begin({w for row in rows for w in row})
+        for i in range(0, len(need), 20_000):
+            self.learn(need[i : i + 20_000])
+        known = self.memory.known
         out = []
         for row in rows:
             if row:
