@@ -24,7 +24,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: '=' or ':' may stand before it (KEY=value), and a full stop or '=' padding behind it; padding belongs to it.
 WEAK = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_-])={0,2}")
-ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com")
+#: A host name is tried once, at its first label, so a long run of labels costs no more than its length.
+ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![a-z0-9-])(?<![a-z0-9-]\.)[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com")
 SCOPE = 500
 ORDER = {"assign": 0, "access": 1, "hex": 2, "linked_secret": 3, "linked_endpoint": 4}
 
