@@ -17,24 +17,24 @@ def _types(t: np.ndarray) -> np.ndarray:
     return s
 
 
-def _rank_strings(seq: np.ndarray, start: np.ndarray, stop: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(order, name) of the strings seq[start:stop], and behind them the numbers `last`. Ties are refined by as many symbols at a time as fit in a key."""
+def _rank_strings(seq: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, name) of the strings seq[start:stop]. Ties are refined by as many symbols at a time as fit in a key."""
     m = len(start)
     name = np.zeros(m, np.int64)
     active, at = np.arange(m), start.copy()
-    bits = max(int(seq.max()) + 1, int(last.max()) + 1 if last is not None and m else 1, 1).bit_length()
+    bits = (int(seq.max()) + 1).bit_length()
     width = max(1, 62 // bits)  # symbols of a key
     padded = np.concatenate([seq, np.zeros(width, seq.dtype)]) + 1
+    groups = 0  # bits of a name, once names have been given
     while len(active):
+        take = max(1, (62 - groups) // bits)
         p, e = at[active], stop[active]
-        end = last[active] + 1 if last is not None else None  # equal strings end together, so this is but one more symbol
         key = np.zeros(len(active), np.int64)
-        for k in range(width):
-            x = np.where(p + k < e, padded[np.minimum(p + k, len(seq))], 0)
-            key = key << bits | (x if end is None else np.where(p + k == e, end, x))
+        for k in range(take):
+            key = key << bits | np.where(p + k < e, padded[np.minimum(p + k, len(seq))], 0)
         g = name[active]
-        if len(active) == m:
-            o = np.argsort(key, kind="stable")
+        if groups + take * bits <= 62:
+            o = np.argsort(g << (take * bits) | key)  # equal strings in any order
         else:
             o = np.lexsort((key, g))
         a, k, g = active[o], key[o], g[o]
@@ -43,12 +43,12 @@ def _rank_strings(seq: np.ndarray, start: np.ndarray, stop: np.ndarray, last: np
         first = np.flatnonzero(head)
         place = np.arange(len(a))
         name[a] = g + (np.maximum.accumulate(np.where(new, place, 0)) - first[np.cumsum(head) - 1])
-        at[a] += width
+        at[a] += take
         size = np.diff(np.append(np.flatnonzero(new), len(a)))
         left = a[np.repeat(size > 1, size)]
-        active = left[at[left] < stop[left]] if last is None else left[at[left] <= stop[left]]
-    order = np.argsort(name, kind="stable")
-    return order, name
+        active = left[at[left] < stop[left]]
+        groups = int(m).bit_length()
+    return np.argsort(name), name
 
 
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -104,6 +104,36 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return sa
 
 
+def _induce_wide(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """As _induce, over an alphabet of names: buckets hold next to nothing, so suffixes are induced one by one."""
+    n, size = len(t), np.bincount(t)
+    end = np.cumsum(size)
+    front, back = (end - size).tolist(), (end - 1).tolist()
+    sa = np.full(n, -1, np.int64)
+    # sorted leftmost S positions at the ends of their buckets, in order
+    c = t[lms]
+    last = np.concatenate([c[1:] != c[:-1], [True]]) if len(c) else np.zeros(0, bool)
+    run = np.flatnonzero(last)
+    until = np.repeat(run, np.diff(np.concatenate([[-1], run]))) if len(c) else run
+    sa[end[c] - 1 - (until - np.arange(len(c)))] = lms
+    sa[0] = n - 1
+    order, symbol, small = sa.tolist(), t.tolist(), s.tolist()
+    for j in order:  # grows while it is read: what is put lies further right
+        if j > 0 and not small[j - 1]:
+            x = symbol[j - 1]
+            order[front[x]] = j - 1
+            front[x] += 1
+    for i in range(n - 1, -1, -1):
+        j = order[i]
+        if j > 0 and small[j - 1]:
+            x = symbol[j - 1]
+            order[back[x]] = j - 1
+            back[x] -= 1
+    out = np.array(order, np.int64)
+    out[0] = n - 1
+    return out
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Start positions of t's suffixes in their order. t: non-negative whole numbers, of which the last is the only least one."""
     n = len(t)
@@ -122,13 +152,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     lms = lms[order]
     if int(t.max()) < 1024:
         return _induce(t, s, lms)
-    # an alphabet of names: a bucket holds next to nothing, so what a suffix is induced by is its sort key
-    rank = np.full(n + 1, 0, np.int64)
-    rank[lms] = np.arange(1, len(lms) + 1)
-    at = np.sort(lms)
-    nearest = np.searchsorted(at, np.arange(n), "right")
-    after = np.append(at, n)[nearest]
-    return _rank_strings(seq, np.arange(n), np.minimum(after + 1, n), rank[after])[0]
+    return _induce_wide(t, s, lms)
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, fresh: np.ndarray) -> np.ndarray:

@@ -1,8 +1,9 @@
 """Removal of long byte strings that also start elsewhere, by suffix arrays of shards made so that no match is missed.
 
 Every 400-byte string holds an anchor: a position whose 256-byte hash is the least of some 145 in a row, so that equal
-strings have it at the same place. All occurrences of a repeated string thus meet at one anchor hash, and lie in the
-anchors' surroundings of 544 bytes. Equal surroundings of one hash are one entry with their number. A shard's suffix
+strings have it at the same place. All occurrences of a repeated string thus meet at one anchor hash. An anchor's surroundings
+are the bytes, 544 at most, of the strings whose least hash it is. Equal surroundings of one hash are one entry with
+their number. A shard's suffix
 array is induced from the entries' bytes; in it, strings that share 400 bytes stand together, and of these the ones at
 the same distance from their anchors are true repeats (two anchors of one text may surround the same bytes).
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cuts, scratch, written
+from quillspark.llm.common import cuts, join_counted, remove, scratch, written
 from quillspark.llm.hashing import _TABLE, _power, mix
 from quillspark.llm.induced_sort import common_prefixes, suffix_array
 
@@ -30,6 +31,8 @@ LENGTH, SEED = 400, 256
 BEFORE = LENGTH - SEED
 #: Different surroundings of one hash in a task at most, and bytes of a shard's suffix array.
 MANY, SHARD = 5000, 1_000_000
+#: Keys of common passages that are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
 #: Starts in a range of the search for entries that can repeat.
 STEP = 18
 
@@ -67,7 +70,18 @@ def anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     low = _slide(h, w, np.minimum)  # of each string of LENGTH bytes
     pad = np.zeros(w - 1, np.uint64)
     pos = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), w, np.maximum) == h)
-    start, stop = np.maximum(pos - BEFORE, 0), np.minimum(pos + LENGTH, n)
+    # the strings whose least hash an anchor is start in one range: that of the run of equal lows among the starts before it
+    run = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    a, b = np.maximum(pos - BEFORE, 0), np.minimum(pos, n - LENGTH)
+    k, last = np.searchsorted(run, a, "right") - 1, np.searchsorted(run, b, "right") - 1
+    value, ends = low[run], np.append(run[1:], len(low)) - 1
+    start, stop = np.full(len(pos), n, np.int64), np.full(len(pos), -1, np.int64)
+    for _ in range(int((last - k).max()) + 1):
+        hit = np.flatnonzero((k <= last) & (value[np.minimum(k, len(run) - 1)] == h[pos]))
+        start[hit] = np.minimum(start[hit], np.maximum(a[hit], run[k[hit]]))
+        stop[hit] = np.maximum(stop[hit], np.minimum(b[hit], ends[k[hit]]))
+        k = k + 1
+    stop += LENGTH
     around = mix(_hash(sums, start, stop) + (pos - start).astype(np.uint64))
     return pos, h[pos], around, start, stop - start
 
@@ -104,8 +118,11 @@ def _repeated(contents: list[bytes], anchor: np.ndarray, low: np.ndarray, high:
     count = np.maximum(b - a + 1, 0)
     entry = np.repeat(np.arange(len(contents)), count)
     s = np.repeat(a - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    _, inverse, times = np.unique(np.stack([block[first[entry] + s], s - anchor[entry]], 1), axis=0, return_inverse=True, return_counts=True)
-    hit = times[inverse.ravel()] > 1
+    same = block[first[entry] + s] << 11 | (s - anchor[entry] + 1024)
+    order = np.argsort(same)
+    times = np.diff(np.append(np.flatnonzero(np.concatenate([[True], np.diff(same[order]) != 0])), len(same)))
+    hit = np.empty(len(same), bool)
+    hit[order] = np.repeat(times > 1, times)
     out: list[list[tuple[int, int]]] = [[] for _ in contents]
     e, s = entry[hit], s[hit]
     new = np.concatenate([[True], (e[1:] != e[:-1]) | (s[1:] != s[:-1] + 1)]) if len(e) else np.zeros(0, bool)
@@ -193,11 +210,11 @@ ENTRY = "key long, chash long, content binary, anchor int, w long, okey long, oc
 def repeated_ranges(texts: DataFrame, folder: str, many: int = MANY) -> DataFrame:
     """(id, runs): for texts (id unique, text) with repeated strings, ranges of bytes that they cover, in any order."""
     anchors = written(texts.mapInArrow(_find_anchors, "id long, h long, nh long, start int, anchor int, len int"), folder, "anchors")
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    dup = written(anchors.join(twice, "h"), folder, "dup")
+    twice = written(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), folder, "twice")
+    dup = written(join_counted(anchors, twice, ["h"], "n"), folder, "dup")
     same = written(dup.groupBy("h", "nh").agg(F.count("*").alias("w"), F.min(F.struct("id", "start", "anchor", "len")).alias("x")), folder, "same")
-    mixed = same.groupBy("h").agg(F.count("*").alias("d")).filter("d > 1").select("h")
-    need = same.join(mixed, "h").select("h", "nh", "w", "x.*")
+    mixed = written(same.groupBy("h").agg(F.count("*").alias("d")).filter("d > 1"), folder, "mixed")
+    need = join_counted(same, mixed, ["h"], "d").select("h", "nh", "w", "x.*")
     places = need.groupBy("id").agg(F.collect_list(F.struct("h", "nh", "start", "anchor", "len", "w")).alias("places"))  # of one text, as many as its anchors
 
     def fetch(batches):
@@ -214,29 +231,32 @@ def repeated_ranges(texts: DataFrame, folder: str, many: int = MANY) -> DataFram
                 )
 
     entries = written(texts.join(places, "id").select("text", "places").mapInArrow(fetch, ENTRY), folder, "entries0")
-    found = [same.filter("w > 1").select("h", "nh", F.lit(0).alias("a"), F.col("x.len").alias("b"))]
+    found = [same.filter("w > 1").select("h", "nh", "w", F.lit(0).alias("a"), F.col("x.len").alias("b"))]
     level = 0
     while True:
         one = entries.groupBy("key", "chash").agg(F.first("content").alias("content"), F.first("anchor").alias("anchor"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.sum("w").alias("w")) if level else entries
         one = written(one, folder, f"one{level}") if level else one
         sizes = one.groupBy("key").agg(F.count("*").alias("d")).filter("d > 1")
-        origin = entries.select("key", "chash", "okey", "ochash", "off")
+        origin = entries.select("key", "chash", "okey", "ochash", "off", "w")
         if level:  # equal ones of different origins
-            found.append(one.filter("w > 1").select("key", "chash", F.length("content").alias("n")).join(origin, ["key", "chash"]).select(F.col("okey").alias("h"), F.col("ochash").alias("nh"), F.col("off").alias("a"), (F.col("off") + F.col("n")).alias("b")))
+            found.append(one.filter("w > 1").select("key", "chash", F.length("content").alias("n")).join(origin, ["key", "chash"]).select(F.col("okey").alias("h"), F.col("ochash").alias("nh"), "w", F.col("off").alias("a"), (F.col("off") + F.col("n")).alias("b")))
         few = one.join(sizes.filter(F.col("d") <= many), "key").select("key", "chash", "content", "anchor", "lo", "hi")
         hits = few.repartition("key").sortWithinPartitions("key").mapInPandas(_shards, "key long, chash long, a int, b int")
-        found.append(hits.join(origin, ["key", "chash"]).select(F.col("okey").alias("h"), F.col("ochash").alias("nh"), (F.col("a") + F.col("off")).alias("a"), (F.col("b") + F.col("off")).alias("b")))
-        hot = sizes.filter(F.col("d") > many)
-        if hot.isEmpty():
+        found.append(hits.join(origin, ["key", "chash"]).select(F.col("okey").alias("h"), F.col("ochash").alias("nh"), "w", (F.col("a") + F.col("off")).alias("a"), (F.col("b") + F.col("off")).alias("b")))
+        hot = sizes.filter(F.col("d") > many).select("key")
+        n = hot.count()
+        if not n:
             break
         level += 1
-        entries = written(entries.join(hot.select("key"), "key").mapInPandas(_halves, ENTRY), folder, f"entries{level}")
+        entries = written(entries.join(F.broadcast(hot) if n <= BROADCAST_KEYS else hot, "key").mapInPandas(_halves, ENTRY), folder, f"entries{level}")
     ranges = found[0]
     for x in found[1:]:
         ranges = ranges.unionAll(x)
-    ranges = ranges.groupBy("h", "nh").agg(F.collect_set(F.struct("a", "b")).alias("r"))  # within 544 bytes
-    runs = dup.join(ranges, ["h", "nh"]).select("id", F.explode("r").alias("r"), "start").select("id", F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")).alias("r"))
-    return runs.groupBy("id").agg(F.collect_list("r").alias("runs"))
+    ranges = written(ranges.groupBy("h", "nh").agg(F.max("w").alias("w"), F.collect_set(F.struct("a", "b")).alias("r")), folder, "ranges")  # within 544 bytes
+    runs = join_counted(dup, ranges, ["h", "nh"], "w").select("id", F.explode("r").alias("r"), "start").select("id", F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")).alias("r"))
+    runs = written(runs.groupBy("id").agg(F.collect_list("r").alias("runs")), folder, "runs")
+    remove(texts.sparkSession, folder, "texts", "runs")
+    return runs
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
