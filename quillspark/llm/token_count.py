@@ -1,8 +1,8 @@
 """Token counts of whole texts by a public tokenizer file (tokenizers' .json or sentencepiece's .model).
 
-Texts up to a chunk's length are encoded at once (word by word, each word once, where words are stable). A longer one is cut into overlapping chunks that are
-encoded with offsets; two neighbours are spliced at a boundary that both have and that is proven stable,
-and where the overlap holds none, it is widened until one is found or the chunks have become one.
+Texts of more than a chunk's length are cut into overlapping chunks that are encoded with offsets, all chunks of a batch
+at once; two neighbours are spliced at a boundary that both have and that is proven stable. Where an overlap holds none,
+the text goes chunk by chunk, and the overlap is widened until one is found or the chunks have become one.
 
 A boundary is stable if nothing on its left can change what stands on its right, and the reverse:
 * .json: the position before a white-space character that follows another character, or behind a digit.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,9 +27,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import map_texts
 
 #: In code points.
-CHUNK, OVERLAP = 50_000, 1_000
-#: So many words' token counts are remembered, with those of one batch more at most.
-REMEMBERED = 700_000
+CHUNK, OVERLAP = 4_096, 192
 LIMIT = 2048
 
 
@@ -43,27 +42,11 @@ class _Json:
         with open(path, encoding="utf-8") as f:
             self.stable = re.compile(r"(?<=\S)(?=\s)|(?<=[0-9])(?=\S)") if _stable_json(json.load(f)) else None
 
-        self.known: dict[str, int] = {}
-
-    def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text: the sum over its parts between spaces and line breaks, where those part it for good."""
-        if self.stable is None:
-            return self.lengths(texts)
-        rows = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        need = list({w for row in rows for w in row if w not in known})
-        for i in range(0, len(need), 5000):
-            part = need[i : i + 5000]
-            known.update(zip(part, self.lengths(part)))
-        return [sum(map(known.__getitem__, row)) for row in rows]
-
     def lengths(self, texts: list[str]) -> list[int]:
-        return [len(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [len(x) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        return self.tokenizer.encode(text, add_special_tokens=False).offsets
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        return [x.offsets for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 class _Model:
@@ -76,16 +59,12 @@ class _Model:
         plain = p.normalize("a  b \t") == "▁a▁▁b▁\t"  # spaces are kept and only they are rewritten
         self.stable = re.compile("(?<=[^ ])(?= )") if plain and not crossing else None
 
-    def count(self, texts: list[str]) -> list[int]:
-        return self.lengths(texts)
-
     def lengths(self, texts: list[str]) -> list[int]:
-        return [len(x) for x in self.processor.encode(texts, num_threads=1)]
+        return [len(x) for x in self.processor.encode(texts, num_threads=1)] if texts else []
 
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        """Of a text that starts with a space, the dummy prefix is not part of the result."""
-        found = self.processor.encode(text, out_type="immutable_proto")
-        return [(x.begin, x.end) for x in found.pieces]
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """The mark put before a text is a token, or part of one, that starts at 0."""
+        return [x["offsets"] for x in self.processor.encode_as_offset_mapping(texts, num_threads=1)] if texts else []
 
 
 def _stable_json(spec: dict) -> bool:
@@ -110,42 +89,76 @@ def load(path: str) -> _Json | _Model:
     return _Json(path) if path.endswith(".json") else _Model(path)
 
 
+def counts(coder: _Json | _Model, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Tokens of each text: short ones encoded at once, long ones in overlapping chunks."""
+    n = [0] * len(texts)
+    short = [i for i, x in enumerate(texts) if len(x) <= chunk or coder.stable is None]
+    for i, k in zip(short, coder.lengths([texts[i] for i in short])):
+        n[i] = k
+    long = [i for i, x in enumerate(texts) if len(x) > chunk and coder.stable is not None]
+    starts = [range(0, len(texts[i]) - overlap, chunk - overlap) for i in long]
+    spans = iter(coder.spans([texts[i][a : a + chunk] for i, s in zip(long, starts) for a in s]))
+    for i, s in zip(long, starts):
+        n[i] = _join(coder, texts[i], [(a, next(spans)) for a in s], chunk)
+        if n[i] < 0:
+            n[i] = splice(coder, texts[i], chunk, overlap)
+    return n
+
+
+def _join(coder: _Json | _Model, text: str, parts: list[tuple[int, list]], chunk: int) -> int:
+    """Tokens of a text from its chunks (start, spans); -1 where two neighbours have no stable boundary in common."""
+    total, begin = 0, 0
+    for (at, left), (after, right) in zip(parts, parts[1:]):
+        cut = _boundary(coder, text, at, left, after, right, at + chunk)
+        if cut is None or cut < begin:
+            return -1
+        total += bisect_left(left, (cut - at,)) - bisect_left(left, (begin - at,))
+        begin = cut
+    at, left = parts[-1]
+    return total + len(left) - bisect_left(left, (begin - at,))
+
+
 def splice(coder: _Json | _Model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of text, encoded in overlapping chunks."""
+    """Tokens of text, chunk by chunk, with overlaps that widen where alignment fails."""
     if coder.stable is None or len(text) <= chunk:
-        return len(coder.spans(text)) if len(text) <= chunk else coder.lengths([text])[0]
-    total, start, end = 0, 0, min(len(text), chunk)
-    left = coder.spans(text[start:end])  # offsets count from start
+        return coder.lengths([text])[0]
+    total, start, end = 0, 0, chunk
+    left = coder.spans([text[:end]])[0]  # offsets count from start
+    begin = 0  # tokens before it are counted
     while end < len(text):
         width = overlap
         while True:
             at = max(start, end - width)
             if at == start:  # no stable boundary in the whole chunk: the chunk grows
                 end = min(len(text), end + max(chunk, end - start))
-                left = coder.spans(text[start:end])
+                left = coder.spans([text[start:end]])[0]
                 break
             stop = min(len(text), at + max(chunk, 2 * width))
-            right = coder.spans(text[at:stop])
-            if (cut := _boundary(coder, text, start, left, at, right, end)) is not None:
-                total += sum(1 for x in left if start + x[1] <= cut)
-                left = [(a + at - cut, b + at - cut) for a, b in right if at + a >= cut]
-                start, end = cut, stop
+            right = coder.spans([text[at:stop]])[0]
+            cut = _boundary(coder, text, start, left, at, right, end)
+            if cut is not None and cut >= begin:
+                total += bisect_left(left, (cut - start,)) - bisect_left(left, (begin - start,))
+                left, start, end, begin = right, at, stop, cut
                 break
             width *= 2
-    return total + len(left)
+    return total + len(left) - bisect_left(left, (begin - start,))
 
 
 def _boundary(coder, text: str, start: int, left: list, at: int, right: list, end: int) -> int | None:
-    """A stable position in the middle part of the overlap at which tokens of both encodings part."""
-    crossed = [(start + a, start + b) for a, b in left if start + b > at] + [(at + a, at + b) for a, b in right if at + a < end]
+    """A stable position in the middle half of the overlap (from at to end) around which both encodings have the same tokens.
+
+    left's spans count from start, right's from at; both are in order.
+    """
     low, high = at + (end - at) // 4, end - (end - at) // 4
-    inner = {p for a, b in crossed for p in range(max(a + 1, low), min(b, high + 1))}
-    places = [m.start() for m in coder.stable.finditer(text, low, high) if m.start() not in inner and low <= m.start() < high]
-    for cut in places:
-        ours = {(a, b) for a, b in ((start + a, start + b) for a, b in left) if at + (cut - at) // 2 <= a and b <= cut}
-        theirs = {(a, b) for a, b in ((at + a, at + b) for a, b in right) if at + (cut - at) // 2 <= a and b <= cut}
-        if ours == theirs:
-            return cut
+    for m in coder.stable.finditer(text, low, high):
+        cut = m.start()
+        i, j = bisect_left(left, (cut - start,)), bisect_left(right, (cut - at,))
+        # what a token covers before the boundary, back to the middle of the way to the overlap's begin
+        near = at + (cut - at) // 2
+        if (not i or start + left[i - 1][1] <= cut) and (not j or at + right[j - 1][1] <= cut):
+            p, q = bisect_left(left, (near - start,)), bisect_left(right, (near - at,))
+            if i - p == j - q and all(start + a == at + c and start + b == at + d for (a, b), (c, d) in zip(left[p:i], right[q:j])):
+                return cut
     return None
 
 
@@ -158,15 +171,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     """
 
     def run(texts: list[str]) -> dict[str, list]:
-        coder = load(path)
-        short = [i for i, x in enumerate(texts) if len(x) <= chunk]
-        n = [0] * len(texts)
-        for i, k in zip(short, coder.count([texts[i] for i in short])):
-            n[i] = k
-        for i, x in enumerate(texts):
-            if len(x) > chunk:
-                n[i] = splice(coder, x, chunk, overlap)
-        return {"n_tokens": n}
+        return {"n_tokens": counts(load(path), texts, chunk, overlap)}
 
     sized = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     out = map_texts(sized, run, "n_tokens long", pa.schema([("n_tokens", pa.int64())]), ["doc_id", "n_bytes"])
