@@ -1,134 +1,250 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax, beside a smoothed unigram score.
 
-Words are counted over all training rows. The most frequent `LISTED` are sent to all tasks; the `HEAD` first of them are
-outcomes of the model: a softmax over classes of `MEMBERS` words each and one class for all other words, then a softmax
-within the class. In the class of other words a word's chance is its smoothed share of the class. Features are the
-word before, the two words before, and the word before the last (a skip), hashed into tables of weights.
-
-Training is in rounds over disjoint parts of all training rows: each task takes gradient steps (Adagrad) from the round's
-weights, and the weights of all tasks are averaged, piece by piece and in two steps, on the executors. Scoring goes over
-sparse batches in numpy: a feature is a row of its table. Counts of words that are not listed come back by a join: each
-block of rows asks once for each of its distinct words, so that no frequent word is a hot key.
+Every counted word is an outcome. Words are counted over all training rows, and each belongs to one of `CLASSES` classes:
+the `LISTED` most frequent ones are dealt so that the classes weigh alike, the others go by their hash; an unknown word
+stands in each class. A word's chance is that of its class in its context times its chance within the class behind the
+word before. Both are maximum-entropy distributions over the unigram ones:
+
+* The class behind a listed word is a softmax whose features are the word before, the two words before (hashed into
+  `HASHED` rows) and the word before the last (a skip). It is trained in rounds over disjoint parts of all training rows:
+  each task takes gradient steps (Adagrad) from the round's weights, and the weights of all tasks are averaged, piece by
+  piece and in two steps, on the executors.
+* The class behind any other word, and the word within its class, have a sparse feature for each pair that occurs in the
+  training rows, so these grow with the corpus. Their weights are never in one place: contexts are hashed into ranges of
+  keys (those of a listed word by the class too, so that no frequent word is a hot key), and each range is one shard that
+  takes gradient steps on its own. Blocks of rows send each of their pairs once, with its count, as differences of sorted
+  keys, and get one number for each back.
+
+Words, pairs and contexts are told apart by hashes: of 64 bits for words, of as many as the vocabulary asks for in keys.
+Counts of words that are not listed come back by a join: each block asks once for each of its distinct words.
 """
 
 from __future__ import annotations
 
-import uuid
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cuts, scratch, written
 from quillspark.llm.hashing import mix, words
 
-LISTED, HEAD, MEMBERS = 4096, 128, 16
-CLASSES = HEAD // MEMBERS + 1
-BUCKETS, PIECES = 1 << 13, 32
-ROUNDS, RATE, SLICE = 2, 0.1, 50_000
+LISTED, CLASSES, HASHED = 4096, 32, 1 << 13
+PIECES, ROUNDS, RATE, SLICE = 32, 2, 0.1, 50_000
 ALPHA = 0.1
-#: Bytes of text in a block, about.
-BLOCK = 12 << 20
+#: What a pair's count is discounted by, for classes and for words: the regularisation of the sparse features.
+DISCOUNT, STEPS = (0.4, 0.6), 12
+#: Bytes of text in a block, about, and training tokens that a shard of pairs aims at.
+BLOCK, SHARD = 12 << 20, 2_000_000
+#: Bits of a word within a key, besides its class.
+WORD_BITS = 18
 END, BEGIN = np.uint64(0x5E11D0F5A11), np.uint64(0xB0B0B0B0B0B1)
 K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+CLASS_MASK = np.uint64(CLASSES - 1)
 
 
 @dataclass
 class Model:
     listed: np.ndarray  # hashes of the listed words, sorted
     count: np.ndarray
-    outcome: np.ndarray  # class * MEMBERS + member, or the class of other words
+    classes: np.ndarray  # of the listed words
     total: int  # N
     distinct: int  # V
-    other: float  # the sum of count + ALPHA over the words of the last class, the unknown one among them
-    prior: np.ndarray  # log odds of the classes
-    inner: np.ndarray  # log odds of the members
-    wc: np.ndarray  # BUCKETS x CLASSES
-    wm: np.ndarray  # 2 * BUCKETS x MEMBERS
-
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the list or -1, outcome) of words."""
+    mass: np.ndarray  # of each class: the sum of count + ALPHA over its words and the unknown one
+    weights: np.ndarray  # rows of features by CLASSES
+    shards: int = 1
+    context_bits: int = 20
+
+    @property
+    def prior(self) -> np.ndarray:
+        return np.log(self.mass / self.mass.sum()).astype(np.float32)
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """Place in the list, or -1."""
         at = np.minimum(np.searchsorted(self.listed, h), len(self.listed) - 1)
-        hit = self.listed[at] == h
-        return np.where(hit, at, -1), np.where(hit, self.outcome[at], HEAD)
-
-    def logits(self, f: list[np.ndarray], g: list[np.ndarray], cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Chances of the classes, and of the members of the classes cls."""
-        z = self.prior + self.wc[f[0]] + self.wc[f[1]] + self.wc[f[2]]
-        y = self.inner[cls] + self.wm[g[0]] + self.wm[g[1]] + self.wm[g[2]]
-        out = []
-        for x in (z, y):
-            x = np.exp(x - x.max(1, keepdims=True))
-            out.append(x / x.sum(1, keepdims=True))
-        return out[0], out[1]
-
-
-def sequence(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(tokens with an end behind each text, first token of each text and the end, feature hashes)."""
+        return np.where(self.listed[at] == h, at, -1)
+
+    def class_of(self, h: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.where(place >= 0, self.classes[place], (h & CLASS_MASK).astype(np.int64))
+
+    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        return self.prior + self.weights[rows[0]] + self.weights[rows[1]] + self.weights[rows[2]]
+
+    def chances(self, rows: list[np.ndarray]) -> np.ndarray:
+        x = self.logits(rows)
+        x = np.exp(x - x.max(1, keepdims=True))
+        return x / x.sum(1, keepdims=True)
+
+    def keys(self, h: np.ndarray, place: np.ndarray, cls: np.ndarray, last: np.ndarray, last_place: np.ndarray) -> np.ndarray:
+        """Of each token a pair's key: hash of the context | whether the context is listed | class | hash of the word."""
+        ours = (last_place >= 0).astype(np.uint64)
+        c = cls.astype(np.uint64)
+        context = mix(last * K[0] + ours * (c + np.uint64(1)) * K[1]) >> np.uint64(64 - self.context_bits)
+        bits = np.uint64(CLASSES.bit_length() - 1)
+        return ((context << np.uint64(1) | ours) << bits | c) << np.uint64(WORD_BITS) | mix(h) >> np.uint64(64 - WORD_BITS)
+
+    def shard_of(self, keys: np.ndarray) -> np.ndarray:
+        """By ranges of contexts, so in the keys' order."""
+        context = keys >> np.uint64(WORD_BITS + CLASSES.bit_length())
+        return (context * np.uint64(self.shards) >> np.uint64(self.context_bits)).astype(np.int64)
+
+
+def table_rows(distinct: int) -> int:
+    """Rows of weights: words before (and the begin), words before the last (and the begin, and all unlisted), pairs."""
+    return 2 * distinct + 3 + HASHED
+
+
+def sequence(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens with an end behind each text, first token of each text and the end, tokens before, tokens before these)."""
     n = len(first) - 1
     start = first + np.arange(n + 1)
     seq = np.full(start[-1], END, np.uint64)
     body = np.ones(len(seq), bool)
     body[start[1:] - 1] = False
     seq[body] = h
+    return seq, start, *_before(seq, start)
+
+
+def _before(seq: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last = np.concatenate([[BEGIN], seq[:-1]])
     last[start[:-1]] = BEGIN
     skip = np.concatenate([[BEGIN], last[:-1]])
     skip[start[:-1]] = BEGIN
-    return seq, start, [mix(last * K[0]), mix(last * K[0] + mix(skip * K[1])), mix(skip * K[2])]
-
-
-def _tables(f: list[np.ndarray], cls: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-    return [(x >> shift).astype(np.int64) for x in f], [(mix(x + cls.astype(np.uint64) + np.uint64(1)) >> (shift - np.uint64(1))).astype(np.int64) for x in f]
-
-
-def steps(m: Model, texts: list[bytes], sums: list[np.ndarray]) -> int:
-    """Gradient steps on texts; sums: the squared gradients so far. The number of tokens."""
-    seq, _, f = sequence(*words(texts))
-    _, outcome = m.look_up(seq)
-    for a in range(0, len(seq), SLICE):
-        o = outcome[a : a + SLICE]
-        cls, head = o // MEMBERS, np.flatnonzero(o < HEAD)
-        fc, fm = _tables([x[a : a + SLICE] for x in f], cls)
-        fm = [x[head] for x in fm]
-        z = m.prior + m.wc[fc[0]] + m.wc[fc[1]] + m.wc[fc[2]]
-        y = m.inner[cls[head]] + m.wm[fm[0]] + m.wm[fm[1]] + m.wm[fm[2]]
-        for x, rows, want, table, total in ((z, fc, cls, m.wc, sums[0]), (y, fm, o[head] % MEMBERS, m.wm, sums[1])):
-            if not len(x):
-                continue
-            x = np.exp(x - x.max(1, keepdims=True))
-            x /= x.sum(1, keepdims=True)
-            x[np.arange(len(x)), want] -= 1
-            at = np.concatenate(rows)
-            g = np.stack([np.bincount(at, np.tile(x[:, k], 3), len(table)) for k in range(table.shape[1])], 1)
-            total += g**2
-            table -= (RATE * g / np.sqrt(total + 1e-6)).astype(np.float32)
+    return last, skip
+
+
+def _context(place: np.ndarray, last: np.ndarray, start: np.ndarray, listed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the list of the token before each, and of the one before that; the begin has the next place, others -1."""
+    last_place = np.concatenate([[listed], place[:-1]])
+    last_place[start[:-1]] = listed
+    skip_place = np.concatenate([[listed], last_place[:-1]])
+    skip_place[start[:-1]] = listed
+    return last_place, skip_place
+
+
+def features(last: np.ndarray, skip: np.ndarray, last_place: np.ndarray, skip_place: np.ndarray, listed: int) -> list[np.ndarray]:
+    """Rows of weights of tokens behind listed words."""
+    pair = (mix(last * K[0] + mix(skip * K[1])) >> np.uint64(64 - HASHED.bit_length() + 1)).astype(np.int64)
+    return [last_place, listed + 2 + skip_place, 2 * listed + 3 + pair]
+
+
+def steps(m: Model, texts: list[bytes], sums: np.ndarray) -> int:
+    """Gradient steps of the class weights on texts; sums: the squared gradients so far. The number of tokens."""
+    seq, start, last, skip = sequence(*words(texts))
+    place, listed = m.look_up(seq), len(m.listed)
+    cls = m.class_of(seq, place)
+    last_place, skip_place = _context(place, last, start, listed)
+    ours = np.flatnonzero(last_place >= 0)
+    for a in range(0, len(ours), SLICE):
+        at = ours[a : a + SLICE]
+        rows = features(last[at], skip[at], last_place[at], skip_place[at], listed)
+        x = m.chances(rows)
+        x[np.arange(len(x)), cls[at]] -= 1
+        flat = np.concatenate(rows)
+        used, inverse = np.unique(flat, return_inverse=True)
+        g = np.stack([np.bincount(inverse, np.tile(x[:, k], 3), len(used)) for k in range(CLASSES)], 1)
+        sums[used] += g**2
+        m.weights[used] -= (RATE * g / np.sqrt(sums[used] + 1e-6)).astype(np.float32)
     return len(seq)
 
 
-def score_batch(m: Model, texts: list[bytes]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """(a row for each text without its unlisted words' counts, unlisted words of all texts, how many of each text)."""
-    seq, start, f = sequence(*words(texts))
-    place, o = m.look_up(seq)
-    lp = np.empty(len(seq))
-    for a in range(0, len(seq), SLICE):
-        s = slice(a, a + SLICE)
-        cls = o[s] // MEMBERS
-        fc, fm = _tables([x[s] for x in f], cls)
-        pc, pm = m.logits(fc, fm, np.minimum(cls, CLASSES - 2))
-        at = np.arange(len(cls))
-        lp[s] = np.log10(pc[at, cls]) + np.where(cls < CLASSES - 1, np.log10(pm[at, o[s] % MEMBERS]), -np.log10(m.other))
-    share = np.where(place >= 0, np.log10(m.count[place] + ALPHA), 0.0)
-    lp += np.where(o == HEAD, share, 0.0)
-    first = start[:-1]
-    known = np.add.reduceat((place >= 0).astype(np.int64), first)
-    away = place < 0
-    rows = pd.DataFrame({"n_tokens": np.diff(start), "n_known": known, "base": np.add.reduceat(share, first), "score": np.add.reduceat(lp, first)})
-    return rows, seq[away], np.add.reduceat(away.astype(np.int64), first)
+def ascend(n: np.ndarray, group: np.ndarray, base: np.ndarray, discount: float, rounds: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of the pairs, normalizer of each group) of sparse maximum-entropy distributions.
+
+    Within a group, a pair's chance is (base + weight) / normalizer, that of an outcome without a feature base /
+    normalizer; the normalizer is 1 + the sum of the group's weights. Steps of gradient ascent in the logarithm of the
+    weights, scaled by the pair's counts, on sum((n - discount) * log(base + weight)) - total * log(normalizer).
+    """
+    groups = int(group[-1]) + 1 if len(group) else 0
+    want = np.maximum(n - discount, 1e-3)
+    total = np.bincount(group, n, groups)
+    left = total - np.bincount(group, want, groups)
+    weight = want / left[group]
+    for _ in range(rounds):
+        z = 1 + np.bincount(group, weight, groups)
+        up, down = want * weight / (base + weight), total[group] * weight / z[group]
+        weight = weight * np.exp(np.clip((up - down) / (up + down), -1, 1))
+    return weight, 1 + np.bincount(group, weight, groups)
+
+
+def train_shard(m: Model, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each of the sorted distinct keys, with training counts n (0: only asked for), log10 of its chance.
+
+    The chance of the word within its class, times that of the class where the context is not listed. Where it depends
+    on the unigram count of a word that is not listed, that factor is left out and 100 is added.
+    """
+    bits = CLASSES.bit_length() - 1
+    group = keys >> np.uint64(WORD_BITS)  # context, whether listed, class
+    cls = (group & CLASS_MASK).astype(np.int64)
+    word = (keys & np.uint64((1 << WORD_BITS) - 1)) | cls.astype(np.uint64) << np.uint64(WORD_BITS)
+    named = m.classes.astype(np.uint64) << np.uint64(WORD_BITS) | mix(m.listed) >> np.uint64(64 - WORD_BITS)
+    order = np.argsort(named)
+    named, share = named[order], ((m.count + ALPHA) / m.mass[m.classes])[order]
+    at = np.minimum(np.searchsorted(named, word), len(named) - 1)
+    hit = named[at] == word
+    base = np.where(hit, share[at], 0.0)
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    number = np.cumsum(new) - 1
+    seen = n > 0
+    weight, z = np.zeros(len(keys)), np.ones(int(number[-1]) + 1)
+    if seen.any():
+        compact, inverse = np.unique(number[seen], return_inverse=True)
+        weight[seen], z[compact] = ascend(n[seen].astype(np.float64), inverse, base[seen], DISCOUNT[1])
+    with np.errstate(divide="ignore"):
+        out = np.where(hit | seen, np.log10(base + weight), 100.0) - np.log10(z)[number]
+    # classes behind words that are not listed
+    first = np.flatnonzero(new)
+    pair_n = np.add.reduceat(n, first).astype(np.float64)
+    context = group[first] >> np.uint64(bits)
+    free = (context & np.uint64(1)) == 0
+    c = cls[first]
+    prior = np.exp(m.prior.astype(np.float64))
+    chance = np.zeros(len(first))
+    newer = np.concatenate([[True], context[1:] != context[:-1]])
+    owner = np.cumsum(newer) - 1
+    weight, z = np.zeros(len(first)), np.ones(int(owner[-1]) + 1)
+    seen = free & (pair_n > 0)
+    if seen.any():
+        compact, inverse = np.unique(owner[seen], return_inverse=True)
+        weight[seen], z[compact] = ascend(pair_n[seen], inverse, prior[c[seen]], DISCOUNT[0])
+    chance = np.where(free, np.log10((prior[c] + weight) / z[owner]), 0.0)
+    return (out + chance[number]).astype(np.float32)
+
+
+#: Between two keys lies at most so much; more is sent as several steps.
+FAR = np.uint64((1 << 32) - 1)
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys as differences of four bytes."""
+    gap = np.diff(np.concatenate([np.zeros(1, np.uint64), keys]))
+    skips = (gap // FAR).astype(np.int64)
+    out = np.full(len(keys) + int(skips.sum()), FAR, np.uint64)
+    out[np.cumsum(skips + 1) - 1] = gap % FAR
+    return out.astype("<u4").tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    gap = np.frombuffer(raw, "<u4").astype(np.uint64)
+    return np.cumsum(gap)[gap != FAR]
+
+
+def pack_counts(n: np.ndarray) -> bytes:
+    """Counts of one byte each, and the large ones behind them."""
+    big = np.flatnonzero(n >= 255)
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + np.concatenate([big, n[big]]).astype("<i8").tobytes()
+
+
+def unpack_counts(raw: bytes, size: int) -> np.ndarray:
+    n = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+    more = np.frombuffer(raw, "<i8", offset=size).reshape(2, -1)
+    n[more[0]] = more[1]
+    return n
 
 
 def _texts(batch: pa.RecordBatch):
@@ -167,56 +283,98 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def fit(train: DataFrame, counts: DataFrame) -> Model:
+    """The model without its pairs: list, classes and class weights."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "w").limit(LISTED).toPandas()
     w, n = top["w"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     if not len(w):
         w, n = np.array([END]), np.array([0])
-    outcome = np.minimum(np.arange(len(w)), HEAD)
+    mass = np.full(CLASSES, ALPHA)
+    for c, k, m in counts.groupBy(F.col("w").bitwiseAND(CLASSES - 1).alias("c")).agg(F.count("*"), F.sum("n")).collect():
+        mass[c] += m + ALPHA * k
+    np.subtract.at(mass, (w & CLASS_MASK).astype(np.int64), (n + ALPHA) * (distinct > 0))
+    # the listed words, most frequent first, each to the class that weighs least
+    heap = [(x, c) for c, x in enumerate(mass.tolist())]
+    heapq.heapify(heap)
+    classes = np.empty(len(w), np.int64)
+    for i, k in enumerate(n.tolist()):
+        x, c = heapq.heappop(heap)
+        classes[i] = c
+        heapq.heappush(heap, (x + k + ALPHA, c))
+    np.add.at(mass, classes, n + ALPHA)
     o = np.argsort(w)
-    other = float(total - n[:HEAD].sum() + ALPHA * (distinct + 1 - min(HEAD, int(distinct))))
-    each = np.zeros(HEAD)
-    each[: min(HEAD, len(n))] = n[:HEAD]
-    each = each.reshape(-1, MEMBERS) + ALPHA
-    m = Model(w[o], n[o], outcome[o], int(total), int(distinct), other, np.log(np.append(each.sum(1), other)).astype(np.float32), np.log(each).astype(np.float32), np.zeros((BUCKETS, CLASSES), np.float32), np.zeros((2 * BUCKETS, MEMBERS), np.float32))
+    m = Model(w[o], n[o], classes[o], int(total), int(distinct), mass, np.zeros((table_rows(len(w)), CLASSES), np.float32))
+    m.shards = max(1, -(-m.total // SHARD))
+    m.context_bits = int(np.ceil(np.log2(m.distinct + CLASSES * LISTED))) + 2
     sc = train.sparkSession.sparkContext
     for k in range(ROUNDS):
         shared = sc.broadcast(m)
 
         def run(batches, shared=shared):
             base = shared.value
-            mine = Model(**(base.__dict__ | {"wc": base.wc.copy(), "wm": base.wm.copy()}))
-            sums, tokens = [np.zeros(mine.wc.shape), np.zeros(mine.wm.shape)], 0
+            mine = Model(**(base.__dict__ | {"weights": base.weights.copy()}))
+            sums, tokens = np.zeros(mine.weights.shape, np.float32), 0
             for batch in batches:
                 for _, _, texts in _texts(batch):
                     tokens += steps(mine, texts, sums)
             if tokens:
-                task = uuid.uuid4().int % 64
-                flat = np.concatenate([mine.wc.ravel(), mine.wm.ravel()])
-                parts = [x.astype(np.float32).tobytes() for x in np.array_split(flat, PIECES)]
+                task = TaskContext.get().partitionId() % 64
+                parts = [x.astype(np.float16).tobytes() for x in np.array_split(mine.weights.ravel(), PIECES)]
                 yield pa.RecordBatch.from_arrays([pa.array([task] * PIECES, pa.int32()), pa.array(range(PIECES), pa.int32()), pa.array([float(tokens)] * PIECES), pa.array(parts, pa.binary())], names=["g", "piece", "tokens", "w"])
 
         def mean(f: pd.DataFrame) -> pd.DataFrame:
             t = f["tokens"].sum()
-            total = sum(np.frombuffer(x, np.float32).astype(np.float64) * y for x, y in zip(f["w"], f["tokens"]))
-            return pd.DataFrame({"g": [0], "piece": [f["piece"].iloc[0]], "tokens": [t], "w": [(total / t).astype(np.float32).tobytes()]})
+            total = sum(np.frombuffer(x, np.float16).astype(np.float64) * y for x, y in zip(f["w"], f["tokens"]))
+            return pd.DataFrame({"g": [0], "piece": [f["piece"].iloc[0]], "tokens": [t], "w": [(total / t).astype(np.float16).tobytes()]})
 
         part = train.filter(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(ROUNDS)) == k).select("text")
         schema = "g int, piece int, tokens double, w binary"
         tasks = part.mapInArrow(run, schema)
         rows = tasks.groupBy("piece", "g").applyInPandas(mean, schema).groupBy("piece").applyInPandas(mean, schema).toPandas().sort_values("piece")
         if len(rows) == PIECES:
-            flat = np.concatenate([np.frombuffer(x, np.float32) for x in rows["w"]])
-            m.wc, m.wm = flat[: m.wc.size].reshape(m.wc.shape).copy(), flat[m.wc.size :].reshape(m.wm.shape).copy()
+            m.weights = np.concatenate([np.frombuffer(x, np.float16) for x in rows["w"]]).astype(np.float32).reshape(m.weights.shape)
     return m
 
 
+def class_scores(m: Model, seq: np.ndarray, start: np.ndarray, last: np.ndarray, skip: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """log10 of each token's class behind a listed word, 0 behind others."""
+    out = np.zeros(len(seq))
+    listed = len(m.listed)
+    cls = m.class_of(seq, place)
+    last_place, skip_place = _context(place, last, start, listed)
+    ours = np.flatnonzero(last_place >= 0)
+    for a in range(0, len(ours), SLICE):
+        at = ours[a : a + SLICE]
+        p = m.chances(features(last[at], skip[at], last_place[at], skip_place[at], listed))
+        out[at] = np.log10(p[np.arange(len(at)), cls[at]])
+    return out
+
+
+def pairs_of(m: Model, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: (distinct keys sorted, their training counts, token -> key, token -> distinct word, owner of tokens)."""
+    w = np.frombuffer(block["words"], np.uint64)
+    sizes = np.asarray(block["n_tokens"], np.int64)
+    raw = np.frombuffer(block["tokens"], np.uint8).reshape(sizes.sum(), -1).astype(np.int64)
+    local = sum(raw[:, k] << 8 * k for k in range(raw.shape[1]))
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    seq = w[local]
+    place = m.look_up(w)
+    cls = m.class_of(w, place)
+    last, _ = _before(seq, start)
+    last_place, _ = _context(place[local], last, start, len(m.listed))
+    keys, index = np.unique(m.keys(seq, place[local], cls[local], last, last_place), return_inverse=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    train = ~np.asarray(block["held_out"], bool)
+    return keys, np.bincount(index, train[owner], len(keys)).astype(np.int64), index, local, owner
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null or empty text is the end alone. A null id counts as a training row; repeated rows are counted and returned as
     often as they come. Without training rows every word is unknown. Other columns are not read. Words are told apart by
-    64-bit hashes.
+    64-bit hashes. `score` varies a little with the partitioning of the input, by which the class weights are averaged;
+    the other columns do not.
     """
     spark = docs.sparkSession
     folder = scratch(spark)
@@ -227,55 +385,80 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     m = fit(train, counts)
     shared = spark.sparkContext.broadcast(m)
     long, real = pa.int64(), pa.float64()
-    kinds = {"block": long, "doc_id": pa.list_(long), "held_out": pa.list_(pa.bool_()), "n_tokens": pa.list_(long), "n_known": pa.list_(long), "base": pa.list_(real), "score": pa.list_(real), "away": pa.list_(pa.int32()), "tokens": pa.binary(), "words": pa.binary()}
+    kinds = {"block": long, "doc_id": pa.list_(long), "held_out": pa.list_(pa.bool_()), "n_tokens": pa.list_(long), "score": pa.list_(real), "tokens": pa.binary(), "words": pa.binary()}
 
     def blocks(batches):
-        pending: list = []
-        size = 0
+        m, at, pending, size = shared.value, 0, [], 0
 
         def out():
-            h = np.concatenate([x[3] for x in pending])
-            w, local = np.unique(h, return_inverse=True)
-            table = pd.concat([x[2] for x in pending])
-            cells = {"block": uuid.uuid4().int >> 65, "doc_id": [y for x in pending for y in x[0]], "held_out": [y for x in pending for y in x[1]], "n_tokens": table["n_tokens"].tolist(), "n_known": table["n_known"].tolist(), "base": table["base"].tolist(), "score": table["score"].tolist(), "away": np.concatenate([x[4] for x in pending]).tolist(), "tokens": local.astype(np.int32).tobytes(), "words": w.tobytes()}
+            w, local = np.unique(np.concatenate([x[4] for x in pending]), return_inverse=True)
+            cells = {"block": TaskContext.get().partitionId() << 32 | at, "doc_id": [y for x in pending for y in x[0]], "held_out": [y for x in pending for y in x[1]], "n_tokens": np.concatenate([x[2] for x in pending]).tolist(), "score": np.concatenate([x[3] for x in pending]).tolist(), "tokens": local.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : 3 if len(w) < 1 << 24 else 4].tobytes(), "words": w.tobytes()}
             return pa.RecordBatch.from_arrays([pa.array([cells[k]], t) for k, t in kinds.items()], names=list(kinds))
 
         for batch in batches:
             for a, b, texts in _texts(batch):
-                table, far, n = score_batch(shared.value, texts)
-                pending.append((batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), table, far, n))
-                size += sum(map(len, texts))
-                if size >= BLOCK:
+                seq, start, last, skip = sequence(*words(texts))
+                if pending and size + len(seq) * 6 > BLOCK:
                     yield out()
-                    pending, size = [], 0
+                    at, pending, size = at + 1, [], 0
+                lp = class_scores(m, seq, start, last, skip, m.look_up(seq))
+                pending.append((batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), np.diff(start), np.add.reduceat(lp, start[:-1]), seq))
+                size += len(seq) * 6
         if pending:
             yield out()
 
-    block = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>, away array<int>, tokens binary, words binary"
+    block = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, score array<double>, tokens binary, words binary"
     table = written(rows.mapInArrow(blocks, block), folder, "blocks")
 
-    def ask(batches):
+    def ask_words(batches):
+        m = shared.value
         for batch in batches:
             for b, w in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h = np.frombuffer(w.as_py(), np.int64)
-                for a in range(0, len(h), 100_000):
-                    part = h[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b)), pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.array(part)], names=["block", "i", "w"])
-
-    answers = table.select("block", "words").mapInArrow(ask, "block long, i int, w long").join(counts, "w").select("block", "i", "n")
-    norm, total = float(np.log10(m.total + ALPHA * (m.distinct + 1))), m.total
+                h = np.frombuffer(w.as_py(), np.uint64)
+                away = np.flatnonzero(m.look_up(h) < 0)
+                for a in range(0, len(away), 100_000):
+                    i = away[a : a + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), b)), pa.array(i.astype(np.int32)), pa.array(h[i].view(np.int64))], names=["block", "i", "w"])
+
+    def ask_pairs(batches):
+        m = shared.value
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, n, *_ = pairs_of(m, r)
+                edge = np.searchsorted(m.shard_of(keys), np.arange(m.shards + 1))
+                full = np.flatnonzero(np.diff(edge))
+                parts = [(edge[s], edge[s + 1]) for s in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(full), r["block"])), pa.array([pack(keys[a:b]) for a, b in parts], pa.binary()), pa.array([pack_counts(n[a:b]) for a, b in parts], pa.binary())], names=["shard", "block", "keys", "n"])
+
+    def answer(f: pd.DataFrame) -> pd.DataFrame:
+        keys = [unpack(x) for x in f["keys"]]
+        n = [unpack_counts(x, len(k)) for x, k in zip(f["n"], keys)]
+        all_keys, index = np.unique(np.concatenate(keys), return_inverse=True)
+        lp = train_shard(shared.value, all_keys, np.bincount(index, np.concatenate(n), len(all_keys)).astype(np.int64))[index]
+        return pd.DataFrame({"block": f["block"], "i": f["shard"].astype(np.int32), "n": -1, "a": [x.tobytes() for x in np.split(lp, np.cumsum([len(k) for k in keys])[:-1])]})
+
+    whole = "block long, i int, n long, a binary"
+    pairs = table.select("block", "n_tokens", "held_out", "tokens", "words").mapInArrow(ask_pairs, "shard long, block long, keys binary, n binary")
+    known = table.select("block", "words").mapInArrow(ask_words, "block long, i int, w long").join(counts, "w").select("block", "i", "n", F.lit(None).cast("binary").alias("a"))
+    answers = known.unionByName(pairs.groupBy("shard").applyInPandas(answer, whole))
+    norm = float(np.log10(m.total + ALPHA * (m.distinct + 1)))
 
     def finish(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        m, out = shared.value, []
         for _, r in left.iterrows():
-            c = np.zeros(len(r["words"]) // 8)
-            c[right["i"].to_numpy()] = right["n"].to_numpy()
-            local, away = np.frombuffer(r["tokens"], np.int32), np.asarray(r["away"], np.int64)
-            owner = np.repeat(np.arange(len(away)), away)
-            more = np.bincount(owner, np.log10(c + ALPHA)[local], len(away))
-            known = np.bincount(owner, (c > 0)[local], len(away)).astype(np.int64)
+            keys, _, index, local, owner = pairs_of(m, r)
+            w = np.frombuffer(r["words"], np.uint64)
+            place = m.look_up(w)
+            c = np.where(place >= 0, m.count[place], 0).astype(np.float64)
+            counted = right[right["n"] >= 0]
+            c[counted["i"].to_numpy()] = counted["n"].to_numpy()
+            lp = np.concatenate([np.frombuffer(x, np.float32) for x in right[right["n"] < 0].sort_values("i")["a"]])[index].astype(np.float64)
+            share = np.log10(c + ALPHA)
+            inner = share - np.log10(m.mass[m.class_of(w, place)])
+            lp = np.where(lp > 50, lp - 100 + inner[local], lp)
+            size = len(r["n_tokens"])
             n = np.asarray(r["n_tokens"], np.int64)
-            out.append(pd.DataFrame({"doc_id": pd.array(list(r["doc_id"]), "Int64"), "held_out": list(r["held_out"]), "n_tokens": n, "n_known": np.asarray(r["n_known"]) + known, "train_tokens": total, "base_score": np.asarray(r["base"]) + more - n * norm, "score": np.asarray(r["score"]) + more}))
+            out.append(pd.DataFrame({"doc_id": pd.array(list(r["doc_id"]), "Int64"), "held_out": list(r["held_out"]), "n_tokens": n, "n_known": np.bincount(owner, (c > 0)[local], size).astype(np.int64), "train_tokens": m.total, "base_score": np.bincount(owner, share[local], size) - n * norm, "score": np.asarray(r["score"]) + np.bincount(owner, lp, size)}))
         return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return table.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
