@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import join_counted, written
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -16,12 +16,14 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """
     now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), folder, f"{name}0")
     before = None
-    for k in range(1, 60):
+    k = 0
+    while True:
+        k += 1
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        small = large.withColumnRenamed("b", "u").join(low, "u").select(F.col("m").alias("a"), F.explode(F.array("a", "u")).alias("b")).filter("a <> b").distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), folder, f"{name}least{k}")
+        large = written(join_counted(both, least, ["u"], "n").filter("v > u and v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), folder, f"{name}large{k}")
+        low = written(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"), F.count("*").alias("n")), folder, f"{name}low{k}")
+        small = join_counted(large.withColumnRenamed("b", "u"), low, ["u"], "n").select(F.col("m").alias("a"), F.explode(F.array("a", "u")).alias("b")).filter("a <> b").distinct()
         now = written(small, folder, f"{name}{k}")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

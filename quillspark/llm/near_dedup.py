@@ -3,16 +3,20 @@
 Equal sets are one vertex. Each vertex carries minwise tokens: for each of `TOKENS` hash functions the least of its
 shingles. A tree starts with all vertices in one node. At each level a node, by its own path, chooses one coordinate,
 and now and then a second, and its members go on to the children named by their token there; two sets of similarity s
-share a child with a chance of s for each choice. After `DEPTH` levels nodes are compared exhaustively if small and
-branched on if not, up to `DEEPEST`. Independent trees, as many as the threshold asks for, bring a pair at the threshold
-together with a chance of 1 - 3e-5. What is still large then holds texts that are alike all over. Its members go through
-further trees of `MORE_DEPTH` levels, which tell sets just over the threshold from those just under it (0.993 for one
-pair at the threshold, 1 - 2e-6 at 0.9 where it is 0.85; a component needs but one of a member's links); nodes that are large even there hold copies
-that hardly differ, and are ordered by their tokens and cut into small nodes, each joined to a pivot.
-
-Comparing a node means estimating all its pairs by their tokens. First only a spanning forest of the best pairs is
-confirmed; then every pair left that is likely enough and lies in different components. So a group of copies costs as
-many confirmations as it has members, and yet no pair that could join two components is left out.
+share a child with a chance of s for each choice. Independent trees of `DEPTH` levels, as many as the threshold asks for,
+bring a pair at the threshold together with a chance of 1 - 3e-5. Nodes of up to `SMALL` members are compared
+exhaustively: their pairs are estimated by the tokens. First only a spanning forest of the best pairs is confirmed; then
+every pair left that is likely enough and lies in different components.
+
+Larger nodes that share members are a crowd, and a crowd is joined exactly, without comparing all its pairs. Its centre
+holds the shingles that most of a few members have; a member's distance d is the number of shingles that only one of it
+and the centre has, its deviations. Two sets of sizes m and n are linked if they differ in at most q * (m + n) shingles,
+q = (100 - percent) / (100 + percent). Their difference is at most the sum of their distances, so all members that are near
+enough are linked with the nearest one (the hub), by arithmetic alone. Those left have further centres, as long as these
+link a good part of them. Of all other pairs, those in different components, one end is outside the hub's component, and
+the difference is the sum of the distances less twice the number of deviations in common: so they have a known number of
+deviations in common, and meet in a prefix filter over deviations, the rare kinds of which come first. Its candidates are
+confirmed like the others. A crowd of copies thus costs as much as it has members, and none of its links is lost.
 """
 
 from __future__ import annotations
@@ -27,16 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import cuts, scratch, written
+from quillspark.llm.common import cuts, join_counted, remove, scratch, written
 from quillspark.llm.components import components
 from quillspark.llm.hashing import mix, shingles, words
 
 WORDS, PERCENT = 5, 85
-TOKENS, DEPTH, DEEPEST, SECOND, SMALL = 96, 3, 5, 0.25, 40
-#: Levels of the further trees, which members of nodes that stay large go through, without second choices.
-MORE_DEPTH = 16
-#: Chances that no tree, and no further tree, brings a pair at the threshold together.
-MISSED, MORE_MISSED = 3e-5, 0.0075
+TOKENS, DEPTH, SECOND, SMALL = 96, 3, 0.25, 40
+#: The chance that no tree brings a pair at the threshold together.
+MISSED = 3e-5
+#: Members that make a centre, rows of a crowd in a block, rows of a list of postings in a block.
+CENTRE, BLOCK, LIST = 15, 2000, 1000
+#: A crowd's members left have a further centre while the last one has linked such a share of them.
+PROGRESS = 0.3
 #: A pair is confirmed if its tokens agree in a share of the threshold less so many standard deviations.
 DEVIATIONS = 4.665
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 62, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,11 +53,10 @@ class Setting:
     percent: int
     likely: float
     trees: int
-    more_trees: int
 
 
 def setting(percent: int) -> Setting:
-    """What a threshold asks for; 85: a likely share of 0.68, 8 trees and 64 further ones."""
+    """What a threshold asks for; 85: a likely share of 0.68 and 8 trees."""
     if not 0 < percent < 100:
         raise ValueError("percent must lie between 1 and 99")
     s = percent / 100
@@ -59,8 +64,7 @@ def setting(percent: int) -> Setting:
     for _ in range(DEPTH):
         meet = (1 - SECOND) * s * meet + SECOND * (1 - (1 - s * meet) ** 2)
     trees = math.ceil(math.log(MISSED) / math.log1p(-meet))
-    more = math.ceil(math.log(MORE_MISSED) / math.log1p(-(s**MORE_DEPTH)))
-    return Setting(percent, s - DEVIATIONS * math.sqrt(s * (1 - s) / TOKENS), trees, more)
+    return Setting(percent, s - DEVIATIONS * math.sqrt(s * (1 - s) / TOKENS), trees)
 
 
 def tokens_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -137,70 +141,13 @@ def grow(vertices: DataFrame, trees: int) -> DataFrame:
     return vertices.select("v", "tokens").mapInPandas(run, "path long, v long")
 
 
-def deepen(nodes: DataFrame, level: int) -> DataFrame:
-    def run(frames):
-        for f in frames:
-            if len(f):
-                paths, rows = _branch(f["path"].to_numpy().view(np.uint64), level, _matrix(f["tokens"]))
-                yield pd.DataFrame({"path": paths.view(np.int64), "v": f["v"].to_numpy()[rows]})
-
-    return nodes.mapInPandas(run, "path long, v long")
-
-
-def grow_deep(vertices: DataFrame, trees: int) -> DataFrame:
-    """(path, v): the nodes of the further trees, one coordinate a level."""
-
-    def run(frames):
-        for f in frames:
-            if not len(f):
-                continue
-            t, v, at = _matrix(f["tokens"]), f["v"].to_numpy(), np.arange(len(f))
-            for tree in range(trees):
-                pick = np.random.default_rng(1000 + tree).choice(TOKENS, MORE_DEPTH, replace=False)
-                paths = np.full(len(f), tree + 1_000_003, np.uint64)
-                for c in pick:
-                    paths = mix(paths + t[at, c].astype(np.uint64) * np.uint64(TOKENS) + np.uint64(c))
-                yield pd.DataFrame({"path": paths.view(np.int64), "v": v})
-
-    return vertices.select("v", "tokens").mapInPandas(run, "path long, v long")
-
-
-def small_nodes(vertices: DataFrame, folder: str, how: Setting) -> DataFrame:
-    """(path, v, tokens) of nodes with 2 to SMALL + 1 members."""
-    spark = vertices.sparkSession
-    done = []
+def nodes_of(vertices: DataFrame, folder: str, how: Setting) -> tuple[DataFrame, DataFrame]:
+    """(path, v, tokens) of nodes with 2 to SMALL members, (path, v) of larger ones."""
     paths = written(grow(vertices, how.trees).distinct(), folder, "paths")
-    for level in range(DEPTH, DEEPEST + 1):
-        count = paths.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        sized = written(paths.join(count, "path"), folder, f"sized{level}")
-        done.append(sized.filter(F.col("n") <= SMALL).select("path", "v"))
-        large = sized.filter(F.col("n") > SMALL)
-        if large.isEmpty():
-            break
-        rows = large.select("path", "v").join(vertices, "v").select("path", "v", "tokens")
-        if level < DEEPEST:
-            paths = written(deepen(rows, level).distinct(), folder, f"paths{level}")
-        else:
-            deep = written(grow_deep(rows.select("v", "tokens").dropDuplicates(["v"]), how.more_trees), folder, "deep")
-            count = deep.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-            deep = written(deep.join(count, "path"), folder, "sizeddeep")
-            done.append(deep.filter(F.col("n") <= SMALL).select("path", "v"))
-            rows = rows.select("path", "v", "tokens").unionAll(deep.filter(F.col("n") > SMALL).select("path", "v").join(vertices, "v").select("path", "v", "tokens"))
-            # members sort within ranges of the tokens' first coordinates; SMALL neighbours are a node, whose first
-            # members meet the least of them all
-            rows = rows.withColumn("__part", F.xxhash64("path", F.substring("tokens", 1, 4)))
-            order = Window.partitionBy("path", "__part").orderBy("tokens", "v")
-            cut = rows.withColumn("__n", F.row_number().over(order) - 1).withColumn("__k", F.floor(F.col("__n") / SMALL))
-            inner = cut.select(F.xxhash64("path", "__part", "__k").alias("path"), "v", "__n", F.col("path").alias("__node"))
-            done.append(inner.select("path", "v"))
-            heads = inner.filter(F.col("__n") % SMALL == 0)
-            pivot = heads.groupBy("__node").agg(F.min("v").alias("pivot"))
-            linked = heads.join(pivot, "__node").filter("v <> pivot")
-            done.append(linked.select(F.xxhash64("__node", "v", F.lit(1)).alias("path"), F.explode(F.array("v", "pivot")).alias("v")))
-    nodes = done[0]
-    for x in done[1:]:
-        nodes = nodes.unionAll(x)
-    return nodes.join(vertices.select("v", "tokens"), "v").select("path", "v", "tokens")
+    sizes = written(paths.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), folder, "sizes")
+    sized = written(join_counted(paths, sizes.withColumn("large", F.col("n") > SMALL), ["path"], "n"), folder, "sized")
+    small = sized.filter("not large").select("path", "v").join(vertices.select("v", "tokens"), "v").select("path", "v", "tokens")
+    return written(small, folder, "nodes"), sized.filter("large").select("path", "v")
 
 
 def _pairs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,6 +247,83 @@ def confirm(pairs: DataFrame, texts: DataFrame, folder: str, name: str, percent:
     return written(joined.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), folder, name)
 
 
+def gather(large: DataFrame, folder: str) -> DataFrame:
+    """(v, k, salt, salts): the members of crowds k, dealt into blocks."""
+    first = written(large.groupBy("path").agg(F.min("v").alias("a"), F.count("*").alias("n")), folder, "first")
+    crowd = written(components(join_counted(large, first, ["path"], "n").select("a", F.col("v").alias("b")), folder, "ck"), folder, "crowd")
+    sizes = written(crowd.groupBy(F.col("c").alias("k")).agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / BLOCK).cast("int")), folder, "crowdsizes")
+    dealt = join_counted(crowd.withColumnRenamed("c", "k"), sizes, ["k"], "n")
+    return written(dealt.withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int")), folder, "dealt")
+
+
+def _blocks(table: DataFrame) -> DataFrame:
+    """A row for each block of the crowd."""
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
+def stars(members: DataFrame, folder: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links by arithmetic in crowds: (edges (a, b), distances from the first centre, first centres).
+
+    members: (k, salt, salts, v, s), s the set. Distances: (k, salt, v, x, d, hub, x0), where x is
+    (100 + percent) * d - (100 - percent) * size: two members are linked if the sum of their x is not above 0.
+    """
+    edges, first, left, k = [], None, members.select("k", "salt", "salts", "v"), 0
+    while True:
+        order = Window.partitionBy("k").orderBy(F.xxhash64("v", F.lit(k)), "v")
+        few = left.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= CENTRE)
+        seen = members.join(few.select("v"), "v", "left_semi").select("k", "salts", F.explode("s").alias("t")).groupBy("k", "salts", "t").agg(F.count("*").alias("n"))
+        size = few.groupBy("k").agg(F.count("*").alias("m"))
+        kind = lambda c: F.collect_list(F.when(c, F.col("t")))
+        most = F.col("n") * 2 > F.col("m")
+        centres = seen.join(size, "k").groupBy("k", "salts").agg(kind(most).alias("centre"), kind(~most & (F.col("n") > 1)).alias("common"))
+        centres = written(_blocks(centres), folder, f"centres{k}")
+        both = members.join(left.select("v"), "v", "left_semi") if k else members
+        both = both.join(centres, ["k", "salt"])
+        d = F.size("s") + F.size("centre") - 2 * F.size(F.array_intersect("s", "centre"))
+        x = (F.lit(100 + percent) * d - F.lit(100 - percent) * F.size("s")).cast("long")
+        far = written(both.select("k", "salt", "salts", "v", d.alias("d"), x.alias("x")), folder, f"far{k}")
+        hubs = far.groupBy("k", "salts").agg(F.min(F.struct("x", "v")).alias("y")).select("k", "salts", F.col("y.v").alias("hub"), F.col("y.x").alias("x0"))
+        star = written(far.join(_blocks(hubs), ["k", "salt"]), folder, f"star{k}")
+        first = first or (star, centres)
+        near = (F.col("x") + F.col("x0") <= 0) | (F.col("v") == F.col("hub"))
+        edges.append(star.filter(near & (F.col("v") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("v").alias("b")))
+        n, linked = star.agg(F.count("*"), F.count_if(near)).first()
+        if n - linked <= SMALL or linked < PROGRESS * n:
+            break
+        left, k = star.filter(~near).select("k", "salt", "salts", "v"), k + 1
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionAll(e)
+    return out, *first
+
+
+def candidates(members: DataFrame, star: DataFrame, centres: DataFrame, part: DataFrame, folder: str, percent: int) -> DataFrame:
+    """(a, b): all pairs of a crowd in different components c that may be linked, by a prefix filter over deviations."""
+    named = star.join(part, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    hubs = named.filter("v = hub").select("k", "salts", F.col("c").alias("main"))
+    named = written(named.join(_blocks(hubs), ["k", "salt"]).withColumn("out", F.col("c") != F.col("main")), folder, "namedcrowd")
+    mixed = named.filter("out").groupBy("k", "salts").agg(F.min("x").alias("xo"))
+    twice = 2 * (100 + percent)
+    # deviations in common with any partner at least: a partner of one inside the main component is outside it
+    least = F.greatest(F.ceil((F.col("x") + F.when(F.col("out"), F.col("x0")).otherwise(F.col("xo"))) / twice), F.lit(1))
+    open_ = named.join(_blocks(mixed), ["k", "salt"]).withColumn("p", (F.col("d") - least + 1).cast("int")).filter("p > 0").select("k", "salt", "v", "x", "d", "c", "out", "p")
+    both = members.select("v", "s").join(open_, "v").join(centres, ["k", "salt"])
+    new = F.array_except("s", "centre")
+    order = F.concat(F.array_sort(F.array_except(new, F.col("common"))), F.array_sort(F.array_intersect(new, F.col("common"))), F.array_sort(F.array_except("centre", "s")))
+    posts = both.select("k", "v", "x", "d", "c", "out", F.posexplode(F.slice(order, F.lit(1), F.col("p"))).alias("i", "t"))
+    posts = written(posts, folder, "postings")
+    lists = posts.groupBy("k", "t").agg(F.count("*").alias("n"), F.max("out").alias("o"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("o and lo <> hi")
+    lists = written(lists.select("k", "t", "n", F.ceil(F.col("n") / LIST).cast("int").alias("salts")), folder, "lists")
+    good = written(join_counted(posts, lists, ["k", "t"], "n"), folder, "listed")
+    here = _blocks(good.filter("out")).select("k", "t", "salt", *(F.col(c).alias(f"{c}1") for c in ("v", "x", "d", "c", "i")))
+    there = good.withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int")).select("k", "t", "salt", "v", "x", "d", "c", "i", "out")
+    # of a pair that is outside on both sides one order; and as many deviations behind this one as are still wanted
+    apart = "c <> c1 and not (out and v < v1)"
+    enough = (F.least(F.col("d") - F.col("i"), F.col("d1") - F.col("i1")) * twice) >= F.col("x") + F.col("x1")
+    pairs = here.join(there, ["k", "t", "salt"]).filter(apart).filter(enough)
+    return pairs.select(F.least("v", "v1").alias("a"), F.greatest("v", "v1").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (least id reachable), kept (doc_id = component_id).
 
@@ -315,8 +339,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = written(describe(texts), folder, "rows")
     # of each distinct set the least id (its text is read again for confirming) and the tokens
-    vertices = written(rows.filter("v is not null").groupBy("v").agg(F.min(F.struct("doc_id", "tokens")).alias("x")).select("v", F.col("x.doc_id").alias("doc_id"), F.col("x.tokens").alias("tokens")), folder, "vertices")
-    nodes = written(small_nodes(vertices.select("v", "tokens"), folder, how), folder, "nodes")
+    vertices = written(rows.filter("v is not null").groupBy("v").agg(F.min(F.struct("doc_id", "tokens")).alias("x"), F.min("doc_id").alias("least"), F.count("*").alias("n")).select("v", "n", "least", F.col("x.doc_id").alias("doc_id"), F.col("x.tokens").alias("tokens")), folder, "vertices")
+    nodes, large = nodes_of(vertices.select("v", "tokens"), folder, how)
 
     # a vertex's text: that of the row with its id; a null id has its text found by its set
     def with_v(batches):
@@ -326,18 +350,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 v = [mix(np.add.reduce(mix(x ^ np.uint64(0x5BD1E995)), keepdims=True) + np.uint64(len(x))).view(np.int64)[0] if len(x) else None for x in s]
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), batch.column(1).slice(a, b - a)], names=["v", "text"])
 
-    members = nodes.select("v").distinct()
+    members = nodes.select("v").unionAll(large.select("v")).distinct()
     wanted = vertices.join(members, "v", "left_semi").select("v", "doc_id")
     sources = texts.join(wanted.filter("doc_id is not null").select("doc_id"), "doc_id", "left_semi").unionAll(texts.filter("doc_id is null"))
     read = written(sources.mapInArrow(with_v, "v long, text string").filter("v is not null").join(wanted, "v", "left_semi").dropDuplicates(["v"]), folder, "texts")
     first = confirm(compare(nodes, True, how.likely), read, folder, "forest", percent)
+    crowded = not large.isEmpty()
+    if crowded:
+        crowd = gather(large, folder)
+        sets = written(read.join(crowd, "v").select("k", "salt", "salts", "v", "text").mapInArrow(_sets, "k long, salt int, salts int, v long, s array<long>"), folder, "crowdsets")
+        linked, star, centres = stars(sets, folder, percent)
+        first = first.unionAll(linked)
     part = written(components(first, folder, "ca"), folder, "parts")
     again = nodes.join(part, "v", "left").select("path", "v", "tokens", F.coalesce("c", "v").alias("c"))
     mixed = again.groupBy("path").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("path")
-    second = confirm(compare(again.join(mixed, "path", "left_semi"), False, how.likely).join(first, ["a", "b"], "left_anti"), read, folder, "rest", percent)
-    part = written(components(first.unionAll(second), folder, "cb"), folder, "all")
-    named = rows.join(part, "v", "left").withColumn("g", F.coalesce("c", "v"))
-    named = written(named.select("doc_id", "n_shingles", "g"), folder, "named")
-    least = named.filter("g is not null").groupBy("g").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "g", "left").withColumn("component_id", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    pairs = compare(again.join(mixed, "path", "left_semi"), False, how.likely).join(first, ["a", "b"], "left_anti")
+    if crowded:
+        pairs = pairs.unionAll(candidates(sets, star, centres, part, folder, percent)).distinct()
+    second = confirm(pairs, read, folder, "rest", percent)
+    part = components(first.unionAll(second), folder, "cb")
+    # a component's least id, by vertices; then each vertex's
+    named = written(vertices.select("v", "n", "least").join(part, "v", "left").withColumn("g", F.coalesce("c", "v")).drop("c"), folder, "named")
+    least = written(named.groupBy("g").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), folder, "least")
+    names = written(join_counted(named, least, ["g"], "m").select("v", "n", "component_id"), folder, "names")
+    remove(spark, folder, "rows", "names")
+    out = join_counted(rows.select("v", "doc_id", "n_shingles"), names, ["v"], "n").drop("v")
+    out = out.unionByName(rows.filter("v is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+def _sets(batches):
+    """The set of shingles, as an array, in place of the text."""
+    for batch in batches:
+        for a, b, t in _texts(batch):
+            found = shingles(*words(t), WORDS)
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            s = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(4)), s], names=["k", "salt", "salts", "v", "s"])
