@@ -6,6 +6,10 @@ fall into leaves around trained centroids; the rest of each is coded in subspace
 more than one across it. A query probes the leaves whose centroids give the largest product. A leaf is cut into blocks
 of entries and its queries into blocks too, so a task never holds more than a block of each; the candidates of all
 blocks are ranked by their quantized score, and the best of them by the exact one.
+
+How many leaves are probed and how many candidates are reranked is measured on the table itself: for a bounded number of
+its queries the true neighbours are found by brute force over all entries, and where they stand among the leaves and
+among all quantized scores says what a recall of `RECALL` asks for. So both numbers grow with the table where they must.
 """
 
 from __future__ import annotations
@@ -18,17 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import scratch, written
+from quillspark.llm.common import join_counted, scratch, written
 
 K, EVERY = 20, 20
 #: Entries on which centroids and centres are trained at most; every entry is indexed.
 SAMPLE = 20_000
 SUB, CENTRES, PASSES = 2, 16, 4
 THRESHOLD = 0.2  # T of the score-aware loss
-#: Entries and queries that meet in one task at most; entries a leaf aims at; entries reranked for a query.
-BLOCK, QUERIES, LEAF, RERANK = 65_536, 512, 32_768, 300
-#: Share of the leaves that a query probes. Vectors without clusters need all of them for a recall of 0.9; clustered ones do with a part.
-PROBE = 1.0
+#: Entries and queries that meet in one task at most; entries a leaf aims at.
+BLOCK, QUERIES, LEAF = 65_536, 512, 32_768
+#: Queries on which probing and reranking are measured, and the share of their true neighbours that each of the two keeps.
+MEASURED, RECALL = 64, 0.985
 
 
 @dataclass
@@ -120,21 +124,81 @@ def _unpack(rows: list[bytes], m: int) -> np.ndarray:
 
 
 def product(a: Column, b: Column) -> Column:
-    """Inner product in double precision, added up in the order of the components."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    """Inner product in double precision, added up in the order of the components; what one of them lacks counts as zero."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+
+
+def _ones(f: pd.DataFrame, d: int, padded: int, column: str = "vec") -> np.ndarray:
+    """The vectors of a frame as rows, shorter ones filled with zeros."""
+    x = np.zeros((len(f), padded))
+    for i, v in enumerate(f[column]):
+        x[i, : min(len(v), d)] = v[:d]
+    return x
+
 
+def measure(entries: DataFrame, asked: DataFrame, shared, d: int, padded: int, k: int, leaves: int) -> tuple[int, int]:
+    """(leaves to probe, candidates to rerank) that keep a share RECALL of the true k neighbours of some queries each."""
+    some = asked.orderBy(F.xxhash64("qid")).limit(MEASURED).toPandas()
+    q = _ones(some, d, padded)
+
+    def frames_of(frames):
+        """(entries' vectors, exact and quantized products, leaves) of each batch."""
+        c = shared.value
+        for f in frames:
+            for a in range(0, len(f), 4096):
+                part = f.iloc[a : a + 4096]
+                x = _ones(part, d, padded)
+                leaf = c.leaf_of(x)
+                codes = c.encode(x, leaf)
+                near = np.empty((len(q), len(x)), np.float32)
+                for one in np.unique(leaf):
+                    at = leaf == one
+                    near[:, at] = c.scan(q, int(one), codes[at])
+                yield x, near, leaf
 
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", leaves: int | None = None, probe: float = PROBE, rerank: int = RERANK) -> DataFrame:
+    def best(frames):
+        for x, near, leaf in frames_of(frames):
+            exact = q @ x.T
+            for i in range(len(q)):
+                at = np.flatnonzero(x[:, 0] == q[i, 0])
+                exact[i, at[(x[at] == q[i]).all(1)]] = -np.inf  # the query itself
+            keep = min(k, len(x))
+            top = np.argpartition(-exact, keep - 1, axis=1)[:, :keep]
+            yield pd.DataFrame({"i": np.repeat(np.arange(len(q)), keep).astype(np.int32), "score": np.take_along_axis(exact, top, 1).ravel(), "approx": np.take_along_axis(near, top, 1).ravel(), "leaf": leaf[top].ravel().astype(np.int32)})
+
+    found = entries.select("vec").mapInPandas(best, "i int, score double, approx float, leaf int")
+    first = found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score")))).filter(F.col("r") <= k).toPandas()
+    first = first[np.isfinite(first["score"])].sort_values(["i", "r"])
+    if not len(first):
+        return leaves, 4 * k
+    bounds = [np.sort(first["approx"][first["i"] == i].to_numpy()) for i in range(len(q))]
+
+    def above(frames):
+        total = [np.zeros(len(x), np.int64) for x in bounds]
+        for _, near, _ in frames_of(frames):
+            for i, x in enumerate(bounds):
+                total[i] += len(near[i]) - np.searchsorted(np.sort(near[i]), x, "left")
+        yield pd.DataFrame({"i": np.repeat(np.arange(len(q)), [len(x) for x in bounds]).astype(np.int32), "j": np.concatenate([np.arange(len(x)) for x in bounds]).astype(np.int32), "n": np.concatenate(total)})
+
+    places = entries.select("vec").mapInPandas(above, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()["n"].to_numpy()
+    c = shared.value
+    order = np.argsort(np.argsort(-(q @ c.centroids.T), axis=1), axis=1)
+    far = order[first["i"].to_numpy(), first["leaf"].to_numpy()] + 1
+    need = lambda x: int(np.ceil(np.quantile(x, RECALL, method="higher")))
+    return min(leaves, need(far)), max(4 * k, 2 * need(places))
+
+
+def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", leaves: int | None = None, probes: int | None = None, rerank: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k rows with the largest product.
 
     Ties go to the smaller id; a query is never its own result, its copies are. Null ids, vectors that are null, empty,
-    zero, or with null or non-finite components, and vectors of another length than most of the sample take no part;
-    repeated (id, vector) rows count once. An empty table gives no row.
+    zero, or with null or non-finite components take no part; a shorter vector counts as filled with zeros; repeated
+    (id, vector) rows count once. An empty table gives no row. probes and rerank are measured where they are not given.
     """
     spark = vectors.sparkSession
     folder = scratch(spark)
-    v = F.col("vec")
-    good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).filter(
+    v, kind = F.col("vec"), vectors.schema[vec_col].dataType.simpleString()
+    good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter(
         F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0)
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     )
@@ -147,27 +211,21 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "ve
     if not n:
         return empty
     share = min(1.0, 0.95 * SAMPLE / n)
-    part = entries.filter(F.pmod("eid", F.lit(1_000_000)) < int(share * 1_000_000)).select("vec").limit(SAMPLE) if n > SAMPLE else entries.select("vec")
-    rows = part.toArrow().column("vec").to_pylist()
-    lengths = np.array([len(x) for x in rows])
-    d = int(np.bincount(lengths).argmax())
+    part = entries.filter(F.pmod("eid", F.lit(1 << 53)) < int(share * (1 << 53))).select("vec").limit(SAMPLE) if n > SAMPLE else entries.select("vec")
+    d = entries.agg(F.max(F.size("vec"))).first()[0]
     padded = d + d % SUB
-    sample = np.zeros((int((lengths == d).sum()), padded))
-    sample[:, :d] = [x for x in rows if len(x) == d]
+    sample = _ones(part.toPandas(), d, padded)
     leaves = leaves or int(np.clip(np.ceil(n / LEAF), 1, 4096))
     codec = train(sample, min(leaves, len(sample)))
     leaves = len(codec.centroids)
-    probes = max(1, int(np.ceil(leaves * probe)))
     shared = spark.sparkContext.broadcast(codec)
-    entries = entries.filter(F.size("vec") == d)
 
     def index(frames):
         c = shared.value
         for f in frames:
             if not len(f):
                 continue
-            x = np.zeros((len(f), padded))
-            x[:, :d] = np.stack(f["vec"].to_numpy())
+            x = _ones(f, d, padded)
             leaf = c.leaf_of(x)
             yield pd.DataFrame({"eid": f["eid"], "leaf": leaf.astype(np.int32), "codes": _pack(c.encode(x, leaf))})
 
@@ -178,17 +236,25 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "ve
         for f in frames:
             if not len(f):
                 continue
-            x = np.zeros((len(f), padded))
-            x[:, :d] = np.stack(f["vec"].to_numpy())
-            top = np.argpartition(-(x @ c.centroids.T), min(probes, leaves) - 1, axis=1)[:, :probes]
+            x = _ones(f, d, padded)
+            top = np.argpartition(-(x @ c.centroids.T), probes - 1, axis=1)[:, :probes]
             yield pd.DataFrame({"qid": np.repeat(f["qid"].to_numpy(), probes), "leaf": top.ravel().astype(np.int32), "vec": [y for y in f["vec"] for _ in range(probes)]})
 
-    queries = good.filter((F.col("id") % every == 0) & (F.size("vec") == d)).dropDuplicates(["id", "vec"])
+    queries = good.filter(F.col("id") % every == 0).dropDuplicates(["id", "vec"])
     # equal queries are asked once
     asked = written(queries.groupBy("vec").agg(F.min("id").alias("qid")), folder, "asked")
-    routed = written(asked.mapInPandas(route, "qid long, leaf int, vec array<float>"), folder, "routed")
+    count = asked.count()
+    if not count:
+        return empty
+    if probes is None or rerank is None:
+        measured = measure(entries, asked, shared, d, padded, k, leaves)
+        probes, rerank = probes or measured[0], rerank or measured[1]
+    probes = min(probes, leaves)
+    # with many meetings queries stand in larger blocks, so that each code is dealt out less often
+    block = QUERIES * int(np.clip(probes * -(-n // (leaves * BLOCK)) * -(-count // QUERIES) // 256, 1, 8))
+    routed = written(asked.mapInPandas(route, f"qid long, leaf int, vec {kind}"), folder, "routed")
     sizes = coded.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nv"))
-    loads = routed.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq"))
+    loads = routed.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))
     blocks = F.broadcast(sizes.join(loads, "leaf"))  # a row for each leaf: 4096 at most
     left = coded.join(blocks, "leaf").withColumn("bv", F.pmod("eid", F.col("nv")).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     right = routed.join(blocks, "leaf").withColumn("bq", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int")).withColumn("bv", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
@@ -201,8 +267,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "ve
         codes, eids, out = _unpack(e["codes"].tolist(), m), e["eid"].to_numpy(), []
         keep = min(rerank, len(eids))
         for a in range(0, len(q), 256):
-            x = np.zeros((len(q.iloc[a : a + 256]), padded))
-            x[:, :d] = np.stack(q["vec"].iloc[a : a + 256].to_numpy())
+            x = _ones(q.iloc[a : a + 256], d, padded)
             s = c.scan(x, int(key[0]), codes)
             top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
             out.append(pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy()[a : a + 256], keep), "eid": eids[top].ravel(), "approx": np.take_along_axis(s, top, 1).ravel()}))
@@ -211,8 +276,13 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "ve
     hits = left.select("leaf", "bv", "bq", "eid", "codes").groupBy("leaf", "bv", "bq").cogroup(right.select("leaf", "bv", "bq", "qid", "vec").groupBy("leaf", "bv", "bq")).applyInPandas(scan, "qid long, eid long, approx float")
     best = hits.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("approx"), "eid"))).filter(F.col("r") <= rerank).select("qid", "eid")
     best = written(best, folder, "best")
+    # equal queries are one row of asked, equal entries one of entries: no key is frequent
     exact = best.join(entries, "eid").join(asked.withColumnRenamed("vec", "q"), "qid").select("qid", "q", "ids", product(F.col("q"), F.col("vec")).alias("score"))
     near = exact.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.element_at("ids", 1)))).filter(F.col("r") <= k + 1)  # one entry may be the query alone
-    found = queries.join(near.select(F.col("q").alias("vec"), "ids", "score"), "vec").select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").filter("query_id <> vec_id")
+    crowd = written(queries.groupBy("vec").agg(F.count("*").alias("n"), F.min("id").alias("qid")), folder, "crowd")
+    named = written(join_counted(written(queries, folder, "queries"), crowd, ["vec"], "n").select("id", "qid"), folder, "namedqueries")
+    lists = near.groupBy("qid").agg(F.collect_list(F.struct("ids", "score")).alias("found")).join(crowd.select("qid", "n"), "qid")  # k + 1 each
+    found = join_counted(named, written(lists, folder, "lists"), ["qid"], "n").select(F.col("id").alias("query_id"), F.explode("found").alias("x"))
+    found = found.select("query_id", F.explode("x.ids").alias("vec_id"), "x.score").filter("query_id <> vec_id")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
