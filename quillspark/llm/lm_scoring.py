@@ -15,8 +15,10 @@ word before. Both are maximum-entropy distributions over the unigram ones:
   takes gradient steps on its own. Blocks of rows send each of their pairs once, with its count, as differences of sorted
   keys, and get one number for each back.
 
-Words, pairs and contexts are told apart by hashes: of 64 bits for words, of as many as the vocabulary asks for in keys.
-Counts of words that are not listed come back by a join: each block asks once for each of its distinct words.
+All of this works on blocks of rows, written once: the distinct words of a block and its tokens as numbers of them.
+Counting goes the same way as pairs do: a block sends each of its distinct words once to the shard of its hash, and gets
+its count back. Words, pairs and contexts are told apart by hashes: of 64 bits for words, of as many as the vocabulary
+asks for in keys.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +42,8 @@ PIECES, ROUNDS, RATE, SLICE = 32, 2, 0.1, 50_000
 ALPHA = 0.1
 #: What a pair's count is discounted by, for classes and for words: the regularisation of the sparse features.
 DISCOUNT, STEPS = (0.4, 0.6), 12
-#: Bytes of text in a block, about, and training tokens that a shard of pairs aims at.
-BLOCK, SHARD = 12 << 20, 2_000_000
+#: Tokens in a block, about; tokens that a shard of pairs, and one of words, aims at.
+BLOCK, SHARD, WORD_SHARD = 2_000_000, 2_000_000, 8_000_000
 #: Bits of a word within a key, besides its class.
 WORD_BITS = 18
 END, BEGIN = np.uint64(0x5E11D0F5A11), np.uint64(0xB0B0B0B0B0B1)
@@ -133,9 +136,9 @@ def features(last: np.ndarray, skip: np.ndarray, last_place: np.ndarray, skip_pl
     return [last_place, listed + 2 + skip_place, 2 * listed + 3 + pair]
 
 
-def steps(m: Model, texts: list[bytes], sums: np.ndarray) -> int:
+def steps(m: Model, seq: np.ndarray, start: np.ndarray, sums: np.ndarray) -> int:
     """Gradient steps of the class weights on texts; sums: the squared gradients so far. The number of tokens."""
-    seq, start, last, skip = sequence(*words(texts))
+    last, skip = _before(seq, start)
     place, listed = m.look_up(seq), len(m.listed)
     cls = m.class_of(seq, place)
     last_place, skip_place = _context(place, last, start, listed)
@@ -176,7 +179,7 @@ def train_shard(m: Model, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each of the sorted distinct keys, with training counts n (0: only asked for), log10 of its chance.
 
     The chance of the word within its class, times that of the class where the context is not listed. Where it depends
-    on the unigram count of a word that is not listed, that factor is left out and 100 is added.
+    on the unigram count of a word that is not listed, that factor is left out, and the number is given as a positive one.
     """
     bits = CLASSES.bit_length() - 1
     group = keys >> np.uint64(WORD_BITS)  # context, whether listed, class
@@ -191,12 +194,13 @@ def train_shard(m: Model, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     new = np.concatenate([[True], group[1:] != group[:-1]])
     number = np.cumsum(new) - 1
     seen = n > 0
+    open_ = ~hit & ~seen
     weight, z = np.zeros(len(keys)), np.ones(int(number[-1]) + 1)
     if seen.any():
         compact, inverse = np.unique(number[seen], return_inverse=True)
         weight[seen], z[compact] = ascend(n[seen].astype(np.float64), inverse, base[seen], DISCOUNT[1])
     with np.errstate(divide="ignore"):
-        out = np.where(hit | seen, np.log10(base + weight), 100.0) - np.log10(z)[number]
+        out = np.where(hit | seen, np.log10(base + weight), 0.0) - np.log10(z)[number]
     # classes behind words that are not listed
     first = np.flatnonzero(new)
     pair_n = np.add.reduceat(n, first).astype(np.float64)
@@ -213,7 +217,12 @@ def train_shard(m: Model, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
         compact, inverse = np.unique(owner[seen], return_inverse=True)
         weight[seen], z[compact] = ascend(pair_n[seen], inverse, prior[c[seen]], DISCOUNT[0])
     chance = np.where(free, np.log10((prior[c] + weight) / z[owner]), 0.0)
-    return (out + chance[number]).astype(np.float32)
+    out += chance[number]
+    return np.where(open_, OPEN - out, np.minimum(out, 0)).astype(np.float16)
+
+
+#: What makes a number positive.
+OPEN = 2.0**-10
 
 
 #: Between two keys lies at most so much; more is sent as several steps.
@@ -253,46 +262,128 @@ def _texts(batch: pa.RecordBatch):
         yield a, b, [x or b"" for x in col.slice(a, b - a).cast(pa.binary()).to_pylist()]
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(w, n): how often each word (by its hash), and the end, occurs."""
+class Block:
+    """Rows of texts as numbers: ids, held-out flags, sizes, and of all tokens the word (by its hash)."""
 
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, row: dict):
+        self.id, self.doc_id, self.held = row["block"], row["doc_id"], np.asarray(row["held_out"], bool)
+        self.sizes = np.asarray(row["n_tokens"], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.words = np.frombuffer(row["words"], np.uint64)
+        raw = np.frombuffer(zstandard.decompress(row["tokens"]), np.uint8).reshape(-1, self.start[-1])
+        self.local = sum(x.astype(np.int32) << 8 * k for k, x in enumerate(raw))
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
-        def merge():
-            w, inverse = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            return w, np.bincount(inverse, np.concatenate([x[1] for x in held])).astype(np.int64)
+    @property
+    def train(self) -> np.ndarray:
+        """Of each token, whether it is learned from."""
+        return ~self.held[self.owner]
+
+    def sorted_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words in order, their training counts, where each stands in `words`)."""
+        order = np.argsort(self.words)
+        return self.words[order], np.bincount(self.local, self.train, len(self.words)).astype(np.int64)[order], order
+
+    def pairs(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys in order, their training counts, token -> key)."""
+        place = m.look_up(self.words)
+        cls = m.class_of(self.words, place)
+        seq = self.words[self.local]
+        last, _ = _before(seq, self.start)
+        last_place, _ = _context(place[self.local], last, self.start, len(m.listed))
+        keys, index = np.unique(m.keys(seq, place[self.local], cls[self.local], last, last_place), return_inverse=True)
+        return keys, np.bincount(index, self.train, len(keys)).astype(np.int64), index
+
+
+def blocks_in(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Block(batch.slice(i, 1).to_pylist()[0])
+
+
+BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, tokens binary, words binary"
+ANSWERS = "block long, kind int, i int, a binary"
+
+
+def make_blocks(batches):
+    """From (doc_id, held_out, text). Words are numbered by their frequency in the block, and numbers stand byte by byte, which packs well."""
+    long = pa.int64()
+    kinds = {"block": long, "doc_id": pa.list_(long), "held_out": pa.list_(pa.bool_()), "n_tokens": pa.list_(long), "tokens": pa.binary(), "words": pa.binary()}
+    at, pending, size = 0, [], 0
+
+    def out():
+        w, local, n = np.unique(np.concatenate([x[3] for x in pending]), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        number = np.empty(len(w), np.uint32)
+        number[order] = np.arange(len(w))
+        bytes_ = number[local].view(np.uint8).reshape(-1, 4).T[: max(1, (len(w).bit_length() + 7) // 8)]
+        cells = {"block": TaskContext.get().partitionId() << 32 | at, "doc_id": [y for x in pending for y in x[0]], "held_out": [y for x in pending for y in x[1]], "n_tokens": np.concatenate([x[2] for x in pending]).tolist(), "tokens": zstandard.compress(np.ascontiguousarray(bytes_).tobytes(), 1), "words": w[order].tobytes()}
+        return pa.RecordBatch.from_arrays([pa.array([cells[k]], t) for k, t in kinds.items()], names=list(kinds))
+
+    for batch in batches:
+        for a, b, texts in _texts(batch):
+            seq, start, _, _ = sequence(*words(texts))
+            if pending and size + len(seq) > BLOCK:
+                yield out()
+                at, pending, size = at + 1, [], 0
+            pending.append((batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), np.diff(start), seq))
+            size += len(seq)
+    if pending:
+        yield out()
+
+
+def count_words(table: DataFrame, folder: str) -> DataFrame:
+    """Answers: kind 0, of each block and shard i the training counts of the block's words in order; kind 1, of each
+    shard its sums (total, distinct words, and both by hash classes); kind 2, its most frequent words."""
+    tokens = table.agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
+    shards = max(1, -(-tokens // WORD_SHARD))
+    width = (1 << 64) // shards + 1
+
+    def ask(batches):
+        for b in blocks_in(batches):
+            w, n, _ = b.sorted_words()
+            edge = np.searchsorted(w, np.array([min(k * width, (1 << 64) - 1) for k in range(shards)], np.uint64))
+            edge = np.append(edge, len(w))
+            full = np.flatnonzero(np.diff(edge))
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), b.id)), pa.array([w[edge[s] : edge[s + 1]].tobytes() for s in full], pa.binary()), pa.array([pack_counts(n[edge[s] : edge[s + 1]]) for s in full], pa.binary())], names=["shard", "block", "words", "n"])
 
-        def out(w, n):
-            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["w", "n"])
+    def answer(f: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(x, np.uint64) for x in f["words"]]
+        n = [unpack_counts(x, len(k)) for x, k in zip(f["n"], parts)]
+        w, index = np.unique(np.concatenate(parts), return_inverse=True)
+        count = np.bincount(index, np.concatenate(n), len(w)).astype(np.int64)
+        back = [len(x).to_bytes(4, "little") + pack_counts(x) for x in np.split(count[index], np.cumsum([len(k) for k in parts])[:-1])]
+        known = np.flatnonzero(count)
+        c = (w[known] & CLASS_MASK).astype(np.int64)
+        sums = np.concatenate([[count.sum(), len(known)], np.bincount(c, count[known], CLASSES), np.bincount(c, minlength=CLASSES)]).astype(np.int64)
+        top = known[np.lexsort((w[known], -count[known]))[:LISTED]]
+        shard = int(f["shard"].iloc[0])
+        return pd.DataFrame({"block": [*f["block"], -1, -1], "kind": [0] * len(f) + [1, 2], "i": shard, "a": [*back, sums.tobytes(), np.concatenate([w[top].view(np.int64), count[top]]).tobytes()]})
+
+    asked = table.mapInArrow(ask, "shard int, block long, words binary, n binary")
+    return written(asked.groupBy("shard").applyInPandas(answer, ANSWERS), folder, "words")
+
+
+def fit(table: DataFrame, counted: DataFrame) -> Model:
+    """The model without its pairs: list, classes and class weights."""
+    sums = np.zeros(2 + 2 * CLASSES, np.int64)
+    for (x,) in counted.filter("kind = 1").select("a").collect():  # some 500 bytes a shard
+        sums += np.frombuffer(x, np.int64)
+    total, distinct = int(sums[0]), int(sums[1])
 
+    def listed(batches):
         for batch in batches:
-            for _, _, texts in _texts(batch):
-                h, _ = words(texts)
-                w, n = np.unique(h, return_counts=True)
-                held.append((np.append(w, END), np.append(n, len(texts))))
-                if sum(len(x[0]) for x in held) > 2_000_000:
-                    w, n = merge()
-                    held = [(w, n)] if len(w) < 1_000_000 else []
-                    if not held:
-                        yield out(w, n)
-        if held:
-            yield out(*merge())
-
-    return train.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-
-
-def fit(train: DataFrame, counts: DataFrame) -> Model:
-    """The model without its pairs: list, classes and class weights."""
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "w").limit(LISTED).toPandas()
+            for x in batch.column(0):
+                w, n = np.frombuffer(x.as_py(), np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], names=["w", "n"])
+
+    top = counted.filter("kind = 2").select("a").mapInArrow(listed, "w long, n long").orderBy(F.desc("n"), "w").limit(LISTED).toPandas()
     w, n = top["w"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    if not len(w):
+    mass = sums[2 : 2 + CLASSES] + ALPHA * sums[2 + CLASSES :] + ALPHA
+    if len(w):
+        np.subtract.at(mass, (w & CLASS_MASK).astype(np.int64), n + ALPHA)
+    else:
         w, n = np.array([END]), np.array([0])
-    mass = np.full(CLASSES, ALPHA)
-    for c, k, m in counts.groupBy(F.col("w").bitwiseAND(CLASSES - 1).alias("c")).agg(F.count("*"), F.sum("n")).collect():
-        mass[c] += m + ALPHA * k
-    np.subtract.at(mass, (w & CLASS_MASK).astype(np.int64), (n + ALPHA) * (distinct > 0))
     # the listed words, most frequent first, each to the class that weighs least
     heap = [(x, c) for c, x in enumerate(mass.tolist())]
     heapq.heapify(heap)
@@ -303,20 +394,22 @@ def fit(train: DataFrame, counts: DataFrame) -> Model:
         heapq.heappush(heap, (x + k + ALPHA, c))
     np.add.at(mass, classes, n + ALPHA)
     o = np.argsort(w)
-    m = Model(w[o], n[o], classes[o], int(total), int(distinct), mass, np.zeros((table_rows(len(w)), CLASSES), np.float32))
-    m.shards = max(1, -(-m.total // SHARD))
-    m.context_bits = int(np.ceil(np.log2(m.distinct + CLASSES * LISTED))) + 2
-    sc = train.sparkSession.sparkContext
+    m = Model(w[o], n[o], classes[o], total, distinct, mass, np.zeros((table_rows(len(w)), CLASSES), np.float32))
+    m.shards = max(1, -(-total // SHARD))
+    m.context_bits = int(np.ceil(np.log2(distinct + CLASSES * LISTED))) + 2
+    sc = table.sparkSession.sparkContext
     for k in range(ROUNDS):
         shared = sc.broadcast(m)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, k=k):
             base = shared.value
             mine = Model(**(base.__dict__ | {"weights": base.weights.copy()}))
             sums, tokens = np.zeros(mine.weights.shape, np.float32), 0
-            for batch in batches:
-                for _, _, texts in _texts(batch):
-                    tokens += steps(mine, texts, sums)
+            for b in blocks_in(batches):
+                mine_too = ~b.held & (np.arange(len(b.sizes)) % ROUNDS == k)
+                seq = b.words[b.local[mine_too[b.owner]]]
+                if len(seq):
+                    tokens += steps(mine, seq, np.concatenate([[0], np.cumsum(b.sizes[mine_too])]), sums)
             if tokens:
                 task = TaskContext.get().partitionId() % 64
                 parts = [x.astype(np.float16).tobytes() for x in np.array_split(mine.weights.ravel(), PIECES)]
@@ -327,19 +420,19 @@ def fit(train: DataFrame, counts: DataFrame) -> Model:
             total = sum(np.frombuffer(x, np.float16).astype(np.float64) * y for x, y in zip(f["w"], f["tokens"]))
             return pd.DataFrame({"g": [0], "piece": [f["piece"].iloc[0]], "tokens": [t], "w": [(total / t).astype(np.float16).tobytes()]})
 
-        part = train.filter(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(ROUNDS)) == k).select("text")
         schema = "g int, piece int, tokens double, w binary"
-        tasks = part.mapInArrow(run, schema)
+        tasks = table.mapInArrow(run, schema)
         rows = tasks.groupBy("piece", "g").applyInPandas(mean, schema).groupBy("piece").applyInPandas(mean, schema).toPandas().sort_values("piece")
         if len(rows) == PIECES:
             m.weights = np.concatenate([np.frombuffer(x, np.float16) for x in rows["w"]]).astype(np.float32).reshape(m.weights.shape)
     return m
 
 
-def class_scores(m: Model, seq: np.ndarray, start: np.ndarray, last: np.ndarray, skip: np.ndarray, place: np.ndarray) -> np.ndarray:
+def class_scores(m: Model, seq: np.ndarray, start: np.ndarray) -> np.ndarray:
     """log10 of each token's class behind a listed word, 0 behind others."""
     out = np.zeros(len(seq))
-    listed = len(m.listed)
+    listed, place = len(m.listed), m.look_up(seq)
+    last, skip = _before(seq, start)
     cls = m.class_of(seq, place)
     last_place, skip_place = _context(place, last, start, listed)
     ours = np.flatnonzero(last_place >= 0)
@@ -350,24 +443,6 @@ def class_scores(m: Model, seq: np.ndarray, start: np.ndarray, last: np.ndarray,
     return out
 
 
-def pairs_of(m: Model, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: (distinct keys sorted, their training counts, token -> key, token -> distinct word, owner of tokens)."""
-    w = np.frombuffer(block["words"], np.uint64)
-    sizes = np.asarray(block["n_tokens"], np.int64)
-    raw = np.frombuffer(block["tokens"], np.uint8).reshape(sizes.sum(), -1).astype(np.int64)
-    local = sum(raw[:, k] << 8 * k for k in range(raw.shape[1]))
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    seq = w[local]
-    place = m.look_up(w)
-    cls = m.class_of(w, place)
-    last, _ = _before(seq, start)
-    last_place, _ = _context(place[local], last, start, len(m.listed))
-    keys, index = np.unique(m.keys(seq, place[local], cls[local], last, last_place), return_inverse=True)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    train = ~np.asarray(block["held_out"], bool)
-    return keys, np.bincount(index, train[owner], len(keys)).astype(np.int64), index, local, owner
-
-
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -380,85 +455,45 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     folder = scratch(spark)
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(10)) == 0, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    train = rows.filter(~F.col("held_out"))
-    counts = written(word_counts(train), folder, "counts")
-    m = fit(train, counts)
+    table = written(rows.mapInArrow(make_blocks, BLOCKS), folder, "blocks")
+    counted = count_words(table, folder)
+    m = fit(table, counted)
     shared = spark.sparkContext.broadcast(m)
-    long, real = pa.int64(), pa.float64()
-    kinds = {"block": long, "doc_id": pa.list_(long), "held_out": pa.list_(pa.bool_()), "n_tokens": pa.list_(long), "score": pa.list_(real), "tokens": pa.binary(), "words": pa.binary()}
-
-    def blocks(batches):
-        m, at, pending, size = shared.value, 0, [], 0
 
-        def out():
-            w, local = np.unique(np.concatenate([x[4] for x in pending]), return_inverse=True)
-            cells = {"block": TaskContext.get().partitionId() << 32 | at, "doc_id": [y for x in pending for y in x[0]], "held_out": [y for x in pending for y in x[1]], "n_tokens": np.concatenate([x[2] for x in pending]).tolist(), "score": np.concatenate([x[3] for x in pending]).tolist(), "tokens": local.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : 3 if len(w) < 1 << 24 else 4].tobytes(), "words": w.tobytes()}
-            return pa.RecordBatch.from_arrays([pa.array([cells[k]], t) for k, t in kinds.items()], names=list(kinds))
-
-        for batch in batches:
-            for a, b, texts in _texts(batch):
-                seq, start, last, skip = sequence(*words(texts))
-                if pending and size + len(seq) * 6 > BLOCK:
-                    yield out()
-                    at, pending, size = at + 1, [], 0
-                lp = class_scores(m, seq, start, last, skip, m.look_up(seq))
-                pending.append((batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), np.diff(start), np.add.reduceat(lp, start[:-1]), seq))
-                size += len(seq) * 6
-        if pending:
-            yield out()
-
-    block = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, score array<double>, tokens binary, words binary"
-    table = written(rows.mapInArrow(blocks, block), folder, "blocks")
-
-    def ask_words(batches):
+    def ask(batches):
         m = shared.value
-        for batch in batches:
-            for b, w in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h = np.frombuffer(w.as_py(), np.uint64)
-                away = np.flatnonzero(m.look_up(h) < 0)
-                for a in range(0, len(away), 100_000):
-                    i = away[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), b)), pa.array(i.astype(np.int32)), pa.array(h[i].view(np.int64))], names=["block", "i", "w"])
-
-    def ask_pairs(batches):
-        m = shared.value
-        for batch in batches:
-            for r in batch.to_pylist():
-                keys, n, *_ = pairs_of(m, r)
-                edge = np.searchsorted(m.shard_of(keys), np.arange(m.shards + 1))
-                full = np.flatnonzero(np.diff(edge))
-                parts = [(edge[s], edge[s + 1]) for s in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(full), r["block"])), pa.array([pack(keys[a:b]) for a, b in parts], pa.binary()), pa.array([pack_counts(n[a:b]) for a, b in parts], pa.binary())], names=["shard", "block", "keys", "n"])
+        for b in blocks_in(batches):
+            keys, n, _ = b.pairs(m)
+            edge = np.searchsorted(m.shard_of(keys), np.arange(m.shards + 1))
+            full = np.flatnonzero(np.diff(edge))
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), b.id)), pa.array([pack(keys[edge[s] : edge[s + 1]]) for s in full], pa.binary()), pa.array([pack_counts(n[edge[s] : edge[s + 1]]) for s in full], pa.binary())], names=["shard", "block", "keys", "n"])
 
     def answer(f: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack(x) for x in f["keys"]]
         n = [unpack_counts(x, len(k)) for x, k in zip(f["n"], keys)]
         all_keys, index = np.unique(np.concatenate(keys), return_inverse=True)
         lp = train_shard(shared.value, all_keys, np.bincount(index, np.concatenate(n), len(all_keys)).astype(np.int64))[index]
-        return pd.DataFrame({"block": f["block"], "i": f["shard"].astype(np.int32), "n": -1, "a": [x.tobytes() for x in np.split(lp, np.cumsum([len(k) for k in keys])[:-1])]})
+        return pd.DataFrame({"block": f["block"], "kind": 3, "i": f["shard"], "a": [x.tobytes() for x in np.split(lp, np.cumsum([len(k) for k in keys])[:-1])]})
 
-    whole = "block long, i int, n long, a binary"
-    pairs = table.select("block", "n_tokens", "held_out", "tokens", "words").mapInArrow(ask_pairs, "shard long, block long, keys binary, n binary")
-    known = table.select("block", "words").mapInArrow(ask_words, "block long, i int, w long").join(counts, "w").select("block", "i", "n", F.lit(None).cast("binary").alias("a"))
-    answers = known.unionByName(pairs.groupBy("shard").applyInPandas(answer, whole))
+    pairs = table.mapInArrow(ask, "shard int, block long, keys binary, n binary").groupBy("shard").applyInPandas(answer, ANSWERS)
+    answers = counted.filter("kind = 0").unionByName(pairs)
     norm = float(np.log10(m.total + ALPHA * (m.distinct + 1)))
 
     def finish(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         m, out = shared.value, []
-        for _, r in left.iterrows():
-            keys, _, index, local, owner = pairs_of(m, r)
-            w = np.frombuffer(r["words"], np.uint64)
-            place = m.look_up(w)
-            c = np.where(place >= 0, m.count[place], 0).astype(np.float64)
-            counted = right[right["n"] >= 0]
-            c[counted["i"].to_numpy()] = counted["n"].to_numpy()
-            lp = np.concatenate([np.frombuffer(x, np.float32) for x in right[right["n"] < 0].sort_values("i")["a"]])[index].astype(np.float64)
+        for r in left.to_dict("records"):
+            b = Block(r)
+            _, _, order = b.sorted_words()
+            c = np.empty(len(b.words))
+            right = right.sort_values("i")
+            c[order] = np.concatenate([unpack_counts(x[4:], int.from_bytes(x[:4], "little")) for x in right[right["kind"] == 0]["a"]])
             share = np.log10(c + ALPHA)
-            inner = share - np.log10(m.mass[m.class_of(w, place)])
-            lp = np.where(lp > 50, lp - 100 + inner[local], lp)
-            size = len(r["n_tokens"])
-            n = np.asarray(r["n_tokens"], np.int64)
-            out.append(pd.DataFrame({"doc_id": pd.array(list(r["doc_id"]), "Int64"), "held_out": list(r["held_out"]), "n_tokens": n, "n_known": np.bincount(owner, (c > 0)[local], size).astype(np.int64), "train_tokens": m.total, "base_score": np.bincount(owner, share[local], size) - n * norm, "score": np.asarray(r["score"]) + np.bincount(owner, lp, size)}))
+            inner = share - np.log10(m.mass[m.class_of(b.words, m.look_up(b.words))])
+            _, _, index = b.pairs(m)
+            lp = np.concatenate([np.frombuffer(x, np.float16) for x in right[right["kind"] == 3]["a"]])[index].astype(np.float64)
+            lp = np.where(lp > 0, OPEN - lp + inner[b.local], lp) + class_scores(m, b.words[b.local], b.start)
+            size = len(b.sizes)
+            out.append(pd.DataFrame({"doc_id": pd.array(list(b.doc_id), "Int64"), "held_out": b.held, "n_tokens": b.sizes, "n_known": np.bincount(b.owner, (c > 0)[b.local], size).astype(np.int64), "train_tokens": m.total, "base_score": np.bincount(b.owner, share[b.local], size) - b.sizes * norm, "score": np.bincount(b.owner, lp, size)}))
         return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return table.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
