@@ -37,8 +37,19 @@ LESS_CERTAIN = [
     ("demonstrates", "is suggestive of"),
     ("shows", "may show"),
 ]
-#: Own short list of English stop words; a parameter of clean_tokens.
-STOP_WORDS = "a an the and or but if of at by for with from to in on is are was were be been this that these those it its as".split()
+#: English stop words as the common natural-language toolkit lists them; a parameter of clean_tokens.
+STOP_WORDS = """
+i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself
+she she's her hers herself it it's its itself they them their theirs themselves what which who whom this that that'll
+these those am is are was were be been being have has had having do does did doing a an the and but if or because as
+until while of at by for with about against between into through during before after above below to from up down in
+out on off over under again further then once here there when where why how all any both each few more most other some
+such no nor not only own same so than too very s t can will just don don't should should've now d ll m o re ve y ain
+aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't
+mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
+""".split()
+#: White space of any script, as a character class that Java's patterns and RE2 read alike.
+WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def blank(c: Column) -> Column:
@@ -46,17 +57,22 @@ def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+
+
 def tokens(c: Column) -> Column:
     """Lower-cased words between white space; null or blank: none."""
-    return F.filter(F.split(F.lower(blank(c)), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(blank(c)), f"{WS}+"), lambda x: x != "")
 
 
 def findings(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(blank(c), r"(?is)FINDINGS:(.*?)(?:IMPRESSION:|$)", 1), r"^\s+|\s+$", ""))
+    return F.trim(stripped(F.regexp_extract(blank(c), r"(?is)FINDINGS:(.*?)(?:IMPRESSION:|$)", 1)))
 
 
 def impression(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(blank(c), r"(?is)IMPRESSION:(.*?)$", 1), r"^\s+|\s+$", ""))
+    return F.trim(stripped(F.regexp_extract(blank(c), r"(?is)IMPRESSION:(.*?)$", 1)))
 
 
 def body(c: Column, skip_impression: bool = False) -> Column:
@@ -67,8 +83,8 @@ def body(c: Column, skip_impression: bool = False) -> Column:
         none = reduce(lambda a, b: a & b, (~F.contains(F.upper(x), F.lit(h)) for h in heads))
         return (x != "") & ~x.startswith("___") & ~x.startswith("//") & none
 
-    lines = F.filter(F.transform(F.split(blank(c), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), keep)
-    return F.trim(F.regexp_replace(F.array_join(lines, " "), r"\s+", " "))
+    lines = F.filter(F.transform(F.split(blank(c), "\n"), stripped), keep)
+    return F.trim(F.regexp_replace(F.array_join(lines, " "), f"{WS}+", " "))
 
 
 def findings_or_body(c: Column) -> Column:
@@ -89,23 +105,23 @@ def clean_tokens(c: Column, stop_words: list[str] | None = None, fix_abbreviatio
     for short, long in ABBREVIATIONS:
         text = F.regexp_replace(text, rf"\b{short}\." + ("" if fix_abbreviations else r"\b"), long)
     stop = [w for w in (STOP_WORDS if stop_words is None else stop_words) if w not in KEPT_STOP_WORDS]
-    found = F.filter(F.split(text, r"\s+"), lambda x: F.length(x) > 1)
+    found = F.filter(F.split(text, f"{WS}+"), lambda x: F.length(x) > 1)
     return F.filter(found, lambda x: ~x.isin(stop)) if stop else found
 
 
 def simple_tokens(c: Column) -> Column:
-    return F.filter(F.split(_letters(c), r"\s+"), lambda x: F.length(x) > 1)
+    return F.filter(F.split(_letters(c), f"{WS}+"), lambda x: F.length(x) > 1)
 
 
 def without_noise(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(blank(c), NOISE, ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(blank(c), NOISE, ""), f"{WS}+", " "))
 
 
 def domain_tokens(c: Column) -> Column:
     text = F.lower(blank(c))
     for words, word in DOMAIN_REWRITES:
         text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])", word)
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    return F.filter(F.split(text, f"{WS}+"), lambda x: x != "")
 
 
 def ngrams(t: Column, n: int = 2) -> Column:
@@ -120,7 +136,7 @@ def joined(f: Column, i: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Parts between full stops, trimmed, each with its stop; empty ones drop out."""
-    parts = F.filter(F.transform(F.split(blank(c), r"\."), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(blank(c), r"\."), stripped), lambda x: x != "")
     return F.transform(parts, lambda x: F.concat(x, F.lit(".")))
 
 

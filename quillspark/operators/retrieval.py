@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.arrays import dot
 
-__all__ = ["batch", "contrastive_loss", "dot", "normalised", "ranked", "similarities"]
+__all__ = ["batches", "contrastive_loss", "dot", "match_ranks", "nearest", "normalised", "sides"]
 
 
 def normalised(df: DataFrame, column: str) -> DataFrame:
@@ -19,27 +21,75 @@ def normalised(df: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, F.transform(parts, lambda p: p["x"] / p["n"])).drop("__n")
 
 
-def batch(embeddings: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(i, v) and (j, w): the pairs of one training batch of `size` rows."""
-    u = normalised(embeddings.filter(F.col("vec_id") <= size), "embedding")
-    return u.filter(F.col("vec_id") < size).select(F.col("vec_id").alias("i"), F.col("embedding").alias("v")), u.filter("vec_id >= 1").select((F.col("vec_id") - 1).alias("j"), F.col("embedding").alias("w"))
+def sides(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(i, v) and (j, w): every row's vector, and as its match that of the next id."""
+    u = normalised(embeddings.filter("vec_id is not null"), "embedding")
+    return u.select(F.col("vec_id").alias("i"), F.col("embedding").alias("v")), u.select((F.col("vec_id") - 1).alias("j"), F.col("embedding").alias("w"))
 
 
-def similarities(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(i, j, sim) of all pairs of a batch, whose size bounds both sides."""
-    return left.crossJoin(F.broadcast(right)).select("i", "j", dot(F.col("v"), F.col("w")).alias("sim"))
+def batches(embeddings: DataFrame, size: int) -> DataFrame:
+    """(batch, i, j, sim) of all pairs within each batch of `size` ids: what training steps see, one after the other."""
+    left, right = sides(embeddings)
+    a, b = left.withColumn("batch", F.floor(F.col("i") / size)), right.withColumn("batch", F.floor(F.col("j") / size)).filter("j >= 0")
+    return a.join(b, "batch").select("batch", "i", "j", dot(F.col("v"), F.col("w")).alias("sim"))
 
 
-def ranked(sim: DataFrame) -> DataFrame:
-    """With rank (of j for i) and back (of i for j); sums that differ beyond nine digits are ties, which go to the smaller id."""
-    key = F.round("sim", 9)
-    return sim.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc(key), "j"))).withColumn("back", F.row_number().over(Window.partitionBy("j").orderBy(F.desc(key), "i")))
+def _dealt(df: DataFrame, key: str, block: int) -> tuple[DataFrame, int]:
+    n = max(1, -(-df.count() // block))
+    return df.withColumn(f"b{key}", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+
+
+def _meet(left: DataFrame, right: DataFrame, block: int, work, schema: str) -> DataFrame:
+    """work(left's frame, right's frame) for every pair of blocks: a task holds one block of each side."""
+    left, n = _dealt(left, "i", block)
+    right, m = _dealt(right, "j", block)
+    each = lambda df, c, k: df.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+
+    def run(key, x, y):
+        return work(x.sort_values("i"), y.sort_values("j")) if len(x) and len(y) else pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
+
+    return each(left, "bj", m).groupBy("bi", "bj").cogroup(each(right, "bi", n).groupBy("bi", "bj")).applyInPandas(run, schema)
+
+
+def _products(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+    return np.round(np.stack(x["v"].to_numpy()) @ np.stack(y["w"].to_numpy()).T, 9)
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(i, rank, j, sim): the k best matches of every row among all, by blocks; sums equal to nine digits are ties, which go to the smaller id."""
+
+    def work(x, y):
+        s, j = _products(x, y), y["j"].to_numpy()
+        keep = min(k, len(j))
+        top = np.argsort(-s, axis=1, kind="stable")[:, :keep]
+        return pd.DataFrame({"i": np.repeat(x["i"].to_numpy(), keep), "j": j[top].ravel(), "sim": np.take_along_axis(s, top, 1).ravel()})
+
+    hits = _meet(left, right, block, work, "i long, j long, sim double")
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim"), "j"))).filter(F.col("rank") <= k).select("i", "rank", "j", "sim")
+
+
+def match_ranks(left: DataFrame, right: DataFrame, block: int = 4096) -> DataFrame:
+    """(i, rank, back): the place of each row's own match among all, both ways. Only better ones are counted; no matrix is kept."""
+    own = left.join(right, left["i"] == right["j"]).select("i", dot(F.col("v"), F.col("w")).alias("m"))
+    a = left.join(own.select("i", F.round("m", 9).alias("m")), "i")
+    b = right.join(own.select(F.col("i").alias("j"), F.round("m", 9).alias("m")), "j")
+
+    def work(x, y):
+        s = _products(x, y)
+        i, j = x["i"].to_numpy()[:, None], y["j"].to_numpy()[None]
+        for_i = (s > x["m"].to_numpy()[:, None]) | ((s == x["m"].to_numpy()[:, None]) & (j < i))
+        for_j = (s > y["m"].to_numpy()[None]) | ((s == y["m"].to_numpy()[None]) & (i < j))
+        return pd.DataFrame({"id": np.concatenate([i[:, 0], j[0]]), "better": np.concatenate([for_i.sum(1), for_j.sum(0)]), "way": np.repeat([0, 1], [len(x), len(y)])})
+
+    counted = _meet(a, b, block, work, "id long, better long, way int").groupBy(F.col("id").alias("i"), "way").agg(F.sum("better").alias("n"))
+    place = lambda k: (F.max(F.when(F.col("way") == k, F.col("n"))) + 1).alias("rank" if k == 0 else "back")
+    return counted.groupBy("i").agg(place(0), place(1))
 
 
 def contrastive_loss(sim: DataFrame, temperature: float) -> DataFrame:
-    """The symmetric loss of a batch: mean of -log softmax of the matches, by row and by column."""
+    """(batch, loss): the symmetric loss of each batch: mean of -log softmax of the matches, by row and by column."""
     z = sim.withColumn("z", F.col("sim") / temperature)
-    lse = lambda c: F.max("z").over(Window.partitionBy(c)) + F.log(F.sum(F.exp(F.col("z") - F.col(f"m{c}"))).over(Window.partitionBy(c)))
-    z = z.withColumn("mi", F.max("z").over(Window.partitionBy("i"))).withColumn("mj", F.max("z").over(Window.partitionBy("j")))
-    z = z.withColumn("li", lse("i")).withColumn("lj", lse("j")).filter("i = j")
-    return z.agg(F.round((F.avg(F.col("li") - F.col("z")) + F.avg(F.col("lj") - F.col("z"))) / 2, 5).alias("loss"))
+    row, col = Window.partitionBy("batch", "i"), Window.partitionBy("batch", "j")
+    z = z.withColumn("mi", F.max("z").over(row)).withColumn("mj", F.max("z").over(col))
+    z = z.withColumn("li", F.col("mi") + F.log(F.sum(F.exp(F.col("z") - F.col("mi"))).over(row))).withColumn("lj", F.col("mj") + F.log(F.sum(F.exp(F.col("z") - F.col("mj"))).over(col)))
+    return z.filter("i = j").groupBy("batch").agg(F.round((F.avg(F.col("li") - F.col("z")) + F.avg(F.col("lj") - F.col("z"))) / 2, 5).alias("loss"))

@@ -18,6 +18,26 @@ def length_stats(df: DataFrame, by: list[str], n: Column) -> DataFrame:
     )
 
 
+def long_form(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., metric, value) of a table of metrics of one type."""
+    return df.unpivot(by, [c for c in df.columns if c not in by], "metric", "value")
+
+
+def quantiles(df: DataFrame, value: Column, points: dict[str, float], step: float) -> DataFrame:
+    """One row: interpolated quantiles of a column over a whole table, without gathering it: rows are numbered by buckets of `step`."""
+    from quillspark.operators.numbering import positions
+
+    rows = positions(df.select(value.alias("__v")).filter("__v is not null"), [(F.floor(F.col("__v") / step), True)], [F.col("__v")], name="__i")
+    n = df.filter(value.isNotNull()).count()
+    out = []
+    for name, p in points.items():
+        at = p * (n - 1) + 1
+        low, part = int(at), at - int(at)
+        pick = lambda k: F.max(F.when(F.col("__i") == k, F.col("__v")))
+        out.append((pick(low) * (1 - part) + F.coalesce(pick(low + 1), F.lit(0.0)) * part).alias(name))
+    return rows.agg(*out)
+
+
 def frequency_stats(freq: DataFrame, by: list[str]) -> DataFrame:
     """Of a table (by..., token, freq): size, shape, and rare and common shares."""
     f = F.col("freq")

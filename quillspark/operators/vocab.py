@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +13,21 @@ from quillspark.operators.numbering import positions
 SPECIALS = ["<pad>", "<unk>", "<start>", "<end>"]
 
 
-def counts(df: DataFrame, tokens: Column, by: list[str] | None = None) -> DataFrame:
-    """(by..., token, freq)."""
+def counts(df: DataFrame, tokens: Column, by: list[str] | None = None, order: Column | None = None) -> DataFrame:
+    """(by..., token, freq), and with order, a number that orders rows, (first_row, first_pos): where a token is first seen."""
     by = by or []
-    return df.select(*by, F.explode(tokens).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("freq"))
+    if order is None:
+        return df.select(*by, F.explode(tokens).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("freq"))
+    found = df.select(*by, order.alias("__o"), F.posexplode(tokens).alias("__p", "token")).groupBy(*by, "token")
+    return found.agg(F.count("*").alias("freq"), F.min(F.struct("__o", "__p")).alias("x")).select(*by, "token", "freq", F.col("x.__o").alias("first_row"), F.col("x.__p").alias("first_pos"))
 
 
 def ranked(freq: DataFrame, first_id: int = 1) -> DataFrame:
-    """freq with `id` in the order of (freq descending, token)."""
-    out = positions(freq, [(F.col("freq"), False), (F.substring("token", 1, 2), True)], [F.col("token")], name="id")
+    """freq with `id` in the order of (freq descending, first seen), or (freq descending, token) where that is not known."""
+    if "first_row" in freq.columns:
+        out = positions(freq, [(F.col("freq"), False), (F.floor(F.col("first_row") / 1000), True)], [F.col("first_row"), F.col("first_pos")], name="id")
+    else:
+        out = positions(freq, [(F.col("freq"), False), (F.substring("token", 1, 2), True)], [F.col("token")], name="id")
     return out.withColumn("id", F.col("id") + (first_id - 1))
 
 
@@ -32,6 +41,7 @@ def built(freq: DataFrame, min_freq: int = 5, cap: int | None = 1500) -> DataFra
     words = ranked(freq.filter(F.col("freq") >= min_freq), len(SPECIALS))
     if cap is not None:
         words = words.filter(F.col("id") < len(SPECIALS) + cap)
+    words = words.drop("first_row", "first_pos")
     special = freq.sparkSession.createDataFrame([(t, 0, i, True) for i, t in enumerate(SPECIALS)], "token string, freq long, id long, is_special boolean")
     return special.unionByName(words.withColumn("is_special", F.lit(False)))
 
@@ -45,22 +55,68 @@ def extended(vocab: DataFrame, terms: DataFrame) -> DataFrame:
     return out.withColumn("reachable", ~F.contains("token", F.lit(" ")))
 
 
-def encode(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, unknown: int = 1) -> DataFrame:
-    """(key, ids): by a join, so that a vocabulary of any size does; a row without tokens has an empty array."""
-    rows = df.select(key, F.posexplode_outer(tokens).alias("__pos", "__token"))
-    ids = rows.join(vocab.select(F.col("token").alias("__token"), F.col("id").cast("int").alias("__id")), "__token", "left")
-    cell = F.when(F.col("__pos").isNotNull(), F.struct("__pos", F.coalesce("__id", F.lit(unknown)).alias("__id")))
-    got = ids.groupBy(key).agg(F.sort_array(F.collect_list(cell)).alias("__cells"))
-    return got.select(key, F.transform("__cells", lambda x: x["__id"]).alias("ids"))
+def _shared(vocab: DataFrame, most: int):
+    """The first words of a vocabulary (by id, that is by frequency), at most about `most`, sent to all executors."""
+    low = vocab.agg(F.min("id")).first()[0] or 0
+    head = vocab.filter(F.col("id") < low + most).select("token", F.col("id").cast("int").alias("id")).toArrow()
+    return vocab.sparkSession.sparkContext.broadcast((head["token"].combine_chunks(), head["id"].combine_chunks())), low + most
 
 
-def decode(df: DataFrame, key: str, ids: Column, vocab: DataFrame) -> DataFrame:
-    """(key, text): fills, specials and unknown ids dropped."""
-    rows = df.select(key, F.posexplode_outer(F.filter(ids, lambda x: x != 0)).alias("__pos", "__id"))
+def _mapped(column: pa.ListArray, known: pa.Array, values: pa.Array) -> pa.ListArray:
+    """Each element's value, null where it is not known; null lists become empty. One hash look-up for a whole batch."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pc.take(values, pc.index_in(column.flatten(), value_set=known)))
+
+
+def encode(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, unknown: int = 1, most: int = 200_000) -> DataFrame:
+    """(key, ids), one row per row of df; a row without tokens has an empty array.
+
+    The `most` first words are looked up in place, batch by batch, without a shuffle. Of a larger vocabulary the words
+    behind them, none of which is frequent, are joined.
+    """
+    shared, top = _shared(vocab, most)
+    rest = vocab.filter(F.col("id") >= top).select("token", F.col("id").cast("int").alias("id"))
+
+    def run(batches):
+        known, ids = shared.value
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _mapped(b.column(1), known, ids), b.column(1)], names=[key, "ids", "__t"])
+
+    rows = df.select(key, tokens.alias("__t"))
+    kind = rows.schema[key].dataType.simpleString()
+    got = rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>, __t array<string>")
+    fill = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(unknown)))
+    if rest.isEmpty():
+        return got.select(key, fill("ids").alias("ids"))
+    got = got.withColumn("__row", F.monotonically_increasing_id())
+    cells = F.filter(F.arrays_zip(F.col("ids").alias("i"), F.col("__t").alias("t"), F.sequence(F.lit(0), F.size("ids") - 1).alias("p")), lambda x: x["i"].isNull())
+    away = got.filter(F.exists("ids", lambda x: x.isNull())).select("__row", F.explode(cells).alias("c")).select("__row", F.col("c.p").alias("p"), F.col("c.t").alias("token"))
+    found = away.join(rest, "token").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("p", "id"))).alias("__found"))
+    ids = F.transform("ids", lambda x, i: F.coalesce(x, F.try_element_at(F.col("__found"), i)))
+    both = got.join(found, "__row", "left").select(key, F.when(F.col("__found").isNull(), F.col("ids")).otherwise(ids).alias("ids"))
+    return both.select(key, fill("ids").alias("ids"))
+
+
+def decode(df: DataFrame, key: str, ids: Column, vocab: DataFrame, most: int = 200_000) -> DataFrame:
+    """(key, text), one row per row of df: fills, specials and unknown ids dropped. Words behind the `most` first ones are joined, as in encode."""
     words = vocab.filter(~F.col("is_special")) if "is_special" in vocab.columns else vocab
-    words = words.select(F.col("id").alias("__id"), F.col("token").alias("__token"))
-    cells = rows.join(words, "__id", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("__token").isNotNull(), F.struct("__pos", "__token")))).alias("__cells"))
-    return cells.select(key, F.array_join(F.transform("__cells", lambda x: x["__token"]), " ").alias("text"))
+    shared, top = _shared(words, most)
+    rest = words.filter(F.col("id") >= top).select(F.col("id").cast("int").alias("id"), "token")
+
+    def run(batches):
+        known, found = shared.value
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _mapped(b.column(1), found, known), b.column(1)], names=[key, "__w", "__t"])
+
+    rows = df.select(key, F.filter(ids, lambda x: x != 0).cast("array<int>").alias("__t"))
+    got = rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, __w array<string>, __t array<int>")
+    if not rest.isEmpty():
+        got = got.withColumn("__row", F.monotonically_increasing_id())
+        away = got.select("__row", F.posexplode("__t").alias("p", "id")).filter(F.col("id") >= top)
+        found = away.join(rest, "id").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("p", "token"))).alias("__found"))
+        word = F.transform("__w", lambda x, i: F.coalesce(x, F.try_element_at(F.col("__found"), i)))
+        got = got.join(found, "__row", "left").withColumn("__w", F.when(F.col("__found").isNull(), F.col("__w")).otherwise(word))
+    return got.select(key, F.array_join("__w", " ").alias("text"))
 
 
 def problems(vocab: DataFrame) -> DataFrame:

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from quillspark.plans import corpora, integrity, retrieval, texts  # noqa: E402, F401  (they register their queries)
+from quillspark.plans import corpora, files, integrity, retrieval, texts  # noqa: E402, F401  (they register their queries)

@@ -8,11 +8,12 @@ from quillspark.operators import retrieval as R
 from quillspark.plans.registry import query
 from quillspark.sources.tables import table
 
-#: Pairs within one bounded batch, as a training step has them (the batch is a parameter of the operator).
+#: Ids of a training batch.
 BATCH = 64
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM (SELECT vec_id, label, embedding::DOUBLE[] AS embedding FROM embeddings))"
-_SIM = f"WITH {_UNIT}, a AS (SELECT vec_id AS i, v FROM u WHERE vec_id < {BATCH}), b AS (SELECT vec_id - 1 AS j, v FROM u WHERE vec_id BETWEEN 1 AND {BATCH}), s AS (SELECT i, j, list_dot_product(a.v, b.v) AS sim FROM a, b)"
-_RANK = f"{_SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j) AS rank, row_number() OVER (PARTITION BY j ORDER BY round(sim, 9) DESC, i) AS back FROM s)"
+_SIDES = f"WITH {_UNIT}, a AS (SELECT vec_id AS i, v FROM u), b AS (SELECT vec_id - 1 AS j, v FROM u)"
+_SIM = f"{_SIDES}, s AS (SELECT i // {BATCH} AS batch, i, j, list_dot_product(a.v, b.v) AS sim FROM a JOIN b ON i // {BATCH} = j // {BATCH} AND j >= 0)"
+_RANK = f"{_SIDES}, s AS (SELECT i, j, round(list_dot_product(a.v, b.v), 9) AS sim FROM a, b), m AS (SELECT i AS k, sim AS own FROM s WHERE i = j), r AS (SELECT i, count(*) FILTER (sim > own OR (sim = own AND j < i)) + 1 AS rank FROM s JOIN m ON i = k WHERE j IN (SELECT k FROM m) GROUP BY i), q AS (SELECT j, count(*) FILTER (sim > own OR (sim = own AND i < j)) + 1 AS back FROM s JOIN m ON j = k WHERE i IN (SELECT k FROM m) GROUP BY j)"
 
 
 @query(f"WITH {_UNIT} SELECT vec_id, round(list_sum(v), 6) AS total, round(list_dot_product(v, v), 6) AS norm FROM u")
@@ -21,35 +22,33 @@ def l2_normalise(spark, d):
     return u.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(R.dot(F.col("v"), F.col("v")), 6).alias("norm"))
 
 
-def _similarities(spark, d):
-    return R.similarities(*R.batch(table(spark, d, "embeddings"), BATCH))
-
-
-@query(f"{_SIM} SELECT i, j, round(sim, 6) AS sim FROM s")
+@query(f"{_SIM} SELECT batch, i, j, round(sim, 6) AS sim FROM s")
 def similarity_matrix(spark, d):
-    return _similarities(spark, d).select("i", "j", F.round("sim", 6).alias("sim"))
+    """The matrices of all batches."""
+    return R.batches(table(spark, d, "embeddings"), BATCH).select("batch", "i", "j", F.round("sim", 6).alias("sim"))
 
 
-@query(f"{_RANK} SELECT i, rank, j, round(sim, 6) AS sim FROM r WHERE rank <= 10")
+@query(f"{_SIDES}, s AS (SELECT i, j, round(list_dot_product(a.v, b.v), 9) AS sim FROM a, b) SELECT i, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank, j, round(sim, 6) AS sim FROM s QUALIFY rank <= 10")
 def topk_retrieval(spark, d):
-    return R.ranked(_similarities(spark, d)).filter("rank <= 10").select("i", F.col("rank").cast("long").alias("rank"), "j", F.round("sim", 6).alias("sim"))
+    """The ten best matches of every row among all."""
+    return R.nearest(*R.sides(table(spark, d, "embeddings")), 10).select("i", F.col("rank").cast("long").alias("rank"), "j", F.round("sim", 6).alias("sim"))
 
 
-@query(f"{_RANK} SELECT i, rank AS image_to_text, back AS text_to_image FROM r WHERE i = j")
+@query(f"{_RANK} SELECT i, rank AS image_to_text, back AS text_to_image FROM r JOIN q ON i = j")
 def match_rank(spark, d):
-    r = R.ranked(_similarities(spark, d)).filter("i = j")
-    return r.select("i", F.col("rank").cast("long").alias("image_to_text"), F.col("back").cast("long").alias("text_to_image"))
+    r = R.match_ranks(*R.sides(table(spark, d, "embeddings")))
+    return r.select("i", F.col("rank").alias("image_to_text"), F.col("back").alias("text_to_image"))
 
 
-@query(f"{_RANK} SELECT round(avg((rank <= 1)::INT), 6) AS recall_1, round(avg((rank <= 5)::INT), 6) AS recall_5, round(avg((rank <= 10)::INT), 6) AS recall_10 FROM r WHERE i = j")
+@query(f"{_RANK} SELECT round(avg((rank <= 1)::INT), 6) AS recall_1, round(avg((rank <= 5)::INT), 6) AS recall_5, round(avg((rank <= 10)::INT), 6) AS recall_10 FROM r")
 def recall_at_k(spark, d):
-    r = R.ranked(_similarities(spark, d)).filter("i = j")
+    r = R.match_ranks(*R.sides(table(spark, d, "embeddings")))
     return r.agg(*(F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias(f"recall_{k}") for k in (1, 5, 10)))
 
 
-@query(f"{_SIM}, z AS (SELECT i, j, sim / 0.07 AS z FROM s), zi AS (SELECT i, ln(sum(exp(z))) AS l FROM z GROUP BY i), zj AS (SELECT j, ln(sum(exp(z))) AS l FROM z GROUP BY j) SELECT round((avg(zi.l - z) + avg(zj.l - z)) / 2, 5) AS loss FROM z JOIN zi USING (i) JOIN zj USING (j) WHERE i = j")
+@query(f"{_SIM}, z AS (SELECT batch, i, j, sim / 0.07 AS z FROM s), zi AS (SELECT batch, i, ln(sum(exp(z))) AS l FROM z GROUP BY ALL), zj AS (SELECT batch, j, ln(sum(exp(z))) AS l FROM z GROUP BY ALL) SELECT z.batch, round((avg(zi.l - z) + avg(zj.l - z)) / 2, 5) AS loss FROM z JOIN zi USING (batch, i) JOIN zj USING (batch, j) WHERE i = j GROUP BY z.batch")
 def contrastive_loss(spark, d):
-    return R.contrastive_loss(_similarities(spark, d), 0.07)
+    return R.contrastive_loss(R.batches(table(spark, d, "embeddings"), BATCH), 0.07)
 
 
 @query()

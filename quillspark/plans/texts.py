@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import views as V
-from quillspark.operators import augment
+from quillspark.operators import augment, vocab
 from quillspark.plans.registry import query
 from quillspark.sources.tables import table
 
 #: Documents as reports: with both sections, one, a header in lower case, or none.
 REPORT_SQL = """CASE doc_id % 4 WHEN 0 THEN 'FINAL REPORT' || chr(10) || 'FINDINGS: ' || text || chr(10) || 'IMPRESSION: ' || source
   WHEN 1 THEN 'Impression: ' || text WHEN 2 THEN 'findings:' || text ELSE '___ x' || chr(10) || 'INDICATION: none' || chr(10) || text END"""
-TOK = "list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')"
-TRIM = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+WS = T.WS
+TOK = f"list_filter(string_split_regex(lower(coalesce(text, '')), '{WS}+'), lambda x: x <> '')"
+TRIM = lambda x: f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
 def reports(spark, d):
@@ -41,7 +42,7 @@ def section_extract(spark, d):
 
 
 BODY = f"""trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(report, chr(10)), lambda x: {TRIM("x")}),
-  lambda x: x <> '' AND NOT starts_with(x, '___') AND NOT starts_with(x, '//') AND NOT contains(upper(x), 'FINAL REPORT') AND NOT contains(upper(x), 'REASON FOR EXAMINATION') AND NOT contains(upper(x), 'INDICATION:') AND NOT contains(upper(x), 'EXAMINATION:') AND NOT contains(upper(x), 'COMPARISON:') AND NOT contains(upper(x), 'TECHNIQUE:')), ' '), '\\s+', ' ', 'g'))"""
+  lambda x: x <> '' AND NOT starts_with(x, '___') AND NOT starts_with(x, '//') AND NOT contains(upper(x), 'FINAL REPORT') AND NOT contains(upper(x), 'REASON FOR EXAMINATION') AND NOT contains(upper(x), 'INDICATION:') AND NOT contains(upper(x), 'EXAMINATION:') AND NOT contains(upper(x), 'COMPARISON:') AND NOT contains(upper(x), 'TECHNIQUE:')), ' '), '{WS}+', ' ', 'g'))"""
 
 
 @query(f"SELECT doc_id, coalesce(nullif({FIND}, ''), {BODY}) AS findings FROM (SELECT doc_id, {REPORT_SQL} AS report FROM documents)")
@@ -66,7 +67,7 @@ _LETTERS = "regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_\\s\\-\\.]
 _ABBR = _LETTERS
 for _a, _b in T.ABBREVIATIONS:
     _ABBR = f"regexp_replace({_ABBR}, '\\b{_a}\\.\\b', '{_b}', 'g')"
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS if w not in T.KEPT_STOP_WORDS)
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS if w not in T.KEPT_STOP_WORDS)
 _digest = lambda c: F.md5(F.array_join(c, " "))
 _sql = lambda c: f"SELECT doc_id, md5(array_to_string({c}, ' ')) AS digest, len({c})::BIGINT AS n FROM documents"
 
@@ -76,12 +77,12 @@ def _tokens(spark, d, f):
     return t.select("doc_id", _digest(F.col("t")).alias("digest"), F.size("t").cast("long").alias("n"))
 
 
-@query(_sql(f"list_filter(string_split_regex({_ABBR}, '\\s+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP}))"))
+@query(_sql(f"list_filter(string_split_regex({_ABBR}, '{WS}+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP}))"))
 def clean_medical(spark, d):
     return _tokens(spark, d, T.clean_tokens)
 
 
-@query(_sql(f"list_filter(string_split_regex({_LETTERS}, '\\s+'), lambda x: length(x) > 1)"))
+@query(_sql(f"list_filter(string_split_regex({_LETTERS}, '{WS}+'), lambda x: length(x) > 1)"))
 def simple_preprocess(spark, d):
     return _tokens(spark, d, T.simple_tokens)
 
@@ -92,7 +93,7 @@ for _p, _w in T.DOMAIN_REWRITES:
         _DOM = f"regexp_replace({_DOM}, '(^|[^\\p{{L}}\\p{{N}}_])(?:{_p})([^\\p{{L}}\\p{{N}}_]|$)', '\\1{_w}\\2', 'g')"
 
 
-@query(_sql(f"list_filter(string_split_regex({_DOM}, '\\s+'), lambda x: x <> '')"))
+@query(_sql(f"list_filter(string_split_regex({_DOM}, '{WS}+'), lambda x: x <> '')"))
 def domain_tokenizer(spark, d):
     return _tokens(spark, d, T.domain_tokens)
 
@@ -112,17 +113,21 @@ def ngram_tokenizer(spark, d):
 _NOISY = "text || ' XXXX NA n/a none Null x unknown'"
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace({_NOISY}, '(?i)\\b(?:xxxx+|xxx|xx|x|na|n/a|none|null|unknown)\\b', '', 'g'), '\\s+', ' ', 'g')) AS text FROM documents")
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace({_NOISY}, '(?i)\\b(?:xxxx+|xxx|xx|x|na|n/a|none|null|unknown)\\b', '', 'g'), '{WS}+', ' ', 'g')) AS text FROM documents")
 def noise_removal(spark, d):
     t = table(spark, d, "documents")
     return t.select("doc_id", T.without_noise(F.concat("text", F.lit(" XXXX NA n/a none Null x unknown"))).alias("text"))
 
 
-@query("SELECT conv_id, trim(coalesce(max(text) FILTER (role = 'user'), '') || ' ' || coalesce(max(text) FILTER (role = 'assistant'), '')) AS text, md5(trim(coalesce(max(text) FILTER (role = 'user'), '') || ' ' || coalesce(max(text) FILTER (role = 'assistant'), ''))) AS digest FROM conversations WHERE turn < 2 GROUP BY conv_id")
+_CONCAT = "trim(coalesce(max(text) FILTER (role = 'user'), '') || ' ' || coalesce(max(text) FILTER (role = 'assistant'), ''))"
+
+
+@query(f"SELECT conv_id, turn // 2 AS part, {_CONCAT} AS text, md5({_CONCAT}) AS digest FROM conversations GROUP BY ALL")
 def concat_sections(spark, d):
-    c = table(spark, d, "conversations").filter("turn < 2")
-    g = c.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "user", F.col("text"))).alias("f"), F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("i"))
-    return g.select("conv_id", T.joined(F.col("f"), F.col("i")).alias("text")).withColumn("digest", F.md5("text"))
+    """Every question with its answer as one text."""
+    c = table(spark, d, "conversations")
+    g = c.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("part")).agg(F.max(F.when(F.col("role") == "user", F.col("text"))).alias("f"), F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("i"))
+    return g.select("conv_id", "part", T.joined(F.col("f"), F.col("i")).alias("text")).withColumn("digest", F.md5("text"))
 
 
 @query(f"SELECT doc_id, unnest(s) AS sentence FROM (SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, '.'), lambda x: {TRIM('x')}), lambda x: x <> ''), lambda x: x || '.') AS s FROM documents)")
@@ -137,37 +142,40 @@ def preview_texts(spark, d):
 
 #: Sentences in which the rewrites find something, put around the documents' own words.
 _HEADS = ["There is ", "There are ", "No ", "Opacity is seen in ", "Findings are seen in ", "Image demonstrates normal ", "It reveals Pneumonia ", "Chest shows clear lungs ", "compatible with effusion "]
-_HEAD_SQL = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADS)) + " END || substr(text, 1, 60)"
+_HEAD_SQL = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADS)) + " END || text"
 
 
-def _headed(spark, d, whole=False):
-    """A head in front of each text: of its first 60 signs, as the SQL has them, or of all."""
-    k = F.col("doc_id") % 9
-    head = F.element_at(F.array(*map(F.lit, _HEADS)), (k + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", F.concat(head, F.col("text") if whole else F.substring("text", 1, 60)).alias("s"))
+def _headed(spark, d):
+    """A head in front of each text."""
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("doc_id") % 9 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.concat(head, F.col("text")).alias("s"))
 
 
 _CAP = lambda x: f"upper(substr({x}, 1, 1)) || lower(substr({x}, 2))"
 
 
-@query(f"""SELECT doc_id, CASE WHEN starts_with(s, 'There is ') THEN {_CAP("trim(substr(s, 10))")} || ' is present.' WHEN starts_with(s, 'There are ') THEN {_CAP("trim(substr(s, 11))")} || ' are present.'
+_RESTRUCTURED = f"""CASE WHEN starts_with(s, 'There is ') THEN {_CAP("trim(substr(s, 10))")} || ' is present.' WHEN starts_with(s, 'There are ') THEN {_CAP("trim(substr(s, 11))")} || ' are present.'
   WHEN starts_with(s, 'No ') THEN {_CAP("trim(substr(s, 4))")} || ' is not identified.' WHEN contains(s, ' is seen') THEN replace(s, ' is seen', ' is noted') WHEN contains(s, ' are seen') THEN replace(s, ' are seen', ' are noted')
   WHEN contains(s, 'demonstrates') THEN replace(s, 'demonstrates', 'shows') WHEN contains(s, 'reveals') THEN replace(s, 'reveals', 'shows') WHEN contains(s, 'shows') THEN replace(s, 'shows', 'demonstrates')
-  WHEN contains(s, 'compatible with') THEN replace(s, 'compatible with', 'consistent with') ELSE s END AS sentence FROM (SELECT doc_id, {_HEAD_SQL} AS s FROM documents)""")
+  WHEN contains(s, 'compatible with') THEN replace(s, 'compatible with', 'consistent with') ELSE s END"""
+
+
+@query(f"SELECT doc_id, {_RESTRUCTURED} AS sentence FROM (SELECT doc_id, {_HEAD_SQL} AS s FROM documents)")
 def sentence_restructure(spark, d):
     return _headed(spark, d).select("doc_id", T.restructured(F.col("s")).alias("sentence"))
 
 
 def _styled_sql(style):
-    c = "lower(s)"
+    """Lower-case matches wait behind a mark while the others are rewritten with a capital."""
+    c = "s"
     for a, b in T.TO_ACADEMIC if style == "academic" else [(b, a) for a, b in T.TO_ACADEMIC]:
-        c = f"replace({c}, '{a}', '{b}')"
+        c = f"replace(regexp_replace(replace({c}, '{a}', chr(1)), '{a}', '{b.capitalize()}', 'gi'), chr(1), '{b}')"
     return c
 
 
 @query(f"SELECT doc_id, {_styled_sql('academic')} AS academic, {_styled_sql('community')} AS community FROM (SELECT doc_id, {_HEAD_SQL} AS s FROM documents)")
 def style_change(spark, d):
-    s = F.lower("s")
+    s = F.col("s")
     return _headed(spark, d).select("doc_id", T.styled(s, "academic").alias("academic"), T.styled(s, "community").alias("community"))
 
 
@@ -184,10 +192,70 @@ def certainty_change(spark, d):
     return s.select("doc_id", T.certainty(F.col("s"), "increase").alias("more"), T.certainty(F.col("s"), "decrease").alias("less"))
 
 
-@query()
+def _draw_sql(*parts):
+    return "(('0x' || substr(md5(concat_ws('|', 42, doc_id, aug_no" + "".join(f", {p}" for p in parts) + ")), 1, 8))::BIGINT / 4294967296)"
+
+
+_SYN = "syn AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', [{', '.join(repr(x) for x in v)}])" for k, v in augment.SYNONYMS.items()) + ") v(term, options))"
+_VARIANTS = f"""b AS (SELECT doc_id, {_HEAD_SQL} AS t FROM documents), {_SYN},
+r AS (SELECT doc_id, k AS aug_no, list_transform(list_filter(list_transform(string_split(t, '.'), lambda x: {TRIM('x')}), lambda x: x <> ''), lambda x: x || '.') AS ss FROM b, range(1, 4) v(k)),
+s0 AS (SELECT doc_id, aug_no, len(ss) - 1 AS last, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS i FROM r),
+s1 AS (SELECT doc_id, aug_no, last, i, CASE WHEN {_draw_sql('i', "'restructure'")} < 0.4 THEN {_RESTRUCTURED} ELSE s END AS s FROM s0),
+s2 AS (SELECT doc_id, aug_no, last, i, CASE WHEN {_draw_sql('i', "'style'")} >= 0.3 THEN s WHEN {_draw_sql('i', "'style?'")} < 0.5 THEN {_styled_sql('academic')} ELSE {_styled_sql('community')} END AS s FROM s1),
+s3 AS (SELECT doc_id, aug_no, last, i, CASE WHEN {_draw_sql('i', "'certainty'")} >= 0.3 THEN s WHEN {_draw_sql('i', "'certainty?'")} < 0.5 THEN {_certain_sql(T.MORE_CERTAIN)} ELSE {_certain_sql(T.LESS_CERTAIN)} END AS s FROM s2),
+w0 AS (SELECT doc_id, aug_no, last, i, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS j FROM (SELECT *, list_filter(string_split_regex(s, '{WS}+'), lambda x: x <> '') AS ws FROM s3)),
+w1 AS (SELECT w0.*, lower(regexp_replace(regexp_replace(w, '^[.,;:()]+', ''), '[.,;:()]+$', '')) AS bare FROM w0),
+w2 AS (SELECT w1.*, CASE WHEN options IS NOT NULL AND {_draw_sql('i', 'j', "'synonym'")} < 0.4 THEN options[floor({_draw_sql('i', 'j', "'which'")} * len(options))::INT + 1] END AS pick FROM w1 LEFT JOIN syn ON term = bare),
+w3 AS (SELECT doc_id, aug_no, last, i, j, CASE WHEN pick IS NULL THEN w ELSE CASE WHEN regexp_matches(w, '^\\p{{Lu}}') THEN {_CAP('pick')} ELSE pick END || CASE WHEN regexp_matches(w, '[^\\p{{L}}\\p{{N}}]$') THEN right(w, 1) ELSE '' END END AS w FROM w2),
+s4 AS (SELECT doc_id, aug_no, last, i, string_agg(w, ' ' ORDER BY j) AS s FROM w3 GROUP BY ALL),
+s5 AS (SELECT *, CASE WHEN i = 0 THEN 0 WHEN i = last THEN 2 ELSE 1 END AS r, CASE WHEN last > 1 AND i > 0 AND i < last AND {_draw_sql("'order'")} < 0.3 THEN {_draw_sql('i', "'place'")} ELSE 0.0 END AS o FROM s4),
+made AS (SELECT doc_id, aug_no, string_agg(s, ' ' ORDER BY r, o, i) AS text FROM s5 GROUP BY ALL)"""
+
+
+@query(f"WITH {_VARIANTS} SELECT doc_id, aug_no::INT AS aug_no, doc_id || '_aug_' || aug_no AS aug_id, text FROM made")
 def text_augmentation(spark, d):
     """Three variants of each document, by draws that depend on the row and the variant alone."""
-    return augment.variants(_headed(spark, d, whole=True).withColumnRenamed("s", "text"), "doc_id", "text", 3)
+    return augment.variants(_headed(spark, d).withColumnRenamed("s", "text"), "doc_id", "text", 3)
+
+
+@query(f"""WITH {_VARIANTS}, o AS (SELECT doc_id, string_split_regex({TRIM('t')}, '{WS}+') AS ow FROM b), v AS (SELECT doc_id, aug_no, string_split_regex(text, '{WS}+') AS vw FROM made),
+j AS (SELECT o.doc_id, aug_no, list_distinct(ow) AS a, list_distinct(vw) AS z, len(ow) AS n_o, len(vw) AS n_v FROM o JOIN v USING (doc_id)),
+q AS (SELECT *, len(list_intersect(a, z)) / len(list_distinct(list_concat(a, z))) AS sim FROM j),
+vo AS (SELECT count(DISTINCT x) AS n FROM (SELECT unnest(ow) AS x FROM o)), vv AS (SELECT count(DISTINCT x) AS n FROM (SELECT unnest(vw) AS x FROM v))
+SELECT round(avg(n_o), 6) AS avg_original_length, round(avg(n_v), 6) AS avg_augmented_length, (SELECT n FROM vv) - (SELECT n FROM vo) AS vocabulary_expansion, round(1 - avg(sim), 6) AS avg_diversity, round(avg(sim), 6) AS avg_similarity FROM q""")
+def augmentation_quality(spark, d):
+    """Lengths, new words, distance and likeness of originals and their variants."""
+    o = _headed(spark, d).withColumnRenamed("s", "text")
+    v = augment.variants(o, "doc_id", "text", 3)
+    return augment.quality(o, v, "doc_id", "text")
+
+
+@query(f"WITH {_VARIANTS} SELECT b.doc_id, list_transform(list_sort(list({{'a': b.doc_id || '_aug_' || aug_no, 't': md5(text)}})), lambda x: x.a || ' ' || x.t) AS variants, count(*) AS n FROM b JOIN made ON b.doc_id = made.doc_id GROUP BY b.doc_id")
+def sample_variants(spark, d):
+    """Each sample with its variants, found by the id in front of theirs."""
+    o = _headed(spark, d).withColumnRenamed("s", "text")
+    return augment.with_variants(o.select("doc_id"), augment.variants(o, "doc_id", "text", 3), "doc_id").select("doc_id", F.transform("variants", lambda x: F.concat(x["aug_id"], F.lit(" "), F.md5(x["text"]))).alias("variants"), F.size("variants").cast("long").alias("n"))
+
+
+@query(f"""WITH {_VARIANTS}, o AS (SELECT doc_id, list_distinct(string_split_regex({TRIM('t')}, '{WS}+')) AS a FROM b WHERE doc_id % 40 = 0), v AS (SELECT doc_id, aug_no, list_distinct(string_split_regex(text, '{WS}+')) AS z FROM made WHERE doc_id % 40 = 0)
+SELECT o.doc_id AS original, v.doc_id || '_aug_' || aug_no AS variant, round(len(list_intersect(a, z)) / len(list_distinct(list_concat(a, z))), 6) AS similarity FROM o, v""")
+def pairwise_similarity(spark, d):
+    """All originals against all variants of one sheet (every fortieth document: the sheet is the operator's input)."""
+    o = _headed(spark, d).withColumnRenamed("s", "text").filter("doc_id % 40 = 0")
+    return augment.pairwise(o, augment.variants(o, "doc_id", "text", 3), "doc_id", "text")
+
+
+@query(f"""WITH {_VARIANTS}, f AS (SELECT token, count(*) AS freq FROM (SELECT unnest({TOK}) AS token FROM documents) GROUP BY token),
+bv AS (SELECT token, row_number() OVER (ORDER BY freq DESC, token) + 3 AS id FROM f WHERE freq >= 5 QUALIFY id < 1504), x AS (SELECT doc_id, aug_no, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, aug_no, {TOK} AS t FROM made)),
+e AS (SELECT doc_id, aug_no, list(coalesce(id, 1) ORDER BY i) AS ids FROM x LEFT JOIN bv USING (token) GROUP BY ALL)
+SELECT doc_id, aug_no::INT AS aug_no, doc_id || '_aug_' || aug_no AS aug_id, md5(array_to_string(list_concat(ids, list_transform(range(128), lambda i: 0))[1:128], ' ')) AS ids FROM e""")
+def augmentation_encoded(spark, d):
+    """Variants encoded with the corpus' vocabulary and padded."""
+    docs = table(spark, d, "documents")
+    v = vocab.built(vocab.counts(docs, T.tokens(F.col("text"))))
+    made = augment.variants(_headed(spark, d).withColumnRenamed("s", "text"), "doc_id", "text", 3)
+    e = augment.encoded(made, "doc_id", v)
+    return e.withColumn("ids", F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")))
 
 
 @query("SELECT doc_id, k AS aug_no, doc_id::VARCHAR || '_aug' || k AS aug_id, CASE WHEN k = 0 THEN doc_id::VARCHAR || '_orig' ELSE doc_id::VARCHAR || '_aug_' || k END AS kept_id, 7 * (dense_rank() OVER (ORDER BY doc_id) - 1) + k AS row_no FROM documents, range(0, 7) t(k)")
@@ -196,15 +264,6 @@ def augmentation_ids(spark, d):
     return augment.lineage(spark, d)
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_distinct({TOK}) AS t, list_distinct(list_filter(string_split_regex(lower(regexp_replace(text, '[aeiou]', 'e', 'g')), '\\s+'), lambda x: x <> '')) AS u FROM documents)
-SELECT doc_id, round(CASE WHEN len(list_distinct(list_concat(t, u))) = 0 THEN 0 ELSE len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) END, 6) AS similarity, round(CASE WHEN len(list_distinct(list_concat(t, u))) = 0 THEN 0 ELSE 1 - len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) END, 6) AS diversity FROM w""")
-def augmentation_quality(spark, d):
-    """Word-set similarity and distance of each document and a variant of it."""
-    t = table(spark, d, "documents").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("t"), F.array_distinct(T.tokens(F.regexp_replace("text", "[aeiou]", "e"))).alias("u"))
-    j = T.jaccard(F.col("t"), F.col("u"))
-    return t.select("doc_id", F.round(j, 6).alias("similarity"), F.round(F.when(F.size(F.array_union("t", "u")) == 0, F.lit(0.0)).otherwise(1 - j), 6).alias("diversity"))
-
-
 #: Parts as studies: their type stands for a description, in nine wordings.
 _DESC = ["DG CHEST 1V", "DG CHEST 1V PORT", "PORTABLE CHEST - 1 VIEW", "XR chest 1V portable", "DG CHEST 2V", "Chest PA and Left Lateral", "Chest AP Left Lateral", "CHEST - 2 VIEW", "Chest Single AP view", ""]
 _DESC_SQL = "(CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_DESC)) + " END || ' ' || p_type)"
@@ -228,12 +287,16 @@ def view_rules(spark, d):
     return _studies(spark, d).select("p_partkey", V.study_type(s).alias("study_type"), V.confidence(s).alias("confidence"), V.simple_view(s).alias("simple_view"), V.view(s, V.study_type(s)).alias("view_type"))
 
 
-_DET = "list_filter([" + ", ".join(f"CASE WHEN {_any('lower(s)', sorted({w.lower() for w in ws}))} THEN '{k}' END" for k, ws in V.KEYWORDS.items()) + "], lambda x: x IS NOT NULL)"
+_found = lambda c, ws: _any(c, sorted({w.lower() for w in ws}))
+_DET = "list_filter([" + ", ".join(f"CASE WHEN {_found('lower(s)', ws)} THEN '{k}' END" for k, ws in V.KEYWORDS.items()) + ", " + ", ".join(f"CASE WHEN NOT {_found('lower(s)', ws)} AND {_found('lower(t)', ws)} THEN '{k}_in_text' END" for k, ws in V.KEYWORDS.items()) + "], lambda x: x IS NOT NULL)"
 
 
-@query(f"SELECT array_to_string(list_sort(v), ' + ') AS views, count(*) AS n FROM (SELECT {_DET} AS v FROM (SELECT {_DESC_SQL} AS s FROM part)) GROUP BY 1")
+@query(f"SELECT array_to_string(list_sort(v), ' + ') AS views, count(*) AS n FROM (SELECT {_DET} AS v FROM (SELECT {_DESC_SQL} AS s, p_name || ' ' || p_brand || ' lat' AS t FROM part)) GROUP BY 1")
 def view_combinations(spark, d):
-    return _studies(spark, d).groupBy(F.array_join(F.array_sort(V.detected(F.col("s"))), " + ").alias("views")).agg(F.count("*").alias("n"))
+    """Views found in the description, and those only the text names."""
+    s = table(spark, d, "part").join(_studies(spark, d).select("p_partkey", "s"), "p_partkey")
+    text = F.concat_ws(" ", "p_name", "p_brand", F.lit("lat"))
+    return s.groupBy(F.array_join(F.array_sort(V.detected(F.col("s"), text)), " + ").alias("views")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH f AS (SELECT contains(lower(s), 'pa') AS pa, contains(lower(s), 'ap') AS ap, contains(lower(s), 'lateral') AS lat, contains(lower(t), 'pa') AS tpa, contains(lower(t), 'ap') AS tap, contains(lower(t), 'lateral') AS tlat,

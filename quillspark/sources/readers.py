@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from quillspark.functions.text import stripped
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -18,6 +22,15 @@ def json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
     return (r.schema(schema) if schema else r).json(path)
 
 
+def inferred_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """The readable lines of a JSON-lines file, with the schema found in them; broken and blank ones are skipped."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    schema = spark.read.option("mode", "DROPMALFORMED").json(path).drop("_corrupt_record").schema
+    if not len(schema):
+        return spark.createDataFrame([], schema)
+    return jsonl(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))[0] if not lines.isEmpty() else spark.createDataFrame([], schema)
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, broken lines); blank lines are neither."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
@@ -25,17 +38,62 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataF
     return parsed.filter("r._broken is null").select("r.*").drop("_broken"), parsed.filter("r._broken is not null").select(F.col("value").alias("line"))
 
 
-def reports(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of all text files below path, trimmed; empty ones drop out."""
-    t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    text = F.regexp_replace("value", r"^\s+|\s+$", "")
-    return t.select(F.input_file_name().alias("path"), text.alias("text")).filter("text <> ''")
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files of one object a line, as Spark writes them; folders of partitions are columns."""
+    return spark.read.schema(schema).json(path)
+
+
+def reports(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """(path, text) of all text files below path, trimmed; empty ones drop out. max_files: the first ones by path.
+
+    Bytes that are no UTF-8 are dropped from the text.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    if max_files is not None:
+        names = raw.select("path").orderBy("path").limit(max_files)
+        raw = raw.join(F.broadcast(names) if max_files <= 100_000 else names, "path", "left_semi")
+    text = stripped(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")))
+    return raw.select("path", text.alias("text")).filter("text <> ''")
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(token, id) of a JSON object of words and numbers."""
-    t = spark.read.text(path, wholetext=True)
-    return t.select(F.explode(F.from_json("value", "map<string,int>")).alias("token", "id"))
+    """(token, id) of a vocabulary in any of the forms that sinks write: a table, a JSON object of words and ids, lines 'id: word'."""
+    return {"json": _object, "txt": _lines}.get(_suffix(path), lambda s, p: s.read.parquet(p).select("token", "id"))(spark, path)
+
+
+def _object(spark: SparkSession, path: str) -> DataFrame:
+    """A file's one object, or one object a line: both are maps, of any number of lines."""
+    t = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.trim("value"), r"(?<=\})\s*\n\s*(?=\{)")).alias("value"))
+    return t.select(F.explode(F.from_json("value", "map<string,long>")).alias("token", "id"))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    found = F.regexp_extract("value", r"^\s*(\d+): (.*)$", 1)
+    return spark.read.text(path).filter(found != "").select(F.regexp_extract("value", r"^\s*\d+: (.*)$", 1).alias("token"), found.cast("long").alias("id"))
+
+
+def index_words(spark: SparkSession, path: str, vocab: DataFrame | None = None) -> DataFrame:
+    """(id, token) of an index file (a JSON object of ids and words); where there is none, the reverse of the vocabulary."""
+    if exists(spark, path):
+        t = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.trim("value"), r"(?<=\})\s*\n\s*(?=\{)")).alias("value"))
+        return t.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "token")).select(F.col("id").cast("long").alias("id"), "token")
+    if vocab is None:
+        raise FileNotFoundError(path)
+    return vocab.groupBy(F.col("id").cast("long").alias("id")).agg(F.min("token").alias("token"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def metadata(spark: SparkSession, folder: str, names: tuple[str, ...] = ("enhanced_metadata", "metadata")) -> DataFrame:
+    """The rows of the first of the named metadata that the folder holds (as .parquet or .json)."""
+    for name in names:
+        for suffix in ("parquet", "json"):
+            if exists(spark, path := f"{folder.rstrip('/')}/{name}.{suffix}"):
+                return spark.read.parquet(path) if suffix == "parquet" else spark.read.json(path)
+    raise FileNotFoundError(f"{folder}: none of {', '.join(names)}")
 
 
 def shards(spark: SparkSession, path: str, split: str | None = None, first: int | None = None, seed: str | None = None) -> DataFrame:
@@ -59,6 +117,34 @@ def profile(spark: SparkSession, path: str) -> DataFrame:
     return f.groupBy("ext").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.countDistinct("folder").alias("folders"), F.min("path").alias("sample"))
 
 
+def tree(listing: DataFrame, patient: str = r"/(p\d{3,})(?=/)", study: str = r"/(s\d{3,})(?=[/.])", samples: int = 3) -> DataFrame:
+    """(level, n, samples): patients, studies and extensions that a listing's paths name; folders with text files are report folders."""
+    part = lambda name, c: listing.select(F.lit(name).alias("level"), c.alias("x")).filter("x <> ''").distinct()
+    ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
+    found = part("patient", F.regexp_extract("path", patient, 1)).unionAll(part("study", F.regexp_extract("path", study, 1))).unionAll(part("extension", ext))
+    found = found.unionAll(listing.filter(ext == "txt").select(F.lit("report folder").alias("level"), F.regexp_extract("path", "^(.*)/", 1).alias("x")).distinct())
+    first = found.withColumn("r", F.row_number().over(Window.partitionBy("level").orderBy("x")))
+    return first.groupBy("level").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= samples, F.col("x")))).alias("samples"))
+
+
+def shard_sizes(listing: DataFrame, per_shard: int, split: str = r"/split=([^/]+)/") -> DataFrame:
+    """(split, shards, mb, samples): files and megabytes of each split, and an estimate of its samples."""
+    g = listing.groupBy(F.regexp_extract("path", split, 1).alias("split")).agg(F.count("*").alias("shards"), F.sum("length").alias("bytes"))
+    return g.select("split", "shards", F.round(F.col("bytes") / 1e6, 3).alias("mb"), (F.col("shards") * per_shard).alias("samples"))
+
+
+def described(df: DataFrame) -> DataFrame:
+    """(column, type, nulls, least, most, shortest, longest): what a table's columns hold; lengths of texts and arrays."""
+    def one(f):
+        c = F.col(f"`{f.name}`")
+        size = F.size(c) if f.dataType.typeName() in ("array", "map") else F.length(c.cast("string"))
+        plain = f.dataType.typeName() not in ("array", "map", "struct", "binary")
+        edge = lambda g: g(c).cast("string") if plain else F.lit(None).cast("string")
+        return F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count_if(c.isNull()).alias("nulls"), edge(F.min).alias("least"), edge(F.max).alias("most"), F.min(size).cast("long").alias("shortest"), F.max(size).cast("long").alias("longest"))
+
+    return df.agg(F.array(*map(one, df.schema.fields)).alias("x")).select(F.inline("x"))
+
+
 def images(spark: SparkSession, path: str, height: int, width: int) -> DataFrame:
     """(path, pixels): RGB values in [0, 1], resized; what Spark's decoder cannot read has null pixels."""
     from quillspark.operators.image import resize
@@ -81,10 +167,23 @@ def images(spark: SparkSession, path: str, height: int, width: int) -> DataFrame
     return raw.mapInPandas(run, "path string, pixels array<float>")
 
 
-def pickled_shards(spark: SparkSession, path: str, trusted: bool = False) -> DataFrame:
-    """(study_id, caption) of pickled dicts of arrays or lists of dicts. Unpickling runs code: only for files of one's own."""
+def pickled_shards(spark: SparkSession, path: str, trusted: bool = False, schema: str = "study_id string, caption array<int>", names: dict[str, str] | None = None, pattern: str = "*.pkl") -> DataFrame:
+    """Rows of pickled dicts of columns, or lists of dicts, in all files below path whose name fits the pattern.
+
+    schema names the columns to be read; names gives the key of a column in the pickle where it is another one (a list of
+    keys is tried in order). A dict has as many rows as `images`, or its longest list; a value that is no list, or a
+    shorter one, goes to every row, as the layout has it. Unpickling runs code: only for files of one's own.
+    """
     if not trusted:
         raise ValueError("pickles execute code when read; pass trusted=True for files of your own")
+    fields = [(f.name, f.dataType.simpleString()) for f in T._parse_datatype_string(schema).fields]
+    keys = {"study_id": ["study_id", "study_ids"], "caption": ["caption", "captions", "caption_seq", "tokens"], "image": ["image", "images", "frontal_img"]} | {k: [v] if isinstance(v, str) else v for k, v in (names or {}).items()}
+
+    def value(x, kind):
+        if x is None:
+            return None
+        x = x.tolist() if isinstance(x, np.ndarray) else x.item() if isinstance(x, np.generic) else x
+        return str(x) if kind == "string" else x
 
     def run(frames):
         import io
@@ -96,27 +195,44 @@ def pickled_shards(spark: SparkSession, path: str, trusted: bool = False) -> Dat
             for data in f["content"]:
                 x = pickle.load(io.BytesIO(data))
                 if isinstance(x, dict):
-                    rows = list(zip(map(str, x["study_ids"]), (np.asarray(c).tolist() for c in x["captions"])))
+                    lists = {k: v for k, v in x.items() if isinstance(v, (list, tuple, np.ndarray))}
+                    n = len(x["images"]) if "images" in lists else max(map(len, lists.values()), default=0)
+                    rows = [{k: v[i] if k in lists and i < len(v) else v for k, v in x.items()} for i in range(n)]
                 else:
-                    rows = [(str(r.get("study_id", "")), np.asarray(r.get("caption_seq", [])).tolist()) for r in x]
-                yield pd.DataFrame(rows, columns=["study_id", "caption"])
+                    rows = list(x)
+                get = lambda r, c: next((r[k] for k in [c, *keys.get(c, [])] if k in r), None)
+                yield pd.DataFrame({c: [value(get(r, c), kind) for r in rows] for c, kind in fields})
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("content")
+    return raw.mapInPandas(run, schema)
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
-    return raw.mapInPandas(run, "study_id string, caption array<int>")
+
+def _suffix(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower()
 
 
 #: By file suffix; `load` picks from it, and users may add their own.
 LOADERS = {
     "csv": csv,
     "json": json,
-    "jsonl": lambda spark, path: spark.read.json(path),
+    "jsonl": inferred_jsonl,
     "parquet": lambda spark, path: spark.read.parquet(path),
     "txt": reports,
+    "pkl": pickled_shards,
 }
+#: What takes the text out of a row of any loader, by name; users may add their own.
+TEXT_KEYS = ["captions", "text", "report", "caption", "findings", "impression", "summary"]
+
+
+def first_text(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """df with `entry_text`: the first of the named columns that is there and not empty."""
+    have = [k for k in keys or TEXT_KEYS if k in df.columns]
+    picked = [F.nullif(F.col(k).cast("string"), F.lit("")) for k in have]
+    return df.withColumn("entry_text", F.coalesce(*picked) if picked else F.lit(None).cast("string"))
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
+def load(spark: SparkSession, path: str, **options) -> DataFrame:
+    suffix = _suffix(path)
     if suffix not in LOADERS:
         raise ValueError(f"no reader for .{suffix}: {sorted(LOADERS)}")
-    return LOADERS[suffix](spark, path)
+    return LOADERS[suffix](spark, path, **options)

@@ -152,7 +152,7 @@ def test_image_functions():
 
 
 def test_loss_of_equal_similarities(spark):
-    s = spark.createDataFrame([(i, j, 0.5) for i in range(4) for j in range(4)], "i long, j long, sim double")
+    s = spark.createDataFrame([(0, i, j, 0.5) for i in range(4) for j in range(4)], "batch long, i long, j long, sim double")
     assert retrieval.contrastive_loss(s, 0.07).first()["loss"] == pytest.approx(np.log(4), abs=1e-5)
 
 
