@@ -187,3 +187,13 @@ def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; two empty ones have 0."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+#: Tokenizers by name; users may add their own functions from a Column of texts to one of arrays.
+TOKENIZERS = {"whitespace": tokens, "simple": simple_tokens, "medical": clean_tokens, "domain": domain_tokens, "bigram": lambda c: ngrams(tokens(c), 2)}
+
+
+def tokenizer(name: str):
+    if name not in TOKENIZERS:
+        raise ValueError(f"no tokenizer {name}: {sorted(TOKENIZERS)}")
+    return TOKENIZERS[name]

@@ -67,3 +67,47 @@ def difficulty_a(rows: DataFrame, freq: DataFrame, positions: DataFrame, by: str
     tier = lambda c, hi, lo: F.when(F.col(c) > hi, "good").when(F.col(c) > lo, "moderate").otherwise("poor")
     out = out.withColumn("length_tier", tier("length_consistency", 0.8, 0.6)).withColumn("efficiency_tier", tier("vocabulary_efficiency", 0.1, 0.05)).withColumn("stability_tier", tier("stability", 0.7, 0.5)).withColumn("memory_tier", tier("memory_efficiency", 50, 20)).withColumn("diversity_tier", tier("sequence_diversity", 0.8, 0.5))
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+def difficulty_full(rows: DataFrame, freq: DataFrame, positions: DataFrame, by: str) -> DataFrame:
+    """The 26 metrics of training difficulty; the arguments are those of difficulty_a."""
+    n, u, f = F.col("n"), F.col("uniq"), F.col("freq")
+    a = rows.groupBy(by).agg(
+        F.count("*").alias("total_entries"), F.count_if(n > 0).alias("valid_entries"), F.sum(n).alias("total_tokens"), F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("med"), F.min(n).cast("long").alias("lo"), F.max(n).cast("long").alias("hi"),
+        F.stddev_pop(n).alias("std"), F.var_pop(n).alias("var"), F.avg(u).alias("uniq"), F.avg(F.when(n > 0, 1 - u / n)).alias("rep"),
+    )
+    b = freq.groupBy(by).agg(F.count("*").alias("vocab_size"), F.avg(f).alias("fmean"), F.stddev_pop(f).alias("fstd"), F.percentile(f, F.lit(0.5)).alias("fmed"), F.max(f).alias("fmax"), F.min(f).alias("fmin"))
+    c = positions.groupBy(by).agg(F.stddev_pop("distinct").alias("pstd"))
+    j = a.join(b, by).join(c, by)
+    cv, fcv, v, t, mean = ratio(F.col("std"), F.col("mean")), ratio(F.col("fstd"), F.col("fmean")), F.col("vocab_size"), F.col("total_tokens"), F.col("mean")
+    r = lambda x, name, k=6: F.round(x, k).alias(name)
+    return j.select(
+        by, "total_entries", "valid_entries", "total_tokens", "vocab_size", r(mean, "avg_sequence_length"), r(F.col("med"), "median_sequence_length"), F.col("lo").alias("min_sequence_length"), F.col("hi").alias("max_sequence_length"), r(F.col("std"), "sequence_length_std"),
+        r(F.col("var"), "sequence_length_variance", 4), r(cv, "sequence_length_cv"), r(F.col("uniq"), "avg_unique_tokens_per_seq"), r(F.col("rep"), "avg_repetition_ratio"), r(ratio(F.col("uniq"), mean), "complexity_score"), r(F.col("fmean"), "token_freq_mean"), r(F.col("fstd"), "token_freq_std", 5),
+        r(F.col("fmed"), "token_freq_median"), F.col("fmax").alias("most_common_token_freq"), F.col("fmin").alias("least_common_token_freq"), r(1 / (1 + cv), "length_consistency"), r(ratio(v, t), "vocabulary_efficiency"), r(ratio(F.col("uniq"), v), "sequence_diversity"),
+        r(1 / (1 + cv + fcv), "training_stability_score"), r(F.col("pstd"), "position_consistency", 5), r(ratio(t, F.col("total_entries")), "avg_tokens_per_sample"), r(ratio(v, mean), "memory_efficiency", 5),
+    )
+
+
+def difficulty_b(rows: DataFrame, size: DataFrame, by: str, seq: str) -> DataFrame:
+    """The other bundle of difficulty metrics, of sequences of ids; size: one row with vs, the vocabulary's size.
+
+    The sequences are read twice: for their cells (by, position, id), counted once, and for themselves.
+    """
+    from pyspark.sql.window import Window
+
+    cells = rows.select(by, F.posexplode(seq).alias("i", "id")).groupBy(by, "i", "id").agg(F.count("*").alias("n"))
+    k = cells.groupBy(by, "id").agg(F.sum("n").alias("n"))
+    u = k.groupBy(by).agg(F.count("*").alias("used"), F.sum("n").alias("tokens"))
+    top = k.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "id"))).filter("r <= 10").groupBy(by).agg(F.sum("n").alias("top"))
+    id_, n = F.col("id").cast("double"), F.col("n")
+    mean = F.sum(id_ * n) / F.sum(n)
+    spread = F.sqrt(F.greatest(F.sum(id_ * id_ * n) / F.sum(n) - mean * mean, F.lit(0.0)))
+    pv = cells.filter("i < 50").groupBy(by, "i").agg(spread.alias("s")).groupBy(by).agg(F.avg("s").alias("pv"))
+    length = F.size(seq)
+    per = rows.groupBy(by, F.md5(F.array_join(F.col(seq).cast("array<string>"), " ")).alias("h")).agg(F.count("*").alias("c"), F.sum(length).alias("l"), F.sum(length * length).alias("ll"))
+    per = per.groupBy(by).agg(F.sum("c").alias("sequences"), F.count("*").alias("kinds"), (F.sum("l") / F.sum("c")).alias("mean"), F.sqrt(F.greatest(F.sum("ll") / F.sum("c") - (F.sum("l") / F.sum("c")) ** 2, F.lit(0.0))).alias("std"))
+    j = per.join(u, by).join(top, by).join(pv, by).crossJoin(size)
+    eff, cv, div = F.col("used") / F.col("vs"), ratio(F.col("std"), F.col("mean")), F.col("kinds") / F.col("sequences")
+    r = lambda c, n: F.round(c, 6).alias(n)
+    return j.select(by, "sequences", "tokens", F.col("used").alias("unique_tokens"), r(eff, "vocab_efficiency"), r(cv, "length_consistency"), r(eff / (1 + cv), "stability"), r(1 / (1 + F.col("mean") / 100), "memory_efficiency"), r(div, "sequence_diversity"), r((cv + (1 - eff) + (1 - div)) / 3, "complexity"), r(F.col("top") / F.col("tokens"), "repetition"), r(1 / (1 + F.col("pv")), "position_consistency"))

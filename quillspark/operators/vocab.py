@@ -36,6 +36,11 @@ def fitted(freq: DataFrame) -> DataFrame:
     return ranked(freq, 2)
 
 
+def fit(freq: DataFrame, loaded: DataFrame | None = None) -> DataFrame:
+    """(token, id): a vocabulary that was loaded is kept as it is, else the words counted are numbered."""
+    return loaded.select("token", "id") if loaded is not None else fitted(freq).select("token", "id")
+
+
 def built(freq: DataFrame, min_freq: int = 5, cap: int | None = 1500) -> DataFrame:
     """(token, freq, id, is_special): four specials, then the words that are frequent enough, at most cap of them."""
     words = ranked(freq.filter(F.col("freq") >= min_freq), len(SPECIALS))
@@ -119,6 +124,35 @@ def decode(df: DataFrame, key: str, ids: Column, vocab: DataFrame, most: int = 2
     return got.select(key, F.array_join("__w", " ").alias("text"))
 
 
+def of_ids(df: DataFrame, ids: Column, vocab: DataFrame) -> DataFrame:
+    """(token, freq) of encoded rows, by the vocabulary they were encoded with; fills do not count."""
+    n = df.select(F.explode(ids).alias("id")).filter("id <> 0").groupBy("id").agg(F.count("*").alias("freq"))
+    return n.join(vocab.select(F.col("id").cast("int").alias("id"), "token"), "id").select("token", "freq")
+
+
+def coverage(encoded: DataFrame, by: str, unknown: int = 1) -> DataFrame:
+    """(by, tokens, oov, coverage_pct, oov_pct) of encoded rows (by, ids)."""
+    out = F.size(F.filter("ids", lambda x: x == unknown))
+    g = encoded.groupBy(by).agg(F.sum(F.size("ids")).alias("tokens"), F.sum(out).alias("oov"))
+    pct = lambda c: F.round(100 * c / F.nullif(F.col("tokens"), F.lit(0)), 6)
+    return g.select(by, "tokens", "oov", pct(F.col("tokens") - F.col("oov")).alias("coverage_pct"), pct(F.col("oov")).alias("oov_pct"))
+
+
+def compared(freq: DataFrame, by: str) -> DataFrame:
+    """Sizes, overlap and shares of the vocabularies of every two corpora of a table (by, token, freq).
+
+    Overlaps are counted by words: each gives the pairs of the corpora that have it, which are few.
+    """
+    sizes = freq.groupBy(by).agg(F.count("*").alias("n"))
+    have = freq.groupBy("token").agg(F.array_sort(F.collect_set(by)).alias("s")).filter(F.size("s") > 1)
+    pairs = have.select(F.posexplode("s").alias("i", "a"), "s").select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("k"))
+    one, two = sizes.toDF(f"{by}_1", "vocab_1"), sizes.toDF(f"{by}_2", "vocab_2")
+    j = one.join(F.broadcast(two), F.col(f"{by}_1") < F.col(f"{by}_2"))  # a row for each corpus
+    j = j.join(pairs.toDF(f"{by}_1", f"{by}_2", "k"), [f"{by}_1", f"{by}_2"], "left").fillna(0, ["k"])
+    a, b, k = F.col("vocab_1"), F.col("vocab_2"), F.col("k")
+    return j.select(f"{by}_1", f"{by}_2", "vocab_1", "vocab_2", k.alias("overlap"), (a + b - k).alias("union_size"), (a - k).alias("only_1"), (b - k).alias("only_2"), F.round(100 * k / F.least(a, b), 6).alias("overlap_pct"), F.round(100 * (a - k) / a, 6).alias("unique_1_pct"), F.round(100 * (b - k) / b, 6).alias("unique_2_pct"), F.round(k / (a + b - k), 6).alias("jaccard"))
+
+
 def problems(vocab: DataFrame) -> DataFrame:
     """(problem, n): repeated ids, repeated tokens, missing specials."""
     twice = lambda c: vocab.groupBy(c).agg(F.count("*").alias("k")).filter("k > 1").agg(F.count("*").alias("n")).select(F.lit(f"repeated {c}").alias("problem"), "n")

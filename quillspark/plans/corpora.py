@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 from quillspark.functions import arrays as A
 from quillspark.functions import text as T
 from quillspark.operators import augment, stats, vocab
+from quillspark.operators.numbering import positions
 from quillspark.plans.registry import query
-from quillspark.plans.texts import TOK
+from quillspark.plans.texts import _NOISY, CLEAN, SECTIONS, SIMPLE, TOK, sections
 from quillspark.sources.tables import table
 
 W = f"w AS (SELECT doc_id, lang, source, {TOK} AS t FROM documents)"
@@ -32,10 +33,18 @@ def token_length_stats(spark, d):
     return stats.length_stats(docs(spark, d, "lang"), ["lang"], F.size("t"))
 
 
-@query(f"WITH {FREQ} SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) + 1 AS id FROM f")
+@query(f"WITH {W}, x AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM w), f AS (SELECT token, count(*) AS freq, min({{'d': doc_id, 'i': i}}) AS seen FROM x GROUP BY token) SELECT token, freq, row_number() OVER (ORDER BY freq DESC, seen) + 1 AS id FROM f")
 def vocab_fit(spark, d):
-    """The simple tokenizer: unknown is 1, words from 2 by (frequency, word)."""
-    return vocab.fitted(freq(spark, d))
+    """The simple tokenizer: unknown is 1, words from 2 by frequency, those first seen first."""
+    return vocab.fitted(vocab.counts(docs(spark, d), F.col("t"), order=F.col("doc_id"))).select("token", "freq", "id")
+
+
+@query(f"WITH {FREQ}, v AS (SELECT token, row_number() OVER (ORDER BY token) + 9 AS id FROM (SELECT DISTINCT token FROM x WHERE lang = 'en')) SELECT token, id FROM v")
+def vocab_loaded(spark, d):
+    """A tokenizer that was given a vocabulary keeps it when it is fitted."""
+    words = freq(spark, d, ("lang",)).filter("lang = 'en'").select("token")
+    given = positions(words, [(F.substring("token", 1, 2), True)], [F.col("token")], name="id").withColumn("id", F.col("id") + 9)
+    return vocab.fit(vocab.counts(docs(spark, d), F.col("t")), loaded=given).select("token", "id")
 
 
 _BUILT = "b AS (SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) + 3 AS id, false AS is_special FROM f WHERE freq >= 5 QUALIFY id < 1504 UNION ALL SELECT * FROM (VALUES ('<pad>', 0, 0, true), ('<unk>', 0, 1, true), ('<start>', 0, 2, true), ('<end>', 0, 3, true)))"
@@ -53,12 +62,34 @@ def vocab_build_coverage(spark, d):
     return kept.crossJoin(f.agg(F.sum("freq").alias("all"))).select("kept", "covered", F.round(F.col("covered") / F.col("all"), 6).alias("coverage"))
 
 
-@query(f"""WITH s AS (SELECT * FROM documents ORDER BY doc_id LIMIT 100), x AS (SELECT unnest(list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_\\s\\-\\.]', ' ', 'g'), '\\s+'), lambda x: length(x) > 1)) AS token FROM s),
-f AS (SELECT token, count(*) AS freq FROM x GROUP BY token) SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) + 3 AS id, false AS is_special FROM f UNION ALL SELECT * FROM (VALUES ('<pad>', 0, 0, true), ('<unk>', 0, 1, true), ('<start>', 0, 2, true), ('<end>', 0, 3, true))""")
+_SPECIAL = "UNION ALL SELECT * FROM (VALUES ('<pad>', 0, 0, true), ('<unk>', 0, 1, true), ('<start>', 0, 2, true), ('<end>', 0, 3, true))"
+
+
+@query(f"""WITH s AS (SELECT concat_ws(' ', nullif(findings, ''), nullif(impression, '')) AS text FROM ({SECTIONS}) ORDER BY doc_id LIMIT 1000), x AS (SELECT unnest({CLEAN}) AS token FROM s),
+f AS (SELECT token, count(*) AS freq FROM x GROUP BY token) SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) + 3 AS id, false AS is_special FROM f {_SPECIAL}""")
 def vocab_from_head(spark, d):
-    """A vocabulary of the first reports alone (the limit is the operator's parameter)."""
-    head = table(spark, d, "documents").orderBy("doc_id").limit(100)
-    return vocab.built(vocab.counts(head, T.simple_tokens(F.col("text"))), 1, None)
+    """A vocabulary of the cleaned sections of the first 1,000 reports (the limit is the operator's parameter), without a least frequency or a cap."""
+    s = sections(spark, d).orderBy("doc_id").limit(1000)
+    text = F.concat_ws(" ", F.nullif("findings", F.lit("")), F.nullif("impression", F.lit("")))
+    return vocab.built(vocab.counts(s, T.clean_tokens(text)), 1, None)
+
+
+@query(f"WITH {FREQ}, {_BUILT} SELECT coalesce(b.token, '<unk>') AS token, sum(f.freq)::BIGINT AS freq FROM f LEFT JOIN b USING (token) GROUP BY 1")
+def vocab_from_shards(spark, d):
+    """Words and their numbers, taken from encoded rows and the vocabulary they were encoded with."""
+    e, v = encoded(spark, d)
+    return vocab.of_ids(e, F.col("ids"), v)
+
+
+@query(f"""WITH n AS (SELECT lang, trim(regexp_replace(regexp_replace({_NOISY}, '(?i)\\b(?:xxxx+|xxx|xx|x|na|n/a|none|null|unknown)\\b', '', 'g'), '{T.WS}+', ' ', 'g')) AS text FROM documents), {W.replace("FROM documents", "FROM (SELECT 0 AS doc_id, '' AS source, * FROM n)")},
+x AS (SELECT lang, unnest(t) AS token FROM w), v AS (SELECT DISTINCT token FROM x WHERE lang = 'en')
+SELECT lang, count(*) AS tokens, count(*) FILTER (v.token IS NULL) AS oov, round(100 * count(v.token) / count(*), 6) AS coverage_pct, round(100 * count(*) FILTER (v.token IS NULL) / count(*), 6) AS oov_pct FROM x LEFT JOIN v USING (token) GROUP BY lang""")
+def foreign_vocabulary(spark, d):
+    """All corpora, freed of noise, encoded with the vocabulary of one of them, and how much of each it covers."""
+    noisy = F.concat("text", F.lit(" XXXX NA n/a none Null x unknown"))
+    rows = table(spark, d, "documents").select("lang", T.tokens(T.without_noise(noisy)).alias("t"))
+    v = vocab.fitted(vocab.counts(rows.filter("lang = 'en'"), F.col("t")))
+    return vocab.coverage(vocab.encode(rows, "lang", F.col("t"), v), "lang")
 
 
 @query(f"""WITH x AS (SELECT unnest({TOK}) AS token FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)), f AS (SELECT token, count(*) AS freq FROM x GROUP BY token)
@@ -69,50 +100,86 @@ def vocab_of_union(spark, d):
     return vocab.built(vocab.counts(both, T.tokens(F.col("text"))), 1, 996).filter(~F.col("is_special")).drop("is_special")
 
 
-_TERMS = [(k, t) for k, ts in augment.SYNONYMS.items() for t in [k, *ts]]
+# The categories that several terms share; the others are categories of their own.
+CATEGORY = {
+    "mild": "severity", "moderate": "severity", "severe": "severity", "bilateral": "location", "unilateral": "location", "likely": "certainty", "possible": "certainty",
+    "no": "presence", "present": "presence", "increased": "change", "decreased": "change",
+}
+_TERMS = [(CATEGORY.get(k, k), t) for k, ts in augment.SYNONYMS.items() for t in [k, *ts]]
 _TERMS_SQL = "terms AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}')" for k, t in _TERMS) + ") v(category, term))"
 
 
 def terms(spark):
+    """The term lists as rows; the distinct terms are `terms(spark).select("term").distinct()`."""
     return spark.createDataFrame(_TERMS, "category string, term string")
 
 
+@query(f"WITH {_TERMS_SQL} SELECT term, row_number() OVER (ORDER BY term) AS pos FROM (SELECT DISTINCT term FROM terms)")
+def term_list(spark, d):
+    """All terms of the lists once, in order."""
+    return positions(terms(spark).select("term").distinct(), [(F.substring("term", 1, 1), True)], [F.col("term")])
+
+
 @query(f"""WITH {FREQ}, {_TERMS_SQL}, v AS (SELECT token, row_number() OVER (ORDER BY freq DESC, token) + 1 AS id FROM f)
 SELECT token, id, true AS reachable FROM v UNION ALL SELECT term, (SELECT max(id) FROM v) + row_number() OVER (ORDER BY term), NOT contains(term, ' ') FROM (SELECT DISTINCT term FROM terms WHERE term NOT IN (SELECT token FROM v))""")
 def vocab_extend(spark, d):
     return vocab.extended(vocab.fitted(freq(spark, d)).select("token", "id"), terms(spark))
 
 
-@query(f"""WITH {FREQ}, {_TERMS_SQL} SELECT category, count(*) AS n_terms, count(f.token) AS covered, count(*) FILTER (contains(term, ' ')) AS multi_word, round(100 * count(f.token) / count(*), 6) AS pct FROM terms LEFT JOIN f ON term = token GROUP BY category""")
+_COVER = "count(*) AS n_terms, count(token) AS covered, count(*) FILTER (contains(term, ' ')) AS multi_word, round(100 * count(token) / count(*), 6) AS pct"
+
+
+@query(f"WITH {FREQ}, {_TERMS_SQL}, j AS (SELECT category, term, f.token FROM terms LEFT JOIN f ON term = token), o AS (SELECT DISTINCT term, token FROM j) SELECT category, {_COVER} FROM j GROUP BY category UNION ALL SELECT 'all', {_COVER} FROM o")
 def term_coverage(spark, d):
-    t = F.broadcast(terms(spark))  # a fixed list
-    j = freq(spark, d).join(t, F.col("token") == F.col("term"), "inner").select("category", "term", "token")
-    j = terms(spark).join(j, ["category", "term"], "left")
-    return j.groupBy("category").agg(F.count("*").alias("n_terms"), F.count("token").alias("covered"), F.count_if(F.contains("term", F.lit(" "))).alias("multi_word"), F.round(100 * F.count("token") / F.count("*"), 6).alias("pct"))
+    """How many terms of each category, and of all of them taken once, a vocabulary has."""
+    t = terms(spark)
+    have = freq(spark, d).join(F.broadcast(t.select("term").distinct()), F.col("token") == F.col("term"), "left_semi").select("token")  # a fixed list
+    j = t.join(have, F.col("token") == F.col("term"), "left")
+    both = j.unionByName(j.select(F.lit("all").alias("category"), "term", "token").distinct())
+    return both.groupBy("category").agg(F.count("*").alias("n_terms"), F.count("token").alias("covered"), F.count_if(F.contains("term", F.lit(" "))).alias("multi_word"), F.round(100 * F.count("token") / F.count("*"), 6).alias("pct"))
+
 
+_BROKEN = "k AS (SELECT token, CASE WHEN id % 97 = 0 THEN id - 1 ELSE id END AS id FROM b WHERE token <> '<unk>' UNION ALL SELECT token, id + 100000 FROM b WHERE id % 101 = 0 AND NOT is_special)"
 
-@query("SELECT 'repeated id' AS problem, 0::BIGINT AS n UNION ALL SELECT 'repeated token', 0 UNION ALL SELECT 'missing special', 0")
+
+@query(f"""WITH {FREQ}, {_BUILT}, {_BROKEN}, s AS (SELECT 'broken' AS vocabulary, token, id FROM k UNION ALL SELECT 'whole', token, id FROM b)
+SELECT vocabulary, 'repeated id' AS problem, (SELECT count(*) FROM (SELECT id FROM s WHERE s.vocabulary = n.vocabulary GROUP BY id HAVING count(*) > 1)) AS n FROM (SELECT DISTINCT vocabulary FROM s) n UNION ALL
+SELECT vocabulary, 'repeated token', (SELECT count(*) FROM (SELECT token FROM s WHERE s.vocabulary = n.vocabulary GROUP BY token HAVING count(*) > 1)) FROM (SELECT DISTINCT vocabulary FROM s) n UNION ALL
+SELECT vocabulary, 'missing special', 4 - count(DISTINCT token) FILTER (token IN ('<pad>', '<unk>', '<start>', '<end>')) FROM s GROUP BY vocabulary""")
 def vocab_validate(spark, d):
-    return vocab.problems(vocab.built(freq(spark, d)))
+    """The problems of a whole vocabulary, and of one with repeated ids and tokens and without a special."""
+    v = vocab.built(freq(spark, d))
+    plain = v.filter("token <> '<unk>'").select("token", F.when(F.col("id") % 97 == 0, F.col("id") - 1).otherwise(F.col("id")).alias("id"))
+    broken = plain.unionByName(v.filter("id % 101 = 0 and not is_special").select("token", (F.col("id") + 100_000).alias("id")))
+    return vocab.problems(broken).select(F.lit("broken").alias("vocabulary"), "*").unionByName(vocab.problems(v).select(F.lit("whole").alias("vocabulary"), "*"))
 
 
-_CMP = f"""WITH {TOKENS}, a AS (SELECT DISTINCT token FROM x WHERE lang = 'en'), b AS (SELECT DISTINCT token FROM x WHERE lang = 'de'), n AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM a JOIN b USING (token)) AS k)
-SELECT na AS vocab_1, nb AS vocab_2, k AS overlap, na + nb - k AS union_size, na - k AS only_1, nb - k AS only_2, round(100 * k / least(na, nb), 6) AS overlap_pct, round(100 * (na - k) / na, 6) AS unique_1_pct, round(100 * (nb - k) / nb, 6) AS unique_2_pct, round(k / (na + nb - k), 6) AS jaccard FROM n"""
+_CMP = f"""WITH {TOKENS}, k AS (SELECT DISTINCT lang, token FROM x), c AS (SELECT lang, count(*) AS n FROM k GROUP BY lang),
+n AS (SELECT a.lang AS lang_1, b.lang AS lang_2, a.n AS na, b.n AS nb, (SELECT count(*) FROM k p JOIN k q USING (token) WHERE p.lang = a.lang AND q.lang = b.lang) AS k FROM c a, c b WHERE a.lang < b.lang)
+SELECT lang_1, lang_2, na AS vocab_1, nb AS vocab_2, k AS overlap, na + nb - k AS union_size, na - k AS only_1, nb - k AS only_2, round(100 * k / least(na, nb), 6) AS overlap_pct, round(100 * (na - k) / na, 6) AS unique_1_pct, round(100 * (nb - k) / nb, 6) AS unique_2_pct, round(k / (na + nb - k), 6) AS jaccard FROM n"""
 
 
 @query(_CMP)
 def vocab_compare(spark, d):
-    f = freq(spark, d, ("lang",)).filter(F.col("lang").isin("en", "de"))
-    sides = f.groupBy("token").agg(F.bool_or(F.col("lang") == "en").alias("a"), F.bool_or(F.col("lang") == "de").alias("b"))
-    n = sides.agg(F.count_if("a").alias("vocab_1"), F.count_if("b").alias("vocab_2"), F.count_if(F.col("a") & F.col("b")).alias("overlap"))
-    a, b, k = F.col("vocab_1"), F.col("vocab_2"), F.col("overlap")
-    return n.select("vocab_1", "vocab_2", "overlap", (a + b - k).alias("union_size"), (a - k).alias("only_1"), (b - k).alias("only_2"), F.round(100 * k / F.least(a, b), 6).alias("overlap_pct"), F.round(100 * (a - k) / a, 6).alias("unique_1_pct"), F.round(100 * (b - k) / b, 6).alias("unique_2_pct"), F.round(k / (a + b - k), 6).alias("jaccard"))
+    """The vocabularies of every two corpora."""
+    return vocab.compared(freq(spark, d, ("lang",)), "lang")
 
 
-@query(f"WITH {TOKENS} SELECT token FROM x WHERE lang = 'en' EXCEPT SELECT token FROM x WHERE lang = 'de'")
+@query(f"WITH {TOKENS}, k AS (SELECT DISTINCT lang, token FROM x), g AS (SELECT token, min(lang) AS lang FROM k GROUP BY token HAVING count(*) = 1) SELECT lang, token FROM g")
 def vocab_difference(spark, d):
+    """The words that one corpus alone has."""
+    g = freq(spark, d, ("lang",)).groupBy("token").agg(F.min("lang").alias("lang"), F.count("*").alias("k"))
+    return g.filter("k = 1").select("lang", "token")
+
+
+@query(f"WITH {FREQ}, {_BUILT}, u AS (SELECT lang, count(DISTINCT b.id) AS used FROM x JOIN b USING (token) WHERE NOT is_special GROUP BY lang) SELECT lang, used, (SELECT count(*) FROM b WHERE NOT is_special) AS vocab_size, round(used / (SELECT count(*) FROM b WHERE NOT is_special), 6) AS used_ratio FROM u")
+def vocab_used(spark, d):
+    """How much of one vocabulary each corpus uses."""
     f = freq(spark, d, ("lang",))
-    return f.filter("lang = 'en'").select("token").join(f.filter("lang = 'de'").select("token"), "token", "left_anti")
+    v = vocab.built(f.groupBy("token").agg(F.sum("freq").alias("freq"))).filter("not is_special")
+    size = v.agg(F.count("*").alias("vocab_size"))
+    used = f.join(v.select("token"), "token", "left_semi").groupBy("lang").agg(F.count("*").alias("used"))
+    return used.crossJoin(F.broadcast(size)).select("lang", "used", "vocab_size", F.round(F.col("used") / F.col("vocab_size"), 6).alias("used_ratio"))
 
 
 _HALF = f"WITH {FREQ}, v AS (SELECT DISTINCT token FROM x WHERE lang = 'en')"
@@ -135,7 +202,8 @@ def report_coverage(spark, d):
     v = vocab.counts(rows.filter("lang = 'en'"), F.col("t")).select("token", F.lit(1).alias("hit"))
     per = rows.select("doc_id", F.explode("t").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n")).join(v, "token", "left").groupBy("doc_id").agg((F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("c"))
     c = F.col("c")
-    return per.agg(F.round(100 * F.avg(c), 6).alias("mean_pct"), F.round(100 * F.percentile(c, F.lit(0.5)), 6).alias("median_pct"), F.round(100 * F.stddev_pop(c), 6).alias("std_pct"), F.round(100 * F.min(c), 6).alias("min_pct"), F.round(100 * F.max(c), 6).alias("max_pct"))
+    middle = stats.quantiles(per, c, {"m": 0.5}, 0.001).select(F.round(100 * F.col("m"), 6).alias("median_pct"))
+    return per.agg(F.round(100 * F.avg(c), 6).alias("mean_pct"), F.round(100 * F.stddev_pop(c), 6).alias("std_pct"), F.round(100 * F.min(c), 6).alias("min_pct"), F.round(100 * F.max(c), 6).alias("max_pct")).crossJoin(middle)
 
 
 _ENC = f"WITH {FREQ}, {_BUILT}, p AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM w), e AS (SELECT doc_id, list(coalesce(b.id, 1) ORDER BY i) AS ids FROM p LEFT JOIN b USING (token) GROUP BY doc_id), a AS (SELECT doc_id, coalesce(ids, []) AS ids FROM w LEFT JOIN e USING (doc_id))"
@@ -220,6 +288,17 @@ def difficulty_a(spark, d):
     return stats.difficulty_a(rows, freq(spark, d, ("lang",)), _positions(spark, d), "lang")
 
 
+@query(f"""{_DIFF_A}, e AS (SELECT lang, count(*) AS total_entries, count(*) FILTER (len(t) > 0) AS valid_entries, median(len(t)) AS lmed, min(len(t))::BIGINT AS lmin, max(len(t))::BIGINT AS lmax, var_pop(len(t)) AS lvar FROM w GROUP BY lang), g AS (SELECT lang, median(freq) AS fmed, max(freq) AS fmax, min(freq) AS fmin FROM f GROUP BY lang)
+SELECT s.lang, total_entries, valid_entries, s.tokens AS total_tokens, s.vocab AS vocab_size, round(a.mean, 6) AS avg_sequence_length, round(lmed, 6) AS median_sequence_length, lmin AS min_sequence_length, lmax AS max_sequence_length, round(a.std, 6) AS sequence_length_std, round(lvar, 4) AS sequence_length_variance, round(a.std / a.mean, 6) AS sequence_length_cv,
+  round(a.uniq, 6) AS avg_unique_tokens_per_seq, round(repetition, 6) AS avg_repetition_ratio, round(complexity, 6) AS complexity_score, round(b.fmean, 6) AS token_freq_mean, round(b.fstd, 5) AS token_freq_std, round(fmed, 6) AS token_freq_median, fmax AS most_common_token_freq, fmin AS least_common_token_freq, round(length_consistency, 6) AS length_consistency,
+  round(vocabulary_efficiency, 6) AS vocabulary_efficiency, round(sequence_diversity, 6) AS sequence_diversity, round(stability, 6) AS training_stability_score, round(position_consistency, 5) AS position_consistency, round(s.tokens / s.entries, 6) AS avg_tokens_per_sample, round(memory_efficiency, 5) AS memory_efficiency
+FROM s JOIN e USING (lang) JOIN g USING (lang) JOIN a USING (lang) JOIN b USING (lang)""")
+def difficulty_full(spark, d):
+    """All 26 metrics of training difficulty."""
+    rows = docs(spark, d, "lang").select("lang", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("uniq"))
+    return stats.difficulty_full(rows, freq(spark, d, ("lang",)), _positions(spark, d), "lang")
+
+
 _DIFF_B = f"""{_ENC}, q AS (SELECT lang, list_concat(ids, list_transform(range(128), lambda i: 0))[1:128] AS s FROM a JOIN documents USING (doc_id)), y AS (SELECT lang, unnest(s) AS id, generate_subscripts(s, 1) AS i FROM q),
 k AS (SELECT lang, id, count(*) AS n FROM y GROUP BY ALL), u AS (SELECT lang, count(*) AS used, sum(n)::BIGINT AS total FROM k GROUP BY lang), ten AS (SELECT lang, sum(n) AS top FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, id) <= 10) GROUP BY lang),
 pv AS (SELECT lang, avg(s) AS pv FROM (SELECT lang, i, stddev_pop(id) AS s FROM y WHERE i <= 50 GROUP BY ALL) GROUP BY lang), g AS (SELECT lang, count(*) AS n, count(DISTINCT s) AS distinct_s, avg(len(s)) AS mean, stddev_pop(len(s)) AS std FROM q GROUP BY lang),
@@ -228,20 +307,10 @@ SELECT lang, sequences, tokens, unique_tokens, round(eff, 6) AS vocab_efficiency
 
 
 def _difficulty_b(spark, d):
-    e, v = encoded(spark, d)
-    lang = table(spark, d, "documents").select("doc_id", "lang")
-    q = e.join(lang, "doc_id").select("lang", A.padded(F.col("ids"), 128).alias("s"))
-    y = q.select("lang", F.posexplode("s").alias("i", "id"))
-    k = y.groupBy("lang", "id").agg(F.count("*").alias("n"))
-    u = k.groupBy("lang").agg(F.count("*").alias("used"), F.sum("n").alias("tokens"))
-    top = k.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "id"))).filter("r <= 10").groupBy("lang").agg(F.sum("n").alias("top"))
-    pv = y.filter("i < 50").groupBy("lang", "i").agg(F.stddev_pop("id").alias("s")).groupBy("lang").agg(F.avg("s").alias("pv"))
-    per = q.groupBy("lang", "s").agg(F.count("*").alias("c")).groupBy("lang").agg(F.sum("c").alias("sequences"), F.count("*").alias("kinds"), F.lit(128.0).alias("mean"), F.lit(0.0).alias("std"))
-    size = F.broadcast(v.agg((F.max("id") + 1).alias("vs")))
-    j = per.join(u, "lang").join(top, "lang").join(pv, "lang").crossJoin(size)
-    eff, cv, div = F.col("used") / F.col("vs"), stats.ratio(F.col("std"), F.col("mean")), F.col("kinds") / F.col("sequences")
-    r = lambda c, n: F.round(c, 6).alias(n)
-    return j.select("lang", "sequences", "tokens", F.col("used").alias("unique_tokens"), r(eff, "vocab_efficiency"), r(cv, "length_consistency"), r(eff / (1 + cv), "stability"), r(1 / (1 + F.col("mean") / 100), "memory_efficiency"), r(div, "sequence_diversity"), r((cv + (1 - eff) + (1 - div)) / 3, "complexity"), r(F.col("top") / F.col("tokens"), "repetition"), r(1 / (1 + F.col("pv")), "position_consistency"))
+    rows = docs(spark, d, "lang")
+    v = vocab.built(vocab.counts(rows, F.col("t")))
+    q = vocab.encode(rows, "lang", F.col("t"), v).select("lang", A.padded(F.col("ids"), 128).alias("s"))
+    return stats.difficulty_b(q, F.broadcast(v.agg((F.max("id") + 1).alias("vs"))), "lang", "s")
 
 
 @query(_DIFF_B)
@@ -249,25 +318,44 @@ def difficulty_b(spark, d):
     return _difficulty_b(spark, d)
 
 
-@query(f"""WITH z AS ({_DIFF_B}), e AS (SELECT * FROM z WHERE lang = 'en'), g AS (SELECT * FROM z WHERE lang = 'de')
-SELECT CASE WHEN e.complexity < g.complexity THEN 'en' ELSE 'de' END AS easier, least(e.complexity, g.complexity) AS easier_score, greatest(e.complexity, g.complexity) AS harder_score, round(100 * (greatest(e.complexity, g.complexity) - least(e.complexity, g.complexity)) / greatest(e.complexity, g.complexity), 4) AS improvement_pct, round(e.stability - g.stability, 6) AS stability_diff FROM e, g""")
+@query(f"""WITH z AS ({_DIFF_B})
+SELECT e.lang AS lang_1, g.lang AS lang_2, CASE WHEN e.complexity < g.complexity THEN e.lang ELSE g.lang END AS easier, least(e.complexity, g.complexity) AS easier_score, greatest(e.complexity, g.complexity) AS harder_score, round(100 * (greatest(e.complexity, g.complexity) - least(e.complexity, g.complexity)) / greatest(e.complexity, g.complexity), 4) AS improvement_pct, round(e.stability - g.stability, 6) AS stability_diff FROM z e, z g WHERE e.lang < g.lang""")
 def difficulty_winner(spark, d):
-    z = _difficulty_b(spark, d).filter(F.col("lang").isin("en", "de")).groupBy().pivot("lang", ["en", "de"]).agg(F.max("complexity").alias("c"), F.max("stability").alias("s"))
-    lo, hi = F.least("en_c", "de_c"), F.greatest("en_c", "de_c")
-    return z.select(F.when(F.col("en_c") < F.col("de_c"), "en").otherwise("de").alias("easier"), lo.alias("easier_score"), hi.alias("harder_score"), F.round(100 * (hi - lo) / hi, 4).alias("improvement_pct"), F.round(F.col("en_s") - F.col("de_s"), 6).alias("stability_diff"))
+    """The easier of every two corpora; a row for each corpus is compared, so the pairs are few."""
+    z = _difficulty_b(spark, d).select("lang", "complexity", "stability")
+    a, b = z.toDF("lang_1", "c1", "s1"), F.broadcast(z.toDF("lang_2", "c2", "s2"))
+    lo, hi = F.least("c1", "c2"), F.greatest("c1", "c2")
+    j = a.join(b, F.col("lang_1") < F.col("lang_2"))
+    return j.select("lang_1", "lang_2", F.when(F.col("c1") < F.col("c2"), F.col("lang_1")).otherwise(F.col("lang_2")).alias("easier"), lo.alias("easier_score"), hi.alias("harder_score"), F.round(100 * (hi - lo) / hi, 4).alias("improvement_pct"), F.round(F.col("s1") - F.col("s2"), 6).alias("stability_diff"))
 
 
 @query(f"""WITH {FREQL}, m AS (SELECT lang, count(*)::DOUBLE AS v, avg(freq) AS freq_mean, count(*) FILTER (freq = 1) / count(*) AS rare_ratio, max(freq)::DOUBLE AS freq_max FROM f GROUP BY lang), u AS (UNPIVOT (SELECT * FROM m) ON freq_mean, rare_ratio, freq_max INTO NAME metric VALUE value),
-p AS (SELECT metric, max(value) FILTER (lang = 'en') AS a, max(value) FILTER (lang = 'de') AS b, max(v) FILTER (lang = 'de') / max(v) FILTER (lang = 'en') AS r, CASE WHEN stddev_pop(value) = 0 OR stddev_pop(v) = 0 THEN NULL ELSE corr(v, value) END AS c FROM u GROUP BY metric)
-SELECT metric, round(b / a, 6) AS impact, CASE WHEN abs(b / a - r) < 0.3 THEN 'size' WHEN abs(b / a - 1 / r) < 0.3 THEN 'inverse size' ELSE 'other' END AS cause, round(c, 6) AS correlation FROM p""")
+c AS (SELECT metric, CASE WHEN stddev_pop(value) = 0 OR stddev_pop(v) = 0 THEN NULL ELSE corr(v, value) END AS c FROM u GROUP BY metric),
+p AS (SELECT x.metric, x.lang AS lang_1, y.lang AS lang_2, x.value AS a, y.value AS b, y.v / x.v AS r FROM u x JOIN u y USING (metric) WHERE x.lang < y.lang)
+SELECT lang_1, lang_2, metric, round(b / a, 6) AS impact, CASE WHEN abs(b / a - r) < 0.3 THEN 'size' WHEN abs(b / a - 1 / r) < 0.3 THEN 'inverse size' ELSE 'other' END AS cause, round(c, 6) AS correlation FROM p JOIN c USING (metric)""")
 def vocab_size_impact(spark, d):
+    """For every two corpora, how their metrics differ, and whether the sizes of their vocabularies explain it."""
     m = freq(spark, d, ("lang",)).groupBy("lang").agg(F.count("*").cast("double").alias("v"), F.avg("freq").alias("freq_mean"), (F.count_if(F.col("freq") == 1) / F.count("*")).alias("rare_ratio"), F.max("freq").cast("double").alias("freq_max"))
     u = m.unpivot(["lang", "v"], ["freq_mean", "rare_ratio", "freq_max"], "metric", "value")
-    at = lambda c, x: F.max(F.when(F.col("lang") == x, F.col(c)))
     flat = (F.stddev_pop("value") == 0) | (F.stddev_pop("v") == 0)
-    g = u.groupBy("metric").agg(at("value", "en").alias("a"), at("value", "de").alias("b"), at("v", "en").alias("va"), at("v", "de").alias("vb"), flat.alias("flat"), F.when(~flat, F.corr("v", "value")).alias("c"))
+    c = u.groupBy("metric").agg(flat.alias("flat"), F.when(~flat, F.corr("v", "value")).alias("c"))
+    j = u.toDF("lang_1", "va", "metric", "a").join(u.toDF("lang_2", "vb", "metric", "b"), "metric").filter("lang_1 < lang_2").join(c, "metric")
     i, r = F.col("b") / F.col("a"), F.col("vb") / F.col("va")
-    return g.select("metric", F.round(i, 6).alias("impact"), F.when(F.abs(i - r) < 0.3, "size").when(F.abs(i - 1 / r) < 0.3, "inverse size").otherwise("other").alias("cause"), F.round("c", 6).alias("correlation"))
+    return j.select("lang_1", "lang_2", "metric", F.round(i, 6).alias("impact"), F.when(F.abs(i - r) < 0.3, "size").when(F.abs(i - 1 / r) < 0.3, "inverse size").otherwise("other").alias("cause"), F.round("c", 6).alias("correlation"))
+
+
+_NAMED = {"whitespace": TOK, "simple": SIMPLE, "medical": CLEAN}
+
+
+@query("WITH w AS (" + " UNION ALL ".join(f"SELECT '{k}' AS tokenizer, unnest({c}) AS token FROM documents" for k, c in _NAMED.items()) + ") SELECT tokenizer, count(*) AS tokens, count(DISTINCT token) AS kinds FROM w GROUP BY tokenizer")
+def tokenizers_by_name(spark, d):
+    """The same corpus by each of several registered tokenizers."""
+    out = None
+    for name in _NAMED:
+        f = vocab.counts(table(spark, d, "documents"), T.tokenizer(name)(F.col("text")))
+        one = f.agg(F.sum("freq").alias("tokens"), F.count("*").alias("kinds")).select(F.lit(name).alias("tokenizer"), "tokens", "kinds")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"WITH {FREQ} SELECT token, freq FROM f ORDER BY freq DESC, token LIMIT 20")

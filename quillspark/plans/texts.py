@@ -77,12 +77,16 @@ def _tokens(spark, d, f):
     return t.select("doc_id", _digest(F.col("t")).alias("digest"), F.size("t").cast("long").alias("n"))
 
 
-@query(_sql(f"list_filter(string_split_regex({_ABBR}, '{WS}+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP}))"))
+CLEAN = f"list_filter(string_split_regex({_ABBR}, '{WS}+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP}))"
+SIMPLE = f"list_filter(string_split_regex({_LETTERS}, '{WS}+'), lambda x: length(x) > 1)"
+
+
+@query(_sql(CLEAN))
 def clean_medical(spark, d):
     return _tokens(spark, d, T.clean_tokens)
 
 
-@query(_sql(f"list_filter(string_split_regex({_LETTERS}, '{WS}+'), lambda x: length(x) > 1)"))
+@query(_sql(SIMPLE))
 def simple_preprocess(spark, d):
     return _tokens(spark, d, T.simple_tokens)
 
