@@ -101,17 +101,21 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     """Texts with labels 0 or 1, in any order; without rows of both labels the model gives the base rate."""
     y = np.asarray(labels, np.float64)
     rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
-    if not len(y) or y.min() == y.max():
+    rows = [words_of(x) for x in texts]
+    if not len(y) or y.min() == y.max() or not any(rows):
         return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
     r = np.random.default_rng(seed)
-    rows = [words_of(x) for x in texts]
     index: dict[str, int] = {}
-    ids = [np.fromiter((index.setdefault(w, len(index)) for w in row), np.int64, len(row)) for row in rows]
-    bucket, owner = grams(list(index))
-    order = np.argsort(owner, kind="stable")
-    bucket, owner = bucket[order], owner[order]
-    starts = np.searchsorted(owner, np.arange(len(index) + 1))
-    del owner
+    ids = [np.fromiter((index.setdefault(w, len(index)) for w in row), np.int32, len(row)) for row in rows]
+    del rows
+    # the n-grams of each word, in four bytes each, made for some words at a time: the driver's memory is small
+    parts, sizes, known = [], [], list(index)
+    for a in range(0, len(known), 20_000):
+        b, owner = grams(known[a : a + 20_000])
+        parts.append(b[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(known[a : a + 20_000])))
+    bucket, starts = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    del parts, known, index
     e = r.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     u = r.normal(0, 0.3, (DIM, 2)).astype(np.float32)
     bias = np.log([1 - rate, rate])
@@ -175,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
     """The model of a bounded sample: rows whose crc32(doc_id as text) mod 4 is not 2, with a label 0 or 1."""
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1) and pmod(crc32(cast(doc_id as string)), 4) <> 2")
     n = labels.count()
-    part = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, 0.95 * sample / max(n, 1)) * 1_000_000)) if n > sample else labels
+    part = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) < int(0.95 * sample / n * (1 << 53))) if n > sample else labels
     part = part.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
     got = rows.join(F.broadcast(part), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
