@@ -43,7 +43,7 @@ ALPHA = 0.1
 #: What a pair's count is discounted by, for classes and for words: the regularisation of the sparse features.
 DISCOUNT, STEPS = (0.4, 0.6), 12
 #: Tokens in a block, about; tokens that a shard of pairs, and one of words, aims at.
-BLOCK, SHARD, WORD_SHARD = 2_000_000, 2_000_000, 8_000_000
+BLOCK, SHARD, WORD_SHARD = 1_200_000, 1_500_000, 6_000_000
 #: Bits of a word within a key, besides its class.
 WORD_BITS = 18
 END, BEGIN = np.uint64(0x5E11D0F5A11), np.uint64(0xB0B0B0B0B0B1)
