@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,14 @@ def unpadded(seq: Column) -> Column:
     return F.filter(seq, lambda x: x != 0)
 
 
+def known_labels(df: DataFrame, column: str, most: int = 10_000) -> list[str]:
+    """The distinct labels of an array column, in order; an error above `most`, as each is a place of a vector."""
+    found = [r[0] for r in df.select(F.explode(column).alias("x")).distinct().orderBy("x").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} labels")
+    return found
+
+
 def multi_hot(labels: Column, known: list[str]) -> Column:
     return F.array(*(F.array_contains(labels, x).cast("float") for x in known))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.operators.numbering import hash_positions, positions
 
@@ -45,3 +46,18 @@ def text_overlap(df: DataFrame, text: str) -> DataFrame:
     one = s.select(F.posexplode("s").alias("i", "split_1"), "s")
     two = one.select("split_1", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("split_2"))
     return two.groupBy("split_1", "split_2").agg(F.count("*").alias("shared"))
+
+
+def overlap(df: DataFrame, key: str) -> DataFrame:
+    """(ids, in_two): distinct keys, and those in more than one split."""
+    k = df.select(key, "split").distinct().groupBy(key).agg(F.count("*").alias("k"))
+    return k.agg(F.count("*").alias("ids"), F.count_if(F.col("k") > 1).alias("in_two"))
+
+
+def repeated(df: DataFrame, text: str, key: str, places: int) -> DataFrame:
+    """(h, split, n, places) of texts that a split holds more than once, with their first keys. The window keeps but that many of a text."""
+    rows = df.select(F.md5(text).alias("h"), "split", key)
+    n = rows.groupBy("h", "split").agg(F.count("*").alias("n")).filter("n > 1")
+    first = rows.withColumn("__r", F.row_number().over(Window.partitionBy("h", "split").orderBy(key))).filter(F.col("__r") <= places)
+    lists = first.groupBy("h", "split").agg(F.array_sort(F.collect_list(key)).alias("places"))
+    return n.join(lists, ["h", "split"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import arrays as A
-from quillspark.operators import splits
+from quillspark.operators import integrity, splits
 from quillspark.operators.numbering import positions
 from quillspark.plans.registry import query
 from quillspark.sources.tables import table
@@ -67,11 +67,15 @@ def split_assign(spark, d):
     return splits.assign(table(spark, d, "documents").select("doc_id"), "doc_id", 0.7, 0.15, "42")
 
 
-@query("SELECT 0 AS n_in_two WHERE false")
+_ASSIGNED = f"{_PERM}, s AS (SELECT doc_id, CASE WHEN pos <= floor(n * 0.7) THEN 'train' WHEN pos <= floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM p)"
+
+
+@query(f"WITH {_ASSIGNED}, x AS (SELECT * FROM s UNION ALL SELECT doc_id, 'test' FROM s WHERE split = 'train' AND doc_id % 11 = 0), k AS (SELECT doc_id, count(DISTINCT split) AS n FROM s GROUP BY 1), j AS (SELECT doc_id, count(DISTINCT split) AS n FROM x GROUP BY 1) SELECT 'assigned' AS what, count(*) AS ids, count(*) FILTER (n > 1) AS in_two FROM k UNION ALL SELECT 'mixed', count(*), count(*) FILTER (n > 1) FROM j")
 def split_disjoint(spark, d):
-    """Ids that are in two splits: no row."""
+    """How many ids are in more than one split: of the splits as assigned, and of ones that were mixed on purpose."""
     s = splits.assign(table(spark, d, "documents").select("doc_id"), "doc_id", 0.7, 0.15, "42")
-    return s.groupBy("doc_id").agg(F.countDistinct("split").alias("k")).filter("k > 1").groupBy().agg(F.count("*").cast("int").alias("n_in_two")).filter("n_in_two > 0")
+    mixed = s.unionByName(s.filter("split = 'train' and doc_id % 11 = 0").select("doc_id", F.lit("test").alias("split")))
+    return splits.overlap(s, "doc_id").select(F.lit("assigned").alias("what"), "*").unionByName(splits.overlap(mixed, "doc_id").select(F.lit("mixed").alias("what"), "*"))
 
 
 @query(f"WITH {_PERM}, r AS (SELECT any_value(n) AS n, greatest(0.02 * any_value(n), 30) / any_value(n) AS test FROM p), q AS (SELECT 0.8 * (1 - test) / 0.98 AS tr, 0.18 * (1 - test) / 0.98 AS va, n FROM r) SELECT doc_id, CASE WHEN pos <= floor(p.n * tr) THEN 'train' WHEN pos <= floor(p.n * tr) + floor(p.n * va) THEN 'val' ELSE 'test' END AS split FROM p, q")
@@ -142,42 +146,58 @@ def duplicate_texts(spark, d):
     return g.filter("n > 1").select("h", "splits", "n", "first_id", (F.col("k") > 1).alias("across"), (F.col("most") > 1).alias("inside"))
 
 
-_MAN = "WITH m AS (SELECT o_orderkey, CASE o_orderpriority WHEN '2-HIGH' THEN 'val' WHEN '3-MEDIUM' THEN 'test' ELSE 'train' END AS expected, CASE WHEN o_orderkey % 50 = 0 THEN 'test' WHEN o_orderpriority = '2-HIGH' THEN 'val' WHEN o_orderpriority = '3-MEDIUM' THEN 'test' ELSE 'train' END AS actual, o_orderkey % 31 <> 0 AS processed FROM orders)"
+#: Orders are the manifest; their line items are what was processed, with the split that the run wrote down.
+_MAN = """WITH m AS (SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS expected FROM orders WHERE o_orderstatus <> 'P'),
+p AS (SELECT l_orderkey AS id, CASE WHEN max(l_quantity) > 49 THEN 'test' WHEN l_orderkey % 7 = 0 THEN 'test' WHEN l_orderkey % 7 = 1 THEN 'val' ELSE 'train' END AS actual, count(*) AS n_rows FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey),
+j AS (SELECT coalesce(m.id, p.id) AS id, expected, actual FROM m FULL JOIN p ON m.id = p.id)"""
 
 
 def _manifest(spark, d):
-    p = F.col("o_orderpriority")
-    m = table(spark, d, "orders").select("o_orderkey", F.when(p == "2-HIGH", "val").when(p == "3-MEDIUM", "test").otherwise("train").alias("expected"))
-    return m.withColumn("actual", F.when(F.col("o_orderkey") % 50 == 0, "test").otherwise(F.col("expected"))).withColumn("processed", F.col("o_orderkey") % 31 != 0)
+    k = F.col("o_orderkey")
+    return routed(table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(k.alias("id")), "id").withColumnRenamed("split", "expected")
+
 
+def _processed(spark, d):
+    g = table(spark, d, "lineitem").filter("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_quantity").alias("q"))
+    return routed(g, "id").select("id", F.when(F.col("q") > 49, "test").otherwise(F.col("split")).alias("actual"))
 
-@query(f"{_MAN} SELECT o_orderkey, expected, actual FROM m WHERE processed AND expected <> actual")
+
+@query(f"{_MAN} SELECT id, expected, actual FROM j WHERE expected <> actual")
 def split_violations(spark, d):
-    return _manifest(spark, d).filter("processed and expected <> actual").select("o_orderkey", "expected", "actual")
+    """Processed studies that lie in another split than the manifest says."""
+    return integrity.violations(_manifest(spark, d), _processed(spark, d))
 
 
-@query(f"{_MAN} SELECT count(*) AS expected_n, count(*) FILTER (processed) AS processed_n, round(100 * count(*) FILTER (processed) / count(*), 6) AS consistency_pct, round(100 * count(*) FILTER (processed AND expected = actual) / count(*) FILTER (processed), 6) AS split_accuracy_pct, count(*) FILTER (processed) * 100 >= 99 * count(*) AND count(*) FILTER (processed AND expected = actual) * 100 >= 99 * count(*) FILTER (processed) AS passes_full, count(*) FILTER (processed) * 100 >= 95 * count(*) AND count(*) FILTER (processed AND expected = actual) * 100 >= 95 * count(*) FILTER (processed) AS passes_sample FROM m")
+@query(f"""{_MAN}, c AS (SELECT count(*) FILTER (expected IS NOT NULL) AS e, count(*) FILTER (actual IS NOT NULL) AS n, count(*) FILTER (expected IS NOT NULL AND actual IS NOT NULL) AS k, count(*) FILTER (expected IS NULL) AS x, count(*) FILTER (expected = actual) AS ok FROM j)
+SELECT e AS expected_n, n AS processed_n, k AS matched, e - k AS missing, x AS extra, k - ok AS misplaced, round(100 * k / e, 6) AS consistency_pct, round(100 * ok / k, 6) AS split_accuracy_pct, 100 * k >= 99 * e AND 100 * ok >= 99 * k AS passes_full, 100 * k >= 95 * e AND 100 * ok >= 95 * k AS passes_sample FROM c""")
 def cross_check(spark, d):
-    m = _manifest(spark, d)
-    n, p, ok = F.count("*"), F.count_if("processed"), F.count_if(F.col("processed") & (F.col("expected") == F.col("actual")))
-    passes = lambda t: (p * 100 >= t * n) & (ok * 100 >= t * p)
-    return m.agg(n.alias("expected_n"), p.alias("processed_n"), F.round(100 * p / n, 6).alias("consistency_pct"), F.round(100 * ok / p, 6).alias("split_accuracy_pct"), passes(99).alias("passes_full"), passes(95).alias("passes_sample"))
+    """A manifest against what was processed: missing, extra and misplaced studies, shares and verdicts."""
+    return integrity.cross_check(_manifest(spark, d), _processed(spark, d))
 
 
-@query(f"{_MAN}, s AS (SELECT * FROM m ORDER BY md5('3|' || o_orderkey), o_orderkey LIMIT 48) SELECT count(*) FILTER (processed) AS found, count(*) FILTER (NOT processed) AS missing, count(*) FILTER (processed AND expected <> actual) AS misplaced FROM s")
+@query(f"{_MAN}, s AS (SELECT j.* FROM j JOIN m USING (id) ORDER BY md5('3|' || id), id LIMIT 48) SELECT count(*) FILTER (actual IS NOT NULL) AS found, count(*) FILTER (actual IS NULL) AS missing, count(*) FILTER (expected <> actual) AS misplaced FROM s")
 def cross_check_sampled(spark, d):
-    s = _manifest(spark, d).orderBy(F.md5(F.concat(F.lit("3|"), F.col("o_orderkey").cast("string"))), "o_orderkey").limit(48)
-    return s.agg(F.count_if("processed").alias("found"), F.count_if(~F.col("processed")).alias("missing"), F.count_if(F.col("processed") & (F.col("expected") != F.col("actual"))).alias("misplaced"))
+    """The same for a sample of the manifest, drawn by hash; only the sample's studies are joined."""
+    sample = _manifest(spark, d).orderBy(F.md5(F.concat(F.lit("3|"), F.col("id").cast("string"))), "id").limit(48)
+    x = integrity.cross_check(sample, _processed(spark, d).join(F.broadcast(sample.select("id")), "id", "left_semi"))
+    return x.select(F.col("matched").alias("found"), "missing", "misplaced")
 
 
-@query(f"{_MAN} SELECT expected AS split, count(*) AS expected_n, count(*) FILTER (processed AND actual = expected) AS actual_n, floor(count(*) * (SELECT count(*) FILTER (processed) / count(*) FROM m))::BIGINT AS projected_n FROM m GROUP BY 1")
+@query(f"{_MAN}, r AS (SELECT count(*) FILTER (expected IS NOT NULL AND actual IS NOT NULL) / count(*) FILTER (expected IS NOT NULL) AS rate FROM j) SELECT expected AS split, count(*) AS expected_n, count(*) FILTER (actual = expected) AS actual_n, floor(count(*) * (SELECT rate FROM r))::BIGINT AS projected_n FROM j WHERE expected IS NOT NULL GROUP BY 1")
 def expected_and_actual(spark, d):
-    m = _manifest(spark, d)
-    rate = F.broadcast(m.agg((F.count_if("processed") / F.count("*")).alias("rate")))
-    g = m.groupBy(F.col("expected").alias("split")).agg(F.count("*").alias("expected_n"), F.count_if(F.col("processed") & (F.col("actual") == F.col("expected"))).alias("actual_n"))
+    """Counts by split: what the manifest names, what lies there, and what the rate of processing lets expect."""
+    j = _manifest(spark, d).join(_processed(spark, d), "id", "left")
+    rate = F.broadcast(j.agg((F.count("actual") / F.count("*")).alias("rate")))
+    g = j.groupBy(F.col("expected").alias("split")).agg(F.count("*").alias("expected_n"), F.count_if(F.col("actual") == F.col("expected")).alias("actual_n"))
     return g.crossJoin(rate).select("split", "expected_n", "actual_n", F.floor(F.col("expected_n") * F.col("rate")).alias("projected_n"))
 
 
+@query(f"SELECT md5(text) AS h, {SPLIT} AS split, count(*) AS n, list_sort(list(doc_id))[1:5] AS places FROM documents WHERE text <> '' GROUP BY text, split HAVING count(*) > 1")
+def duplicates_inside(spark, d):
+    """Texts that a split holds more than once, how often, and the first five places."""
+    return splits.repeated(routed(table(spark, d, "documents").filter("text <> ''")), "text", "doc_id", 5)
+
+
 _LAB = "list_filter(list_transform(string_split(lang || ';' || source || '; ;' || lang, ';'), lambda x: trim(x)), lambda x: x <> '')"
 
 
@@ -191,9 +211,12 @@ def label_set(spark, d):
     return _labels(spark, d).select(F.explode("l").alias("label")).distinct()
 
 
-@query(f"SELECT doc_id, array_to_string({_LAB}, ';') AS labels, list_transform(['de', 'en', 'es', 'fr', 'src0'], lambda x: list_contains({_LAB}, x)::FLOAT) AS hot FROM documents")
+@query(f"WITH k AS (SELECT list(label ORDER BY label) AS known FROM (SELECT DISTINCT unnest({_LAB}) AS label FROM documents)) SELECT doc_id, array_to_string({_LAB}, ';') AS labels, list_transform(known, lambda x: list_contains({_LAB}, x)::FLOAT) AS hot FROM documents, k")
 def label_multi_hot(spark, d):
-    return _labels(spark, d).select("doc_id", F.array_join("l", ";").alias("labels"), A.multi_hot(F.col("l"), ["de", "en", "es", "fr", "src0"]).alias("hot"))
+    """Rows as vectors over all labels that occur, in order."""
+    rows = _labels(spark, d)
+    known = A.known_labels(rows, "l")
+    return rows.select("doc_id", F.array_join("l", ";").alias("labels"), A.multi_hot(F.col("l"), known).alias("hot"))
 
 
 @query("SELECT role, count(*) FILTER (text IS NULL) AS absent, count(*) FILTER (trim(text) = '') AS empty, count(*) FILTER (trim(text) <> '') AS filled FROM conversations GROUP BY role")
