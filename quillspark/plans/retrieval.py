@@ -58,3 +58,12 @@ def image_augmentation(spark, d):
 
     x = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.least(F.greatest(v / 2 + 0.5, F.lit(0.0)), F.lit(1.0)).cast("float")).alias("pixels"))
     return image.augmented(x, "vec_id", "pixels", (8, 8, 1), 2)
+
+
+@query("SELECT len(p)::INT AS n_values, count(*) AS n_images, min(list_min(p)) AS low, max(list_max(p)) AS high, round(100 * sum(len(list_filter(p, lambda x: x <> 0))) / sum(len(p)), 6) AS non_zero_pct FROM (SELECT list_transform(embedding, lambda x: greatest(x, 0)::FLOAT) AS p FROM embeddings) GROUP BY 1")
+def image_stats(spark, d):
+    """Shapes and ranges of images, as which vectors without their negative parts stand."""
+    from quillspark.operators import image
+
+    x = table(spark, d, "embeddings").select(F.transform("embedding", lambda v: F.greatest(v, F.lit(0.0).cast("float"))).alias("pixels"))
+    return image.stats(x, "pixels")

@@ -195,3 +195,139 @@ def test_published_identities():
         assert round(1 / (1 + std / mean), 4) == pytest.approx(want[0], abs=1e-4)
         assert round(vocab_size / total, 4) == want[1]
     assert 9015 + 4442 - 4361 == 9096
+
+
+def test_rows_with_equal_keys_stay_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "b"), (None, "a"), (None, "b c")], "id int, text string").withColumn("t", T.tokens(F.col("text")))
+    v = vocab.fitted(vocab.counts(docs, F.col("t")))
+    ids = {r["token"]: r["id"] for r in v.collect()}
+    want = sorted([(1, [ids["a"], ids["b"]]), (1, [ids["b"]]), (None, [ids["a"]]), (None, [ids["b"], ids["c"]])], key=str)
+    for most in (200_000, 1):  # all words in place, and all but the first by a join
+        e = vocab.encode(docs, "id", F.col("t"), v, most=most)
+        assert sorted(((r["id"], r["ids"]) for r in e.collect()), key=str) == want
+        assert sorted((str(r["id"]), r["text"]) for r in vocab.decode(e, "id", F.col("ids"), v, most=most).collect()) == sorted([("1", "a b"), ("1", "b"), ("None", "a"), ("None", "b c")])
+    made = augment.variants(docs, "id", "text", 2)
+    assert made.count() == 8 and made.filter("id = 1").count() == 4
+
+
+def test_words_part_at_any_white_space(spark):
+    d = spark.createDataFrame([("a b　c d\x1ce f\n",)], "x string")
+    assert d.select(T.tokens(F.col("x"))).first()[0] == "a b　c d\x1ce f\n".split() == ["a", "b", "c", "d", "e", "f"]
+    assert d.select(T.tokenizer("bigram")(F.col("x"))).first()[0][:2] == ["a b", "b c"]
+    with pytest.raises(ValueError):
+        T.tokenizer("none")
+
+
+def test_ties_go_to_the_word_seen_first(spark):
+    docs = spark.createDataFrame([(2, "z a"), (1, "m b z")], "id long, text string").withColumn("t", T.tokens(F.col("text")))
+    v = vocab.fitted(vocab.counts(docs, F.col("t"), order=F.col("id")))
+    assert [r["token"] for r in v.orderBy("id").collect()] == ["z", "m", "b", "a"]
+    loaded = spark.createDataFrame([("q", 7)], "token string, id long")
+    assert vocab.fit(vocab.counts(docs, F.col("t")), loaded).collect() == [("q", 7)]
+
+
+def test_failed_variants_and_ids_to_ids(spark):
+    d = spark.createDataFrame([(1, None), (2, "No opacity. clear lungs.")], "id int, text string")
+    assert {r["aug_id"]: r["text"] for r in augment.variants(d, "id", "text", 1).filter("id = 1").collect()} == {"1_aug_1_failed": ""}
+    rows = d.withColumn("t", T.tokens(F.col("text")))
+    v = vocab.built(vocab.counts(rows, F.col("t")), 1)
+    e = vocab.encode(rows, "id", F.col("t"), v)
+    never = augment.Config(synonym_replacement_prob=0, sentence_restructure_prob=0, terminology_style_prob=0, finding_order_prob=0, certainty_modifier_prob=0)
+    out = augment.variants_of_ids(e, "id", F.col("ids"), v, 1, 6, never).filter("id = 2").first()
+    assert out["aug_id"] == "2_aug_1" and out["ids"] == e.filter("id = 2").first()["ids"] + [0, 0]
+    joined = {r["id"]: [x["aug_id"] for x in r["variants"]] for r in augment.with_variants(d, augment.variants(d, "id", "text", 2).filter("id = 2"), "id").collect()}
+    assert joined == {1: [], 2: ["2_aug_1", "2_aug_2"]}
+
+
+def test_pickled_shards_of_all_layouts(spark, tmp_path):
+    import pickle
+
+    img = np.arange(12, dtype=np.float32).reshape(2, 6)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "s.pkl").write_bytes(pickle.dumps({"images": img, "captions": np.array([[1, 2], [3, 0]]), "study_ids": ["a", "b"], "split": "train"}))
+    (tmp_path / "t.pkl").write_bytes(pickle.dumps([{"study_id": "c", "caption_seq": [5], "frontal_img": [1.0], "split": "val"}, {"study_id": "d"}]))
+    (tmp_path / "u.txt").write_text("no pickle")
+    got = readers.load(spark, str(tmp_path / "a" / "s.pkl"), trusted=True, schema="study_id string, caption array<int>, image array<float>, split string").orderBy("study_id").collect()
+    assert [(r["study_id"], r["caption"], r["image"], r["split"]) for r in got] == [("a", [1, 2], img[0].tolist(), "train"), ("b", [3, 0], img[1].tolist(), "train")]
+    got = readers.pickled_shards(spark, str(tmp_path), trusted=True, schema="study_id string, caption array<int>, split string").collect()
+    assert {(r["study_id"], tuple(r["caption"] or ()), r["split"]) for r in got} == {("a", (1, 2), "train"), ("b", (3, 0), "train"), ("c", (5,), "val"), ("d", (), None)}
+
+
+def test_shards_in_an_order_of_choice(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "train") for i in range(30)], "k long, split string")
+    sinks.write_shards(rows, "k", 4, str(tmp_path / "s"))
+    read = lambda **o: [r["k"] for r in readers.shards(spark, str(tmp_path / "s"), "train", 5, **o).collect()]
+    assert read() == [0, 1, 2, 3, 4] and read(seed="x") == read(seed="x") != read() and read(seed="y") != read(seed="x")
+
+
+def test_broken_texts_and_the_first_files(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.txt").write_bytes(b"  caf\xe9 au lait \n")
+    (tmp_path / "b.txt").write_bytes("größe".encode())
+    (tmp_path / "c.txt").write_bytes(b" \n")
+    assert {r["text"] for r in readers.reports(spark, str(tmp_path)).collect()} == {"caf au lait", "größe"}
+    assert [r["text"] for r in readers.reports(spark, str(tmp_path), 1).collect()] == ["größe"]
+    with pytest.raises(ValueError):
+        readers.load(spark, "x.unknown")
+    d = spark.createDataFrame([("", "r"), ("c", "r"), (None, None)], "caption string, report string")
+    assert [r["entry_text"] for r in readers.first_text(d).collect()] == ["r", "r", None]
+
+
+def test_images_are_read_and_described(spark, tmp_path):
+    raw = b"P6 2 2 255\n" + bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 255, 255, 255])
+    (tmp_path / "i.ppm").write_bytes(raw)
+    (tmp_path / "j.png").write_bytes(b"no image")
+    rows = {r["path"].rsplit("/", 1)[-1]: r["pixels"] for r in readers.images(spark, str(tmp_path), 2, 2).collect()}
+    assert rows["j.png"] is None
+    d = spark.createDataFrame([([0, 3, 0, 5],)], "s array<int>")
+    assert d.select(A.unpadded(F.col("s"))).first()[0] == [3, 5]
+
+
+def test_streams(spark, tmp_path):
+    from quillspark.streaming import vocab as S
+
+    spark.createDataFrame([(1, "a b a"), (2, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    q = S.token_counts(S.read(spark, str(tmp_path / "in"), "doc_id long, text string")).writeStream.outputMode("complete").format("memory").queryName("tokens_seen").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {(r["token"], r["freq"]) for r in spark.table("tokens_seen").collect()} == {("a", 2), ("b", 2)}
+    spark.sql("select timestamp'2024-01-01 00:10:00' ts, 'x' event_type union all select timestamp'2024-01-01 00:50:00', 'x' union all select timestamp'2024-01-01 03:00:00', 'y'").write.parquet(str(tmp_path / "ev"))
+    q = S.event_counts(S.read(spark, str(tmp_path / "ev"), "ts timestamp, event_type string")).writeStream.outputMode("complete").format("memory").queryName("events_seen").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted((r["event_type"], r["n"]) for r in spark.table("events_seen").collect()) == [("x", 2), ("y", 1)]
+
+
+def test_views_only_the_text_names(spark):
+    d = spark.createDataFrame([("DG CHEST 1V", "portable frontal film")], "d string, t string")
+    assert d.select(V.detected(F.col("d"), F.col("t"))).first()[0] == ["Single", "Frontal_in_text", "Portable_in_text"]
+
+
+class Draws:
+    """A generator that gives chances in order, and the middle of every range or a fixed share of it."""
+
+    def __init__(self, chances, share=0.5):
+        self.chances, self.share = list(chances), share
+
+    def random(self):
+        return self.chances.pop(0)
+
+    def uniform(self, a, b, shape=None):
+        x = a + (b - a) * self.share
+        return x if shape is None else np.full(shape, x)
+
+    def normal(self, m, s, shape):
+        return np.full(shape, s)
+
+
+def test_image_steps_one_by_one():
+    img = np.zeros((4, 4, 1))
+    img[1, 2] = 0.5
+    c = image.Config()
+    one = lambda k, share=0.5: image.augment(img, Draws([0.0 if j == k else 1.0 for j in range(7)], share))
+    assert np.allclose(one(9), img)
+    for k in (0, 1, 2, 3, 5, 6):  # the middle of every range changes nothing
+        assert np.allclose(one(k), img), k
+    assert np.allclose(one(4), np.clip(img + c.noise_level, 0, 1))
+    assert np.allclose(one(2, 1.0), img * (1 + c.brightness_range))
+    m = img.mean()
+    assert np.allclose(one(3, 1.0), np.clip((img - m) * (1 + c.contrast_range) + m, 0, 1))
+    assert np.allclose(one(0, 1.0), image.sample(img, *(np.mgrid[0:4, 0:4] - c.translation_range * 4)))
