@@ -34,10 +34,22 @@ def with_shingles(rows: DataFrame, text: str, n: int = WORDS) -> DataFrame:
     return rows.withColumn("__h", F.when(F.size(w) >= n, grams).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))).drop("__w")
 
 
+#: Into so many parts a shingle's documents are dealt where items are too many to be broadcast.
+PARTS = 32
+
+
 def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def _meet(shingles: DataFrame, side: DataFrame, n: int) -> DataFrame:
+    """Joins (doc_id, h) with (h, ...): by a broadcast, or by a shuffle in which a frequent shingle is dealt out by document."""
+    if n <= BROADCAST_ROWS:
+        return shingles.join(F.broadcast(side), "h")
+    dealt = side.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return shingles.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).join(dealt, ["h", "__part"]).drop("__part")
+
+
 def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) for each document that holds a share `threshold` or more of an item's distinct shingles.
 
@@ -58,14 +70,14 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     # not explode(): from it a filter on the shingles is inferred, which is pushed below the joins and makes them all once more
     shingles = with_shingles(texts, "text", n).select("doc_id", F.explode_outer("__h").alias("h"))
-    hits = shingles.join(_small(sketch, sizes[0] or 0), "h")
+    hits = _meet(shingles, sketch, sizes[0] or 0)
     found = hits.groupBy("doc_id", "item_id", "least").agg(F.countDistinct("h").alias("hits")).filter("hits >= least").select("doc_id", "item_id")
     found = written(found, folder, "candidates")
     pairs = found.count()
     again = texts.join(_small(found.select("doc_id").distinct(), pairs), "doc_id", "left_semi")
     parts = with_shingles(again, "text", n).select("doc_id", F.explode_outer("__h").alias("h"))
     wanted = sets.join(_small(found.select("item_id").distinct(), pairs), "item_id", "left_semi").select("item_id", F.col("k").cast("long").alias("n_shingles"), F.explode("hs").alias("h"))
-    shared = parts.join(_small(wanted, sizes[1] or 0), "h").groupBy("doc_id", "item_id", "n_shingles").agg(F.countDistinct("h").alias("n_found"))
+    shared = _meet(parts, wanted, sizes[1] or 0).groupBy("doc_id", "item_id", "n_shingles").agg(F.countDistinct("h").alias("n_found"))
     return shared.withColumn("containment", F.col("n_found") / F.col("n_shingles")).filter(F.col("containment") >= threshold).join(found, ["doc_id", "item_id"], "left_semi")
 
 

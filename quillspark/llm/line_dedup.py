@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import scratch, written
+from quillspark.llm.common import join_counted, scratch, written
 
 RATIO, MIN_PAGES = 0.2, 3
 #: Hosts' boilerplate up to so many hashes (16 bytes each) is broadcast; more is joined by a shuffle.
@@ -62,27 +62,37 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATI
     A line is what stands between line breaks, compared without spaces at its ends; empty lines are never counted nor
     dropped. Each row is a page of its own, repeated rows too; without `copies` the rows of a host with the same text
     count as one page, so that a group of copies does not make its own lines boilerplate. A null host is a host of its
-    own; a null text is left null, with no line. Columns named host, text, n_lines or n_dropped besides the two given are overwritten or kept
-    as usual; other columns are carried along.
+    own; a null text is left null, with no line. Columns n_lines and n_dropped of the input are overwritten; all others
+    are carried along, whatever their names.
     """
     spark = pages.sparkSession
     folder = scratch(spark)
     made = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bad = written(boilerplate(made, "host", "text", ratio, min_pages, copies), folder, "boilerplate")
     n = bad.agg(F.sum(F.size("bad"))).first()[0] or 0
-    bad = bad.select(F.col("host").alias("__host"), F.col("bad").alias("__bad"))
-    rows = pages.withColumn("__key", F.coalesce(F.col(host).cast("string"), F.lit("\0"))).withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    side = F.broadcast(bad) if n <= BROADCAST_HASHES else bad
-    rows = rows.join(side, rows["__key"] == side["__host"], "left")
-    kept = F.when(F.col("__bad").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__bad"), _key(F.trim(x)))))
+    tag = next(t for t in ("__", *(f"__{i}_" for i in range(len(pages.columns) + 1))) if not any(c.startswith(t) for c in pages.columns))
+    key, lines, kept, name, hashes = (tag + x for x in ("key", "lines", "kept", "host", "bad"))
+    bad = bad.select(F.col("host").alias(name), F.col("bad").alias(hashes))
+    rows = pages.withColumn(key, F.coalesce(F.col(host).cast("string"), F.lit("\0"))).withColumn(lines, F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    if n <= BROADCAST_HASHES:
+        rows = rows.join(F.broadcast(bad), F.col(key) == F.col(name), "left")
+    else:  # every host has a row, so that hosts with very many pages can be told from the others
+        hosts = rows.groupBy(key).agg(F.count("*").alias("n")).join(bad, F.col(key) == F.col(name), "left").select(key, "n", hashes)
+        rows = join_counted(rows, written(hosts, folder, "hosts"), [key], "n").withColumn(name, F.lit(None))
+    left = F.when(F.col(hashes).isNull(), F.col(lines)).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(hashes), _key(F.trim(x)))))
     full = lambda c: F.size(F.filter(c, lambda x: F.trim(x) != "")).cast("long")
-    rows = rows.withColumn("__kept", kept).withColumn("n_lines", full("__lines")).withColumn("n_dropped", F.col("n_lines") - full("__kept"))
-    cut = F.when(F.col(text).isNotNull(), F.array_join("__kept", "\n"))
-    return rows.withColumn(text, cut).drop("__key", "__lines", "__kept", "__host", "__bad")
+    rows = rows.withColumn(kept, left).withColumn("n_lines", full(lines)).withColumn("n_dropped", F.col("n_lines") - full(kept))
+    cut = F.when(F.col(text).isNotNull(), F.array_join(kept, "\n"))
+    return rows.withColumn(text, cut).drop(key, lines, kept, name, hashes)
 
 
 def page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """One row per page: page_id, host, n_lines, n_dropped, kept (the text without its host's boilerplate)."""
+    """One row per page: page_id, host, n_lines, n_dropped, kept (the text without its host's boilerplate).
+
+    A null or empty html has no line and an empty text; a null url, or one without a host, belongs to the host ''. Repeated
+    page ids and repeated rows are pages of their own; a null page_id is kept; other columns are not read. An empty table
+    gives no row.
+    """
     made = pages.select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("kept"))
     folder = scratch(pages.sparkSession)
     made = written(made, folder, "lines")  # the text is made once, for counting and for cutting

@@ -600,6 +600,25 @@ def test_both_joins_of_line_dedup(spark, monkeypatch):
     assert {r["text"] for r in line_dedup.drop_boilerplate(df, "host", "text", 0.5, 3).collect()} == {f"x{i}" for i in range(5)}
 
 
+def test_names_of_any_kind_are_carried_along(spark, monkeypatch):
+    for most in (200_000, -1):
+        monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", most)
+        df = spark.createDataFrame([("a", f"menu\nx{i}", i, "k", "h", 7) for i in range(5)], "host string, text string, __key int, __kept string, __bad string, n long")
+        got = line_dedup.drop_boilerplate(df, "host", "text", 0.5, 3)
+        assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+        assert {(r["text"], r["__key"], r["__kept"], r["__bad"], r["n"], r["n_dropped"]) for r in got.collect()} == {(f"x{i}", i, "k", "h", 7, 1) for i in range(5)}
+
+
+def test_pages_of_awkward_rows(spark):
+    html = "<p>menu</p><p>own %d</p>"
+    rows = [(i, "http://a.b/x", html % i, 1) for i in range(5)] + [(5, None, html % 5, 1), (6, "http://c.d", None, 1), (None, "no host", "", 1), (0, "http://a.b/y", html % 9, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, kept int")
+    got = sorted(((str(r["page_id"]), r["host"], r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.page_lines(df).collect()))
+    want = [(str(i), "a.b", 2, 1, f"own {i}") for i in range(5)] + [("5", "", 2, 0, "menu\nown 5"), ("6", "c.d", 0, 0, ""), ("None", "", 0, 0, ""), ("0", "a.b", 2, 1, "own 9")]
+    assert got == sorted(want)
+    assert line_dedup.page_lines(df.limit(0)).count() == 0
+
+
 def test_copies_are_one_page_in_the_pipeline(spark):
     import corpus_pipeline
 
