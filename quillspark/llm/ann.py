@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import join_counted, scratch, written
+from quillspark.llm.common import join_counted, remove, scratch, written
 
 K, EVERY = 20, 20
 #: Entries on which centroids and centres are trained at most; every entry is indexed.
@@ -282,7 +282,9 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "ve
     crowd = written(queries.groupBy("vec").agg(F.count("*").alias("n"), F.min("id").alias("qid")), folder, "crowd")
     named = written(join_counted(written(queries, folder, "queries"), crowd, ["vec"], "n").select("id", "qid"), folder, "namedqueries")
     lists = near.groupBy("qid").agg(F.collect_list(F.struct("ids", "score")).alias("found")).join(crowd.select("qid", "n"), "qid")  # k + 1 each
-    found = join_counted(named, written(lists, folder, "lists"), ["qid"], "n").select(F.col("id").alias("query_id"), F.explode("found").alias("x"))
+    lists = written(lists, folder, "lists")
+    remove(spark, folder, "lists", "namedqueries")
+    found = join_counted(named, lists, ["qid"], "n").select(F.col("id").alias("query_id"), F.explode("found").alias("x"))
     found = found.select("query_id", F.explode("x.ids").alias("vec_id"), "x.score").filter("query_id <> vec_id")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Symbols that are compared at a time.
+SYMBOLS = 6
+
 
 def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (S); the last is S, being followed by nothing."""
@@ -13,7 +16,7 @@ def _types(t: np.ndarray) -> np.ndarray:
     if n > 1:
         differ = np.flatnonzero(t[1:] != t[:-1])
         up = np.concatenate([t[differ] < t[differ + 1], [False]])  # a run at the end: each suffix is larger than the next
-        s[:-1] = up[np.searchsorted(differ, np.arange(n - 1))]
+        s[:-1] = np.repeat(up, np.diff(np.concatenate([[-1], differ, [n - 2]])))
     return s
 
 
@@ -172,17 +175,16 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, fresh: np.ndarray)
     own[1:][phi[:-1] < 0] = True
     plcp = np.zeros(n, np.int64)
     active = np.flatnonzero(own & (phi >= 0))
-    padded = np.concatenate([t, np.array([-1, -2], t.dtype)])  # two ends that are unlike
+    # SYMBOLS at a time, in ten bits each; the end is unlike all else, so no comparison goes beyond it
+    wide = np.concatenate([t.astype(np.int64), np.full(SYMBOLS, 1023)])
+    packed = sum(wide[k : k + n] << 10 * k for k in range(SYMBOLS))
     while len(active):
-        a, b = active + plcp[active], phi[active] + plcp[active]
-        go = (a < n) & (b < n)
-        a, b, active = a[go], b[go], active[go]
-        run = np.zeros(len(active), np.int64)
-        still = np.ones(len(active), bool)
-        for k in range(8):
-            still &= padded[np.minimum(a + k, n)] == padded[np.minimum(b + k, n + 1)]
-            run += still
-        plcp[active] += run
-        active = active[still & (plcp[active] < most)]
+        x = packed[active + plcp[active]] ^ packed[phi[active] + plcp[active]]
+        part = x != 0
+        bit = np.log2((x[part] & -x[part]).astype(np.float64)).astype(np.int64)  # the lowest one that differs
+        plcp[active] += SYMBOLS
+        plcp[active[part]] += bit // 10 - SYMBOLS
+        active = active[~part]
+        active = active[plcp[active] < most]
     last = np.maximum.accumulate(np.where(own, i, 0))
     return np.maximum(plcp[last] - (i - last), 0)

@@ -1,8 +1,8 @@
 """Removal of long byte strings that also start elsewhere, by suffix arrays of shards made so that no match is missed.
 
-Every 400-byte string holds an anchor: a position whose 256-byte hash is the least of some 145 in a row, so that equal
+Every 400-byte string holds an anchor: the first of its 145 positions whose 256-byte hash is the least, so that equal
 strings have it at the same place. All occurrences of a repeated string thus meet at one anchor hash. An anchor's surroundings
-are the bytes, 544 at most, of the strings whose least hash it is. Equal surroundings of one hash are one entry with
+are the bytes, 544 at most, of the strings that have it. Equal surroundings of one hash are one entry with
 their number. A shard's suffix
 array is induced from the entries' bytes; in it, strings that share 400 bytes stand together, and of these the ones at
 the same distance from their anchors are true repeats (two anchors of one text may surround the same bytes).
@@ -64,26 +64,18 @@ def anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         z = np.zeros(0, np.int64)
         return z, z.view(np.uint64), z.view(np.uint64), z, z
     sums = _sums(data)
-    at = np.arange(n - SEED + 1)
-    h = _hash(sums, at, at + SEED)
-    w = BEFORE + 1
-    low = _slide(h, w, np.minimum)  # of each string of LENGTH bytes
-    pad = np.zeros(w - 1, np.uint64)
-    pos = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), w, np.maximum) == h)
-    # the strings whose least hash an anchor is start in one range: that of the run of equal lows among the starts before it
-    run = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    a, b = np.maximum(pos - BEFORE, 0), np.minimum(pos, n - LENGTH)
-    k, last = np.searchsorted(run, a, "right") - 1, np.searchsorted(run, b, "right") - 1
-    value, ends = low[run], np.append(run[1:], len(low)) - 1
-    start, stop = np.full(len(pos), n, np.int64), np.full(len(pos), -1, np.int64)
-    for _ in range(int((last - k).max()) + 1):
-        hit = np.flatnonzero((k <= last) & (value[np.minimum(k, len(run) - 1)] == h[pos]))
-        start[hit] = np.minimum(start[hit], np.maximum(a[hit], run[k[hit]]))
-        stop[hit] = np.maximum(stop[hit], np.minimum(b[hit], ends[k[hit]]))
-        k = k + 1
-    stop += LENGTH
+    count = n - SEED + 1
+    _, inverse = _power(len(sums))
+    v = (sums[SEED:] - sums[:count]) * inverse[:count]  # equal for equal bytes; its upper bits are well mixed
+    shift = np.uint64(max(24, int(count).bit_length()))
+    # the upper bits with the position behind them: the least of a run is the leftmost of the least
+    least = _slide(v >> shift << shift | np.arange(count, dtype=np.uint64), BEFORE + 1, np.minimum) & ((np.uint64(1) << shift) - np.uint64(1))
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))  # starts of strings with the same anchor are a run
+    pos = least[first].astype(np.int64)
+    start, stop = first, np.append(first[1:], len(least)) - 1 + LENGTH
+    h = mix(v[pos] + np.uint64(SEED))
     around = mix(_hash(sums, start, stop) + (pos - start).astype(np.uint64))
-    return pos, h[pos], around, start, stop - start
+    return pos, h, around, start, stop - start
 
 
 def _bytes(batch: pa.RecordBatch, name: str = "text"):
