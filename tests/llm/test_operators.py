@@ -286,6 +286,30 @@ def brute_repeats(texts):
     return sorted(out)
 
 
+@pytest.mark.parametrize("many", [suffix_dedup.MANY, 20])
+def test_repeats_of_documents(spark, many):
+    folder = "/root/testdata/sf0.01"
+    texts = {i: (t or "").encode() for i, t in texts_of(spark, folder).items()}
+    keys = {i: [hash(b[s : s + 400]) for s in range(len(b) - 399)] for i, b in texts.items()}
+    count = collections.Counter(k for x in keys.values() for k in x)
+    touched = 0
+    for r in suffix_dedup.remove_repeats(table(spark, folder, "documents"), many=many).collect():
+        b, spans = texts[r["doc_id"]], []
+        for s, k in enumerate(keys[r["doc_id"]]):
+            if count[k] > 1:
+                if spans and s <= spans[-1][1]:
+                    spans[-1][1] = s + 400
+                else:
+                    spans.append([s, s + 400])
+        kept, at = b"", 0
+        for p, q in spans:
+            kept, at = kept + b[at:p], q
+        kept += b[at:]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), len(b) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+        touched += bool(spans)
+    assert touched > 20
+
+
 @pytest.mark.parametrize("many", [1500, 1])
 def test_repeats(spark, many):
     r = random.Random(4)
