@@ -1,8 +1,10 @@
 """Token counts of whole texts by a public tokenizer file (tokenizers' .json or sentencepiece's .model).
 
-Texts of more than a chunk's length are cut into overlapping chunks that are encoded with offsets, all chunks of a batch
-at once; two neighbours are spliced at a boundary that both have and that is proven stable. Where an overlap holds none,
-the text goes chunk by chunk, and the overlap is widened until one is found or the chunks have become one.
+Texts of more than a chunk's length are cut into overlapping chunks. A chunk's tokens are counted (word by word where
+words are stable, each word once for as long as it is remembered); the overlap of two neighbours is encoded with offsets
+as the end of the one and as the begin of the other, and they are spliced at a boundary that both have and that is proven
+stable: what the one has behind it and the other before it is taken off again. Where an overlap holds none, the text goes
+chunk by chunk, and the overlap is widened until one is found or the chunks have become one.
 
 A boundary is stable if nothing on its left can change what stands on its right, and the reverse:
 * .json: the position before a white-space character that follows another character, or behind a digit.
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_texts
+from quillspark.llm.common import Memory, map_texts
 
 #: In code points.
-CHUNK, OVERLAP = 4_096, 192
+CHUNK, OVERLAP = 8_192, 192
 LIMIT = 2048
 
 
@@ -42,6 +44,21 @@ class _Json:
         with open(path, encoding="utf-8") as f:
             self.stable = re.compile(r"(?<=\S)(?=\s)|(?<=[0-9])(?=\S)") if _stable_json(json.load(f)) else None
 
+        self.memory = Memory(64 << 20)
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Tokens of each text: the sum over its parts between spaces and line breaks, which part it for good."""
+        if self.stable is None:
+            return self.lengths(texts)
+        rows = [x.replace("\n", " ").split(" ") for x in texts]
+        need = self.memory.begin({w for row in rows for w in row})
+        for i in range(0, len(need), 5000):
+            part = need[i : i + 5000]
+            for w, n in zip(part, self.lengths(part)):
+                self.memory.put(w, n)
+        known = self.memory.known
+        return [sum(map(known.__getitem__, row)) for row in rows]
+
     def lengths(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -59,6 +76,9 @@ class _Model:
         plain = p.normalize("a  b \t") == "▁a▁▁b▁\t"  # spaces are kept and only they are rewritten
         self.stable = re.compile("(?<=[^ ])(?= )") if plain and not crossing else None
 
+    def count(self, texts: list[str]) -> list[int]:
+        return self.lengths(texts)
+
     def lengths(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.processor.encode(texts, num_threads=1)] if texts else []
 
@@ -90,34 +110,28 @@ def load(path: str) -> _Json | _Model:
 
 
 def counts(coder: _Json | _Model, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Tokens of each text: short ones encoded at once, long ones in overlapping chunks."""
-    n = [0] * len(texts)
-    short = [i for i, x in enumerate(texts) if len(x) <= chunk or coder.stable is None]
-    for i, k in zip(short, coder.lengths([texts[i] for i in short])):
-        n[i] = k
-    long = [i for i, x in enumerate(texts) if len(x) > chunk and coder.stable is not None]
-    starts = [range(0, len(texts[i]) - overlap, chunk - overlap) for i in long]
-    spans = iter(coder.spans([texts[i][a : a + chunk] for i, s in zip(long, starts) for a in s]))
-    for i, s in zip(long, starts):
-        n[i] = _join(coder, texts[i], [(a, next(spans)) for a in s], chunk)
-        if n[i] < 0:
-            n[i] = splice(coder, texts[i], chunk, overlap)
+    """Tokens of each text: short ones at once, long ones in overlapping chunks that are spliced."""
+    if coder.stable is None:
+        return coder.lengths(texts)
+    starts = [range(0, max(len(x) - overlap, 1), chunk - overlap) if len(x) > chunk else range(1) for x in texts]
+    each = iter(coder.count([x[a : a + chunk] for x, s in zip(texts, starts) for a in s]))
+    n = [sum(next(each) for _ in s) for s in starts]
+    # the overlaps: as the left chunk's end, with some text before it, and as the right chunk's begin
+    joints = [(i, max(a, b - overlap), b, a + chunk) for i, s in enumerate(starts) for a, b in zip(s, s[1:])]
+    ends = coder.spans([texts[i][a:end] for i, a, _, end in joints])
+    begins = coder.spans([texts[i][at:end] for i, _, at, end in joints])
+    failed = set()
+    for (i, a, at, end), left, right in zip(joints, ends, begins):
+        cut = _boundary(coder, texts[i], a, left, at, right, end)
+        if cut is None:
+            failed.add(i)
+        else:
+            n[i] -= len(left) - bisect_left(left, (cut - a,)) + bisect_left(right, (cut - at,))
+    for i in failed:
+        n[i] = splice(coder, texts[i], chunk, overlap)
     return n
 
 
-def _join(coder: _Json | _Model, text: str, parts: list[tuple[int, list]], chunk: int) -> int:
-    """Tokens of a text from its chunks (start, spans); -1 where two neighbours have no stable boundary in common."""
-    total, begin = 0, 0
-    for (at, left), (after, right) in zip(parts, parts[1:]):
-        cut = _boundary(coder, text, at, left, after, right, at + chunk)
-        if cut is None or cut < begin:
-            return -1
-        total += bisect_left(left, (cut - at,)) - bisect_left(left, (begin - at,))
-        begin = cut
-    at, left = parts[-1]
-    return total + len(left) - bisect_left(left, (begin - at,))
-
-
 def splice(coder: _Json | _Model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of text, chunk by chunk, with overlaps that widen where alignment fails."""
     if coder.stable is None or len(text) <= chunk:
