@@ -576,8 +576,8 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(r["predicted"] == r["toxic"] for r in rows) >= 0.93 * len(rows)
     assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.02 * len(rows)
     found = sum(r["predicted"] for r in rows if r["toxic"]) / sum(r["toxic"] for r in rows)
-    print("recall at 0.3:", found)
-    assert found >= 0.6
+    print("recall at 0.3:", found, "clean texts lost:", sum(r["predicted"] for r in rows if not r["toxic"]) / sum(not r["toxic"] for r in rows))
+    assert found >= 0.75
 
 
 def test_toxicity_of_texts_without_words(spark):
