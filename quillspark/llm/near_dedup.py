@@ -279,8 +279,9 @@ def stars(members: DataFrame, folder: str, percent: int) -> tuple[DataFrame, Dat
         centres = written(_blocks(centres), folder, f"centres{k}")
         both = members.join(left.select("v"), "v", "left_semi") if k else members
         both = both.join(centres, ["k", "salt"])
-        d = F.size("s") + F.size("centre") - 2 * F.size(F.array_intersect("s", "centre"))
-        x = (F.lit(100 + percent) * d - F.lit(100 - percent) * F.size("s")).cast("long")
+        many = lambda c: F.size(c).cast("long")
+        d = many("s") + many("centre") - 2 * many(F.array_intersect("s", "centre"))
+        x = (100 + percent) * d - (100 - percent) * many("s")
         far = written(both.select("k", "salt", "salts", "v", d.alias("d"), x.alias("x")), folder, f"far{k}")
         hubs = far.groupBy("k", "salts").agg(F.min(F.struct("x", "v")).alias("y")).select("k", "salts", F.col("y.v").alias("hub"), F.col("y.x").alias("x0"))
         star = written(far.join(_blocks(hubs), ["k", "salt"]), folder, f"star{k}")
