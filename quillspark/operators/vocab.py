@@ -61,10 +61,15 @@ def extended(vocab: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _shared(vocab: DataFrame, most: int):
-    """The first words of a vocabulary (by id, that is by frequency), at most about `most`, sent to all executors."""
-    low = vocab.agg(F.min("id")).first()[0] or 0
-    head = vocab.filter(F.col("id") < low + most).select("token", F.col("id").cast("int").alias("id")).toArrow()
-    return vocab.sparkSession.sparkContext.broadcast((head["token"].combine_chunks(), head["id"].combine_chunks())), low + most
+    """The first `most` words of a vocabulary (by id, that is by frequency), sent to all executors, and the rest as a table, or None.
+
+    One pass over the vocabulary: one row more than are sent says whether there is a rest.
+    """
+    plain = vocab.select("token", F.col("id").cast("int").alias("id"))
+    head = plain.orderBy("id").limit(most + 1).toArrow()
+    rest = plain.filter(F.col("id") >= head["id"][most].as_py()) if head.num_rows > most else None
+    head = head.slice(0, most)
+    return vocab.sparkSession.sparkContext.broadcast((head["token"].combine_chunks(), head["id"].combine_chunks())), rest
 
 
 def _mapped(column: pa.ListArray, known: pa.Array, values: pa.Array) -> pa.ListArray:
@@ -79,8 +84,7 @@ def encode(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, unknown: i
     The `most` first words are looked up in place, batch by batch, without a shuffle. Of a larger vocabulary the words
     behind them, none of which is frequent, are joined.
     """
-    shared, top = _shared(vocab, most)
-    rest = vocab.filter(F.col("id") >= top).select("token", F.col("id").cast("int").alias("id"))
+    shared, rest = _shared(vocab, most)
 
     def run(batches):
         known, ids = shared.value
@@ -91,7 +95,7 @@ def encode(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, unknown: i
     kind = rows.schema[key].dataType.simpleString()
     got = rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>, __t array<string>")
     fill = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(unknown)))
-    if rest.isEmpty():
+    if rest is None:
         return got.select(key, fill("ids").alias("ids"))
     got = got.withColumn("__row", F.monotonically_increasing_id())
     cells = F.filter(F.arrays_zip(F.col("ids").alias("i"), F.col("__t").alias("t"), F.sequence(F.lit(0), F.size("ids") - 1).alias("p")), lambda x: x["i"].isNull())
@@ -105,8 +109,7 @@ def encode(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, unknown: i
 def decode(df: DataFrame, key: str, ids: Column, vocab: DataFrame, most: int = 200_000) -> DataFrame:
     """(key, text), one row per row of df: fills, specials and unknown ids dropped. Words behind the `most` first ones are joined, as in encode."""
     words = vocab.filter(~F.col("is_special")) if "is_special" in vocab.columns else vocab
-    shared, top = _shared(words, most)
-    rest = words.filter(F.col("id") >= top).select(F.col("id").cast("int").alias("id"), "token")
+    shared, rest = _shared(words, most)
 
     def run(batches):
         known, found = shared.value
@@ -115,9 +118,10 @@ def decode(df: DataFrame, key: str, ids: Column, vocab: DataFrame, most: int = 2
 
     rows = df.select(key, F.filter(ids, lambda x: x != 0).cast("array<int>").alias("__t"))
     got = rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, __w array<string>, __t array<int>")
-    if not rest.isEmpty():
+    if rest is not None:
         got = got.withColumn("__row", F.monotonically_increasing_id())
-        away = got.select("__row", F.posexplode("__t").alias("p", "id")).filter(F.col("id") >= top)
+        cells = F.filter(F.arrays_zip(F.col("__w").alias("w"), F.col("__t").alias("i"), F.sequence(F.lit(0), F.size("__t") - 1).alias("p")), lambda x: x["w"].isNull())
+        away = got.filter(F.exists("__w", lambda x: x.isNull())).select("__row", F.explode(cells).alias("c")).select("__row", F.col("c.p").alias("p"), F.col("c.i").alias("id"))
         found = away.join(rest, "id").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("p", "token"))).alias("__found"))
         word = F.transform("__w", lambda x, i: F.coalesce(x, F.try_element_at(F.col("__found"), i)))
         got = got.join(found, "__row", "left").withColumn("__w", F.when(F.col("__found").isNull(), F.col("__w")).otherwise(word))

@@ -11,7 +11,7 @@ from quillspark.operators import augment, stats, vocab
 from quillspark.operators.numbering import positions
 from quillspark.plans.registry import query
 from quillspark.plans.texts import _NOISY, CLEAN, SECTIONS, SIMPLE, TOK, sections
-from quillspark.sources.tables import table
+from quillspark.sources.tables import kept, table
 
 W = f"w AS (SELECT doc_id, lang, source, {TOK} AS t FROM documents)"
 TOKENS = f"{W}, x AS (SELECT doc_id, lang, source, unnest(t) AS token FROM w)"
@@ -211,7 +211,7 @@ _ENC = f"WITH {FREQ}, {_BUILT}, p AS (SELECT doc_id, unnest(t) AS token, generat
 
 def encoded(spark, d):
     rows = docs(spark, d)
-    v = vocab.built(vocab.counts(rows, F.col("t")))
+    v = kept(vocab.built(vocab.counts(rows, F.col("t"))))
     return vocab.encode(rows, "doc_id", F.col("t"), v), v
 
 
@@ -308,7 +308,7 @@ SELECT lang, sequences, tokens, unique_tokens, round(eff, 6) AS vocab_efficiency
 
 def _difficulty_b(spark, d):
     rows = docs(spark, d, "lang")
-    v = vocab.built(vocab.counts(rows, F.col("t")))
+    v = kept(vocab.built(vocab.counts(rows, F.col("t"))))
     q = vocab.encode(rows, "lang", F.col("t"), v).select("lang", A.padded(F.col("ids"), 128).alias("s"))
     return stats.difficulty_b(q, F.broadcast(v.agg((F.max("id") + 1).alias("vs"))), "lang", "s")
 

@@ -49,6 +49,7 @@ def write_vocabulary(vocab: DataFrame, folder: str, lines: int = 1000) -> None:
     many entries a line, so no task holds all of it), lines 'id: word', and its statistics. readers.vocabulary reads them back."""
     folder = folder.rstrip("/")
     vocab.write.mode("overwrite").parquet(f"{folder}/vocabulary.parquet")
+    vocab = vocab.sparkSession.read.schema(vocab.schema).parquet(f"{folder}/vocabulary.parquet")  # made once
     part = F.floor(F.col("id") / lines)
     objects = lambda k, v: vocab.groupBy(part).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(k, v)))).alias("value")).select("value")
     objects(F.col("token"), F.col("id")).write.mode("overwrite").text(f"{folder}/word_index.json")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,10 @@ def shared(spark: SparkSession) -> str:
         root = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: made once, however often it is read."""
+    path = f"{shared(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
