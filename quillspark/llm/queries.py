@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import ann, decontaminate, line_dedup, lm_scoring, near_dedup, secrets, sentencepiece_bpe, suffix_dedup, token_count, toxicity
+from quillspark.llm import ann, decontaminate, filter_audit, line_dedup, lm_scoring, near_dedup, secrets, sentencepiece_bpe, suffix_dedup, token_count, toxicity
 from quillspark.sources.tables import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +54,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_counts": op2_token_counts,
@@ -65,10 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": line_dedup.PAGE_SQL,
     "op10_decontamination": decontaminate.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
