@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import ann, decontaminate, filter_audit, line_dedup, lm_scoring, near_dedup, secrets, sentencepiece_bpe, suffix_dedup, token_count, toxicity
+from quillspark.llm import ann, decontaminate, filter_audit, line_dedup, lm_scoring, near_dedup, packing, secrets, sentencepiece_bpe, suffix_dedup, token_count, toxicity, whitening
 from quillspark.sources.tables import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_counts": op2_token_counts,
@@ -70,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
     "op11_filter_audit": op11_filter_audit,
+    "op12_whitening": op12_whitening,
+    "op13_packing": op13_packing,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
