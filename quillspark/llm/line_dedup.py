@@ -20,16 +20,54 @@ BLOCK = r"(?is)<!--.*?-->|<(script|style)\b.*?</(script|style)\s*>"
 BREAK = r"(?i)</?(p|div|li|ul|ol|nav|article|section|header|footer|main|aside|h[1-6]|br|hr|tr|td|th|table|title|head|body|html|meta|form|blockquote|pre)\b[^>]*>"
 
 
+#: Stands in for an opener that nothing closes, while blocks are taken out.
+OFF = "\0"
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is made once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _blocks(html: Column) -> Column:
+    """A space for each comment, script and style. An opener that nothing closes would be followed to the page's end, each
+    anew, so those behind the last end are switched off first: then every opener meets its end, in linear time."""
+
+    def comments(t: Column) -> Column:
+        off = lambda tail: F.when(F.contains(tail, F.lit("<!--")), F.concat(_head(t, tail), F.replace(tail, F.lit("<!--"), F.lit(f"<!-{OFF}-")))).otherwise(t)
+        return _let(F.substring_index(t, "-->", -1), off)
+
+    def scripts(t: Column) -> Column:
+        off = lambda head: F.concat(head, F.regexp_replace(F.substr(t, F.length(head) + 1), r"(?i)<(?=(script|style)\b)", f"<{OFF}"))
+        return F.when(t.rlike(r"(?i)<(script|style)\b"), _let(F.regexp_extract(t, r"(?is)^.*</(script|style)\s*>", 0), off)).otherwise(t)
+
+    def on(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit(OFF)), F.replace(F.replace(t, F.lit(f"<!-{OFF}-"), F.lit("<!--")), F.lit(f"<{OFF}"), F.lit("<"))).otherwise(t)
+
+    return _let(F.regexp_replace(_let(_let(html, comments), scripts), BLOCK, " "), on)
+
+
+def _head(text: Column, tail: Column) -> Column:
+    return F.substr(text, F.lit(1), F.length(text) - F.length(tail))
+
+
+def _tags(text: Column, pattern: str, by: str) -> Column:
+    """Replaces a pattern that ends in '>'; what stands behind the last one cannot match, and is not tried."""
+    return _let(text, lambda t: _let(F.substring_index(t, ">", -1), lambda tail: F.concat(F.regexp_replace(_head(t, tail), pattern, by), tail)))
+
+
 def html_lines(html: Column) -> Column:
-    """The visible text of a page, a line for each block element; a null or empty page has no line."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), BLOCK, " ")
+    """The visible text of a page, a line for each block element; a null or empty page has no line.
+
+    Time is linear in the page, however many openers are never closed and however long its runs of spaces are.
+    """
+    text = _blocks(F.coalesce(html, F.lit("")))
     text = F.regexp_replace(text, r"\s+", " ")
-    text = F.regexp_replace(text, BREAK, "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
+    text = _tags(text, BREAK, "\n")
+    text = _tags(text, r"<[^>]*>", "")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.regexp_replace(text, " *\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(F.regexp_replace(text, "(?<! ) *\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def host_of(url: Column) -> Column:
