@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def with_images(studies: DataFrame, listing: DataFrame, patient: str, uid: str, folder: str = r"/(p[0-9]+)/", kinds: str = r"\.(jpg|jpeg|png|dcm)$") -> DataFrame:
+#: Where a path names its patient (a folder) and its study (a part of a folder's or a file's name).
+PATIENT, STUDY = r"/(p[0-9]+)/", r"[/_](s[0-9]+)(?![0-9A-Za-z])"
+
+
+def with_images(studies: DataFrame, listing: DataFrame, patient: str, uid: str, folder: str = PATIENT, study: str = STUDY, kinds: str = r"\.(jpg|jpeg|png|dcm)$") -> DataFrame:
     """studies with `images`: the sorted paths of image files in the patient's folder that name the study.
 
-    An equi-join on the folder, with the name as a condition of it. A study without files has an empty list.
+    The names of patient and study are taken out of each path once, and files are gathered by both before the join, so
+    it is one of equality, with a row for each study at most on its right: a patient with very many studies makes no
+    large group, nor do repeated studies. The study's name is the first in the path that fits. A study without files has
+    an empty list, and so has one whose patient or name is null.
     """
-    files = listing.filter(F.col("path").rlike(kinds)).select(F.regexp_extract("path", folder, 1).alias("__folder"), "path")
-    found = studies.select(patient, uid).distinct().join(files, (F.col(patient) == F.col("__folder")) & F.contains("path", F.col(uid)))
-    lists = found.groupBy(F.col(patient).alias("__p"), F.col(uid).alias("__u")).agg(F.array_sort(F.collect_list("path")).alias("images"))
+    files = listing.filter(F.col("path").rlike(kinds)).select(F.regexp_extract("path", folder, 1).alias("__p"), F.regexp_extract("path", study, 1).alias("__u"), "path")
+    lists = files.filter("__p <> '' and __u <> ''").groupBy("__p", "__u").agg(F.array_sort(F.collect_list("path")).alias("images"))
     joined = studies.join(lists, (studies[patient] == lists["__p"]) & (studies[uid] == lists["__u"]), "left").drop("__p", "__u")
     return joined.withColumn("images", F.coalesce("images", F.array().cast("array<string>")))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -38,16 +41,45 @@ def quantiles(df: DataFrame, value: Column, points: dict[str, float], step: floa
     return rows.agg(*out)
 
 
-def frequency_stats(freq: DataFrame, by: list[str]) -> DataFrame:
-    """Of a table (by..., token, freq): size, shape, and rare and common shares."""
-    f = F.col("freq")
-    skew = F.when(F.count("*") < 3, 0.0).otherwise(F.coalesce(F.skewness(f), F.lit(0.0)))
-    kurt = F.when(F.count("*") < 4, 0.0).otherwise(F.coalesce(F.kurtosis(f), F.lit(0.0)))
-    return freq.groupBy(*by).agg(
-        F.count("*").alias("vocab_size"), F.sum(f).alias("total_tokens"), F.round(F.avg(f), 6).alias("freq_mean"), F.round(F.stddev_pop(f), 6).alias("freq_std"), F.round(F.percentile(f, F.lit(0.5)), 6).alias("freq_median"),
-        F.max(f).alias("freq_max"), F.min(f).alias("freq_min"), F.round(F.count("*") / F.sum(f), 6).alias("vocab_efficiency"), F.round(skew, 4).alias("skew"), F.round(kurt, 3).alias("kurt"),
-        F.round(F.count_if(f == 1) / F.count("*"), 6).alias("rare_ratio"), F.round(F.count_if(f > 100) / F.count("*"), 6).alias("common_ratio"), F.count_if(f == 1).alias("n_once"), F.count_if(f > 10).alias("n_over_10"),
-    )
+def box_plot(df: DataFrame, by: list[str], value: Column, reach: float = 1.5) -> tuple[DataFrame, DataFrame]:
+    """The data of a box plot for each group: (boxes, outliers).
+
+    boxes: (by..., n, q1, median, q3, whisker_low, whisker_high, n_outliers); the whiskers end at the farthest values
+    within `reach` times the quartiles' distance, and quantiles interpolate. outliers: (by..., side, value, n), the values
+    beyond the whiskers, equal ones together. Values are counted first, so a group is as large as its distinct values
+    are many; null values take no part, and a group of one value has whiskers at its quartiles.
+    """
+    counts = df.select(*by, value.cast("double").alias("value")).filter("value is not null and not isnan(value)").groupBy(*by, "value").agg(F.count("*").alias("c"))
+    q = lambda p: F.percentile("value", F.lit(p), F.col("c"))
+    quartiles = counts.groupBy(*by).agg(F.sum("c").alias("n"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+    limit = reach * (F.col("q3") - F.col("q1"))
+    at = [F.col(f"v.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by]
+    j = counts.alias("v").join(F.broadcast(quartiles).alias("q"), reduce(lambda a, b: a & b, at, F.lit(True)))  # a row for each group
+    j = j.select(*(f"v.{c}" for c in by), "v.value", "v.c", "q.n", "q.q1", "q.median", "q.q3").withColumn("side", F.when(F.col("value") < F.col("q1") - limit, "low").when(F.col("value") > F.col("q3") + limit, "high"))
+    inside = F.when(F.col("side").isNull(), F.col("value"))
+    whisker = lambda f, edge: F.coalesce(f(inside), F.col(edge)).alias
+    boxes = j.groupBy(*by, "n", "q1", "median", "q3").agg(whisker(F.min, "q1")("whisker_low"), whisker(F.max, "q3")("whisker_high"), F.coalesce(F.sum(F.when(F.col("side").isNotNull(), F.col("c"))), F.lit(0)).alias("n_outliers"))
+    return boxes, j.filter("side is not null").select(*by, "side", "value", F.col("c").alias("n"))
+
+
+def heat_map(df: DataFrame, row: str, column: str, value: Column) -> DataFrame:
+    """(row, column, value, share, scaled) of a two-way matrix in long form, a line for every cell, empty ones with 0.
+
+    value: an aggregate of a cell's rows. share: of its row's sum; scaled: between its column's least (0) and largest (1),
+    0 where they are equal. Names of rows and columns are few: their pairs are a line each, null names are names.
+    """
+    cells = df.groupBy(F.col(row).cast("string").alias("row"), F.col(column).cast("string").alias("column")).agg(value.cast("double").alias("value"))
+    return scaled_cells(cells)
+
+
+def scaled_cells(cells: DataFrame) -> DataFrame:
+    """The lines of `heat_map` from (row, column, value): any metrics, one line a cell at most."""
+    lists = cells.agg(F.collect_set(F.struct("row")).alias("rows"), F.collect_set(F.struct("column")).alias("columns"))
+    grid = lists.select(F.explode("rows").alias("r"), "columns").select("r.row", F.explode("columns").alias("c")).select("row", "c.column")
+    full = grid.alias("g").join(cells.alias("c"), F.col("g.row").eqNullSafe(F.col("c.row")) & F.col("g.column").eqNullSafe(F.col("c.column")), "left").select("g.row", "g.column", F.coalesce("c.value", F.lit(0.0)).alias("value"))
+    of_row, of_column = Window.partitionBy("row"), Window.partitionBy("column")
+    low, high = F.min("value").over(of_column), F.max("value").over(of_column)
+    return full.select("row", "column", "value", ratio(F.col("value"), F.sum("value").over(of_row)).alias("share"), ratio(F.col("value") - low, high - low).alias("scaled"))
 
 
 def difficulty_a(rows: DataFrame, freq: DataFrame, positions: DataFrame, by: str) -> DataFrame:
@@ -69,33 +101,11 @@ def difficulty_a(rows: DataFrame, freq: DataFrame, positions: DataFrame, by: str
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
-def difficulty_full(rows: DataFrame, freq: DataFrame, positions: DataFrame, by: str) -> DataFrame:
-    """The 26 metrics of training difficulty; the arguments are those of difficulty_a."""
-    n, u, f = F.col("n"), F.col("uniq"), F.col("freq")
-    a = rows.groupBy(by).agg(
-        F.count("*").alias("total_entries"), F.count_if(n > 0).alias("valid_entries"), F.sum(n).alias("total_tokens"), F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("med"), F.min(n).cast("long").alias("lo"), F.max(n).cast("long").alias("hi"),
-        F.stddev_pop(n).alias("std"), F.var_pop(n).alias("var"), F.avg(u).alias("uniq"), F.avg(F.when(n > 0, 1 - u / n)).alias("rep"),
-    )
-    b = freq.groupBy(by).agg(F.count("*").alias("vocab_size"), F.avg(f).alias("fmean"), F.stddev_pop(f).alias("fstd"), F.percentile(f, F.lit(0.5)).alias("fmed"), F.max(f).alias("fmax"), F.min(f).alias("fmin"))
-    c = positions.groupBy(by).agg(F.stddev_pop("distinct").alias("pstd"))
-    j = a.join(b, by).join(c, by)
-    cv, fcv, v, t, mean = ratio(F.col("std"), F.col("mean")), ratio(F.col("fstd"), F.col("fmean")), F.col("vocab_size"), F.col("total_tokens"), F.col("mean")
-    r = lambda x, name, k=6: F.round(x, k).alias(name)
-    return j.select(
-        by, "total_entries", "valid_entries", "total_tokens", "vocab_size", r(mean, "avg_sequence_length"), r(F.col("med"), "median_sequence_length"), F.col("lo").alias("min_sequence_length"), F.col("hi").alias("max_sequence_length"), r(F.col("std"), "sequence_length_std"),
-        r(F.col("var"), "sequence_length_variance", 4), r(cv, "sequence_length_cv"), r(F.col("uniq"), "avg_unique_tokens_per_seq"), r(F.col("rep"), "avg_repetition_ratio"), r(ratio(F.col("uniq"), mean), "complexity_score"), r(F.col("fmean"), "token_freq_mean"), r(F.col("fstd"), "token_freq_std", 5),
-        r(F.col("fmed"), "token_freq_median"), F.col("fmax").alias("most_common_token_freq"), F.col("fmin").alias("least_common_token_freq"), r(1 / (1 + cv), "length_consistency"), r(ratio(v, t), "vocabulary_efficiency"), r(ratio(F.col("uniq"), v), "sequence_diversity"),
-        r(1 / (1 + cv + fcv), "training_stability_score"), r(F.col("pstd"), "position_consistency", 5), r(ratio(t, F.col("total_entries")), "avg_tokens_per_sample"), r(ratio(v, mean), "memory_efficiency", 5),
-    )
-
-
 def difficulty_b(rows: DataFrame, size: DataFrame, by: str, seq: str) -> DataFrame:
     """The other bundle of difficulty metrics, of sequences of ids; size: one row with vs, the vocabulary's size.
 
     The sequences are read twice: for their cells (by, position, id), counted once, and for themselves.
     """
-    from pyspark.sql.window import Window
-
     cells = rows.select(by, F.posexplode(seq).alias("i", "id")).groupBy(by, "i", "id").agg(F.count("*").alias("n"))
     k = cells.groupBy(by, "id").agg(F.sum("n").alias("n"))
     u = k.groupBy(by).agg(F.count("*").alias("used"), F.sum("n").alias("tokens"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.numbering import positions
+from quillspark.sources.tables import kept
 
 SPECIALS = ["<pad>", "<unk>", "<start>", "<end>"]
 
@@ -85,46 +86,49 @@ def encode(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, unknown: i
     behind them, none of which is frequent, are joined.
     """
     shared, rest = _shared(vocab, most)
+    extra = [] if rest is None else ["__t"]  # the words come back only where some of them are looked up elsewhere
 
     def run(batches):
         known, ids = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _mapped(b.column(1), known, ids), b.column(1)], names=[key, "ids", "__t"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _mapped(b.column(1), known, ids), *(b.column(1) for _ in extra)], names=[key, "ids", *extra])
 
     rows = df.select(key, tokens.alias("__t"))
     kind = rows.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>, __t array<string>")
-    fill = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(unknown)))
-    if rest is None:
-        return got.select(key, fill("ids").alias("ids"))
-    got = got.withColumn("__row", F.monotonically_increasing_id())
-    cells = F.filter(F.arrays_zip(F.col("ids").alias("i"), F.col("__t").alias("t"), F.sequence(F.lit(0), F.size("ids") - 1).alias("p")), lambda x: x["i"].isNull())
-    away = got.filter(F.exists("ids", lambda x: x.isNull())).select("__row", F.explode(cells).alias("c")).select("__row", F.col("c.p").alias("p"), F.col("c.t").alias("token"))
-    found = away.join(rest, "token").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("p", "id"))).alias("__found"))
-    ids = F.transform("ids", lambda x, i: F.coalesce(x, F.try_element_at(F.col("__found"), i)))
-    both = got.join(found, "__row", "left").select(key, F.when(F.col("__found").isNull(), F.col("ids")).otherwise(ids).alias("ids"))
-    return both.select(key, fill("ids").alias("ids"))
+    got = rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>" + ", __t array<string>" * len(extra))
+    if rest is not None:
+        got = _rest(got, "ids", rest, "token", "id")
+    return got.select(key, F.transform("ids", lambda x: F.coalesce(x, F.lit(unknown))).alias("ids"))
+
+
+def _rest(got: DataFrame, column: str, rest: DataFrame, key: str, value: str) -> DataFrame:
+    """got with the null elements of a column of arrays looked up in rest (key, value), by what stands in `__t` at their places.
+
+    Rows are numbered and written down first, so that both readings of them see the same numbers.
+    """
+    got = kept(got.withColumn("__row", F.monotonically_increasing_id()))
+    cells = F.filter(F.arrays_zip(F.col(column).alias("v"), F.col("__t").alias("t"), F.sequence(F.lit(0), F.size(column) - 1).alias("p")), lambda x: x["v"].isNull())
+    away = got.filter(F.exists(column, lambda x: x.isNull())).select("__row", F.explode(cells).alias("c")).select("__row", F.col("c.p").alias("p"), F.col("c.t").alias(key))
+    found = away.join(rest.select(key, F.col(value).alias("__v")), key).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("p", "__v"))).alias("__found"))
+    filled = F.transform(column, lambda x, i: F.coalesce(x, F.try_element_at(F.col("__found"), i)))
+    return got.join(found, "__row", "left").withColumn(column, F.when(F.col("__found").isNull(), F.col(column)).otherwise(filled))
 
 
 def decode(df: DataFrame, key: str, ids: Column, vocab: DataFrame, most: int = 200_000) -> DataFrame:
     """(key, text), one row per row of df: fills, specials and unknown ids dropped. Words behind the `most` first ones are joined, as in encode."""
     words = vocab.filter(~F.col("is_special")) if "is_special" in vocab.columns else vocab
     shared, rest = _shared(words, most)
+    extra = [] if rest is None else ["__t"]
 
     def run(batches):
         known, found = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _mapped(b.column(1), found, known), b.column(1)], names=[key, "__w", "__t"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _mapped(b.column(1), found, known), *(b.column(1) for _ in extra)], names=[key, "__w", *extra])
 
     rows = df.select(key, F.filter(ids, lambda x: x != 0).cast("array<int>").alias("__t"))
-    got = rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, __w array<string>, __t array<int>")
+    got = rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, __w array<string>" + ", __t array<int>" * len(extra))
     if rest is not None:
-        got = got.withColumn("__row", F.monotonically_increasing_id())
-        cells = F.filter(F.arrays_zip(F.col("__w").alias("w"), F.col("__t").alias("i"), F.sequence(F.lit(0), F.size("__t") - 1).alias("p")), lambda x: x["w"].isNull())
-        away = got.filter(F.exists("__w", lambda x: x.isNull())).select("__row", F.explode(cells).alias("c")).select("__row", F.col("c.p").alias("p"), F.col("c.i").alias("id"))
-        found = away.join(rest, "id").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("p", "token"))).alias("__found"))
-        word = F.transform("__w", lambda x, i: F.coalesce(x, F.try_element_at(F.col("__found"), i)))
-        got = got.join(found, "__row", "left").withColumn("__w", F.when(F.col("__found").isNull(), F.col("__w")).otherwise(word))
+        got = _rest(got, "__w", rest, "id", "token")
     return got.select(key, F.array_join("__w", " ").alias("text"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import arrays as A
 from quillspark.functions import text as T
-from quillspark.operators import augment, stats, vocab
+from quillspark.operators import augment, metrics, stats, vocab
+from quillspark.operators import terms as term_ops
 from quillspark.operators.numbering import positions
 from quillspark.plans.registry import query
 from quillspark.plans.texts import _NOISY, CLEAN, SECTIONS, SIMPLE, TOK, sections
@@ -120,6 +121,40 @@ def term_list(spark, d):
     return positions(terms(spark).select("term").distinct(), [(F.substring("term", 1, 1), True)], [F.col("term")])
 
 
+#: Phrases of terms, overlapping ones among them, that are put behind the texts.
+_PHRASES = ["pleural fluid collection", "no acute cardiopulmonary process", "enlarged heart and lung volume loss", "no no normal", "fluid in pleural space", "within normal radiographic limits", "collapsed lung", ""]
+_PHRASED = TOK.replace("coalesce(text, '')", "coalesce(text, '') || CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN ' {p}'" for i, p in enumerate(_PHRASES)) + " END")
+
+
+def _phrased():
+    return F.concat(T.blank(F.col("text")), F.lit(" "), F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % 8 + 1).cast("int")))
+
+
+#: Categories of terms, nested: the 13 of the lists, and those of the style rewrites, which belong to all terms alone.
+_STYLE = sorted({t for pair in T.TO_ACADEMIC for t in pair})
+_NESTED_SQL = "terms AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}')" for k, t in [*_TERMS, *(("style", t) for t in _STYLE)]) + ") v(category, term))"
+
+
+@query(f"""WITH {FREQ}, {_NESTED_SQL}, s AS (SELECT doc_id, {_PHRASED} AS t FROM documents), g AS (SELECT doc_id, unnest(list_concat({", ".join(f"list_transform(range(1, len(t) - {k - 2}), lambda i: array_to_string(t[i:i + {k - 1}], ' '))" for k in range(1, 1 + max(len(t.split()) for _, t in _TERMS)))})) AS term FROM s),
+n AS (SELECT term, count(*) AS n FROM g WHERE term IN (SELECT term FROM terms) GROUP BY term), e AS (SELECT DISTINCT * FROM (SELECT category, term FROM terms UNION ALL SELECT 'all', term FROM terms)),
+j AS (SELECT category, e.term, f.token, n.n, unnest(['any', CASE WHEN contains(e.term, ' ') THEN 'multi' ELSE 'single' END]) AS kind FROM e LEFT JOIN f ON f.token = e.term LEFT JOIN n ON n.term = e.term)
+SELECT category, kind, count(*) AS n_terms, count(token) AS in_vocabulary, round(100 * count(token) / count(*), 6) AS vocabulary_pct, count(n) AS in_texts, round(100 * count(n) / count(*), 6) AS texts_pct, coalesce(sum(n), 0)::BIGINT AS occurrences FROM j GROUP BY category, kind""")
+def term_phrases(spark, d):
+    """Terms of all categories in a vocabulary of words, and as phrases in the texts, in which some terms were put."""
+    rows = table(spark, d, "documents").select("doc_id", T.tokens(_phrased()).alias("t"))
+    categories = terms(spark).unionByName(spark.createDataFrame([("style", t) for t in _STYLE], "category string, term string"))
+    found = term_ops.occurrences(rows, [], F.col("t"), [t for _, t in _TERMS] + _STYLE)
+    return term_ops.coverage(categories, freq(spark, d), found)
+
+
+@query(f"""WITH {_NESTED_SQL}, s AS (SELECT doc_id, lang, {_PHRASED} AS t FROM documents), g AS (SELECT doc_id, lang, unnest(list_concat({", ".join(f"list_transform(range(1, len(t) - {k - 2}), lambda i: array_to_string(t[i:i + {k - 1}], ' '))" for k in range(1, 1 + max(len(t.split()) for _, t in _TERMS)))})) AS term FROM s)
+SELECT lang, term, count(*) AS n, count(DISTINCT doc_id) AS n_rows FROM g WHERE term IN (SELECT term FROM terms) GROUP BY lang, term""")
+def term_occurrences(spark, d):
+    """How often each term stands in the texts of a corpus, overlapping ones too, and in how many texts."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", T.tokens(_phrased()).alias("t"))
+    return term_ops.occurrences(rows, ["lang"], F.col("t"), [t for _, t in _TERMS] + _STYLE)
+
+
 @query(f"""WITH {FREQ}, {_TERMS_SQL}, v AS (SELECT token, row_number() OVER (ORDER BY freq DESC, token) + 1 AS id FROM f)
 SELECT token, id, true AS reachable FROM v UNION ALL SELECT term, (SELECT max(id) FROM v) + row_number() OVER (ORDER BY term), NOT contains(term, ' ') FROM (SELECT DISTINCT term FROM terms WHERE term NOT IN (SELECT token FROM v))""")
 def vocab_extend(spark, d):
@@ -248,7 +283,28 @@ _SKEW = "round(CASE WHEN count(*) < 3 OR stddev_pop(freq) = 0 THEN 0 ELSE (avg(f
   round(count(*) / sum(freq), 6) AS vocab_efficiency, {_SKEW} AS skew, round(CASE WHEN count(*) < 4 OR stddev_pop(freq) = 0 THEN 0 ELSE kurtosis_pop(freq) END, 3) AS kurt, round(count(*) FILTER (freq = 1) / count(*), 6) AS rare_ratio,
   round(count(*) FILTER (freq > 100) / count(*), 6) AS common_ratio, count(*) FILTER (freq = 1) AS n_once, count(*) FILTER (freq > 10) AS n_over_10 FROM f GROUP BY lang""")
 def freq_shape(spark, d):
-    return stats.frequency_stats(freq(spark, d, ("lang",)), ["lang"])
+    return metrics.compute(docs(spark, d, "lang"), ["lang"], F.col("t"), metrics.SHAPE)
+
+
+@query(f"""WITH {FREQL} SELECT lang, count(*) AS vocab_size, sum(freq)::BIGINT AS total_tokens, round(sum(freq) / count(*), 6) AS avg_tokens_per_vocab, round(avg(freq), 6) AS token_freq_mean, round(stddev_pop(freq), 5) AS token_freq_std, round(quantile_cont(freq, 0.5), 6) AS token_freq_median,
+  max(freq) AS most_common_freq, min(freq) AS least_common_freq, round(count(*) / sum(freq), 6) AS vocab_efficiency, {_SKEW} AS frequency_skewness, round(CASE WHEN count(*) < 4 OR stddev_pop(freq) = 0 THEN 0 ELSE kurtosis_pop(freq) END, 3) AS frequency_kurtosis,
+  round(count(*) FILTER (freq = 1) / count(*), 6) AS rare_token_ratio, round(count(*) FILTER (freq > 100) / count(*), 6) AS common_token_ratio, round(count(*) FILTER (freq > 0) / count(*), 6) AS vocabulary_coverage FROM f GROUP BY lang""")
+def vocabulary_metrics(spark, d):
+    """The bundle of 14 vocabulary metrics as one result."""
+    return metrics.compute(docs(spark, d, "lang"), ["lang"], F.col("t"), metrics.VOCABULARY)
+
+
+@query(f"""WITH {FREQL}, r AS (SELECT lang, len(t) AS n, len(list_distinct(t)) AS u FROM w), a AS (SELECT lang, count(*) AS entries, max(u)::BIGINT AS richest, round(avg(n) * 2, 6) AS twice_the_mean FROM r GROUP BY lang),
+b AS (SELECT lang, round(avg(length(token)), 6) AS mean_letters, count(*) FILTER (freq = 2) AS n_twice FROM f GROUP BY lang) SELECT lang, entries, richest, twice_the_mean, mean_letters, n_twice, round(mean_letters * richest, 5) AS letters_of_the_richest FROM a JOIN b USING (lang)""")
+def own_statistics(spark, d):
+    """Statistics that a user adds by name, beside those that are there, from one pass."""
+    metrics.register_part("richest", metrics.ROWS, lambda: F.max("u"))
+    metrics.register_part("mean_letters", metrics.WORDS, lambda: F.avg(F.length("token")))
+    metrics.register_part("n_twice", metrics.WORDS, lambda: F.count_if(F.col("freq") == 2))
+    metrics.register("twice_the_mean", ["length_mean"], lambda m: m * 2)
+    metrics.register("letters_of_the_richest", ["mean_letters", "richest"], lambda m, r: F.round(m, 6) * r)
+    chosen = [("entries", "entries", None), ("richest", "richest", None), ("twice_the_mean", "twice_the_mean", 6), ("mean_letters", "mean_letters", 6), ("n_twice", "n_twice", None), ("letters_of_the_richest", "letters_of_the_richest", 5)]
+    return metrics.compute(docs(spark, d, "lang"), ["lang"], F.col("t"), chosen)
 
 
 @query(f"""WITH {FREQL}, v AS (SELECT lang, count(*) AS v FROM f GROUP BY lang), r AS (SELECT lang, len(t) AS n, len(list_distinct(t)) AS u FROM w)
@@ -295,8 +351,45 @@ SELECT s.lang, total_entries, valid_entries, s.tokens AS total_tokens, s.vocab A
 FROM s JOIN e USING (lang) JOIN g USING (lang) JOIN a USING (lang) JOIN b USING (lang)""")
 def difficulty_full(spark, d):
     """All 26 metrics of training difficulty."""
-    rows = docs(spark, d, "lang").select("lang", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("uniq"))
-    return stats.difficulty_full(rows, freq(spark, d, ("lang",)), _positions(spark, d), "lang")
+    return metrics.compute(docs(spark, d, "lang"), ["lang"], F.col("t"), metrics.DIFFICULTY)
+
+
+_BOX = f"""WITH {W}, l AS (SELECT lang, len(t) AS v FROM w), q AS (SELECT lang, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM l GROUP BY lang),
+j AS (SELECT l.lang, v, n, q1, median, q3, CASE WHEN v < q1 - 1.5 * (q3 - q1) THEN 'low' WHEN v > q3 + 1.5 * (q3 - q1) THEN 'high' END AS side FROM l JOIN q USING (lang))"""
+
+
+@query(f"""{_BOX} SELECT lang, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, coalesce(min(v) FILTER (side IS NULL), q1)::DOUBLE AS whisker_low, coalesce(max(v) FILTER (side IS NULL), q3)::DOUBLE AS whisker_high, count(*) FILTER (side IS NOT NULL) AS n_outliers FROM j GROUP BY lang, n, q1, median, q3""")
+def box_plot(spark, d):
+    """Boxes and whiskers of token lengths by corpus."""
+    boxes, _ = stats.box_plot(docs(spark, d, "lang"), ["lang"], F.size("t"))
+    return boxes.select("lang", "n", *(F.round(c, 6).alias(c) for c in ("q1", "median", "q3")), "whisker_low", "whisker_high", "n_outliers")
+
+
+@query(f"{_BOX} SELECT lang, side, v::DOUBLE AS value, count(*) AS n FROM j WHERE side IS NOT NULL GROUP BY lang, side, v")
+def box_plot_outliers(spark, d):
+    """The lengths beyond the whiskers, equal ones together."""
+    return stats.box_plot(docs(spark, d, "lang"), ["lang"], F.size("t"))[1]
+
+
+_SCALED = 'round(value, 6) AS value, round(CASE WHEN sum(value) OVER (PARTITION BY "row") = 0 THEN 0 ELSE value / sum(value) OVER (PARTITION BY "row") END, 6) AS share, round(CASE WHEN max(value) OVER c = min(value) OVER c THEN 0 ELSE (value - min(value) OVER c) / (max(value) OVER c - min(value) OVER c) END, 6) AS scaled'
+
+
+@query(f"""WITH {W}, x AS (SELECT lang AS "row", source AS "column", sum(len(t))::DOUBLE AS value FROM w GROUP BY ALL), g AS (SELECT DISTINCT a."row", b."column" FROM x a, x b),
+f AS (SELECT g."row", g."column", coalesce(value, 0) AS value FROM g LEFT JOIN x ON g."row" IS NOT DISTINCT FROM x."row" AND g."column" IS NOT DISTINCT FROM x."column") SELECT "row", "column", {_SCALED} FROM f WINDOW c AS (PARTITION BY "column")""")
+def heat_map(spark, d):
+    """Tokens by corpus and source as a matrix in long form."""
+    m = stats.heat_map(docs(spark, d, "lang", "source"), "lang", "source", F.sum(F.size("t")))
+    return m.select("row", "column", *(F.round(c, 6).alias(c) for c in ("value", "share", "scaled")))
+
+
+@query(f"""{_DIFF_A}, hm AS (SELECT lang AS "row", metric AS "column", value FROM (SELECT lang, length_consistency, vocabulary_efficiency, sequence_diversity, stability, memory_efficiency FROM s) UNPIVOT (value FOR metric IN (length_consistency, vocabulary_efficiency, sequence_diversity, stability, memory_efficiency)))
+SELECT "row", "column", {_SCALED} FROM hm WINDOW c AS (PARTITION BY "column")""")
+def metric_heat_map(spark, d):
+    """Metrics of training difficulty by corpus, each scaled between its least and its largest, as a matrix in long form."""
+    chosen = [("length_consistency", "length_consistency", None), ("vocabulary_efficiency", "efficiency", None), ("sequence_diversity", "diversity", None), ("stability", "stability", None), ("memory_efficiency", "memory", None)]
+    m = stats.long_form(metrics.compute(docs(spark, d, "lang"), ["lang"], F.col("t"), chosen), ["lang"])
+    m = stats.scaled_cells(m.select(F.col("lang").alias("row"), F.col("metric").alias("column"), "value"))
+    return m.select("row", "column", *(F.round(c, 6).alias(c) for c in ("value", "share", "scaled")))
 
 
 _DIFF_B = f"""{_ENC}, q AS (SELECT lang, list_concat(ids, list_transform(range(128), lambda i: 0))[1:128] AS s FROM a JOIN documents USING (doc_id)), y AS (SELECT lang, unnest(s) AS id, generate_subscripts(s, 1) AS i FROM q),

@@ -13,7 +13,7 @@ from quillspark.plans.corpora import _BUILT, FREQ, docs, freq
 from quillspark.plans.integrity import SPLIT, routed
 from quillspark.plans.registry import query
 from quillspark.plans.texts import TOK, WS
-from quillspark.sources import readers, sinks
+from quillspark.sources import pickles, readers, sinks
 from quillspark.sources.tables import shared, table
 
 
@@ -60,6 +60,16 @@ def csv_round_trip(spark, d):
     return back.select("doc_id", "lang", F.md5(T.blank(F.col("text"))).alias("digest"), "labels")
 
 
+@query("SELECT doc_id::VARCHAR AS study_id, lang, n_chars, 'all' AS split, [doc_id % 7, doc_id % 11, n_chars % 13]::INT[] AS caption, [doc_id % 5 / 4, n_chars / 8]::FLOAT[] AS image FROM documents")
+def pickled_shards(spark, d):
+    """Shards written and read by their data source: texts, numbers, arrays of ids and of floats, a value for all rows; other columns are left out."""
+    pickles.register(spark)
+    folder, n = _folder(spark), F.col("n_chars")
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("study_ids"), "lang", "text", "n_chars", F.lit("all").alias("split"), F.array(F.col("doc_id") % 7, F.col("doc_id") % 11, n % 13).cast("array<int>").alias("captions"), F.array(F.col("doc_id") % 5 / 4, n / 8).cast("array<float>").alias("images"))
+    rows.write.format(pickles.NAME).option("rows", 500).mode("append").save(folder)
+    return spark.read.format(pickles.NAME).option("bytes", 1 << 20).option("rows", 500).schema("study_id string, lang string, n_chars long, split string, caption array<int>, image array<float>").load(folder)
+
+
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 <> 3")
 def json_lines_scan(spark, d):
     """Lines cut short, and blank ones, are skipped; the schema is found in the rest."""

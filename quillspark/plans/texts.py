@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import views as V
-from quillspark.operators import augment, vocab
+from quillspark.operators import augment, similarity, vocab
 from quillspark.plans.registry import query
 from quillspark.sources.tables import table
 
@@ -110,7 +110,7 @@ def whitespace_tokenizer(spark, d):
 @query(f"""SELECT doc_id, md5(array_to_string(g, ' ')) AS digest, len(g)::BIGINT AS n FROM (SELECT doc_id, CASE WHEN len(t) < 3 THEN t ELSE
   list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END AS g FROM (SELECT doc_id, {TOK} AS t FROM documents))""")
 def ngram_tokenizer(spark, d):
-    t = table(spark, d, "documents").select("doc_id", T.ngrams(T.tokens(F.col("text")), 3).alias("t"))
+    t = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("w")).select("doc_id", T.ngrams(F.col("w"), 3).alias("t"))
     return t.select("doc_id", _digest(F.col("t")).alias("digest"), F.size("t").cast("long").alias("n"))
 
 
@@ -241,14 +241,29 @@ def sample_variants(spark, d):
     return augment.with_variants(o.select("doc_id"), augment.variants(o, "doc_id", "text", 3), "doc_id").select("doc_id", F.transform("variants", lambda x: F.concat(x["aug_id"], F.lit(" "), F.md5(x["text"]))).alias("variants"), F.size("variants").cast("long").alias("n"))
 
 
-@query(f"""WITH {_VARIANTS}, o AS (SELECT doc_id, list_distinct(string_split_regex({TRIM('t')}, '{WS}+')) AS a FROM b WHERE doc_id % 40 = 0), v AS (SELECT doc_id, aug_no, list_distinct(string_split_regex(text, '{WS}+')) AS z FROM made WHERE doc_id % 40 = 0)
+@query(f"""WITH h AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20), {_VARIANTS}, o AS (SELECT doc_id, list_distinct(string_split_regex({TRIM('t')}, '{WS}+')) AS a FROM b WHERE doc_id IN (FROM h)), v AS (SELECT doc_id, aug_no, list_distinct(string_split_regex(text, '{WS}+')) AS z FROM made WHERE doc_id IN (FROM h))
 SELECT o.doc_id AS original, v.doc_id || '_aug_' || aug_no AS variant, round(len(list_intersect(a, z)) / len(list_distinct(list_concat(a, z))), 6) AS similarity FROM o, v""")
 def pairwise_similarity(spark, d):
-    """All originals against all variants of one sheet (every fortieth document: the sheet is the operator's input)."""
-    o = _headed(spark, d).withColumnRenamed("s", "text").filter("doc_id % 40 = 0")
+    """The matrix of a sheet: its 20 originals (the sheet's size is the operator's parameter) against all their variants."""
+    o = augment.sheet(_headed(spark, d).withColumnRenamed("s", "text"), "doc_id")
     return augment.pairwise(o, augment.variants(o, "doc_id", "text", 3), "doc_id", "text")
 
 
+@query(f"""WITH {_VARIANTS}, o AS (SELECT list_sort(list_distinct({TOK.replace("coalesce(text, '')", "t")})) AS s, min(doc_id)::VARCHAR AS name, count(*) AS members FROM b GROUP BY 1), v AS (SELECT list_sort(list_distinct({TOK})) AS s, min(doc_id || '_aug_' || aug_no) AS name, count(*) AS members FROM made GROUP BY 1),
+u AS MATERIALIZED (SELECT 0 AS side, * FROM (SELECT row_number() OVER (ORDER BY name) AS id, name, members, s FROM o) UNION ALL SELECT 1, row_number() OVER (ORDER BY name), name, members, s FROM v), x AS (SELECT side, id, len(s) AS n, unnest(s) AS w FROM (SELECT side, id, s FROM u)),
+q AS MATERIALIZED (SELECT w, count(*) AS k FROM x GROUP BY w), p AS MATERIALIZED (SELECT side, id, n, x.w FROM x JOIN q ON x.w = q.w QUALIFY row_number() OVER (PARTITION BY side, id ORDER BY q.k, x.w) <= n - ceil(0.8 * n) + 1), c AS (SELECT DISTINCT a.id AS l, b.id AS r FROM p a JOIN p b ON a.w = b.w AND a.side = 0 AND b.side = 1 AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+j AS (SELECT a.name AS "left", b.name AS "right", a.members AS n_left, b.members AS n_right, len(a.s) + len(b.s) AS m, len(list_intersect(a.s, b.s)) AS k FROM c JOIN u a ON a.side = 0 AND a.id = l JOIN u b ON b.side = 1 AND b.id = r)
+SELECT "left"::BIGINT AS "left", "right", n_left, n_right, round(k / (m - k), 6) AS similarity FROM j WHERE 100 * k >= 80 * (m - k)""")
+def similar_variants(spark, d):
+    """All pairs of an original and a variant, of any two documents, that share four fifths of their words; equal sets are one.
+
+    The SQL, too, looks at the rarest words first; the tests hold the join against all pairs.
+    """
+    o = _headed(spark, d).withColumnRenamed("s", "text")
+    v = augment.variants(o, "doc_id", "text", 3)
+    return similarity.similar_pairs(o, v, "doc_id", "aug_id", T.tokens(F.col("text")), T.tokens(F.col("text")))
+
+
 @query(f"""WITH {_VARIANTS}, f AS (SELECT token, count(*) AS freq FROM (SELECT unnest({TOK}) AS token FROM documents) GROUP BY token),
 bv AS (SELECT token, row_number() OVER (ORDER BY freq DESC, token) + 3 AS id FROM f WHERE freq >= 5 QUALIFY id < 1504), x AS (SELECT doc_id, aug_no, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, aug_no, {TOK} AS t FROM made)),
 e AS (SELECT doc_id, aug_no, list(coalesce(id, 1) ORDER BY i) AS ids FROM x LEFT JOIN bv USING (token) GROUP BY ALL)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from quillspark.functions.text import stripped
+from quillspark.sources import pickles
+from quillspark.sources.tables import dropped, kept
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -118,13 +122,19 @@ def profile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tree(listing: DataFrame, patient: str = r"/(p\d{3,})(?=/)", study: str = r"/(s\d{3,})(?=[/.])", samples: int = 3) -> DataFrame:
-    """(level, n, samples): patients, studies and extensions that a listing's paths name; folders with text files are report folders."""
-    part = lambda name, c: listing.select(F.lit(name).alias("level"), c.alias("x")).filter("x <> ''").distinct()
-    ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
-    found = part("patient", F.regexp_extract("path", patient, 1)).unionAll(part("study", F.regexp_extract("path", study, 1))).unionAll(part("extension", ext))
-    found = found.unionAll(listing.filter(ext == "txt").select(F.lit("report folder").alias("level"), F.regexp_extract("path", "^(.*)/", 1).alias("x")).distinct())
-    first = found.withColumn("r", F.row_number().over(Window.partitionBy("level").orderBy("x")))
-    return first.groupBy("level").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= samples, F.col("x")))).alias("samples"))
+    """(level, n, samples): patients, studies and extensions that a listing's paths name; folders with text files are report folders.
+
+    The names are found in one pass and told apart by a shuffle; each level's first samples are kept by every task for
+    itself and merged, so no task sorts or numbers a level. Four rows.
+    """
+    spark, ext = listing.sparkSession, F.regexp_extract("path", r"\.([^./]+)$", 1)
+    levels = {"patient": F.regexp_extract("path", patient, 1), "study": F.regexp_extract("path", study, 1), "extension": ext, "report folder": F.when(ext == "txt", F.regexp_extract("path", "^(.*)/", 1))}
+    names = listing.select(F.explode(F.array(*(F.struct(F.lit(k).alias("level"), c.alias("x")) for k, c in levels.items()))).alias("n")).select("n.*").filter("x <> ''").distinct()
+    names = kept(names)
+    first = {k: [x for (x,) in names.filter(F.col("level") == k).select("x").orderBy("x").limit(samples).collect()] for k in levels}
+    rows = [(k, n, first[k]) for k, n in names.groupBy("level").agg(F.count("*").alias("n")).collect()]
+    dropped(names)
+    return spark.createDataFrame(rows, "level string, n long, samples array<string>")
 
 
 def shard_sizes(listing: DataFrame, per_shard: int, split: str = r"/split=([^/]+)/") -> DataFrame:
@@ -172,39 +182,27 @@ def pickled_shards(spark: SparkSession, path: str, trusted: bool = False, schema
 
     schema names the columns to be read; names gives the key of a column in the pickle where it is another one (a list of
     keys is tried in order). A dict has as many rows as `images`, or its longest list; a value that is no list, or a
-    shorter one, goes to every row, as the layout has it. Unpickling runs code: only for files of one's own.
+    shorter one, goes to every row, as the layout has it. Unpickling runs code: only for files of one's own. A file goes
+    through one task as a whole; the format "pickled_shards" (sources.pickles) deals it out, and asks for no trust.
     """
     if not trusted:
         raise ValueError("pickles execute code when read; pass trusted=True for files of your own")
-    fields = [(f.name, f.dataType.simpleString()) for f in T._parse_datatype_string(schema).fields]
-    keys = {"study_id": ["study_id", "study_ids"], "caption": ["caption", "captions", "caption_seq", "tokens"], "image": ["image", "images", "frontal_img"]} | {k: [v] if isinstance(v, str) else v for k, v in (names or {}).items()}
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def value(x, kind):
-        if x is None:
-            return None
-        x = x.tolist() if isinstance(x, np.ndarray) else x.item() if isinstance(x, np.generic) else x
-        return str(x) if kind == "string" else x
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    keys = {k: [v] if isinstance(v, str) else v for k, v in (names or {}).items()}
 
-    def run(frames):
-        import io
-        import pickle
-
-        import pandas as pd
-
-        for f in frames:
-            for data in f["content"]:
-                x = pickle.load(io.BytesIO(data))
-                if isinstance(x, dict):
-                    lists = {k: v for k, v in x.items() if isinstance(v, (list, tuple, np.ndarray))}
-                    n = len(x["images"]) if "images" in lists else max(map(len, lists.values()), default=0)
-                    rows = [{k: v[i] if k in lists and i < len(v) else v for k, v in x.items()} for i in range(n)]
-                else:
-                    rows = list(x)
-                get = lambda r, c: next((r[k] for k in [c, *keys.get(c, [])] if k in r), None)
-                yield pd.DataFrame({c: [value(get(r, c), kind) for r in rows] for c, kind in fields})
+    def run(batches):
+        for b in batches:
+            for data in b.column(0):
+                for x in pickles.pickles(io.BytesIO(data.as_buffer()), True):
+                    n, columns = pickles.rows_of(x, keys, arrow.names)
+                    for a in range(0, n, 1000):
+                        at = range(a, min(a + 1000, n))
+                        yield pa.RecordBatch.from_arrays([pa.array([pickles.plain(columns[f.name](i), f.type) for i in at], f.type) for f in arrow], schema=arrow)
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("content")
-    return raw.mapInPandas(run, schema)
+    return raw.mapInArrow(run, schema)
 
 
 def _suffix(path: str) -> str:
