@@ -38,17 +38,22 @@ from quillspark.llm.common import cuts, scratch, written
 from quillspark.llm.hashing import mix, words
 
 LISTED, CLASSES, HASHED = 4096, 32, 1 << 13
+#: Classes that words go to by their hash which are not listed; each has an unknown word.
+OPEN_CLASSES = 8
 PIECES, ROUNDS, RATE, SLICE = 32, 2, 0.1, 50_000
 ALPHA = 0.1
-#: What a pair's count is discounted by, for classes and for words: the regularisation of the sparse features.
-DISCOUNT, STEPS = (0.4, 0.6), 12
+#: Counts are discounted by what their own numbers of ones and twos say (see `discount_of`), within these bounds.
+BOUNDS, STEPS = (0.1, 0.95), 12
 #: Tokens in a block, about; tokens that a shard of pairs, and one of words, aims at.
 BLOCK, SHARD, WORD_SHARD = 1_200_000, 1_500_000, 6_000_000
-#: Bits of a word within a key, besides its class.
-WORD_BITS = 18
+#: Bits of a word within a key behind a word that is not listed, besides its class; of an index of a listed word and a class;
+#: of the parts of a key together, at least, so that listed words are told apart by 31 bits and their class.
+WORD_BITS, INDEX_BITS, KEY_BITS = 18, 18, 49
+SCRAMBLE = np.uint64(0x2545F)
+UNSCRAMBLE = np.uint64(pow(0x2545F, -1, 1 << 18))
 END, BEGIN = np.uint64(0x5E11D0F5A11), np.uint64(0xB0B0B0B0B0B1)
 K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-CLASS_MASK = np.uint64(CLASSES - 1)
+CLASS_MASK, OPEN_MASK = np.uint64(CLASSES - 1), np.uint64(OPEN_CLASSES - 1)
 
 
 @dataclass
@@ -58,10 +63,27 @@ class Model:
     classes: np.ndarray  # of the listed words
     total: int  # N
     distinct: int  # V
-    mass: np.ndarray  # of each class: the sum of count + ALPHA over its words and the unknown one
+    mass: np.ndarray  # of each class: the sum of the discounted counts of its words, and what its unknown word has
     weights: np.ndarray  # rows of features by CLASSES
+    discount: float = 0.5  # of a word's count
+    unknown: float = 1.0  # what the unknown word of a class has: an equal part of what was taken from all counts
     shards: int = 1
-    context_bits: int = 20
+    context_bits: int = KEY_BITS - WORD_BITS - 5
+
+    def share(self, count: np.ndarray) -> np.ndarray:
+        """What words of these counts have of their class' mass."""
+        return np.where(count > 0, count - self.discount, self.unknown)
+
+    @property
+    def payload(self) -> int:
+        """Bits of a key below its flag."""
+        return self.context_bits + CLASSES.bit_length() - 1 + WORD_BITS
+
+    @property
+    def split(self) -> int:
+        """Shards of words behind words that are not listed; the others are behind listed ones, by their part of the tokens."""
+        share = int(self.count.sum()) / max(self.total, 1)
+        return min(max(1, round(self.shards * (1 - share))), self.shards - 1) if self.shards > 1 else 0
 
     @property
     def prior(self) -> np.ndarray:
@@ -73,7 +95,7 @@ class Model:
         return np.where(self.listed[at] == h, at, -1)
 
     def class_of(self, h: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return np.where(place >= 0, self.classes[place], (h & CLASS_MASK).astype(np.int64))
+        return np.where(place >= 0, self.classes[place], (h & OPEN_MASK).astype(np.int64))
 
     def logits(self, rows: list[np.ndarray]) -> np.ndarray:
         return self.prior + self.weights[rows[0]] + self.weights[rows[1]] + self.weights[rows[2]]
@@ -84,17 +106,31 @@ class Model:
         return x / x.sum(1, keepdims=True)
 
     def keys(self, h: np.ndarray, place: np.ndarray, cls: np.ndarray, last: np.ndarray, last_place: np.ndarray) -> np.ndarray:
-        """Of each token a pair's key: hash of the context | whether the context is listed | class | hash of the word."""
-        ours = (last_place >= 0).astype(np.uint64)
-        c = cls.astype(np.uint64)
-        context = mix(last * K[0] + ours * (c + np.uint64(1)) * K[1]) >> np.uint64(64 - self.context_bits)
-        bits = np.uint64(CLASSES.bit_length() - 1)
-        return ((context << np.uint64(1) | ours) << bits | c) << np.uint64(WORD_BITS) | mix(h) >> np.uint64(64 - WORD_BITS)
+        """Of each token a pair's key, below a flag that says whether the word before is listed.
+
+        Behind a listed word: its exact place with the class, and all other bits for the word's hash. Behind another one:
+        a hash of it, the class, and WORD_BITS of the word's hash.
+        """
+        c, low = cls.astype(np.uint64), np.uint64((1 << INDEX_BITS) - 1)
+        word = mix(h)
+        index = (np.maximum(last_place, 0).astype(np.uint64) * np.uint64(CLASSES) + c) * SCRAMBLE & low
+        ours = index << np.uint64(self.payload - INDEX_BITS) | word >> np.uint64(64 - self.payload + INDEX_BITS)
+        context = mix(last * K[0]) >> np.uint64(64 - self.context_bits)
+        others = (context << np.uint64(CLASSES.bit_length() - 1) | c) << np.uint64(WORD_BITS) | word >> np.uint64(64 - WORD_BITS)
+        return np.where(last_place >= 0, ours | np.uint64(1 << self.payload), others)
 
     def shard_of(self, keys: np.ndarray) -> np.ndarray:
         """By ranges of contexts, so in the keys' order."""
-        context = keys >> np.uint64(WORD_BITS + CLASSES.bit_length())
-        return (context * np.uint64(self.shards) >> np.uint64(self.context_bits)).astype(np.int64)
+        flag = np.uint64(1 << self.payload)
+        index = (keys & (flag - np.uint64(1))) >> np.uint64(self.payload - INDEX_BITS)
+        context = keys >> np.uint64(WORD_BITS + CLASSES.bit_length() - 1)
+        spread = lambda x, n, bits: (x >> np.uint64(max(bits - 32, 0))) * np.uint64(n) >> np.uint64(min(bits, 32))
+        return np.where(keys >= flag, np.uint64(self.split) + spread(index, self.shards - self.split, INDEX_BITS), spread(context, max(self.split, 1), self.context_bits)).astype(np.int64)
+
+
+def discount_of(ones: float, twos: float) -> float:
+    """What a count is lowered by so that what is taken is what new events have: ones / (ones + 2 * twos)."""
+    return float(np.clip(ones / (ones + 2 * twos), *BOUNDS)) if ones else BOUNDS[0]
 
 
 def table_rows(distinct: int) -> int:
@@ -176,71 +212,103 @@ def ascend(n: np.ndarray, group: np.ndarray, base: np.ndarray, discount: float,
 
 
 def train_shard(m: Model, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each of the sorted distinct keys, with training counts n (0: only asked for), log10 of its chance.
+    """For each of the sorted distinct keys, with training counts n (0: only asked for), log10 of its chance, packed (`packed`).
 
     The chance of the word within its class, times that of the class where the context is not listed. Where it depends
-    on the unigram count of a word that is not listed, that factor is left out, and the number is given as a positive one.
+    on the unigram count of a word that is not listed, that factor is left out, and the number says so.
     """
-    bits = CLASSES.bit_length() - 1
-    group = keys >> np.uint64(WORD_BITS)  # context, whether listed, class
-    cls = (group & CLASS_MASK).astype(np.int64)
-    word = (keys & np.uint64((1 << WORD_BITS) - 1)) | cls.astype(np.uint64) << np.uint64(WORD_BITS)
-    named = m.classes.astype(np.uint64) << np.uint64(WORD_BITS) | mix(m.listed) >> np.uint64(64 - WORD_BITS)
+    flag = np.uint64(1 << m.payload)
+    edge = int(np.searchsorted(keys, flag))
+    parts = []
+    if edge:
+        group = keys[:edge] >> np.uint64(WORD_BITS)
+        cls = (group & CLASS_MASK).astype(np.int64)
+        out, open_, number = _words(m, keys[:edge], n[:edge], group, cls, WORD_BITS)
+        parts.append((out + _classes(m, n[:edge], group, cls)[number], open_))
+    if edge < len(keys):
+        rest = keys[edge:] ^ flag
+        bits = m.payload - INDEX_BITS
+        group = rest >> np.uint64(bits)
+        cls = (group * UNSCRAMBLE & np.uint64((1 << INDEX_BITS) - 1) & CLASS_MASK).astype(np.int64)
+        parts.append(_words(m, rest, n[edge:], group, cls, bits)[:2])
+    return packed(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+
+
+def _words(m: Model, keys: np.ndarray, n: np.ndarray, group: np.ndarray, cls: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 of each word's chance within its class, whether the unigram factor is left out, number of its group)."""
+    # hashes of listed words, told apart by class and bits; both fit into 64 bits, as a key does
+    top = np.uint64(bits)
+    word = keys & np.uint64((1 << bits) - 1) | cls.astype(np.uint64) << top
+    named = m.classes.astype(np.uint64) << top | mix(m.listed) >> np.uint64(64 - bits)
     order = np.argsort(named)
-    named, share = named[order], ((m.count + ALPHA) / m.mass[m.classes])[order]
+    named, share = named[order], (m.share(m.count) / m.mass[m.classes])[order]
     at = np.minimum(np.searchsorted(named, word), len(named) - 1)
     hit = named[at] == word
     base = np.where(hit, share[at], 0.0)
-    new = np.concatenate([[True], group[1:] != group[:-1]])
-    number = np.cumsum(new) - 1
+    number = np.cumsum(np.concatenate([[True], group[1:] != group[:-1]])) - 1
     seen = n > 0
-    open_ = ~hit & ~seen
     weight, z = np.zeros(len(keys)), np.ones(int(number[-1]) + 1)
     if seen.any():
         compact, inverse = np.unique(number[seen], return_inverse=True)
-        weight[seen], z[compact] = ascend(n[seen].astype(np.float64), inverse, base[seen], DISCOUNT[1])
+        weight[seen], z[compact] = ascend(n[seen].astype(np.float64), inverse, base[seen], discount_of((n == 1).sum(), (n == 2).sum()))
     with np.errstate(divide="ignore"):
-        out = np.where(hit | seen, np.log10(base + weight), 0.0) - np.log10(z)[number]
-    # classes behind words that are not listed
-    first = np.flatnonzero(new)
+        return np.where(hit | seen, np.log10(base + weight), 0.0) - np.log10(z)[number], ~hit & ~seen, number
+
+
+def _classes(m: Model, n: np.ndarray, group: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """log10 of the chance of each group's class behind its context, a word that is not listed."""
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     pair_n = np.add.reduceat(n, first).astype(np.float64)
-    context = group[first] >> np.uint64(bits)
-    free = (context & np.uint64(1)) == 0
+    context = group[first] >> np.uint64(CLASSES.bit_length() - 1)
     c = cls[first]
     prior = np.exp(m.prior.astype(np.float64))
-    chance = np.zeros(len(first))
-    newer = np.concatenate([[True], context[1:] != context[:-1]])
-    owner = np.cumsum(newer) - 1
+    owner = np.cumsum(np.concatenate([[True], context[1:] != context[:-1]])) - 1
     weight, z = np.zeros(len(first)), np.ones(int(owner[-1]) + 1)
-    seen = free & (pair_n > 0)
+    seen = pair_n > 0
     if seen.any():
         compact, inverse = np.unique(owner[seen], return_inverse=True)
-        weight[seen], z[compact] = ascend(pair_n[seen], inverse, prior[c[seen]], DISCOUNT[0])
-    chance = np.where(free, np.log10((prior[c] + weight) / z[owner]), 0.0)
-    out += chance[number]
-    return np.where(open_, OPEN - out, np.minimum(out, 0)).astype(np.float16)
+        weight[seen], z[compact] = ascend(pair_n[seen], inverse, prior[c[seen]], discount_of((pair_n == 1).sum(), (pair_n == 2).sum()))
+    return np.log10((prior[c] + weight) / z[owner])
+
 
+#: log10 of chances travel as 15 bits, in steps of 1 / STEP, and one that says that a factor is left out.
+STEP, OPEN = 2700, 1 << 15
 
-#: What makes a number positive.
-OPEN = 2.0**-10
 
+def packed(logs: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    return (np.clip(np.rint(-logs * STEP), 0, OPEN - 1).astype(np.uint16) | np.where(open_, np.uint16(OPEN), np.uint16(0))).astype(np.uint16)
 
-#: Between two keys lies at most so much; more is sent as several steps.
-FAR = np.uint64((1 << 32) - 1)
+
+def unpacked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10, whether a factor is left out)."""
+    return (x & np.uint16(OPEN - 1)).astype(np.float64) / -STEP, x >= OPEN
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys as differences of four bytes."""
+    """Sorted distinct keys as differences of so many bytes as make them short: the number of bytes, then the differences.
+
+    A difference that these bytes cannot hold goes as several, of which all but the last are the largest number.
+    """
     gap = np.diff(np.concatenate([np.zeros(1, np.uint64), keys]))
-    skips = (gap // FAR).astype(np.int64)
-    out = np.full(len(keys) + int(skips.sum()), FAR, np.uint64)
-    out[np.cumsum(skips + 1) - 1] = gap % FAR
-    return out.astype("<u4").tobytes()
+    size = lambda k: k * (len(gap) + int((gap // np.uint64((1 << 8 * k) - 1)).sum()))
+    width = min(range(4, 9), key=size) if len(gap) and int(gap.max()) >= (1 << 32) - 1 else 4
+    if width == 8:
+        return b"\x08" + gap.astype("<u8").tobytes()
+    far = np.uint64((1 << 8 * width) - 1)
+    skips = (gap // far).astype(np.int64)
+    out = np.full(len(keys) + int(skips.sum()), far, "<u8")
+    out[np.cumsum(skips + 1) - 1] = gap % far
+    return bytes([width]) + np.ascontiguousarray(out.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    gap = np.frombuffer(raw, "<u4").astype(np.uint64)
-    return np.cumsum(gap)[gap != FAR]
+    width = raw[0]
+    if width == 8:
+        return np.cumsum(np.frombuffer(raw, "<u8", offset=1))
+    cells = np.zeros((len(raw) // width, 8), np.uint8)
+    cells[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
+    gap = cells.view("<u8").ravel()
+    return np.cumsum(gap)[gap != np.uint64((1 << 8 * width) - 1)]
 
 
 def pack_counts(n: np.ndarray) -> bytes:
@@ -334,7 +402,7 @@ def make_blocks(batches):
 
 def count_words(table: DataFrame, folder: str) -> DataFrame:
     """Answers: kind 0, of each block and shard i the training counts of the block's words in order; kind 1, of each
-    shard its sums (total, distinct words, and both by hash classes); kind 2, its most frequent words."""
+    shard its sums (total, distinct words, words seen once and twice, and total and distinct words by hash classes); kind 2, its most frequent words."""
     tokens = table.agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     shards = max(1, -(-tokens // WORD_SHARD))
     width = (1 << 64) // shards + 1
@@ -354,8 +422,8 @@ def count_words(table: DataFrame, folder: str) -> DataFrame:
         count = np.bincount(index, np.concatenate(n), len(w)).astype(np.int64)
         back = [len(x).to_bytes(4, "little") + pack_counts(x) for x in np.split(count[index], np.cumsum([len(k) for k in parts])[:-1])]
         known = np.flatnonzero(count)
-        c = (w[known] & CLASS_MASK).astype(np.int64)
-        sums = np.concatenate([[count.sum(), len(known)], np.bincount(c, count[known], CLASSES), np.bincount(c, minlength=CLASSES)]).astype(np.int64)
+        c = (w[known] & OPEN_MASK).astype(np.int64)
+        sums = np.concatenate([[count.sum(), len(known), (count == 1).sum(), (count == 2).sum()], np.bincount(c, count[known], CLASSES), np.bincount(c, minlength=CLASSES)]).astype(np.int64)
         top = known[np.lexsort((w[known], -count[known]))[:LISTED]]
         shard = int(f["shard"].iloc[0])
         return pd.DataFrame({"block": [*f["block"], -1, -1], "kind": [0] * len(f) + [1, 2], "i": shard, "a": [*back, sums.tobytes(), np.concatenate([w[top].view(np.int64), count[top]]).tobytes()]})
@@ -366,7 +434,7 @@ def count_words(table: DataFrame, folder: str) -> DataFrame:
 
 def fit(table: DataFrame, counted: DataFrame) -> Model:
     """The model without its pairs: list, classes and class weights."""
-    sums = np.zeros(2 + 2 * CLASSES, np.int64)
+    sums = np.zeros(4 + 2 * CLASSES, np.int64)
     for (x,) in counted.filter("kind = 1").select("a").collect():  # some 500 bytes a shard
         sums += np.frombuffer(x, np.int64)
     total, distinct = int(sums[0]), int(sums[1])
@@ -379,9 +447,12 @@ def fit(table: DataFrame, counted: DataFrame) -> Model:
 
     top = counted.filter("kind = 2").select("a").mapInArrow(listed, "w long, n long").orderBy(F.desc("n"), "w").limit(LISTED).toPandas()
     w, n = top["w"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    mass = sums[2 : 2 + CLASSES] + ALPHA * sums[2 + CLASSES :] + ALPHA
+    discount = discount_of(int(sums[2]), int(sums[3]))
+    unknown = max(discount * distinct, 1.0) / OPEN_CLASSES
+    mass = sums[4 : 4 + CLASSES] - discount * sums[4 + CLASSES :]
+    mass[:OPEN_CLASSES] += unknown
     if len(w):
-        np.subtract.at(mass, (w & CLASS_MASK).astype(np.int64), n + ALPHA)
+        np.subtract.at(mass, (w & OPEN_MASK).astype(np.int64), n - discount)
     else:
         w, n = np.array([END]), np.array([0])
     # the listed words, most frequent first, each to the class that weighs least
@@ -391,12 +462,12 @@ def fit(table: DataFrame, counted: DataFrame) -> Model:
     for i, k in enumerate(n.tolist()):
         x, c = heapq.heappop(heap)
         classes[i] = c
-        heapq.heappush(heap, (x + k + ALPHA, c))
-    np.add.at(mass, classes, n + ALPHA)
+        heapq.heappush(heap, (x + k - discount, c))
+    np.add.at(mass, classes, np.where(n > 0, n - discount, 0))
     o = np.argsort(w)
-    m = Model(w[o], n[o], classes[o], total, distinct, mass, np.zeros((table_rows(len(w)), CLASSES), np.float32))
+    m = Model(w[o], n[o], classes[o], total, distinct, mass, np.zeros((table_rows(len(w)), CLASSES), np.float32), discount, unknown)
     m.shards = max(1, -(-total // SHARD))
-    m.context_bits = int(np.ceil(np.log2(distinct + CLASSES * LISTED))) + 2
+    m.context_bits = max(m.context_bits, int(np.ceil(np.log2(distinct + 1))) + 2)
     sc = table.sparkSession.sparkContext
     for k in range(ROUNDS):
         shared = sc.broadcast(m)
@@ -488,10 +559,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             right = right.sort_values("i")
             c[order] = np.concatenate([unpack_counts(x[4:], int.from_bytes(x[:4], "little")) for x in right[right["kind"] == 0]["a"]])
             share = np.log10(c + ALPHA)
-            inner = share - np.log10(m.mass[m.class_of(b.words, m.look_up(b.words))])
+            inner = np.log10(m.share(c) / m.mass[m.class_of(b.words, m.look_up(b.words))])
             _, _, index = b.pairs(m)
-            lp = np.concatenate([np.frombuffer(x, np.float16) for x in right[right["kind"] == 3]["a"]])[index].astype(np.float64)
-            lp = np.where(lp > 0, OPEN - lp + inner[b.local], lp) + class_scores(m, b.words[b.local], b.start)
+            lp, open_ = unpacked(np.concatenate([np.frombuffer(x, np.uint16) for x in right[right["kind"] == 3]["a"]])[index])
+            lp = np.where(open_, lp + inner[b.local], lp) + class_scores(m, b.words[b.local], b.start)
             size = len(b.sizes)
             out.append(pd.DataFrame({"doc_id": pd.array(list(b.doc_id), "Int64"), "held_out": b.held, "n_tokens": b.sizes, "n_known": np.bincount(b.owner, (c > 0)[b.local], size).astype(np.int64), "train_tokens": m.total, "base_score": np.bincount(b.owner, share[b.local], size) - b.sizes * norm, "score": np.bincount(b.owner, lp, size)}))
         return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -513,24 +513,46 @@ def interpolated_bigram(train, held):
     return max(sum(math.log10(x * a + (1 - x) * b) for a, b in parts) / tokens for x in (0.1, 0.2, 0.3, 0.5, 0.7))
 
 
-def test_lm_beats_an_interpolated_bigram(spark):
+def discounted_bigram(train, held, new_words=False):
+    """log10 a token by an absolute-discount bigram over the unigram, the best of several discounts; new_words: with what
+    the counts of ones and twos say for words not seen yet, as one outcome, instead of 0.1 of a count."""
+    one, two, before, kinds = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    for t in train:
+        one.update(t)
+        two.update(zip([0, *t], t))
+        before.update([0, *t[:-1]])
+    kinds.update(a for a, _ in two)
+    n, v, tokens = sum(one.values()), len(one), sum(map(len, held))
+    ones, twos = (sum(c == k for c in one.values()) for k in (1, 2))
+    d0 = ones / (ones + 2 * twos)
+    plain = (lambda w: (one[w] - d0) / n if one[w] else d0 * v / n) if new_words else lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def score(d):
+        pairs = ((a, b, plain(b)) for t in held for a, b in zip([0, *t], t))
+        return sum(math.log10((max(two[a, b] - d, 0) + d * kinds[a] * u) / before[a] if before[a] else u) for a, b, u in pairs) / tokens
+
+    return max(map(score, (0.6, 0.75, 0.9)))
+
+
+def test_lm_beats_bigrams(spark):
     folder = "/root/testdata/sf0.1"
     texts = texts_of(spark, folder)
     tokens = {i: [*words(t), None] for i, t in texts.items()}
     held = {i for i in texts if zlib.crc32(str(i).encode()) % 10 == 0}
     rows = queries.op6_lm_scoring(spark, folder).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
-    bigram = interpolated_bigram([t for i, t in tokens.items() if i not in held], [tokens[i] for i in held])
-    print("log10 a token:", rows[0] / rows[2], "unigram", rows[1] / rows[2], "bigram", bigram)
-    assert rows[0] / rows[2] > bigram
+    train, rest = [t for i, t in tokens.items() if i not in held], [tokens[i] for i in held]
+    bigrams = interpolated_bigram(train, rest), discounted_bigram(train, rest)
+    print("log10 a token:", rows[0] / rows[2], "unigram", rows[1] / rows[2], "bigrams", bigrams)
+    assert rows[0] / rows[2] > max(bigrams)
 
 
 def small_model(**more):
     h = np.sort(lm_scoring.mix(np.arange(1, 41, dtype=np.uint64)))
     count = np.arange(1, 41)
     classes = np.arange(40) % lm_scoring.CLASSES
-    mass = np.bincount(classes, count + lm_scoring.ALPHA, lm_scoring.CLASSES) + lm_scoring.ALPHA
+    mass = np.bincount(classes, count - 0.4, lm_scoring.CLASSES) + 0.7
     weights = np.random.default_rng(0).normal(size=(lm_scoring.table_rows(40), lm_scoring.CLASSES)).astype(np.float32)
-    return lm_scoring.Model(h, count, classes, int(count.sum()), 40, mass, weights, **more)
+    return lm_scoring.Model(h, count, classes, int(count.sum()), 40, mass, weights, 0.4, 0.7, **more)
 
 
 def test_lm_chances_add_up_to_one():
@@ -545,11 +567,38 @@ def test_lm_chances_add_up_to_one():
         sorted_keys, index = np.unique(np.concatenate([keys, more]), return_inverse=True)
         counts = np.zeros(len(sorted_keys), np.int64)
         counts[index[:n:3]] = r.integers(1, 300, len(index[:n:3]))
-        lp = lm_scoring.train_shard(m, sorted_keys, counts)[index]
-        full = 10.0 ** lp[:n].astype(float)
-        rest = 10.0 ** (lm_scoring.OPEN - lp[n:].astype(float)) * lm_scoring.ALPHA / m.mass
-        total = np.bincount(m.classes, full, 32) + rest
-        assert np.allclose(total.sum() if place < 0 else total, 1, atol=5e-3)
+        lp, open_ = lm_scoring.unpacked(lm_scoring.train_shard(m, sorted_keys, counts)[index])
+        assert not open_[:n].any() and open_[n:].all()
+        total = np.bincount(m.classes, 10.0 ** lp[:n], 32) + 10.0 ** lp[n:] * m.unknown / m.mass
+        assert np.allclose(total.sum() if place < 0 else total, 1, atol=1e-3)
+
+
+def test_lm_tells_a_million_words_apart_behind_one_context():
+    m, n = small_model(shards=7), 1_000_000
+    h = lm_scoring.mix(np.arange(1 << 20, (1 << 20) + n, dtype=np.uint64))
+    cls = (h & lm_scoring.CLASS_MASK).astype(np.int64)
+    for place in (0, 39, 40):  # the last one is the begin of texts
+        keys = np.unique(m.keys(h, np.full(n, -1), cls, np.full(n, m.listed[7]), np.full(n, place)))
+        assert len(keys) > 0.9999 * n
+        shards = m.shard_of(keys)
+        assert (np.diff(shards) >= 0).all() and shards.max() < 7 and len(np.unique(shards)) > 1  # a frequent word is no hot key
+        lp, _ = lm_scoring.unpacked(lm_scoring.train_shard(m, keys, np.ones(len(keys), np.int64)))
+        assert (10.0**lp).sum() < lm_scoring.CLASSES
+
+
+def test_lm_shards_keep_groups_whole():
+    r = np.random.default_rng(4)
+    for shards in (1, 2, 5, 300):
+        m = small_model(shards=shards)
+        h, last = r.integers(0, 1 << 63, 5000, dtype=np.uint64), r.integers(0, 60, 5000)
+        place = np.where(last <= 40, last, -1)
+        keys = m.keys(h, np.full(5000, -1), (h & lm_scoring.CLASS_MASK).astype(np.int64), last.astype(np.uint64), place)
+        of = m.shard_of(np.sort(keys))
+        assert (np.diff(of) >= 0).all() and of.min() >= 0 and of.max() < shards
+        for p in (3, -1):
+            for c in range(3):
+                one = m.keys(h, np.full(5000, -1), np.full(5000, c), np.full(5000, 59, np.uint64), np.full(5000, p))
+                assert len(np.unique(m.shard_of(one))) == 1
 
 
 def test_lm_ascent_reaches_the_optimum():
@@ -560,11 +609,15 @@ def test_lm_ascent_reaches_the_optimum():
 
 def test_lm_keys_travel_whole():
     r = np.random.default_rng(2)
-    for top in (1 << 10, 1 << 33, 1 << 50):
+    for top in (1 << 10, 1 << 33, 1 << 50, 1 << 58, (1 << 64) - 1):
         keys = np.unique(r.integers(0, top, 500, dtype=np.uint64))
         assert np.array_equal(lm_scoring.unpack(lm_scoring.pack(keys)), keys)
+    assert len(lm_scoring.unpack(lm_scoring.pack(np.zeros(0, np.uint64)))) == 0
     n = r.choice([0, 1, 254, 255, 70_000], 300)
     assert np.array_equal(lm_scoring.unpack_counts(lm_scoring.pack_counts(n), 300), n)
+    logs, open_ = -r.random(200) * 12, r.random(200) < 0.5
+    got = lm_scoring.unpacked(lm_scoring.packed(logs, open_))
+    assert np.abs(got[0] - logs).max() < 2e-4 and np.array_equal(got[1], open_)
 
 
 # 7
