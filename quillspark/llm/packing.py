@@ -9,7 +9,8 @@ products of such tables. A block whose number of sequences equals a bound is cer
 The same bounds over the lengths of all pieces say what all blocks together can reach. As long as there are more
 sequences, those with room left are dealt anew into groups, so that their documents meet those of other blocks, and are
 packed again; a group that does not gain keeps what it had. Full sequences stay. Where one group is left and it is still
-above the bound, it also gets full sequences of the most pieces, whose small documents fill gaps.
+above the bound, it also gets the sequences outside that have most room, and those of most pieces, whose small documents
+fill gaps.
 """
 
 from __future__ import annotations
@@ -283,8 +284,9 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, ids: bool = False, bl
         bins, rows = _state(pool)
         groups = max(1, -(-rows // block))
         if groups == 1 and k > 1:  # what lies in one group does not get better alone
-            rich = reduce(DataFrame.unionByName, done).filter("offset = 0").orderBy(F.desc("pieces"), "sequence_id").limit(max(1, k * block // 50)).select("sequence_id")
-            rich = F.broadcast(written(rich, folder, f"rich{k}"))  # some thousand numbers
+            firsts, most = reduce(DataFrame.unionByName, done).filter("offset = 0"), max(1, k * block // 50)
+            best = lambda by, firsts=firsts, most=most: firsts.orderBy(F.desc(by), "sequence_id").limit(most).select("sequence_id")
+            rich = F.broadcast(written(best("room").unionByName(best("pieces")).distinct(), folder, f"rich{k}"))  # some thousand numbers
             pool = reduce(DataFrame.unionByName, [pool, *(x.join(rich, "sequence_id", "left_semi") for x in done)])
             done = [x.join(rich, "sequence_id", "left_anti") for x in done]
             bins = _state(pool)[0]
