@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.tables import shared
+
 #: A word: a run without space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,14 +68,8 @@ PARTS = 2000
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a local session may go without it: its own folder serves then."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{shared(spark)}/quillspark-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
