@@ -228,19 +228,25 @@ def repeated_ranges(texts: DataFrame, folder: str, many: int = MANY) -> DataFram
     while True:
         one = entries.groupBy("key", "chash").agg(F.first("content").alias("content"), F.first("anchor").alias("anchor"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.sum("w").alias("w")) if level else entries
         one = written(one, folder, f"one{level}") if level else one
-        sizes = one.groupBy("key").agg(F.count("*").alias("d")).filter("d > 1")
+        sizes = written(one.groupBy("key").agg(F.count("*").alias("d")).filter("d > 1"), folder, f"sizes{level}")
+        hot = sizes.filter(F.col("d") > many)
+        n = hot.count()
         origin = entries.select("key", "chash", "okey", "ochash", "off", "w")
         if level:  # equal ones of different origins
             found.append(one.filter("w > 1").select("key", "chash", F.length("content").alias("n")).join(origin, ["key", "chash"]).select(F.col("okey").alias("h"), F.col("ochash").alias("nh"), "w", F.col("off").alias("a"), (F.col("off") + F.col("n")).alias("b")))
-        few = one.join(sizes.filter(F.col("d") <= many), "key").select("key", "chash", "content", "anchor", "lo", "hi")
+        # those of hot keys are left out before any shuffle by key
+        cold = one.join(F.broadcast(hot.select("key")), "key", "left_anti") if 0 < n <= BROADCAST_KEYS else one
+        few = cold.join(sizes.filter(F.col("d") <= many), "key").select("key", "chash", "content", "anchor", "lo", "hi")
         hits = few.repartition("key").sortWithinPartitions("key").mapInPandas(_shards, "key long, chash long, a int, b int")
         found.append(hits.join(origin, ["key", "chash"]).select(F.col("okey").alias("h"), F.col("ochash").alias("nh"), "w", (F.col("a") + F.col("off")).alias("a"), (F.col("b") + F.col("off")).alias("b")))
-        hot = sizes.filter(F.col("d") > many).select("key")
-        n = hot.count()
         if not n:
             break
         level += 1
-        entries = written(entries.join(F.broadcast(hot) if n <= BROADCAST_KEYS else hot, "key").mapInPandas(_halves, ENTRY), folder, f"entries{level}")
+        if n <= BROADCAST_KEYS:
+            again = entries.join(F.broadcast(hot.select("key")), "key")
+        else:
+            again = join_counted(entries, written(entries.join(hot.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")), folder, f"hot{level}"), ["key"], "n")
+        entries = written(again.mapInPandas(_halves, ENTRY), folder, f"entries{level}")
     ranges = found[0]
     for x in found[1:]:
         ranges = ranges.unionAll(x)
