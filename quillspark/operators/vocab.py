@@ -151,6 +151,7 @@ def compared(freq: DataFrame, by: str) -> DataFrame:
 
     Overlaps are counted by words: each gives the pairs of the corpora that have it, which are few.
     """
+    freq = kept(freq)
     sizes = freq.groupBy(by).agg(F.count("*").alias("n"))
     have = freq.groupBy("token").agg(F.array_sort(F.collect_set(by)).alias("s")).filter(F.size("s") > 1)
     pairs = have.select(F.posexplode("s").alias("i", "a"), "s").select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("k"))

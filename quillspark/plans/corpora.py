@@ -402,7 +402,7 @@ SELECT lang, sequences, tokens, unique_tokens, round(eff, 6) AS vocab_efficiency
 def _difficulty_b(spark, d):
     rows = docs(spark, d, "lang")
     v = kept(vocab.built(vocab.counts(rows, F.col("t"))))
-    q = vocab.encode(rows, "lang", F.col("t"), v).select("lang", A.padded(F.col("ids"), 128).alias("s"))
+    q = kept(vocab.encode(rows, "lang", F.col("t"), v).select("lang", A.padded(F.col("ids"), 128).alias("s")))  # read twice
     return stats.difficulty_b(q, F.broadcast(v.agg((F.max("id") + 1).alias("vs"))), "lang", "s")
 
 
@@ -415,7 +415,7 @@ def difficulty_b(spark, d):
 SELECT e.lang AS lang_1, g.lang AS lang_2, CASE WHEN e.complexity < g.complexity THEN e.lang ELSE g.lang END AS easier, least(e.complexity, g.complexity) AS easier_score, greatest(e.complexity, g.complexity) AS harder_score, round(100 * (greatest(e.complexity, g.complexity) - least(e.complexity, g.complexity)) / greatest(e.complexity, g.complexity), 4) AS improvement_pct, round(e.stability - g.stability, 6) AS stability_diff FROM z e, z g WHERE e.lang < g.lang""")
 def difficulty_winner(spark, d):
     """The easier of every two corpora; a row for each corpus is compared, so the pairs are few."""
-    z = _difficulty_b(spark, d).select("lang", "complexity", "stability")
+    z = kept(_difficulty_b(spark, d).select("lang", "complexity", "stability"))
     a, b = z.toDF("lang_1", "c1", "s1"), F.broadcast(z.toDF("lang_2", "c2", "s2"))
     lo, hi = F.least("c1", "c2"), F.greatest("c1", "c2")
     j = a.join(b, F.col("lang_1") < F.col("lang_2"))
