@@ -34,15 +34,25 @@ def batches(embeddings: DataFrame, size: int) -> DataFrame:
     return a.join(b, "batch").select("batch", "i", "j", dot(F.col("v"), F.col("w")).alias("sim"))
 
 
-def _dealt(df: DataFrame, key: str, block: int) -> tuple[DataFrame, int]:
-    n = max(1, -(-df.count() // block))
+#: Blocks a side at least, where there are rows enough for them, and rows of a block that a task holds at most.
+GRID, BLOCK = 8, 1 << 16
+#: Rows and columns of the products that are looked at at once.
+ROWS, COLUMNS = 1024, 4096
+#: Two sums that are as near as this may be equal to nine digits.
+NEAR = 0.6e-9
+
+
+def _dealt(df: DataFrame, key: str, least: int, block: int) -> tuple[DataFrame, int]:
+    """df with the number of each row's block. Up to GRID * block rows their number is fixed, so what is sent grows with the rows alone."""
+    rows = df.count()
+    n = max(min(GRID, -(-rows // least)), -(-rows // block), 1)
     return df.withColumn(f"b{key}", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
 
 
 def _meet(left: DataFrame, right: DataFrame, block: int, work, schema: str) -> DataFrame:
     """work(left's frame, right's frame) for every pair of blocks: a task holds one block of each side."""
-    left, n = _dealt(left, "i", block)
-    right, m = _dealt(right, "j", block)
+    left, n = _dealt(left, "i", COLUMNS, block)
+    right, m = _dealt(right, "j", COLUMNS, block)
     each = lambda df, c, k: df.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
 
     def run(key, x, y):
@@ -51,35 +61,78 @@ def _meet(left: DataFrame, right: DataFrame, block: int, work, schema: str) -> D
     return each(left, "bj", m).groupBy("bi", "bj").cogroup(each(right, "bi", n).groupBy("bi", "bj")).applyInPandas(run, schema)
 
 
-def _products(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-    return np.round(np.stack(x["v"].to_numpy()) @ np.stack(y["w"].to_numpy()).T, 9)
-
-
-def nearest(left: DataFrame, right: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def _best(v: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of v, row of w, product): the k largest products of each row of v to nine digits, ties to the first rows of w.
+
+    Once a row has k of them, only larger ones are looked at: a later tie has no place.
+    """
+    floor = np.full(len(v), -np.inf)
+    row, col, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    at = 0
+    while at < len(w):
+        s = v @ w[at : at + (COLUMNS if at else max(COLUMNS // 8, k))].T
+        if not at and s.shape[1] > k:
+            r, c = np.nonzero(s >= np.partition(s, -k, axis=1)[:, -k][:, None] - 2 * NEAR)
+        else:
+            r, c = np.nonzero(s > (floor + (0.5e-9 - 1e-12))[:, None])
+        x = np.round(s[r, c], 9)
+        new = x > floor[r]
+        row, col, sim = np.concatenate([row, r[new]]), np.concatenate([col, c[new] + at]), np.concatenate([sim, x[new]])
+        at += s.shape[1]
+        if new.any():
+            order = np.lexsort((col, -sim, row))
+            row, col, sim = row[order], col[order], sim[order]
+            first = np.searchsorted(row, np.arange(len(v)))
+            keep = np.arange(len(row)) - first[row] < k
+            row, col, sim = row[keep], col[keep], sim[keep]
+            n = np.bincount(row, minlength=len(v))
+            full = n >= k
+            floor[full] = sim[np.cumsum(n)[full] - 1]
+    return row, col, sim
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(i, rank, j, sim): the k best matches of every row among all, by blocks; sums equal to nine digits are ties, which go to the smaller id."""
 
     def work(x, y):
-        s, j = _products(x, y), y["j"].to_numpy()
-        keep = min(k, len(j))
-        top = np.argsort(-s, axis=1, kind="stable")[:, :keep]
-        return pd.DataFrame({"i": np.repeat(x["i"].to_numpy(), keep), "j": j[top].ravel(), "sim": np.take_along_axis(s, top, 1).ravel()})
+        i, j, w = x["i"].to_numpy(), y["j"].to_numpy(), np.stack(y["w"].to_numpy())
+        parts = []
+        for a in range(0, len(i), ROWS):
+            row, col, sim = _best(np.stack(x["v"].to_numpy()[a : a + ROWS]), w, k)
+            parts.append(pd.DataFrame({"i": i[a + row], "j": j[col], "sim": sim}))
+        return pd.concat(parts)
 
     hits = _meet(left, right, block, work, "i long, j long, sim double")
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim"), "j"))).filter(F.col("rank") <= k).select("i", "rank", "j", "sim")
 
 
-def match_ranks(left: DataFrame, right: DataFrame, block: int = 4096) -> DataFrame:
+def _better(s: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many products of each row are better than its own, m, to nine digits; ties go to the smaller j. Only rows with near ones are rounded."""
+    n = (s > (m + NEAR)[:, None]).sum(1)
+    near = np.flatnonzero((s >= (m - NEAR)[:, None]).sum(1) != n)
+    r, own = np.round(s[near], 9), m[near][:, None]
+    n[near] = ((r > own) | ((r == own) & (j[None] < i[near][:, None]))).sum(1)
+    return n
+
+
+def match_ranks(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
     """(i, rank, back): the place of each row's own match among all, both ways. Only better ones are counted; no matrix is kept."""
     own = left.join(right, left["i"] == right["j"]).select("i", dot(F.col("v"), F.col("w")).alias("m"))
     a = left.join(own.select("i", F.round("m", 9).alias("m")), "i")
     b = right.join(own.select(F.col("i").alias("j"), F.round("m", 9).alias("m")), "j")
 
     def work(x, y):
-        s = _products(x, y)
-        i, j = x["i"].to_numpy()[:, None], y["j"].to_numpy()[None]
-        for_i = (s > x["m"].to_numpy()[:, None]) | ((s == x["m"].to_numpy()[:, None]) & (j < i))
-        for_j = (s > y["m"].to_numpy()[None]) | ((s == y["m"].to_numpy()[None]) & (i < j))
-        return pd.DataFrame({"id": np.concatenate([i[:, 0], j[0]]), "better": np.concatenate([for_i.sum(1), for_j.sum(0)]), "way": np.repeat([0, 1], [len(x), len(y)])})
+        i, j, mi, mj = x["i"].to_numpy(), y["j"].to_numpy(), x["m"].to_numpy(), y["m"].to_numpy()
+        w = np.stack(y["w"].to_numpy())
+        for_i, for_j = np.zeros(len(i), np.int64), np.zeros(len(j), np.int64)
+        for r in range(0, len(i), ROWS):
+            v, p = np.stack(x["v"].to_numpy()[r : r + ROWS]), slice(r, r + ROWS)
+            for c in range(0, len(j), COLUMNS):
+                q = slice(c, c + COLUMNS)
+                s = v @ w[q].T
+                for_i[p] += _better(s, mi[p], i[p], j[q])
+                for_j[q] += _better(s.T, mj[q], j[q], i[p])
+        return pd.DataFrame({"id": np.concatenate([i, j]), "better": np.concatenate([for_i, for_j]), "way": np.repeat([0, 1], [len(i), len(j)])})
 
     counted = _meet(a, b, block, work, "id long, better long, way int").groupBy(F.col("id").alias("i"), "way").agg(F.sum("better").alias("n"))
     place = lambda k: (F.max(F.when(F.col("way") == k, F.col("n"))) + 1).alias("rank" if k == 0 else "back")
