@@ -7,6 +7,9 @@ is short by construction: lines on more than `ratio` of its pages number at most
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +19,8 @@ RATIO, MIN_PAGES = 0.2, 3
 #: Hosts' boilerplate up to so many hashes (16 bytes each) is broadcast; more is joined by a shuffle.
 BROADCAST_HASHES = 200_000
 
-BLOCK = r"(?is)<!--.*?-->|<(script|style)\b.*?</(script|style)\s*>"
-BREAK = r"(?i)</?(p|div|li|ul|ol|nav|article|section|header|footer|main|aside|h[1-6]|br|hr|tr|td|th|table|title|head|body|html|meta|form|blockquote|pre)\b[^>]*>"
+BLOCK = r"(?is)<(?:!--.*?-->|(?:script|style)\b.*?</(?:script|style)\s*>)"
+BREAK = r"(?i)</?(?:p|div|li|ul|ol|nav|article|section|header|footer|main|aside|h[1-6]|br|hr|tr|td|th|table|title|head|body|html|meta|form|blockquote|pre)\b[^>]*>"
 
 
 #: Stands in for an opener that nothing closes, while blocks are taken out.
@@ -31,7 +34,8 @@ def _let(value: Column, f) -> Column:
 
 def _blocks(html: Column) -> Column:
     """A space for each comment, script and style. An opener that nothing closes would be followed to the page's end, each
-    anew, so those behind the last end are switched off first: then every opener meets its end, in linear time."""
+    anew, so those behind the last end are switched off first: then every opener meets its end, in linear time. Most pages
+    have none; there a search from the page's end says so, and nothing is rewritten."""
 
     def comments(t: Column) -> Column:
         off = lambda tail: F.when(F.contains(tail, F.lit("<!--")), F.concat(_head(t, tail), F.replace(tail, F.lit("<!--"), F.lit(f"<!-{OFF}-")))).otherwise(t)
@@ -39,7 +43,10 @@ def _blocks(html: Column) -> Column:
 
     def scripts(t: Column) -> Column:
         off = lambda head: F.concat(head, F.regexp_replace(F.substr(t, F.length(head) + 1), r"(?i)<(?=(script|style)\b)", f"<{OFF}"))
-        return F.when(t.rlike(r"(?i)<(script|style)\b"), _let(F.regexp_extract(t, r"(?is)^.*</(script|style)\s*>", 0), off)).otherwise(t)
+        cut = _let(F.regexp_extract(t, r"(?is)^.*</(script|style)\s*>", 0), off)
+        tail = F.substring_index(F.substring_index(t, "</script>", -1), "</style>", -1)  # from the last plain end, so with all behind the last end
+        opens = _let(tail, lambda x: _any(x, ("<s", "<S")) & x.rlike(r"(?i)<(?:script|style)\b"))  # the pattern costs more than a search
+        return F.when(opens, cut).otherwise(t)
 
     def on(t: Column) -> Column:
         return F.when(F.contains(t, F.lit(OFF)), F.replace(F.replace(t, F.lit(f"<!-{OFF}-"), F.lit("<!--")), F.lit(f"<{OFF}"), F.lit("<"))).otherwise(t)
@@ -51,9 +58,27 @@ def _head(text: Column, tail: Column) -> Column:
     return F.substr(text, F.lit(1), F.length(text) - F.length(tail))
 
 
+def _any(text: Column, parts: Iterable[str]) -> Column:
+    return reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in parts))
+
+
+def _spaces(text: Column) -> Column:
+    """A space for each run of white space; the pattern runs only where pairs of spaces made one do not do."""
+    return _let(F.replace(text, F.lit("  "), F.lit(" ")), lambda t: F.when(_any(t, ("\n", "  ", "\r", "\t", "\f", "\v")), F.regexp_replace(t, r"\s+", " ")).otherwise(t))
+
+
 def _tags(text: Column, pattern: str, by: str) -> Column:
-    """Replaces a pattern that ends in '>'; what stands behind the last one cannot match, and is not tried."""
-    return _let(text, lambda t: _let(F.substring_index(t, ">", -1), lambda tail: F.concat(F.regexp_replace(_head(t, tail), pattern, by), tail)))
+    """Replaces a pattern that begins with '<' and ends in '>'; what stands behind the last '>' cannot match, and is not
+    tried where it has a '<'."""
+
+    def cut(t: Column, tail: Column) -> Column:
+        return F.when(F.contains(tail, F.lit("<")), F.concat(F.regexp_replace(_head(t, tail), pattern, by), tail)).otherwise(F.regexp_replace(t, pattern, by))
+
+    return _let(text, lambda t: _let(F.substring_index(t, ">", -1), lambda tail: cut(t, tail)))
+
+
+def _entity(text: Column, name: str, char: str) -> Column:
+    return _let(text, lambda t: F.when(F.contains(t, F.lit(name)), F.replace(t, F.lit(name), F.lit(char))).otherwise(t))  # a search costs less
 
 
 def html_lines(html: Column) -> Column:
@@ -61,13 +86,12 @@ def html_lines(html: Column) -> Column:
 
     Time is linear in the page, however many openers are never closed and however long its runs of spaces are.
     """
-    text = _blocks(F.coalesce(html, F.lit("")))
-    text = F.regexp_replace(text, r"\s+", " ")
+    text = _spaces(_blocks(F.coalesce(html, F.lit(""))))
     text = _tags(text, BREAK, "\n")
     text = _tags(text, r"<[^>]*>", "")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.btrim(F.regexp_replace(text, "(?<! ) *\n[ \n]*", "\n"), F.lit(" \n"))
+        text = _entity(text, name, char)
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def host_of(url: Column) -> Column:
