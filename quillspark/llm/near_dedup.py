@@ -369,10 +369,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if crowded:
         pairs = pairs.unionAll(candidates(sets, star, centres, part, folder, percent)).distinct()
     second = confirm(pairs, read, folder, "rest", percent)
-    part = components(first.unionAll(second), folder, "cb")
-    # a component's least id, by vertices; then each vertex's
+    # a component's least id, by vertices; then that of components which the second links join; then each vertex's
     named = written(vertices.select("v", "n", "least").join(part, "v", "left").withColumn("g", F.coalesce("c", "v")).drop("c"), folder, "named")
-    least = written(named.groupBy("g").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), folder, "least")
+    ends = second.join(part.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left").join(part.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", "left")
+    joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), folder, "cb").select(F.col("v").alias("g"), "c")
+    least = named.groupBy("g").agg(F.min("least").alias("least"), F.count("*").alias("m"))
+    least = written(least.join(joined, "g", "left").withColumn("c", F.coalesce("c", "g")), folder, "least")
+    most = written(least.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("k")), folder, "most")
+    least = written(join_counted(least, most, ["c"], "k").select("g", "m", "component_id"), folder, "ids")
     names = written(join_counted(named, least, ["g"], "m").select("v", "n", "component_id"), folder, "names")
     remove(spark, folder, "rows", "names")
     out = join_counted(rows.select("v", "doc_id", "n_shingles"), names, ["v"], "n").drop("v")

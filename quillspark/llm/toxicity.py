@@ -103,13 +103,14 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     """Texts with labels 0 or 1, in any order; without rows of both labels the model gives the base rate."""
     y = np.asarray(labels, np.float64)
     rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
-    rows = [words_of(x) for x in texts]
-    if not len(y) or y.min() == y.max() or not any(rows):
+    if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
-    r = np.random.default_rng(seed)
     index: dict[str, int] = {}
-    ids = [np.fromiter((index.setdefault(w, len(index)) for w in row), np.int32, len(row)) for row in rows]
-    del rows
+    # a text at a time: the words of all would take ten times their texts
+    ids = [np.fromiter((index.setdefault(w, len(index)) for w in words_of(x)), np.int32) for x in texts]
+    if not index:
+        return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
+    r = np.random.default_rng(seed)
     # the n-grams of each word, in four bytes each, made for some words at a time: the driver's memory is small
     parts, sizes, known = [], [], list(index)
     for a in range(0, len(known), 20_000):
@@ -184,8 +185,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
     part = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) < int(0.95 * sample / n * (1 << 53))) if n > sample else labels
     part = part.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    got = rows.join(F.broadcast(part), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    return train(got.column("text").to_pylist(), got.column("toxic").to_pylist())
+    got = rows.join(F.broadcast(part), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    found = got.repartition(1).mapInArrow(_train, "weight binary, bias double").collect()
+    return Model(np.frombuffer(found[0]["weight"]), found[0]["bias"]) if found else train([], [])
+
+
+def _train(batches):
+    """The one row of a model, from the sample: in a task, as what training leaves behind would stay in the driver's memory."""
+    held = list(batches)
+    got = pa.Table.from_batches(held).sort_by("doc_id") if held else None
+    model = train(got.column("text").to_pylist(), got.column("toxic").to_pylist()) if held else train([], [])
+    yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weight", "bias"])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -3,11 +3,13 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -270,6 +272,45 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_in_few_rounds(spark):
+    edges = [(i * 7919 % 3001, (i + 1) * 7919 % 3001) for i in range(3000)] + [(5000 + i, 5001 + i) for i in range(0, 300, 2)] + [(9000, 9000 + i) for i in range(1, 90)]
+    folder = scratch(spark)
+    got = {r["v"]: r["c"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), folder, "t").collect()}
+    assert got == {i: 0 for i in range(3001)} | {5000 + i: 5000 + i // 2 * 2 for i in range(300)} | {9000 + i: 9000 for i in range(90)}
+    # tables of rounds: each costs the driver memory for plans and code
+    assert len(os.listdir(folder.removeprefix("file://"))) <= 15
+
+
+def test_edges_that_lie_together_become_stars():
+    r = np.random.default_rng(3)
+    f = pd.DataFrame(r.integers(-400, 400, (500, 2)), columns=["a", "b"])
+    f = f[f["a"] != f["b"]]
+    up = {v: v for v in {*f["a"], *f["b"]}}
+    for _ in up:
+        for a, b in f.itertuples(index=False):
+            up[a] = up[b] = min(up[a], up[b])
+    want = sorted((c, v) for v, c in up.items() if c != v)
+    assert sorted(components._linked(f).itertuples(index=False, name=None)) == want
+    assert sorted(x for g in components._chunks(iter([f[:100], f[:0], f[100:]])) for x in g.itertuples(index=False, name=None)) == want
+    assert not list(components._chunks(iter([f[:0]])))
+
+
+def test_components_of_the_second_links(spark):
+    """Links that are found last join components of the first ones; the least id is that of the whole."""
+    r = random.Random(11)
+    texts = {}
+    for k in range(40):
+        base = [f"w{k}x{i}" for i in range(120)]
+        for step in range(12):  # a chain: each text a few words away from the one before
+            base = base[:]
+            at = r.randrange(20, 100)
+            base[at : at + 2] = [f"n{k}y{step}z{i}" for i in range(2)]
+            texts[1000 - k * 12 - step] = " ".join(base)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for percent in (80, 85):
+        assert near(df, percent=percent) == fast_components(texts, percent)
+
+
 # 4
 
 def brute_repeats(texts):
@@ -648,6 +689,22 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.toxicity(empty(spark), some).count() == 0
 
 
+def test_toxicity_is_learned_in_a_task(spark, monkeypatch):
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    rows = docs.join(labels.filter("toxic in (0, 1) and pmod(crc32(cast(doc_id as string)), 4) <> 2"), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    want = toxicity.train([r["text"] or "" for r in rows], [r["toxic"] for r in rows])
+
+    def here(*_):
+        raise AssertionError("the sample came to the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "train", here)
+        got = toxicity.fit(docs, labels)
+    assert got.bias == want.bias and (got.weight == want.weight).all()
+    nothing = toxicity.fit(docs.limit(0), labels)
+    assert nothing.bias == toxicity.train([], []).bias and not nothing.weight.any()
+
+
 def test_misspellings_share_subwords():
     r = random.Random(0)
     vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(200)]
