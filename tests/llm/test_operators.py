@@ -363,6 +363,36 @@ def test_repeats(spark, many):
     assert got == brute_repeats([(t or "").encode() for t in rows])
 
 
+def test_repeats_of_a_common_passage(spark, tmp_path, monkeypatch):
+    """No task searches all surroundings of a common passage, and tasks become more with the entries."""
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    p = text(430)
+    rows = [text(150) + p + text(150) for _ in range(700)]
+    for k in range(0, 240, 2):  # pairs that share nothing else
+        q = text(410)
+        rows[k : k + 2] = [rows[k] + q + text(5), rows[k + 1] + q + text(5)]
+    whole, folder = suffix_dedup._shards, str(tmp_path)
+
+    def seen(frames):
+        frames = list(frames)
+        sizes = collections.Counter(k for f in frames for k in f["key"])
+        if sizes:
+            with open(f"{folder}/{min(sizes)}", "w") as out:
+                out.write(f"{max(sizes.values())} {sum(sizes.values())}")
+        yield from whole(iter(frames))
+
+    monkeypatch.setattr(suffix_dedup, "_shards", seen)
+    monkeypatch.setattr(suffix_dedup, "ENTRIES", 20, raising=False)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = sorted((x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.remove_repeats(df).collect())
+    assert got == brute_repeats([t.encode() for t in rows])
+    tasks = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    entries = sum(n for _, n in tasks)
+    assert entries >= 240 and max(k for k, _ in tasks) <= 500
+    assert len(tasks) >= entries // 40
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
     assert suffix_dedup.remove_repeats(awkward(spark)).count() == 12
