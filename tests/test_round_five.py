@@ -74,7 +74,7 @@ def test_similar_sets_move_as_numbers_and_their_words_are_deleted(spark, tmp_pat
     d = folder_of(tmp_path, documents=documents(*(f"No opacity {i % 5}. word{i % 7} x y z. mild q" for i in range(40))))
     got = registry.QUERIES["similar_variants"](spark, d)
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "code_l" in plan and "words" not in plan and got.count() > 0
+    assert "FlatMapCoGroupsInArrow" in plan and "words" not in plan and got.count() > 0
 
 
 @pytest.mark.parametrize("most", [10, 200, 3_000_000])
